@@ -12,6 +12,7 @@ null doc_id is kept as null. An empty table gives an empty result. Extra columns
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ CAPACITY = 2048
 END = 0
 #: Shares into which the pieces of one length are dealt for ranking; the driver gets at most CAPACITY * SALTS counts.
 SALTS = 64
+#: A word of Latin letters with at most one mark after it: the tokenizer lower-cases the word and takes the mark apart.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,]?")
 #: Chunks whose ids a task remembers.
 CACHE = 400_000
 
@@ -53,11 +56,15 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known = {"": b""}
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
+        fresh = {c for chunks in split for c in chunks if c not in known}
+        bare = {c: m[1].lower() for c in fresh if (m := _WORD.fullmatch(c))}
+        new = list(({c for c in fresh if c not in bare} | {w for w in bare.values()} | {".", ","}) - known.keys())
         for lo in range(0, len(new), 10_000):
             part = new[lo : lo + 10_000]
             for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 known[chunk] = np.array(e.ids, "<u4").tobytes()
+        for c, w in bare.items():
+            known[c] = known[w] + known[c[-1]] if c[-1] in ".," else known[w]
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
