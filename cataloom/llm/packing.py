@@ -28,10 +28,11 @@ CAPACITY = 2048
 END = 0
 #: Shares into which the pieces of one length are dealt for ranking; the driver gets at most CAPACITY * SALTS counts.
 SALTS = 64
-#: A word of Latin letters with at most one mark after it: the tokenizer lower-cases the word and takes the mark apart.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)[.,]?")
+#: Latin words, and what stands in a text other than such words with single marks between them. The tokenizer lower-cases
+#: such words and takes the marks apart; composed Latin letters are left as they are.
+_WORD, _OTHER = re.compile("[a-zß-öø-ÿ]+"), re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ \\n.,]|[.,]{2}")
 #: Chunks whose ids a task remembers.
-CACHE = 400_000
+CACHE = 800_000
 
 
 def tokenizer_path() -> str:
@@ -48,24 +49,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Words of letters are one unit of the tokenizer each, so many are encoded as one text."""
+        texts = [new[lo : lo + 500] for lo in range(0, len(new), 500)]
+        for part, e in zip(texts, self.tokenizer.encode_batch([" ".join(x) for x in texts], add_special_tokens=False), strict=True):
+            ids, bounds = np.array(e.ids, "<u4"), np.flatnonzero(np.diff(e.word_ids)) + 1
+            for w, own in zip(part, np.split(ids, bounds), strict=True):
+                self.known[w] = own.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens around it."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {"": b""}
+            self.known = {}
         known = self.known
-        fresh = {c for chunks in split for c in chunks if c not in known}
-        bare = {c: m[1].lower() for c in fresh if (m := _WORD.fullmatch(c))}
-        new = list(({c for c in fresh if c not in bare} | {w for w in bare.values()} | {".", ","}) - known.keys())
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, "<u4").tobytes()
-        for c, w in bare.items():
-            known[c] = known[w] + known[c[-1]] if c[-1] in ".," else known[w]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        split = [self._units(t or "") for t in texts]
+        fresh = set().union(*split).difference(known)
+        plain = [c for c in fresh if c.isalpha() and _WORD.fullmatch(c)]
+        self._learn_words(plain)
+        odd = list(fresh.difference(plain))
+        for c, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, units)) for units in split]
+
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        """Parts of a text that the tokenizer takes one by one."""
+        if not _OTHER.search(text):
+            return text.lower().replace(",", " , ").replace(".", " . ").split()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+#: An encoder by path: Spark keeps its Python workers, and so what they remember, from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -73,12 +96,12 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     end = np.array([END], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist()), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
