@@ -55,9 +55,9 @@ class Encoder:
         """Words of letters are one unit of the tokenizer each, so many are encoded as one text."""
         texts = [new[lo : lo + 500] for lo in range(0, len(new), 500)]
         for part, e in zip(texts, self.tokenizer.encode_batch([" ".join(x) for x in texts], add_special_tokens=False), strict=True):
-            ids, bounds = np.array(e.ids, "<u4"), np.flatnonzero(np.diff(e.word_ids)) + 1
-            for w, own in zip(part, np.split(ids, bounds), strict=True):
-                self.known[w] = own.tobytes()
+            ids = np.array(e.ids, "<u4").tobytes()
+            bounds = (4 * (np.flatnonzero(np.diff(e.word_ids)) + 1)).tolist()
+            self.known.update((w, ids[a:b]) for w, a, b in zip(part, [0, *bounds], [*bounds, len(ids)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without special tokens around it."""

@@ -12,12 +12,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import langid
+
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cataloom.llm import simhash
 
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import quality
+
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cataloom.llm import packing
 
@@ -36,11 +48,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import topk
+
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {}
