@@ -18,6 +18,18 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import pii
+
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import html_extract
+
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cataloom.llm import simhash
 
@@ -56,6 +68,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_pii": op2_pii,
+    "op3_html": op3_html,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op7_packing": op7_packing,
