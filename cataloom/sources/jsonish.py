@@ -1,0 +1,87 @@
+"""JSON that isn't quite: several values in a row, fenced in markdown, or with prose around it. Small Arrow UDFs."""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_FENCE = re.compile(r"```(?:json)?[ \t]*\n(.*?)```", re.S | re.I)
+
+
+def _loads(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def _first_value(text: str, opening: str):
+    """The value that starts at the first opening bracket from which one can be read."""
+    decoder = json.JSONDecoder()
+    at = min((i for i in (text.find(c) for c in opening) if i >= 0), default=-1)
+    while at >= 0:
+        try:
+            return decoder.raw_decode(text, at)[0]
+        except ValueError:
+            at = min((i for i in (text.find(c, at + 1) for c in opening) if i >= 0), default=-1)
+    return None
+
+
+def lenient_value(text: str | None):
+    """The text itself, its first fenced block, or the first object or list in it; else an empty object."""
+    text = (text or "").strip()
+    tries = (lambda: _loads(text), lambda: next((v for b in _FENCE.findall(text) if (v := _loads(b)) is not None), None), lambda: _first_value(text, "{["))
+    return next((v for t in tries if (v := t()) is not None), {})
+
+
+def report_records(text: str | None) -> list[dict]:
+    """The records of a JSON report in markdown: an object with ``logics``, one object, or a list."""
+    text = text or ""
+    tries = (lambda: _loads(text.strip()), *(lambda b=b: _loads(b.strip()) for b in _FENCE.findall(text)), lambda: _first_value(text, "["), lambda: _first_value(text, "{"))
+    for t in tries:
+        v = t()
+        if isinstance(v, dict):
+            v = v["logics"] if isinstance(v.get("logics"), list) else [v]
+        if isinstance(v, list) and v and all(isinstance(x, dict) for x in v):
+            return v
+    raise ValueError("no JSON records in this report")
+
+
+def values_in_a_row(text: str | None) -> list:
+    """All values of concatenated JSON documents."""
+    decoder, text, at, out = json.JSONDecoder(), (text or "").strip(), 0, []
+    while at < len(text):
+        value, at = decoder.raw_decode(text, at)
+        out.append(value)
+        while at < len(text) and text[at].isspace():
+            at += 1
+    return out
+
+
+def _series(one, kind: str):
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in s], dtype=object)
+
+    return F.pandas_udf(run, kind)
+
+
+def lenient(text: Column) -> Column:
+    return _series(lambda t: json.dumps(lenient_value(t), sort_keys=True), "string")(text)
+
+
+def records(text: Column) -> Column:
+    """array<string>: the records of a JSON report."""
+    return _series(lambda t: [json.dumps(r, sort_keys=True) for r in report_records(t)], "array<string>")(text)
+
+
+def split_values(text: Column) -> Column:
+    return _series(lambda t: [json.dumps(v, sort_keys=True) for v in values_in_a_row(t)], "array<string>")(text)
+
+
+def canonical(text: Column) -> Column:
+    """JSON with sorted keys and no blanks; null where it isn't JSON."""
+    return _series(lambda t: None if (v := _loads(t or "")) is None else json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False), "string")(text)
