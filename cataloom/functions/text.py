@@ -18,6 +18,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
+def stripped(c: Column) -> Column:
+    """Without white space, line ends included, at either end."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cataloom.functions.text import stripped
+
 
 def lines(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
     """(document, n, line) of every line."""
@@ -24,16 +26,16 @@ def messages(documents: DataFrame, document: str, text: str = "text") -> DataFra
     said = F.regexp_extract("line", arrow, 3)
     step = F.row_number().over(Window.partitionBy(document).orderBy("n"))
     return found.select(
-        document, step.alias("step"), F.trim(F.regexp_extract("line", arrow, 1)).alias("from_participant"), F.trim(F.regexp_extract("line", arrow, 2)).alias("to_participant"),
-        F.trim(F.regexp_replace(F.regexp_extract(said, r"^(.*?)(?:\s+-\s+.*)?$", 1), r"\(.*\)\s*$", "")).alias("function_name"),
-        F.trim(F.regexp_extract(said, r"\s+-\s+(.*)$", 1)).alias("description"),
+        document, step.alias("step"), stripped(F.regexp_extract("line", arrow, 1)).alias("from_participant"), stripped(F.regexp_extract("line", arrow, 2)).alias("to_participant"),
+        stripped(F.regexp_replace(F.regexp_extract(said, r"^(.*?)(?:\s+-\s+.*)?$", 1), r"\(.*\)\s*$", "")).alias("function_name"),
+        stripped(F.regexp_extract(said, r"\s+-\s+(.*)$", 1)).alias("description"),
     )
 
 
 def domain_types(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
     """(document, name, kind) of class and enum blocks."""
     block = r'^\s*(?:abstract\s+)?(class|enum)\s+"?([^"{<]+?)"?\s*(?:<<.*>>)?\s*\{?\s*$'
-    return lines(documents, document, text).where(F.col("line").rlike(block)).select(document, F.trim(F.regexp_extract("line", block, 2)).alias("name"), F.regexp_extract("line", block, 1).alias("kind")).distinct()
+    return lines(documents, document, text).where(F.col("line").rlike(block)).select(document, stripped(F.regexp_extract("line", block, 2)).alias("name"), F.regexp_extract("line", block, 1).alias("kind")).distinct()
 
 
 def relations(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
@@ -49,7 +51,7 @@ def noted_logics(documents: DataFrame, document: str, text: str = "text") -> Dat
     """(document, entity, code, name): entries ``2B0 · Name`` of notes headed ``Logics:``, on one line or up to ``end note``."""
     one = r'(?i)^\s*note\s+\w+\s+of\s+"?([^":]+?)"?\s*(?::\s*(.*))?$'
     tagged = islands(lines(documents, document, text), [document], "n", F.col("line").rlike(one))
-    inside = tagged.where("island > 0").withColumn("entity", F.max(F.when(F.col("line").rlike(one), F.trim(F.regexp_extract("line", one, 1)))).over(Window.partitionBy(document, "island")))
+    inside = tagged.where("island > 0").withColumn("entity", F.max(F.when(F.col("line").rlike(one), stripped(F.regexp_extract("line", one, 1)))).over(Window.partitionBy(document, "island")))
     ended = Window.partitionBy(document, "island").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     single = F.max(F.col("line").rlike(one) & (F.regexp_extract("line", one, 2) != "")).over(Window.partitionBy(document, "island"))
     over = F.max(F.col("line").rlike(r"(?i)^\s*end\s*note")).over(ended)

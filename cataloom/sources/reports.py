@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cataloom.functions.text import stripped
+
 # The reports' markers. Heading labels come with or without a number and stars.
 _LABELS = ("Rule Name", "Name")
 _PLACEHOLDERS = ("logic name", "logic-name")
@@ -33,17 +35,17 @@ def normalise(text: Column) -> Column:
 
 def sections(documents: DataFrame, text: str = "text") -> DataFrame:
     """A row for each section, with its position; what stands before the first heading is dropped."""
-    parts = F.split(F.trim(normalise(F.coalesce(F.col(text), F.lit("")))), r"(?m)^\s{0,3}#{1,6}\s+")
+    parts = F.split(stripped(normalise(F.coalesce(F.col(text), F.lit("")))), r"(?m)^\s{0,3}#{1,6}\s+")
     return documents.select("*", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("position", "section")).drop(text)
 
 
 def heading(section: Column) -> Column:
     """A section's name: its first line without marks and labels, else a name field."""
-    line = F.trim(F.regexp_extract(section, r"^\s*([^\n]*)", 1))
+    line = stripped(F.regexp_extract(section, r"^\s*([^\n]*)", 1))
     line = F.regexp_replace(F.regexp_replace(line, r"^\s*#{1,6}\s*", ""), r"\s*#{1,6}\s*$", "")
     line = F.regexp_replace(F.regexp_replace(line, r"^[ *\-\t]+|[ *\-\t]+$", ""), r"(?i)^(?:Rule\s+Name|Name):\s*", "")
     placeholder = lambda c: (c == "") | F.lower(c).isin(*_PLACEHOLDERS)
-    field = lambda label: F.trim(F.regexp_extract(section, rf"\*\*{label}:\*\*[ \t]*([^\n]+)", 1))
+    field = lambda label: stripped(F.regexp_extract(section, rf"\*\*{label}:\*\*[ \t]*([^\n]+)", 1))
     name = line
     for label in _LABELS:
         name = F.when(placeholder(name) & (field(label) != ""), field(label)).otherwise(name)
@@ -51,16 +53,16 @@ def heading(section: Column) -> Column:
 
 
 def _field(section: Column, pattern: str, group: int = 1) -> Column:
-    return F.trim(F.regexp_extract(section, pattern, group))
+    return stripped(F.regexp_extract(section, pattern, group))
 
 
 def declaration(line: Column) -> Column:
     """``Name : Type [Allowed Values: a, "b"]`` as a struct; a line without a colon is a name alone."""
-    s = F.trim(F.regexp_replace(F.trim(line), r"^[-*]+", ""))
+    s = stripped(F.regexp_replace(stripped(line), r"^[-*]+", ""))
     whole = r"(?i)^([^:]+?)\s*:\s*([^\[\]]+?)(?:\s*\[\s*Allowed\s*Values\s*:\s*(.+?)\s*\])?\s*$"
     fits = s.rlike(whole)
-    tick = lambda c: F.regexp_replace(F.trim(c), "^`+|`+$", "")
-    values = F.transform(F.split(F.regexp_extract(s, whole, 3), ","), lambda v: F.regexp_replace(F.trim(v), "^([\"'])(.*)\\1$", "$2"))
+    tick = lambda c: F.regexp_replace(stripped(c), "^`+|`+$", "")
+    values = F.transform(F.split(F.regexp_extract(s, whole, 3), ","), lambda v: F.regexp_replace(stripped(v), "^([\"'])(.*)\\1$", "$2"))
     values = F.filter(values, lambda v: v != "")
     name = F.when(fits, F.regexp_extract(s, whole, 1)).when(s.contains(":"), F.regexp_extract(s, r"^([^:]*):", 1)).otherwise(s)
     kind = F.when(fits, F.regexp_extract(s, whole, 2)).when(s.contains(":"), F.regexp_extract(s, r"(?s)^[^:]*:(.*)$", 1)).otherwise("")
@@ -70,25 +72,25 @@ def declaration(line: Column) -> Column:
 def declarations(body: Column, title: str) -> Column:
     """The bulleted declarations below a title."""
     block = F.regexp_extract(body, rf"(?i){title}\s*:[ \t]*\n((?:\s*[-*][^\n]*(?:\n|$))+)", 1)
-    lines = F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: x.rlike(r"^[-*]"))
+    lines = F.filter(F.transform(F.split(block, "\n"), stripped), lambda x: x.rlike(r"^[-*]"))
     return F.transform(lines, declaration)
 
 
 def first_table(body: Column) -> Column:
     """The first run of lines with ``|``, ``+`` or ``--``."""
     row = r"[^\n]*(?:\||\+|--)[^\n]*"
-    return F.trim(F.regexp_replace(F.regexp_extract(body, rf"(?:^|\n)({row}(?:\n{row})*)", 1), r"(?m)[ \t]+$", ""))
+    return stripped(F.regexp_replace(F.regexp_extract(body, rf"(?:^|\n)({row}(?:\n{row})*)", 1), r"(?m)[ \t]+$", ""))
 
 
 def link_lines(section: Column) -> Column:
     """Lines of the links block as structs: parsed, or as they are in ``raw``."""
-    body = F.trim(F.regexp_extract(section, r"(?is)(?:^|\n)\s*\*\*Links:\*\*[ \t]*\n(.*?)(?=\n## |\z)", 1))
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
+    body = stripped(F.regexp_extract(section, r"(?is)(?:^|\n)\s*\*\*Links:\*\*[ \t]*\n(.*?)(?=\n## |\z)", 1))
+    lines = F.filter(F.transform(F.split(body, "\n"), stripped), lambda x: x != "")
     pattern = r"(?i)^(.+?)\.(.+?)\s*->\s*(.+?)\s*\[kind=([^\]]+)\]\s*$"
 
     def one(x: Column) -> Column:
         fits = x.rlike(pattern)
-        parts = {n: F.when(fits, F.trim(F.regexp_extract(x, pattern, i))).alias(n) for i, n in ((1, "from_logic"), (2, "from_output"), (3, "to_input"), (4, "kind"))}
+        parts = {n: F.when(fits, stripped(F.regexp_extract(x, pattern, i))).alias(n) for i, n in ((1, "from_logic"), (2, "from_output"), (3, "to_input"), (4, "kind"))}
         return F.struct(*parts.values(), F.when(~fits, x).alias("raw"))
 
     return F.when(F.lower(body) == "none", F.slice(F.transform(lines, one), 1, 0)).otherwise(F.transform(lines, one))
@@ -104,7 +106,7 @@ def parse(parts: DataFrame) -> DataFrame:
     spec_at = r"(?is)(?:\*\*(?:Rule\s+)?Spec:\*\*|\*\*Specification:\*\*)(.*?)(?=\n\*\*(?:Code Block|Example):\*\*|" + _DMN + r"|\z)"
     dmn = _field(s, rf"(?is)(?:^|{_DMN[:2]})(?:\*{{0,2}}\s*)?DMN\s*:\s*(?:\*{{0,2}})?\s*\n?(.*?)(?=\n## |\z)")
     fenced = F.regexp_extract(dmn, r"(?s)```[^\n]*\n(.*?)```", 1)
-    body = F.regexp_replace(F.regexp_replace(F.when(fenced != "", F.trim(fenced)).otherwise(dmn), "`+", ""), r"\*\*", "")
+    body = F.regexp_replace(F.regexp_replace(F.when(fenced != "", stripped(fenced)).otherwise(dmn), "`+", ""), r"\*\*", "")
     body = F.regexp_replace(body, r'(?m)(^\s*[-*]\s*[^\n]*)"\s*$', "$1")
     out = parts.select(
         "*",

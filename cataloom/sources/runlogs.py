@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cataloom.functions.text import stripped
+
 # The frames of a run log, the oldest build whose records count, the report's prompt, and how much of a file shows what it is.
 MARK = "[PCPTLOG:]"
 HEADER_BEGIN, HEADER_END = f"{MARK} ===== HEADER BEGIN =====", f"{MARK} ===== HEADER END ====="
@@ -34,7 +36,7 @@ def read_logs(spark: SparkSession, path: str, glob: str = "*.{log,txt,out,md}")
 
 def coerce(value: Column) -> Column:
     """A header value: quoted as JSON or in either quote, or bare; as text."""
-    v = F.trim(value)
+    v = stripped(value)
     quoted = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
     return F.when(v.startswith('"') | v.startswith("[") | v.startswith("{"), F.coalesce(quoted, F.regexp_replace(v, '^"|"$', ""))).when(v.rlike("^'.*'$"), F.regexp_extract(v, "^'(.*)'$", 1)).otherwise(v)
 
@@ -44,8 +46,8 @@ def frames(logs: DataFrame) -> DataFrame:
     parts = F.split(F.col("text"), rf"\Q{HEADER_BEGIN}\E")
     one = logs.select("path", "mtime", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("frame", "__f"))
     head = F.element_at(F.split("__f", rf"\Q{HEADER_END}\E"), 1)
-    lines = F.filter(F.transform(F.split(head, r"\r?\n"), lambda x: F.trim(F.replace(x, F.lit(MARK), F.lit("")))), lambda x: x.contains("="))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), coerce(F.regexp_replace(x, r"(?s)^[^=]*=", "")).alias("v")))
+    lines = F.filter(F.transform(F.split(head, r"\r?\n"), lambda x: stripped(F.replace(x, F.lit(MARK), F.lit("")))), lambda x: x.contains("="))
+    pairs = F.transform(lines, lambda x: F.struct(stripped(F.substring_index(x, "=", 1)).alias("k"), coerce(F.regexp_replace(x, r"(?s)^[^=]*=", "")).alias("v")))
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
     response = F.regexp_extract("__f", rf"(?s)\Q{RESPONSE_BEGIN}\E\r?\n?(.*?)(?:\Q{RESPONSE_END}\E|\z)", 1)
     return one.select("path", "mtime", "frame", last.alias("header"), F.regexp_replace(response, r"\s+$", "").alias("response_text"))
@@ -92,9 +94,9 @@ def activity_facts(logs: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     when = r"(\d{4}-\d{2}-\d{2})_(\d{2})-(\d{2})-(\d{2})"
     stamp = F.coalesce(_stamp(name, rf"^log_{when}\.txt"), _stamp(name, rf"^log-{when}-build-.*\.txt"), _stamp(F.col("text"), f"timestamp={when}"), F.lit("?"))
-    instructions = F.regexp_replace(F.trim(F.regexp_extract("text", r"(?i)INSTRUCTIONS\s*\n+([^\n][\s\S]*?)(?:\n\s*\n|\nHints|\z)", 1)), "\n", " ")
+    instructions = F.regexp_replace(stripped(F.regexp_extract("text", r"(?i)INSTRUCTIONS\s*\n+([^\n][\s\S]*?)(?:\n\s*\n|\nHints|\z)", 1)), "\n", " ")
     tokens = F.regexp_extract("text", r"\|\|\|\s*Tokens Used:\s*(\d+)", 1)
-    files = F.transform(F.regexp_extract_all("text", F.lit(r"File:\s+([^\n\r]+)"), 1), lambda f: F.trim(F.regexp_replace(f, "/source_path/?", "")))
+    files = F.transform(F.regexp_extract_all("text", F.lit(r"File:\s+([^\n\r]+)"), 1), lambda f: stripped(F.regexp_replace(f, "/source_path/?", "")))
     return logs.select(
         "path", stamp.alias("timestamp"), activity(instructions).alias("activity"), F.when(tokens != "", tokens).otherwise("?").alias("tokens_used"),
         F.array_sort(F.array_distinct(F.filter(files, lambda f: f != ""))).alias("files"),
