@@ -7,7 +7,8 @@ around such suffixes the match is extended left and right, that is, all windows
 the same way. Windows that are shared are joined back, and those of a document merge to passages.
 
 The shared prefixes reach the second pass as a bit table of ``TABLE`` bits, whatever the input's size; a wrong hit there costs a few
-rows, never a wrong result. Shared windows are joined by hash, with hot ones split by Spark's skew handling.
+rows, never a wrong result. Shared windows are joined by hash, with hot ones split by Spark's skew handling. A document's windows are
+gathered for merging: as many numbers as it has words, never a passage's documents.
 
 Words are those between blanks (space, 09-0D), A-Z lower-cased. Edge cases: texts of fewer than ``LENGTH`` words, null ones among them,
 have no passages. Rows with equal doc_id count as one document; a row with a null doc_id takes no part and has none. An empty
@@ -88,8 +89,8 @@ def _batch(columns: list[tuple[str, list[np.ndarray]]]) -> pa.RecordBatch:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Values of ``key`` that stand in two documents at least."""
-    return rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
+    """Values of ``key`` that stand in two documents at least, and the smallest such document."""
+    return rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
@@ -145,28 +146,31 @@ def _windows(docs: DataFrame, table) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, start long")
 
 
-def _merge(starts: pd.Series) -> pd.DataFrame:
+def _merge(found: pd.DataFrame) -> pd.DataFrame:
+    """Passages of some documents' windows: doc_id, starts and leasts in lists."""
     rows = []
-    for s in starts:
-        s = np.unique(s)
-        cut = np.flatnonzero(np.diff(s) > LENGTH) + 1
-        first, last = s[np.r_[0, cut]], s[np.r_[cut - 1, len(s) - 1]] + LENGTH
-        rows.append((int((last - first).sum()), len(first), ",".join(f"{a}:{b}" for a, b in zip(first, last, strict=True))))
-    return pd.DataFrame(rows, columns=["n_repeated", "n_passages", "passages"])
+    for doc_id, starts, leasts in found.itertuples(index=False):
+        starts, by = np.unique(starts, return_index=True)
+        least = np.asarray(leasts)[by]
+        first = np.flatnonzero(np.r_[True, np.diff(starts) > LENGTH])
+        last = np.r_[first[1:], len(starts)] - 1
+        for a, b, least_id in zip(starts[first].tolist(), (starts[last] + LENGTH).tolist(), np.minimum.reduceat(least, first).tolist(), strict=True):
+            rows.append((doc_id, a, b, b - a, least_id))
+    return pd.DataFrame(rows, columns=["doc_id", "start", "stop", "n_words", "first_doc_id"])
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_repeated (words), n_passages, passages (``start:end`` in words, end exclusive, comma-joined) of every document."""
+    """doc_id, start, stop (in words, stop exclusive), n_words, first_doc_id of every repeated passage.
+
+    ``first_doc_id`` is the smallest doc_id that has a window of the passage: its own where no smaller document does. Documents without
+    a repeated passage have no row.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = base.where("doc_id is not null")
     table = spark.sparkContext.broadcast(_bit_table(shared(_prefixes(named))))
     windows, _ = written(_windows(named, table), "windows")
     common, _ = written(shared(windows), "shared")
-    found = windows.join(common, "key", "left_semi").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    merge = F.pandas_udf(_merge, "n_repeated long, n_passages long, passages string")
-    merged = found.select(F.col("doc_id").alias("__id"), merge("starts").alias("m"))
-    return base.select("doc_id").join(merged, F.col("doc_id") == F.col("__id"), "left").select(
-        "doc_id", F.coalesce("m.n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("m.n_passages", F.lit(0)).cast("long").alias("n_passages"),
-        F.coalesce("m.passages", F.lit("")).alias("passages"),
-    )
+    found = windows.join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("start", "least")).alias("w"))
+    lists = found.select("doc_id", F.col("w.start").alias("starts"), F.col("w.least").alias("leasts"))
+    return lists.mapInPandas(lambda frames: map(_merge, frames), "doc_id long, start long, stop long, n_words long, first_doc_id long")
