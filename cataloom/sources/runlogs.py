@@ -54,15 +54,14 @@ def frames(logs: DataFrame) -> DataFrame:
 
 
 def runs(found: DataFrame, least_build: int = LEAST_BUILD, prompt_prefix: str = PROMPT_PREFIX) -> DataFrame:
-    """Records of report runs, newest first by parsed time, then by the log's time."""
+    """Records of report runs, newest first by parsed time (those without one last), then by the log's time."""
     h = F.col("header")
     build = h["build"].cast("long")
     kept = found.where((build >= least_build) & F.coalesce(h["prompt_template"], F.lit("")).startswith(prompt_prefix))
     fields = {"timestamp": "timestamp", "mode": "mode", "provider": "provider", "model": "model", "prompt": "prompt_template", "source_path": "source_path", "output_path": "output_path", "input_files": "input_files", "output_file": "output_file", "root_dir": "root_dir"}
     columns = [h[v].alias(k) for k, v in fields.items()]
-    parsed = F.coalesce(F.try_to_timestamp(h["timestamp"]), F.lit("0001-01-01").cast("timestamp"))
-    out = kept.select(*columns, build.alias("build"), F.col("path").alias("log_file"), "response_text", h["total"].cast("int").alias("total"), h["index"].cast("int").alias("index"), "mtime", parsed.alias("run_time"), "frame")
-    return out.orderBy(F.desc("run_time"), F.desc("mtime"), "log_file", "frame")
+    out = kept.select(*columns, build.alias("build"), F.col("path").alias("log_file"), "response_text", h["total"].cast("int").alias("total"), h["index"].cast("int").alias("index"), "mtime", F.try_to_timestamp(h["timestamp"]).alias("run_time"), "frame")
+    return out.orderBy(F.desc_nulls_last("run_time"), F.desc("mtime"), "log_file", "frame")
 
 
 def source_paths(found: DataFrame) -> DataFrame:
