@@ -85,4 +85,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN string_split_regex({_LOWER}, '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents WHERE doc_id IS NOT NULL
+), windows AS (
+  SELECT doc_id, i - 1 AS start, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS k
+  FROM d, unnest(range(1, len(w) - 48)) AS t(i)
+), shared AS (
+  SELECT k, min(doc_id) AS least FROM windows GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), found AS (
+  SELECT DISTINCT doc_id, start, least FROM windows JOIN shared USING (k)
+), marked AS (
+  SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) <= 50 THEN 0 ELSE 1 END AS fresh FROM found
+), numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS passage FROM marked
+)
+SELECT doc_id, min(start) AS start, max(start) + 50 AS stop, max(start) + 50 - min(start) AS n_words, min(least) AS first_doc_id
+FROM numbered GROUP BY doc_id, passage
+"""
+
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark
+), patterns AS (
+  SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+  FROM (SELECT *, least(10, len(w)) AS n FROM items WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS t(i)
+), hits AS (
+  SELECT r, i, x.n, item
+  FROM (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+        FROM d, (SELECT DISTINCT n FROM patterns), unnest(range(1, len(w) - n + 2)) AS t(i)) x
+  JOIN patterns p ON p.k = x.k AND p.n = x.n
+), hit_words AS (
+  SELECT r, count(DISTINCT pos) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(pos) GROUP BY r
+), hit_items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+#: The others have learned parts, XXH64 or a tokenizer, which SQL has not; their tests compare them with brute force.
+ORACLES: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_topk": OP10_SQL}
