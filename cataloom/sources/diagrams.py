@@ -1,4 +1,4 @@
-"""PlantUML domain and sequence diagrams, entity descriptions and documented rules, as tables of lines tagged by the block they stand in."""
+"""PlantUML domain and sequence diagrams and entity descriptions, as tables of lines tagged by the block they stand in."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def noted_logics(documents: DataFrame, document: str, text: str = "text") -> Dat
     ended = Window.partitionBy(document, "island").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     single = F.max(F.col("line").rlike(one) & (F.regexp_extract("line", one, 2) != "")).over(Window.partitionBy(document, "island"))
     over = F.max(F.col("line").rlike(r"(?i)^\s*end\s*note")).over(ended)
-    body = inside.where(~over & (~single | F.col("line").rlike(one)))
+    body = inside.withColumns({"__over": over, "__single": single}).where(~F.col("__over") & (~F.col("__single") | F.col("line").rlike(one)))
     said = F.when(F.col("line").rlike(one), F.regexp_extract("line", one, 2)).otherwise(F.col("line"))
     entries = body.select(document, "entity", F.explode(F.split(F.regexp_replace(said, r"(?i)^\s*(?:Logics|Rules)\s*:\s*", ""), ",")).alias("entry"))
     entry = r'^\s*[-*•"]*\s*([^\s·•]+)\s*[·•]\s*(.+?)"?\s*$'

@@ -104,7 +104,7 @@ def activity_facts(logs: DataFrame) -> DataFrame:
 
 def token_counts(logs: DataFrame) -> DataFrame:
     """path, day, hour, prompt_tokens, completion_tokens: of the last line with counts; nulls where there is none or the name has no time."""
-    line = F.element_at(F.filter(F.split("text", "\n"), lambda x: x.rlike(_TOKENS)), -1)
+    line = F.try_element_at(F.filter(F.split("text", "\n"), lambda x: x.rlike(_TOKENS)), F.lit(-1))
     n = lambda i: F.regexp_replace(F.regexp_extract(line, _TOKENS, i), ",", "").cast("long")
     name = F.element_at(F.split("path", "/"), -1)
     when = r"log[_-](\d{4}-\d{2}-\d{2})_(\d{2})-\d{2}-\d{2}"

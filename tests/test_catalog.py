@@ -140,7 +140,7 @@ def test_run_logs(spark, tmp_path):
     logs = runlogs.read_logs(spark, str(tmp_path))
     assert sorted(r.path[-5:] for r in logs.collect()) == ["a.log", "b.log"]
     rows = runlogs.runs(runlogs.frames(logs)).orderBy("index").collect()
-    assert [(r.index, r.total, r.source_path, r.root_dir, r.input_files, r.response_text) for r in rows] == [(1, 2, "code/a", "/r", '["x.sql"]', "## Name 1"), (2, 2, "code/a", "/r", '["x.sql"]', "")]
+    assert [(r["index"], r.total, r.source_path, r.root_dir, r.input_files, r.response_text) for r in rows] == [(1, 2, "code/a", "/r", '["x.sql"]', "## Name 1"), (2, 2, "code/a", "/r", '["x.sql"]', "")]
 
 
 def test_log_stream(spark, tmp_path):
