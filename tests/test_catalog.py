@@ -275,3 +275,11 @@ def test_text_functions(spark):
         T.lines_label(F.array(F.lit(20), F.lit(10))).alias("l"), T.anchor(F.lit("Is It (valid)?")).alias("a"), T.without_file_label(F.lit(" file: x")).alias("f"),
     ).first()
     assert tuple(one) == ("a\nb\n\nc", 4294967295, -2, False, True, True, "10–20", "is-it-valid", "x")
+
+
+def test_documented_rules(spark):
+    rule = "### 📘 Rule ID: BR-{n} – Name {n} \n- **Category**: Claims  \n- **Business Area**: North  \n- **Rule Name**: Again  \n- **Text**: some\nlines\n- **Owner**: Team {n}  \n\n"
+    text = "# Title\n" + rule.format(n="001") + "between\n" + rule.format(n="002") + rule.format(n="03") + "### 📘 Rule ID: BR-004 – no owner\n"
+    docs = spark.createDataFrame([("a", text), ("b", None), ("c", "nothing")], "path string, text string")
+    rows = [tuple(r) for r in reports.documented_rules(docs, "path").orderBy("pos").collect()]
+    assert rows == [("a", 0, "BR-001", "Name 001", "Claims", "North", "Team 001"), ("a", 1, "BR-002", "Name 002", "Claims", "North", "Team 002")]
