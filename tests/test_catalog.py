@@ -283,3 +283,16 @@ def test_documented_rules(spark):
     docs = spark.createDataFrame([("a", text), ("b", None), ("c", "nothing")], "path string, text string")
     rows = [tuple(r) for r in reports.documented_rules(docs, "path").orderBy("pos").collect()]
     assert rows == [("a", 0, "BR-001", "Name 001", "Claims", "North", "Team 001"), ("a", 1, "BR-002", "Name 002", "Claims", "North", "Team 002")]
+
+
+def test_domain_graph(spark):
+    uml = 'class "{a}" {{\n}}\nclass Color {{\n}}\nnote top of {a} : Logics: 3B0 · Check\n{a} -- Color : has\n{a} -- Gone : x\n'
+    docs = spark.createDataFrame([("d1", uml.format(a="Claim")), ("d2", uml.format(a="Claim")), ("d3", uml.format(a="Other"))], "path string, text string")
+    logics = spark.createDataFrame([("aaaaaaaa-0000-0000-0000-0000000003b0", "CHECK"), ("aaaaaaaa-0000-0000-0000-0000000013b0", "No")], "id string, name string")
+    nodes, edges = graph.domain_graph(diagrams.domain_types(docs, "path"), diagrams.relations(docs, "path"), diagrams.noted_logics(docs, "path"), logics)
+    assert {(r.id, r["name"]) for r in nodes.where("label = 'DomainType'").collect()} == {("d1::Claim", "Claim"), ("d2::Claim", "Claim (2)"), ("d3::Other", "Other"), ("d1::Color", "Color"), ("d2::Color", "Color (2)"), ("d3::Color", "Color (3)")}
+    found = {(r.src, r.dst, r.type) for r in edges.collect()}
+    assert {e for e in found if e[2] == "SYNONYM"} == {("d2::Claim", "d1::Claim", "SYNONYM"), ("d2::Color", "d1::Color", "SYNONYM"), ("d3::Color", "d1::Color", "SYNONYM")}
+    assert {e[:2] for e in found if e[2] == "RELATED_TO"} == {p for d, a in (("d1", "Claim"), ("d2", "Claim"), ("d3", "Other")) for p in ((f"{d}::{a}", f"{d}::Color"), (f"{d}::Color", f"{d}::{a}"))}
+    step = "aaaaaaaa-0000-0000-0000-0000000003b0"
+    assert {e[:2] for e in found if e[2] == "OPERATES_ON"} == {(step, "d1::Claim"), (step, "d2::Claim"), (step, "d3::Other")}
