@@ -34,8 +34,9 @@ _BLOCK = frozenset(
     h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td
     tfoot th thead tr ul""".split()
 )
-#: Elements that are never text, and those that hold page furniture.
+#: Elements that are never text (an unclosed one of those in _TO_THE_END takes the rest of the page), and those that hold page furniture.
 _RAW = "script|style|noscript|template|iframe|svg|math|canvas|object|audio|video|title|textarea|select"
+_TO_THE_END = frozenset("script style textarea title iframe".split())
 _FURNITURE = frozenset("nav aside footer form menu dialog button search head".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search form menu menubar dialog alert alertdialog".split())
 #: Words of a class or id that mark furniture.
@@ -46,15 +47,19 @@ _MARKS = frozenset(
     comments disqus replies discussion respond share sharing social related recommended recommendations widget widgets pagination pager
     search skip hidden outbrain taboola tracking""".split()
 )
+#: Marks that most of a page's text doesn't excuse, and first words of a class that say what an element has or lacks.
+_TALK = frozenset("comment comments disqus replies discussion respond".split())
+_STATES = frozenset("no has with without".split())
 _CONTAINER = frozenset("article main section div td body blockquote center html".split())
 _GOOD = frozenset("article main content post entry story text body page".split())
 #: Start tags that close an open paragraph, and those that close an open element of their own kind.
 _CLOSES_P = _BLOCK - {"body", "html", "head"}
 _CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split("|")}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _POST = re.compile(r"\b(article|post|entry|story)\b")
@@ -64,38 +69,43 @@ _DIGITS = re.compile(r"\d+")
 class Page:
     """Elements of a page and its blocks of text."""
 
-    __slots__ = ("blocks", "dropped", "parent", "path", "tag")
+    __slots__ = ("blocks", "dropped", "marks", "parent", "path", "tag")
 
     def __init__(self, html: str):
         self.tag, self.parent, self.path, self.dropped = ["#"], [-1], [""], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        open_, pieces, linked, links = [0], [], 0, 0
+        self.marks: dict[int, bool] = {}  # elements dropped by a class or id, and if the marks are all about talk
+        open_, pieces, links = [0], [], 0
+        found: list[tuple[int, list[tuple[int, str, bool]]]] = []  # block, its pieces: element, text, in a link
+        unclosed: set[str] = set()
         at = 0
 
         def flush() -> None:
-            nonlocal pieces, linked
+            nonlocal pieces
             if pieces:
-                text = " ".join("".join(pieces).split())
-                if text:
-                    block = next((e for e in reversed(open_) if self.tag[e] in _BLOCK), 0)
-                    self.blocks.append((block, text, linked))
-                pieces, linked = [], 0
+                found.append((next((e for e in reversed(open_) if self.tag[e] in _BLOCK), 0), pieces))
+                pieces = []
 
         def put(raw: str) -> None:
-            nonlocal linked
             if raw and not self.dropped[open_[-1]]:
-                text = entities.unescape(raw) if "&" in raw else raw
-                pieces.append(text)
-                if links:
-                    linked += len(text.strip())
+                pieces.append((open_[-1], entities.unescape(raw) if "&" in raw else raw, links > 0))
 
-        for m in _TOKEN.finditer(html):
+        while m := _TOKEN.search(html, at):
             put(html[at : m.start()])
             at = m.end()
             name = m[3]
             if name is None:
                 if m[1]:
-                    pieces.append(" ")
+                    pieces.append((open_[-1], " ", False))
+                    raw = m[1].lower()
+                    if html[at - 2] != "/":
+                        end = None if raw in unclosed else _RAW_END[raw].search(html, at)
+                        if end:
+                            at = end.end()
+                        elif raw in _TO_THE_END:
+                            at = len(html)
+                        else:
+                            unclosed.add(raw)
                 continue
             name = name.lower()
             if m[2]:
@@ -104,7 +114,7 @@ class Page:
                 if name in _BLOCK:
                     flush()
                 if name == "br":
-                    pieces.append(" ")
+                    pieces.append((open_[-1], " ", False))
                 elif name in map(self.tag.__getitem__, open_):
                     while self.tag[open_.pop()] != name:
                         pass
@@ -113,7 +123,7 @@ class Page:
                 flush()
                 links = 0
             elif name == "br":
-                pieces.append(" ")
+                pieces.append((open_[-1], " ", False))
             closes = _CLOSES_OWN.get(name, frozenset()) | ({"p"} if name in _CLOSES_P else frozenset())
             if closes:
                 for k in range(len(open_) - 1, 0, -1):
@@ -136,6 +146,41 @@ class Page:
                 self._plain(name, open_)
         put(html[at:])
         flush()
+        self._excuse(found)
+        self._settle(found)
+
+    def _excuse(self, found: list[tuple[int, list[tuple[int, str, bool]]]]) -> None:
+        """Drops the marked elements, save those around a main or article or, on pages without these, around most of the text outside links."""
+        if not self.marks:
+            return
+        n = len(self.tag)
+        weight, holds = [0] * n, [False] * n
+        for _, pieces in found:
+            for e, text, linked in pieces:
+                if not linked:
+                    weight[e] += len(text.strip())
+        inside = [False] * n
+        for e in range(1, n):
+            own = self.tag[e] in ("article", "main")
+            inside[e] = inside[self.parent[e]] or own
+            holds[e] = own and not self.dropped[e] and e not in self.marks
+        for e in range(n - 1, 0, -1):
+            weight[self.parent[e]] += weight[e]
+            holds[self.parent[e]] |= holds[e]
+        for e, talk in self.marks.items():
+            if self.tag[e] in ("article", "main") or (holds[e] and not inside[e]) or (not holds[0] and not talk and 2 * weight[e] > weight[0]):
+                continue
+            self.dropped[e] = True
+        for e in range(1, n):
+            self.dropped[e] |= self.dropped[self.parent[e]]
+
+    def _settle(self, found: list[tuple[int, list[tuple[int, str, bool]]]]) -> None:
+        """Blocks of the text that isn't dropped."""
+        for block, pieces in found:
+            kept = [p for p in pieces if not self.dropped[p[0]]]
+            text = " ".join("".join(t for _, t, _ in kept).split())
+            if text:
+                self.blocks.append((block, text, sum(len(t.strip()) for _, t, linked in kept if linked)))
 
     def _plain(self, name: str, open_: list[int]) -> None:
         parent = open_[-1]
@@ -150,7 +195,7 @@ class Page:
         if attributes:
             for k, a, b, c in _ATTRIBUTE.findall(attributes):
                 named.setdefault(k.lower(), a or b or c)
-        names = f"{named.get('class', '')} {named.get('id', '')}"
+        names = [_WORDS.findall(x) for x in f"{named.get('class', '')} {named.get('id', '')}".split()]
         kind = ".".join(sorted(_DIGITS.sub("N", x) for x in named.get("class", "").split()))
         self.tag.append(name)
         self.parent.append(parent)
@@ -164,9 +209,12 @@ class Page:
                 or "hidden" in named
                 or named.get("aria-hidden") == "true"
                 or "display:none" in named.get("style", "").replace(" ", "").lower()
-                or any(w.lower() in _MARKS for w in _WORDS.findall(names))
             )
         self.dropped.append(drop)
+        if not drop and name not in ("html", "body", "main"):
+            marks = {w.lower() for words in names if words and words[0].lower() not in _STATES for w in words} & _MARKS
+            if marks:
+                self.marks[len(self.tag) - 1] = marks <= _TALK
 
     def _in_article(self, e: int) -> bool:
         while e >= 0:
