@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -50,13 +50,15 @@ def nearest_names(names: DataFrame, name: str, candidates: DataFrame, candidate:
     return found.groupBy("name").agg(F.min(F.struct("distance", "candidate")).alias("b")).select("name", "b.candidate", "b.distance")
 
 
-def best_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str, least: float = 0.6, keep: int = 1, block: int = 4096) -> DataFrame:
+def best_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str, least: float = 0.6, keep: int = 1, block: int = 4096, held: DataFrame | None = None) -> DataFrame:
     """(query, target, score): each query's best ``keep`` targets by inner product, of at least ``least``; ties go to the lesser id.
 
-    Targets are dealt to chunks by hash and queries to blocks; a task multiplies one block with one chunk.
+    Targets are dealt to chunks by hash and queries to blocks; a task multiplies one block with one chunk. A target in ``held(target, holder)``
+    is out of reach of all queries from its holder on.
     """
     t = targets.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("asks"))
-    q = queries.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("asks"))
+    q = queries.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("holder"))
+    t = t.join(held.select(F.col("target").alias("id"), F.col("holder").cast("long").alias("holder")), "id", "left") if held is not None else t.withColumn("holder", F.lit(None).cast("long"))
     chunks, blocks = (max(1, -(-df.count() // block)) for df in (t, q))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -70,8 +72,10 @@ def best_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str,
         if asks.any() and not asks.all():
             order = np.argsort(ids[~asks], kind="stable")
             names, mat = ids[~asks][order], v[~asks][order]
+            holders = [h for h, a in zip(table.column("holder").to_pylist(), asks, strict=True) if not a]
+            free_until = np.array([np.iinfo(np.int64).max if holders[k] is None else holders[k] for k in order], np.int64)
             for i, row in zip(ids[asks], np.round(v[asks] @ mat.T, 9), strict=True):
-                row = np.where(names == i, -np.inf, row)
+                row = np.where((names == i) | (free_until <= i), -np.inf, row)
                 for j in np.argsort(-row, kind="stable")[:keep]:
                     if row[j] >= least:
                         for o, x in zip(out, (i, names[j], row[j]), strict=True):
@@ -83,35 +87,64 @@ def best_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str,
     return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).drop("__n")
 
 
-def assign_greedily(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "score") -> DataFrame:
-    """One target for each query at most, and one query for each target: queries choose in their order.
+def _settle(queries: DataFrame, offers: Callable[[DataFrame, DataFrame | None], DataFrame], block: int) -> DataFrame:
+    """Rounds of proposals from ``queries(query)``: ``offers(free, held)`` has the free queries' best targets that no earlier query holds.
 
-    The choice is a fold over queries, so connected groups of queries and targets are folded one by one, each in its own task:
-    groups share nothing.
+    A task folds one block of queries: each takes its best target that is still unused there and goes without if its offers are used up. Of
+    all holders a target keeps the earliest; the others ask again. A target's holder only ever becomes an earlier query, so no refusal has
+    to be taken back, and the rounds end with what the queries' choosing one after the other gives.
     """
-    labels = pairs.select(F.col(query).alias("q"), F.col(target).alias("t")).distinct()
-    current = labels.groupBy("q").agg(F.min("q").alias("g"))
-    while True:
-        by_target = labels.join(current, "q").groupBy("t").agg(F.min("g").alias("g"))
-        after = labels.join(by_target, "t").groupBy("q").agg(F.min("g").alias("g"))
-        after = cut_lineage(after)
-        changed = after.join(current.withColumnRenamed("g", "was"), "q").where("g <> was")
-        current = after
-        if changed.isEmpty():
-            break
-    grouped = pairs.join(current.withColumnRenamed("q", query), query)
+    queries = cut_lineage(queries.distinct())
+    blocks = max(1, -(-queries.count() // block))
+    held = None
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         used, rows = set(), []
-        for q, own in frame.sort_values([query, score, target], ascending=[True, False, True]).groupby(query, sort=False):
-            for t, s in zip(own[target], own[score], strict=True):
+        for q, own in frame.sort_values(["query", "score", "target"], ascending=[True, False, True]).groupby("query", sort=False):
+            for t, s in zip(own["target"], own["score"], strict=True):
                 if t not in used:
                     used.add(t)
                     rows.append((q, t, s))
                     break
         return pd.DataFrame(rows, columns=["query", "target", "score"])
 
-    return grouped.groupBy("g").applyInPandas(fold, "query long, target long, score double")
+    while True:
+        free = queries if held is None else queries.join(held.select(F.col("holder").alias("query")), "query", "left_anti")
+        own = offers(free, held).withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        new = cut_lineage(own.groupBy("__block").applyInPandas(fold, "query long, target long, score double"))
+        if new.isEmpty():
+            break
+        new = new.select("target", F.col("query").alias("holder"), "score")
+        every = new if held is None else held.unionByName(new)
+        held = cut_lineage(every.groupBy("target").agg(F.min(F.struct("holder", "score")).alias("b")).select("target", "b.holder", "b.score"))
+    return new if held is None else held.select(F.col("holder").alias("query"), "target", "score")
+
+
+def assign_greedily(pairs: DataFrame, query: str = "query", target: str = "target", score: str = "score", keep: int = 64, block: int = 4096) -> DataFrame:
+    """One target for each query at most, and one query for each target: queries choose in their order, each the best that is left.
+
+    ``keep`` is the number of offers that a query gets a round and ``block`` the queries of a task; neither changes the result.
+    """
+    all_ = cut_lineage(pairs.select(F.col(query).cast("long").alias("query"), F.col(target).cast("long").alias("target"), F.col(score).cast("double").alias("score")))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "target")
+
+    def offers(free: DataFrame, held: DataFrame | None) -> DataFrame:
+        open_ = all_.join(free, "query", "left_semi")
+        if held is not None:
+            open_ = open_.join(held.select("target", "holder"), "target", "left").where("holder is null or holder > query").drop("holder")
+        return open_.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= keep).drop("__n")
+
+    return _settle(all_.select("query"), offers, block)
+
+
+def assign_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str, least: float = 0.6, keep: int = 64, block: int = 4096) -> DataFrame:
+    """``assign_greedily`` over all pairs of vectors with an inner product of at least ``least``, of which no table is made."""
+
+    def offers(free: DataFrame, held: DataFrame | None) -> DataFrame:
+        asking = queries.join(free.select(F.col("query").alias(id_)), id_, "left_semi")
+        return best_vectors(asking, targets, id_, vector, least, keep, block, held)
+
+    return _settle(queries.select(F.col(id_).cast("long").alias("query")), offers, block)
 
 
 def containing(texts: DataFrame, text_id: str, text: str, parts: DataFrame, part_id: str, part: str, anchor_words: int = 6) -> DataFrame:

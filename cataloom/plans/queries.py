@@ -457,8 +457,8 @@ def knn_top1(t: Tables) -> DataFrame:
 
 @query()
 def greedy_match(t: Tables) -> DataFrame:
-    pairs = match.best_vectors(t.embeddings.where("vec_id % 5 = 0"), t.embeddings.where("vec_id % 5 <> 0"), "vec_id", "embedding", least=0.25, keep=20)
-    return match.assign_greedily(pairs).withColumn("score", F.round("score", 6))
+    found = match.assign_vectors(t.embeddings.where("vec_id % 5 = 0"), t.embeddings.where("vec_id % 5 <> 0"), "vec_id", "embedding", least=0.25)
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("""with a as (select distinct lower(p_type) as name, p_type as shown from part), b as (select distinct lower(p_name) as cand, p_name as shown from part),
