@@ -48,6 +48,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passages(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import suffix_dedup
+
+    return suffix_dedup.sources(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cataloom.llm import packing
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op6_suffix_sources": op6_suffix_sources,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,

@@ -159,12 +159,20 @@ def _merge(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "start", "stop", "n_words", "first_doc_id"])
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop (in words, stop exclusive), n_words, first_doc_id of every repeated passage.
+def _runs(found: pd.DataFrame) -> pd.DataFrame:
+    """Runs of neighbouring windows with one least document, from the same lists."""
+    parts = []
+    for doc_id, starts, leasts in found.itertuples(index=False):
+        starts, by = np.unique(starts, return_index=True)
+        least = np.asarray(leasts)[by]
+        first = np.flatnonzero(np.r_[True, (np.diff(starts) > 1) | (np.diff(least) != 0)])
+        start, stop = starts[first], starts[np.r_[first[1:], len(starts)] - 1] + LENGTH
+        parts.append(pd.DataFrame({"doc_id": doc_id, "start": start, "stop": stop, "n_words": stop - start, "first_doc_id": least[first]}))
+    return pd.concat(parts) if parts else pd.DataFrame({c: np.empty(0, np.int64) for c in ("doc_id", "start", "stop", "n_words", "first_doc_id")})
 
-    ``first_doc_id`` is the smallest doc_id that has a window of the passage: its own where no smaller document does. Documents without
-    a repeated passage have no row.
-    """
+
+def _found(docs: DataFrame) -> DataFrame:
+    """(doc_id, starts, leasts): every document's shared windows and the smallest document of each."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = base.where("doc_id is not null")
@@ -172,5 +180,24 @@ def passages(docs: DataFrame) -> DataFrame:
     windows, _ = written(_windows(named, table), "windows")
     common, _ = written(shared(windows), "shared")
     found = windows.join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("start", "least")).alias("w"))
-    lists = found.select("doc_id", F.col("w.start").alias("starts"), F.col("w.least").alias("leasts"))
-    return lists.mapInPandas(lambda frames: map(_merge, frames), "doc_id long, start long, stop long, n_words long, first_doc_id long")
+    return found.select("doc_id", F.col("w.start").alias("starts"), F.col("w.least").alias("leasts"))
+
+
+_ROWS = "doc_id long, start long, stop long, n_words long, first_doc_id long"
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """doc_id, start, stop (in words, stop exclusive), n_words, first_doc_id of every repeated passage.
+
+    ``first_doc_id`` is the smallest doc_id that has a window of the passage: its own where no smaller document does. Documents without
+    a repeated passage have no row.
+    """
+    return _found(docs).mapInPandas(lambda frames: map(_merge, frames), _ROWS)
+
+
+def sources(docs: DataFrame) -> DataFrame:
+    """The columns of ``passages``, with a row for each run of neighbouring windows that have the same smallest document.
+
+    Every window of a run stands in ``first_doc_id``, so a passage made of several documents' passages keeps a row, and a link, for each.
+    """
+    return _found(docs).mapInPandas(lambda frames: map(_runs, frames), _ROWS)
