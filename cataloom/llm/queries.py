@@ -94,24 +94,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-OP6_SQL = rf"""
+_OP6_WINDOWS = rf"""
 WITH d AS (
-  SELECT doc_id, [x FOR x IN string_split_regex({_LOWER}, '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  SELECT doc_id, md5(coalesce(text, '')) AS mark, [x FOR x IN string_split_regex({_LOWER}, '[\x20\x09-\x0D]+') IF x <> ''] AS w
   FROM documents WHERE doc_id IS NOT NULL
 ), windows AS (
-  SELECT doc_id, i - 1 AS start, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS k
+  SELECT doc_id, mark, i - 1 AS start, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS k
   FROM d, unnest(range(1, len(w) - 48)) AS t(i)
 ), shared AS (
-  SELECT k, min(doc_id) AS least FROM windows GROUP BY k HAVING count(DISTINCT doc_id) > 1
+  SELECT k, min({{'d': doc_id, 's': start}}) AS least FROM windows GROUP BY k HAVING count(*) > 1
 ), found AS (
-  SELECT DISTINCT doc_id, start, least FROM windows JOIN shared USING (k)
-), marked AS (
-  SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) <= 50 THEN 0 ELSE 1 END AS fresh FROM found
+  SELECT DISTINCT doc_id, mark, start, least.d AS first_doc_id, least.s AS first_start FROM windows JOIN shared USING (k)
+)"""
+
+OP6_SQL = f"""{_OP6_WINDOWS}, marked AS (
+  SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id, mark ORDER BY start) <= 50 THEN 0 ELSE 1 END AS fresh FROM found
+), numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, mark ORDER BY start ROWS UNBOUNDED PRECEDING) AS passage FROM marked
+)
+SELECT doc_id, min(start) AS start, max(start) + 50 AS stop, max(start) + 50 - min(start) AS n_words, min(first_doc_id) AS first_doc_id
+FROM numbered GROUP BY doc_id, mark, passage
+"""
+
+OP6_SOURCES_SQL = f"""{_OP6_WINDOWS}, marked AS (
+  SELECT *, CASE WHEN start = 1 + lag(start) OVER w AND first_doc_id = lag(first_doc_id) OVER w AND first_start = 1 + lag(first_start) OVER w
+            THEN 0 ELSE 1 END AS fresh
+  FROM found WINDOW w AS (PARTITION BY doc_id, mark ORDER BY start)
 ), numbered AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS passage FROM marked
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, mark ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM marked
 )
-SELECT doc_id, min(start) AS start, max(start) + 50 AS stop, max(start) + 50 - min(start) AS n_words, min(least) AS first_doc_id
-FROM numbered GROUP BY doc_id, passage
+SELECT doc_id, min(start) AS start, max(start) + 50 AS stop, max(start) + 50 - min(start) AS n_words,
+       min(first_doc_id) AS first_doc_id, min(first_start) AS first_start
+FROM numbered GROUP BY doc_id, mark, run
 """
 
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -154,4 +168,4 @@ FROM scored QUALIFY rank <= 5
 """
 
 #: The others have learned parts, XXH64 or a tokenizer, which SQL has not; their tests compare them with brute force.
-ORACLES: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op6_suffix_sources": OP6_SOURCES_SQL, "op9_decontaminate": OP9_SQL, "op10_topk": OP10_SQL}

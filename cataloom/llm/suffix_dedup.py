@@ -1,18 +1,23 @@
 """Repeated passages by sparse suffix arrays.
 
-A passage is repeated if it holds a window of ``LENGTH`` words that also stands in another document. Suffixes are kept only at
-minimiser positions, which the text itself selects, so equal windows keep the same suffix. First pass: the suffixes' prefixes are sorted and neighbours
-compared (a grouping by prefix, combined before the shuffle): a prefix that two documents share may start a repeated passage. Second pass:
-around such suffixes the match is extended left and right, that is, all windows that lean on them are compared with their neighbours in
-the same way. Windows that are shared are joined back, and those of a document merge to passages.
+A window of ``LENGTH`` words is repeated if it stands at two places at least, of one document or of several. Suffixes are kept only at
+minimiser positions, which the text itself selects, so equal windows keep the same suffix at the same offset; the suffix owns them.
 
-The shared prefixes reach the second pass as a bit table of ``TABLE`` bits, whatever the input's size; a wrong hit there costs a few
-rows, never a wrong result. Shared windows are joined by hash, with hot ones split by Spark's skew handling. A document's windows are
-gathered for merging: as many numbers as it has words, never a passage's documents.
+1. Every document gives its retained suffixes: a hash of the first ``LEAST`` words, the position, the windows owned. A suffix whose
+   hash comes once can't match. The hash only discards: nothing is taken for equal by it.
+2. The others fetch their words from their document: those to the right, by which they are sorted, and those to the left.
+3. The suffixes are range-partitioned and sorted by their words. In the sorted order neighbours are compared word by word: the lengths of
+   their common prefixes cut the order into classes at every depth. Every class is then extended to the left, word by word. A window is
+   repeated where a suffix shares enough words to the right and to the left with another.
+4. A run of suffixes that reaches over the edge of a partition, or is longer than ``RUN_ROWS``, is in no task as a whole. Its windows
+   meet by a 128-bit digest of their words, combined before the shuffle, so a passage that a third of all documents hold costs no task more.
+
+The sort breaks ties by place, so equal suffixes are spread over as many partitions as they fill. A document's rows are gathered for
+merging: about one for each eighteen of its words, never a passage's documents.
 
 Words are those between blanks (space, 09-0D), A-Z lower-cased. Edge cases: texts of fewer than ``LENGTH`` words, null ones among them,
-have no passages. Rows with equal doc_id count as one document; a row with a null doc_id takes no part and has none. An empty
-table gives an empty result; extra columns are ignored.
+have no passages. Rows that share doc_id and text are repeats of each other and give one set of passages; rows that share a doc_id
+alone give one each. A row with a null doc_id takes no part and has none. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.scratch import written
+from cataloom.llm.scratch import drop, written
 
-#: Words of a window; candidates for its minimiser; words that a candidate is ranked by.
+#: Words of a window; candidates for its minimiser; words that a candidate is ranked by; words that every match has right of its suffix.
 LENGTH, CHOICE, GRAM = 50, 36, 5
-#: Bits of the table of shared prefixes: 16 MB.
-TABLE = 1 << 27
+LEAST = LENGTH - CHOICE + 1
+#: Suffixes of a range, on average; suffixes compared at once.
+RANGE_ROWS, RUN_ROWS = 100_000, 50_000
 #: Words whose hashes a task remembers.
 CACHE = 1_000_000
 
@@ -83,121 +90,242 @@ class Hasher:
         return out
 
 
-def _batch(columns: list[tuple[str, list[np.ndarray]]]) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64)) for _, c in columns]
-    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in columns])
-
+_SUFFIXES = "key long, doc_id long, mark long, pos int, first int, last int"
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Values of ``key`` that stand in two documents at least, and the smallest such document."""
-    return rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
 
-
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """(key, doc_id) of every kept suffix: the hash of its first words."""
+def _suffixes(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """The retained suffixes of ``docs(doc_id, mark, text)``: ``bits`` of a hash of the first words, place, first and last start of the windows owned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                keys, ids = [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                key, pos, first, last, size = [], [], [], [], []
+                for text in texts:
                     prefix = hasher.prefix(text)
-                    kept = np.unique(hasher.minimisers(prefix))
-                    keys.append(hasher.windows(prefix, kept, LENGTH - CHOICE + 1).view(np.int64))
-                    ids.append(np.full(len(kept), doc_id))
-                yield _batch([("key", keys), ("doc_id", ids)])
+                    chosen = hasher.minimisers(prefix)  # never falls from a window to the next
+                    begin = np.flatnonzero(np.diff(chosen, prepend=-1))
+                    kept = chosen[begin]
+                    size.append(len(kept))
+                    key.append((hasher.windows(prefix, kept, LEAST) >> np.uint64(64 - bits)).view(np.int64))
+                    pos.append(kept)
+                    first.append(begin)
+                    last.append(np.append(begin[1:], len(chosen))[: len(begin)] - 1)
+                row = pa.array(np.repeat(np.arange(len(texts)), size))
+                columns = [np.concatenate(key), *(np.concatenate(c).astype(np.int32) for c in (pos, first, last))]
+                key, pos, first, last = map(pa.array, columns)
+                yield pa.RecordBatch.from_arrays([key, part.column("doc_id").take(row), part.column("mark").take(row), pos, first, last], names=["key", "doc_id", "mark", "pos", "first", "last"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.mapInArrow(run, _SUFFIXES)
 
 
-def _bit_table(keys: DataFrame) -> np.ndarray:
-    """A bit for every key, by its lowest bits; combined to 64-bit words in Spark, of which there are at most TABLE / 64."""
-    slot = F.col("key").bitwiseAND(TABLE - 1)
-    bit = F.expr(f"shiftleft(1L, cast(key & {63} as int))")
-    words = keys.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    table = np.zeros(TABLE // 64, np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return table.view(np.uint64)
+_CONTEXTS = "doc_id long, mark long, pos int, first int, last int, right binary, left binary"
 
 
-def _windows(docs: DataFrame, table) -> DataFrame:
-    """(key, doc_id, start) of every window that leans on a suffix with a shared prefix."""
+def _contexts(docs: DataFrame) -> DataFrame:
+    """The words around the suffixes of ``docs(doc_id, mark, text, at)``; each word right of a position ends with a blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = Hasher(), table.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                keys, ids, starts = [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    prefix = hasher.prefix(text)
-                    chosen = hasher.minimisers(prefix)
-                    if not len(chosen):
-                        continue
-                    slot = hasher.windows(prefix, chosen, LENGTH - CHOICE + 1) & np.uint64(TABLE - 1)
-                    at = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
-                    keys.append(hasher.windows(prefix, at, LENGTH).view(np.int64))
-                    ids.append(np.full(len(at), doc_id))
-                    starts.append(at)
-                yield _batch([("key", keys), ("doc_id", ids), ("start", starts)])
-
-    return docs.mapInArrow(run, "key long, doc_id long, start long")
-
-
-def _merge(found: pd.DataFrame) -> pd.DataFrame:
-    """Passages of some documents' windows: doc_id, starts and leasts in lists."""
-    rows = []
-    for doc_id, starts, leasts in found.itertuples(index=False):
-        starts, by = np.unique(starts, return_index=True)
-        least = np.asarray(leasts)[by]
-        first = np.flatnonzero(np.r_[True, np.diff(starts) > LENGTH])
-        last = np.r_[first[1:], len(starts)] - 1
-        for a, b, least_id in zip(starts[first].tolist(), (starts[last] + LENGTH).tolist(), np.minimum.reduceat(least, first).tolist(), strict=True):
-            rows.append((doc_id, a, b, b - a, least_id))
-    return pd.DataFrame(rows, columns=["doc_id", "start", "stop", "n_words", "first_doc_id"])
-
-
-def _runs(found: pd.DataFrame) -> pd.DataFrame:
-    """Runs of neighbouring windows with one least document, from the same lists."""
-    parts = []
-    for doc_id, starts, leasts in found.itertuples(index=False):
-        starts, by = np.unique(starts, return_index=True)
-        least = np.asarray(leasts)[by]
-        first = np.flatnonzero(np.r_[True, (np.diff(starts) > 1) | (np.diff(least) != 0)])
-        start, stop = starts[first], starts[np.r_[first[1:], len(starts)] - 1] + LENGTH
-        parts.append(pd.DataFrame({"doc_id": doc_id, "start": start, "stop": stop, "n_words": stop - start, "first_doc_id": least[first]}))
-    return pd.concat(parts) if parts else pd.DataFrame({c: np.empty(0, np.int64) for c in ("doc_id", "start", "stop", "n_words", "first_doc_id")})
-
-
-def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, starts, leasts): every document's shared windows and the smallest document of each."""
+            for row in range(batch.num_rows):
+                part = batch.slice(row, 1)
+                words = part.column("text").cast(pa.binary())[0].as_py().translate(_FOLD).split()
+                words.append(b"")
+                at = part.column("at").flatten()
+                for lo in range(0, len(at), 8192):
+                    pos, first, last = (at.field(k).slice(lo, 8192) for k in range(3))
+                    places = pos.to_pylist()
+                    right = [b" ".join(words[p : min(p + LENGTH, len(words) - 1)]) + b" " for p in places]
+                    left = [b" ".join(words[max(0, p - CHOICE + 1) : p]) for p in places]
+                    same = pa.array(np.zeros(len(places), np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(same), part.column("mark").take(same), pos, first, last, pa.array(right, pa.binary()), pa.array(left, pa.binary())],
+                        names=["doc_id", "mark", "pos", "first", "last", "right", "left"],
+                    )
+
+    return docs.mapInArrow(run, _CONTEXTS)
+
+
+def _matrix(words: pa.Array, width: int, backwards: bool = False) -> np.ndarray:
+    """Numbers of the words of each row, from the first (or the last) on; -1 where a row has no more."""
+    lists = pc.split_pattern(words, " ")
+    flat = pc.dictionary_encode(lists.flatten()).indices.to_numpy()
+    stops = lists.offsets.to_numpy()
+    stops, starts = stops[1:] - (not backwards), stops[:-1]  # a right side ends with a blank
+    steps = np.arange(width)
+    at = stops[:, None] - 1 - steps if backwards else starts[:, None] + steps
+    inside = at >= starts[:, None] if backwards else at < stops[:, None]
+    return np.where(inside, flat[np.clip(at, 0, max(0, len(flat) - 1))], -1) if len(flat) else np.full(at.shape, -1)
+
+
+def _common(right: np.ndarray) -> np.ndarray:
+    """Words that each row shares with the row before it; 0 for the first."""
+    same = right[1:] == right[:-1]
+    return np.append(0, np.where(same.all(1), right.shape[1], same.argmin(1)))
+
+
+def _repeats(rows: pa.Table, right: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, row of the first place) of every owned window that another of these suffixes shares."""
+    n = len(common)
+    left = _matrix(rows.column("left").combine_chunks(), CHOICE - 1, backwards=True)
+    pos, first, last, doc = (rows.column(c).to_numpy().astype(np.int64) for c in ("pos", "first", "last", "doc_id"))
+    place = np.empty(n, np.int64)
+    place[np.lexsort((pos, doc))] = np.arange(n)
+    extended = np.zeros(n, np.int64)  # class of the words to the left, so far
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for offset in range(CHOICE):
+        if offset:
+            words = left[:, offset - 1] + 1
+            _, extended = np.unique(extended * (int(words.max()) + 1) + words, return_inverse=True)
+        agreed = np.cumsum(common < LENGTH - offset)
+        own = np.flatnonzero((pos - last <= offset) & (offset <= pos - first))
+        window = extended[own] * (n + 1) + agreed[own]
+        order = np.lexsort((place[own], window))
+        own, window = own[order], window[order]
+        fresh = np.append(True, window[1:] != window[:-1])[: len(own)]
+        head = np.flatnonzero(fresh)
+        size = np.diff(np.append(head, len(own)))
+        many = np.repeat(size > 1, size)
+        out.append((own[many], np.full(int(many.sum()), offset), own[np.repeat(head, size)][many]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+_FOUND = "doc_id long, mark long, start int, stop int, first_doc_id long, first_start int, digest binary"
+
+
+def _rows(doc, mark, start, stop, first_doc, first_start, digest=None) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(c).astype(t)) for c, t in zip((doc, mark, start, stop), (np.int64, np.int64, np.int32, np.int32), strict=True)]
+    n = len(columns[0])
+    columns += [pa.nulls(n, pa.int64()) if first_doc is None else pa.array(first_doc.astype(np.int64)), pa.nulls(n, pa.int32()) if first_start is None else pa.array(first_start.astype(np.int32))]
+    columns.append(pa.nulls(n, pa.binary()) if digest is None else pa.array(digest, pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "start", "stop", "first_doc_id", "first_start", "digest"])
+
+
+def _matched(rows: pa.Table, right: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+    """Repeated windows of these suffixes, neighbours with the same source as one row: starts from ``start`` to before ``stop``."""
+    row, offset, head = _repeats(rows, right, common)
+    doc, mark, pos = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "mark", "pos"))
+    start = pos[row] - offset
+    order = np.lexsort((start, row))
+    row, start, head, offset = row[order], start[order], head[order], offset[order]
+    cut = np.append(True, (np.diff(row) != 0) | (np.diff(start) != 1) | (np.diff(head) != 0))[: len(row)]
+    at = np.flatnonzero(cut)
+    end = np.append(at[1:], len(row))[: len(at)] - 1
+    return _rows(doc[row[at]], mark[row[at]], start[at], start[end] + 1, doc[head[at]], pos[head[at]] - offset[at])
+
+
+def _windows(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row with a digest for every window that these suffixes own."""
+    for lo in range(0, rows.num_rows, 4096):
+        part = rows.slice(lo, 4096).to_pydict()
+        out: list[tuple[int, int, int, bytes]] = []
+        for doc, mark, pos, first, last, right, left in zip(*(part[c] for c in ("doc_id", "mark", "pos", "first", "last", "right", "left")), strict=True):
+            before = left.split(b" ") if left else []
+            words = before + right.split(b" ")
+            shift = pos - len(before)
+            for start in range(first, last + 1):
+                out.append((doc, mark, start, xxhash.xxh3_128_digest(b" ".join(words[start - shift : start - shift + LENGTH]))))
+        if out:
+            doc, mark, start, digest = zip(*out, strict=True)
+            yield _rows(doc, mark, start, np.array(start) + 1, None, None, digest)
+
+
+def _compared(suffixes: DataFrame, ranges: int, run_rows: int) -> DataFrame:
+    """Repeated windows of the sorted suffixes, and windows with a digest where a run of suffixes isn't in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        going: bytes | None = None  # first words of a run that began before; at first any
+
+        def flush(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, going
+            rows = pa.Table.from_batches(held)
+            right = _matrix(rows.column("right").combine_chunks(), LENGTH)
+            common = _common(right)
+            starts = np.flatnonzero(common < LEAST)
+            begin = b" ".join(rows.column("right")[0].as_py().split(b" ")[:LEAST])
+            whole_from, whole_to = 0, rows.num_rows
+            if (going is None and ranges > 1) or going == begin or (len(starts) == 1 and not end):
+                whole_from = starts[1] if len(starts) > 1 else rows.num_rows
+            if not end or ranges > 1:
+                whole_to = max(whole_from, starts[-1])
+            yield from _windows(rows.slice(0, whole_from))
+            if whole_to > whole_from:
+                cut = slice(whole_from, whole_to)
+                yield _matched(rows.slice(whole_from, whole_to - whole_from), right[cut], np.append(0, common[cut][1:]))
+            rest = rows.slice(whole_to)
+            if end:
+                yield from _windows(rest)
+            held, going = rest.to_batches(), begin if not end and len(starts) == 1 else b""
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= run_rows:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    order = ("right", "doc_id", "mark", "pos")
+    return suffixes.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, _FOUND)
+
+
+def _found(docs: DataFrame, range_rows: int = RANGE_ROWS, run_rows: int = RUN_ROWS, bits: int = 64) -> DataFrame:
+    """(doc_id, mark, w): the repeated windows of each document, with the first place of each."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = base.where("doc_id is not null")
-    table = spark.sparkContext.broadcast(_bit_table(shared(_prefixes(named))))
-    windows, _ = written(_windows(named, table), "windows")
-    common, _ = written(shared(windows), "shared")
-    found = windows.join(common, "key").groupBy("doc_id").agg(F.collect_list(F.struct("start", "least")).alias("w"))
-    return found.select("doc_id", F.col("w.start").alias("starts"), F.col("w.least").alias("leasts"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    base = base.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    kept, kept_path = written(_suffixes(base, bits), "suffixes")
+    twice = kept.groupBy("key").count().where("count > 1").select("key")
+    at = kept.join(twice, "key", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("pos", "first", "last")).alias("at"))
+    contexts, context_path = written(_contexts(base.join(at, ["doc_id", "mark"])), "contexts")
+    drop(spark, kept_path)
+    ranges = max(1, -(-contexts.count() // range_rows))
+    found, _ = written(_compared(contexts, ranges, run_rows), "found")
+    drop(spark, context_path)
+    open_ = found.where("digest is not null").select("doc_id", "mark", "start", "stop", "digest")
+    first = F.min(F.struct("doc_id", "start"))
+    shared = open_.groupBy("digest").agg(F.count("*").alias("n"), first.alias("f")).where("n > 1").select("digest", F.col("f.doc_id").alias("first_doc_id"), F.col("f.start").alias("first_start"))
+    columns = ["doc_id", "mark", "start", "stop", "first_doc_id", "first_start"]
+    every = found.where("digest is null").select(columns).unionByName(open_.join(shared, "digest").select(columns))
+    return every.groupBy("doc_id", "mark").agg(F.collect_set(F.struct(*columns[2:])).alias("w"))
 
 
 _ROWS = "doc_id long, start long, stop long, n_words long, first_doc_id long"
 
 
+def _merged(rows: pd.DataFrame, joined: bool) -> pd.DataFrame:
+    """Rows of some documents. ``joined``: what touches or overlaps is one passage, else a row for each run with one source."""
+    out = []
+    for doc_id, w in rows[["doc_id", "w"]].itertuples(index=False):
+        start, stop, first, at = np.array(sorted((r["start"], r["stop"], r["first_doc_id"], r["first_start"]) for r in w), np.int64).T
+        if joined:
+            cut = np.append(True, start[1:] - (np.maximum.accumulate(stop)[:-1] - 1) > LENGTH)
+        else:
+            cut = np.append(True, (start[1:] != stop[:-1]) | (np.diff(first) != 0) | (np.diff(start - at) != 0))
+        begin = np.flatnonzero(cut)
+        end = np.maximum.reduceat(stop, begin) - 1 + LENGTH
+        part = {"doc_id": doc_id, "start": start[begin], "stop": end, "n_words": end - start[begin], "first_doc_id": np.minimum.reduceat(first, begin)}
+        out.append(pd.DataFrame(part | ({} if joined else {"first_start": at[begin]})))
+    return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "start", "stop", "n_words", "first_doc_id", *([] if joined else ["first_start"])], dtype="int64")
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop (in words, stop exclusive), n_words, first_doc_id of every repeated passage.
 
-    ``first_doc_id`` is the smallest doc_id that has a window of the passage: its own where no smaller document does. Documents without
-    a repeated passage have no row.
+    Repeated windows that touch or overlap are one passage. ``first_doc_id`` is the smallest doc_id that has a window of it: its own
+    where no smaller document does. Documents without a repeated passage have no row.
     """
-    return _found(docs).mapInPandas(lambda frames: map(_merge, frames), _ROWS)
+    return _found(docs).mapInPandas(lambda frames: (_merged(f, True) for f in frames), _ROWS)
 
 
 def sources(docs: DataFrame) -> DataFrame:
-    """The columns of ``passages``, with a row for each run of neighbouring windows that have the same smallest document.
+    """The columns of ``passages`` and first_start, with a row for each run of neighbouring windows that have the same source.
 
-    Every window of a run stands in ``first_doc_id``, so a passage made of several documents' passages keeps a row, and a link, for each.
+    The run stands word for word in ``first_doc_id`` from ``first_start`` on: the first place, by doc_id and position, of each of its
+    windows. A passage made of several documents' passages keeps a row, and a link, for each; a row whose source is its own place is
+    the first of its kind.
     """
-    return _found(docs).mapInPandas(lambda frames: map(_runs, frames), _ROWS)
+    return _found(docs).mapInPandas(lambda frames: (_merged(f, False) for f in frames), _ROWS + ", first_start long")

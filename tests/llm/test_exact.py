@@ -148,37 +148,64 @@ def test_one_document_of_each_group_stays(awkward):
 # ---- repeated passages
 
 
-def brute_passages(rows):
+def brute_windows(rows):
+    """{(doc_id, start): first place} of every window that stands at two places."""
     where = defaultdict(set)
-    words = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for i, t in rows}
     size = suffix_dedup.LENGTH
-    for i, w in words.items():
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
         for k in range(len(w) - size + 1):
-            where[tuple(w[k : k + size])].add(i)
-    out = set()
-    for i, w in words.items():
-        starts = [k for k in range(len(w) - size + 1) if len(where[tuple(w[k : k + size])]) > 1]
-        runs = []
-        for k in starts:
-            least = min(where[tuple(w[k : k + size])])
-            if runs and k <= runs[-1][1]:
-                runs[-1] = (runs[-1][0], k + size, min(least, runs[-1][2]))
-            else:
-                runs.append((k, k + size, least))
-        out |= {(i, a, b, b - a, least) for a, b, least in runs}
+            where[tuple(w[k : k + size])].add((i, k))
+    return {place: min(places) for places in where.values() if len(places) > 1 for place in places}
+
+
+def brute_passages(windows):
+    out, runs = set(), []
+    for (i, k), (least, _) in sorted(windows.items()):
+        if runs and runs[-1][0] == i and k <= runs[-1][2]:
+            runs[-1] = (i, runs[-1][1], k + suffix_dedup.LENGTH, min(least, runs[-1][3]))
+        else:
+            runs.append((i, k, k + suffix_dedup.LENGTH, least))
+    for i, a, b, least in runs:
+        out.add((i, a, b, b - a, least))
     return out
 
 
-def test_repeated_passages(spark, documents, awkward):
+def passage_rows(documents):
     rows = [(r.doc_id, re.sub("[\x1c-\x1f\x85\xa0\u2000-\u3000]", "-", r.text or "")) for r in documents.select("doc_id", "text").collect()]
     words = rows[3][1].split()
     rows += [(90_001, "Fresh start " + " ".join(words[:60]).upper() + " end"), (90_002, " ".join(f"n{i}" for i in range(49))), (90_003, " ".join(f"n{i}" for i in range(49)))]
     rows += [(90_004, " ".join(f"m{i}" for i in range(50))), (90_005, "x " + "\n".join(f"m{i}" for i in range(50)) + " y"), (90_006, "again " * 500)]
+    twice = " ".join(f"t{i}" for i in range(60))
+    rows += [(90_007, f"{twice} once {twice} more"), (90_008, "one two three " * 200), (90_009, "one two three " * 90 + "four")]
+    return rows
+
+
+def test_repeated_passages(spark, documents, awkward):
+    rows = passage_rows(documents)
     got = suffix_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string"))
     found = {tuple(r) for r in got.collect()}
-    assert found == brute_passages(rows)
-    assert {90_004, 90_005} <= {r[0] for r in found} and not {90_002, 90_003, 90_006} & {r[0] for r in found}
-    assert suffix_dedup.passages(awkward).count() == 0 and suffix_dedup.passages(awkward.limit(0)).count() == 0
+    assert found == brute_passages(brute_windows(rows))
+    assert {90_004, 90_005, 90_006, 90_007} <= {r[0] for r in found} and not {90_002, 90_003} & {r[0] for r in found}
+    assert {tuple(r) for r in suffix_dedup.passages(awkward).collect()} == {(7, 0, 90_000, 90_000, 7)}
+    assert suffix_dedup.passages(awkward.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, rows[3][1]), (1, rows[3][1]), (1, "other " * 60), (2, rows[3][1])], "doc_id long, text string")
+    n = len(rows[3][1].split())
+    assert sorted(map(tuple, suffix_dedup.passages(same).collect())) == [(1, 0, 60, 60, 1), (1, 0, n, n, 1), (2, 0, n, n, 1)]
+
+
+@pytest.mark.parametrize(("range_rows", "run_rows", "bits"), [(10**6, 10**6, 64), (10**6, 7, 3), (40, 10**6, 64), (25, 10, 64)])
+def test_windows_are_the_same_however_the_suffixes_are_split(spark, documents, range_rows, run_rows, bits):
+    """Also where only 3 bits of the first words' hash are kept, so that it takes different suffixes for equal."""
+    rows = passage_rows(documents)
+    found = suffix_dedup._found(spark.createDataFrame(rows, "doc_id long, text string"), range_rows, run_rows, bits)
+    got = {}
+    for r in found.collect():
+        for w in r.w:
+            for k in range(w.start, w.stop):
+                assert (r.doc_id, k) not in got
+                got[r.doc_id, k] = (w.first_doc_id, w.first_start + k - w.start)
+    assert got == brute_windows(rows)
 
 
 # ---- packing
