@@ -26,31 +26,37 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: The labelled URL table is made of these host names, each under a few domains and paths.
-UNWANTED = """ads-track ad-server adserver banner-ads click-ads popup-ads track-click tracker-pixel pixel-track
- adult-x adult-video xxx-video xxx-cam porn-hd sex-cam hot-adult nude-cam escort-x
- casino-win casino-online free-casino slots-win jackpot-slots poker-win free-bets bets-online sport-bets bet-win
- cheap-pills pills-online cheap-meds viagra-shop pharma-cheap cheap-viagra diet-pills
- spam-farm link-farm content-farm spam-links seo-spam click-bait free-money win-prize prize-win
- warez-crack crack-keygen free-warez torrent-crack malware-drop phish-login payday-loan quick-loan fake-watch""".split()
-WANTED = """news garden library museum science history weather travel recipes school university music theatre sport
- health city council forum wiki docs open-data street-maps photo-club book-shop film-review river-trust bird-watch
- night-sky craft-fair local-news data-lab home-made long-read old-town red-cross blue-sky town-hall
- anderes chemin escuela jardin montagne strasse verlag zeitung periodico mercado viajes cocina cuisine voyage kirche
- tion thea ther ould ighted onst eryth heren ingly ander lichen ment eaux cion mente ados erung keit""".split()
-DOMAINS = ("example.com", "example.net", "example.org")
-PATHS = ("/en/1204", "/de/88.html", "/fr/30517/", "/es/42", "/")
+#: The labelled table: words that name unwanted sites, words that name others, and neutral words that stand beside both.
+UNWANTED = """ads adserver adclick advert banner popup popunder clicktrack tracker tracking pixel telemetry affiliate casino slots roulette blackjack
+ poker jackpot betting bets bookie wager lottery pills pharmacy viagra cialis meds steroids porn porno xxx sex sexcam nude adult
+ escort hookup camgirls spam spammer bulkmail linkfarm backlinks clickbait warez cracked keygen torrents serialz phishing malware ransom
+ payday quickcash loans replica counterfeit""".split()
+WANTED = """news garden gardening library museum science history weather northern southern travel recipes kitchen school university
+ college music theatre orchestra sports football health hospital clinic doctor city council parliament forum wiki docs developer software
+ maps photo camera books bookshelf reading writing film cinema review birds mountain river forest ocean brothers mother father family
+ anderson whitfield matthew catherine robinson heritage earth education foundation fiction auction journal magazine gallery studio
+ anderes garten strasse verlag zeitung rathaus lichtung bibliothek wissenschaft wetter kirche schule
+ periodico mercado viajes cocina escuela historia montana ciencia cancion biblioteca
+ cuisine voyage jardin maison montagne theatral histoire lumiere bonheur aliments
+ hotel restaurant bakery cafe market bank insurance post train airport bridge harbour island village farmhouse orchard vineyard
+ architecture engineering chemistry physics biology mathematics astronomy geology painting sculpture pottery knitting sewing""".split()
+NEUTRAL = "online best live club shop hub zone world pro now top house today daily direct guide home network center point".split()
+#: Shapes of hosts (word, neutral word) and of paths.
+HOSTS = ("{0}.{2}", "www.{0}.{2}", "{0}-{1}.{2}", "www.{1}-{0}.{2}", "blog.{0}{1}.{2}", "m.{1}{0}.{2}", "{1}.{0}.{2}", "cdn.{0}-{1}.{2}")
+DOMAINS = "com net org info co.uk de fr es io".split()
+PATHS = ("/", "/index.html", "/2024/05/a-day-in-may", "/en/about", "/products/item?id=7", "/de/seite/3", "/fr/page", "/es/inicio", "/img/a.png", "")
 #: Width of the hashed feature space.
 FEATURES = 1 << 15
 
 
 def labelled_urls() -> list[tuple[str, str, float]]:
-    """The small training table: host, path, 1.0 for unwanted."""
+    """The small training table: host, path, 1.0 for unwanted. Every word comes in every shape of host, so shapes tell nothing."""
     rows = []
-    for label, names in ((1.0, UNWANTED), (0.0, WANTED)):
-        for i, name in enumerate(names):
-            for j in range(5):
-                rows.append((("", "www.", "blog.", "m.")[(i + j) % 4] + name + "." + DOMAINS[j % 3], PATHS[(i + j) % 5], label))
+    for label, words in ((1.0, UNWANTED), (0.0, WANTED)):
+        for i, word in enumerate(words):
+            for j, shape in enumerate(HOSTS):
+                k = i * len(HOSTS) + j
+                rows.append((shape.format(word, NEUTRAL[k % len(NEUTRAL)], DOMAINS[k % len(DOMAINS)]), PATHS[k % len(PATHS)].partition("?")[0], label))
     return rows
 
 
