@@ -194,17 +194,19 @@ def test_repeated_passages(spark, documents, awkward):
     assert sorted(map(tuple, suffix_dedup.passages(same).collect())) == [(1, 0, 60, 60, 1), (1, 0, n, n, 1), (2, 0, n, n, 1)]
 
 
-@pytest.mark.parametrize(("range_rows", "run_rows", "bits"), [(10**6, 10**6, 64), (10**6, 7, 3), (40, 10**6, 64), (25, 10, 64)])
-def test_windows_are_the_same_however_the_suffixes_are_split(spark, documents, range_rows, run_rows, bits):
+@pytest.mark.parametrize(("range_rows", "chunk_rows", "run_rows", "bits"), [(10**6, 10**6, 10**6, 64), (10**6, 7, 10**6, 3), (40, 10**6, 5, 64), (25, 10, 1, 64)])
+def test_windows_are_the_same_however_the_suffixes_are_split(spark, documents, range_rows, chunk_rows, run_rows, bits):
     """Also where only 3 bits of the first words' hash are kept, so that it takes different suffixes for equal."""
     rows = passage_rows(documents)
-    found = suffix_dedup._found(spark.createDataFrame(rows, "doc_id long, text string"), range_rows, run_rows, bits)
+    found, ids = suffix_dedup._found(spark.createDataFrame(rows, "doc_id long, text string"), range_rows, chunk_rows, run_rows, bits)
     got = {}
-    for r in found.collect():
-        for w in r.w:
+    for r in ids.join(found, "mark").collect():
+        for w in r.w or ():
             for k in range(w.start, w.stop):
                 assert (r.doc_id, k) not in got
                 got[r.doc_id, k] = (w.first_doc_id, w.first_start + k - w.start)
+        for k in range(r["windows"] or 0) if r.own is not None else ():
+            got.setdefault((r.doc_id, k), (r.own, k))
     assert got == brute_windows(rows)
 
 
@@ -339,12 +341,33 @@ def test_nearest_is_exact(spark, scale):
     assert sorted(tuple(x) for x in topk.nearest(table).collect()) == brute_nearest(rows)
 
 
-def test_nearest_over_chunks_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK", 60)
-    monkeypatch.setattr(topk, "BLOCK", 4)
+def test_nearest_over_chunks_and_blocks(spark):
     table = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
-    assert sorted(tuple(x) for x in topk.nearest(table).collect()) == brute_nearest(rows)
+    assert sorted(tuple(x) for x in topk.nearest(table, chunk=60, block=2).collect()) == brute_nearest(rows)
+
+
+def evaluated_share(vectors):
+    """Share of (query, candidate) pairs whose product is computed, over chunks; the results are compared with all products."""
+    v, ids = np.floor(vectors * 256).astype(np.int64), np.arange(len(vectors))
+    top = float((v.astype(float) ** 2).sum(1).max())
+    table = topk.pivot_table(v, topk.choose_pivots(v[np.random.default_rng(0).permutation(len(v))[: topk.SAMPLE]]), top)
+    asked = ids % 50 == 0
+    search = topk.Search(ids[asked], v[asked], table[asked], top, 5)
+    for lo in range(0, len(v), 700):
+        search.add(ids[lo : lo + 700], v[lo : lo + 700], table[lo : lo + 700])
+    for i, q in enumerate(ids[asked]):
+        want = sorted((-s, j) for j, s in enumerate((v @ v[q]).tolist()) if j != q)[:5]
+        assert want == list(zip((-search.best[i]).tolist(), search.best_ids[i].tolist(), strict=True))
+    return search.evaluated / (asked.sum() * len(v))
+
+
+def test_pivots_eliminate_most_candidates(spark):
+    r = np.random.default_rng(1)
+    clustered = r.normal(size=(40, 64))[r.integers(0, 40, 3000)] + 0.3 * r.normal(size=(3000, 64))
+    assert evaluated_share(clustered / np.linalg.norm(clustered, axis=1, keepdims=True)) < 0.1
+    given_ = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    assert evaluated_share(np.stack(given_.embedding.to_numpy()).astype(float)) < 0.35
 
 
 def test_nearest_of_few_rows(spark):
