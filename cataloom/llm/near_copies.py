@@ -1,12 +1,19 @@
 """Near copies by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal sets collapse first. Candidates share a band of ``ROWS`` minima of ``BANDS`` (a pair at 0.8 shares none in 3 of a million
-cases), and every candidate is confirmed by the similarity of the whole sets. In groups of up to ``GROUP`` sets all pairs are
-candidates; in larger ones each set meets the group's least document and one more that differs by band, so a large group of near
-copies costs its rows, not its pairs.
+Equal sets collapse first. Candidates come from two places, and every candidate is confirmed by the similarity of the whole sets:
 
-Words are op4's. Edge cases: a text of one to four words has one shingle; texts without words are copies of each other; rows without a
-doc_id take no part.
+* the Gray-order index over SimHash fingerprints of the same shingles (``simhash.links``), which finds what differs in 4 of 64 bits;
+* bands of ``ROWS`` minima, ``BANDS`` of them, for what it can't reach: at a similarity of 0.8 about ten bits differ, which no banding
+  of 64 bits finds at size. A pair at 0.8 shares no band in 3 of a million cases.
+
+Sets of a band's group of up to ``GROUP`` all meet. In larger groups every set meets two of the group; while such a group still falls into
+several components, each of its sets is compared by signature (a byte of each minimum) with those of other components, and the ones that agree
+most are confirmed: ``FIRST`` of them, twice as many each round, until no set has any left. A pair at 0.8 falls below ``AGREED`` agreeing
+bytes in less than one of a million cases. A group of one component, as large groups of copies are, costs its rows and not its pairs.
+
+Words are op4's. Edge cases: a text of one to four words has one shingle; texts without words, null ones too, are copies of each other;
+rows without a doc_id are copies like others and come after them in the order. Of a group the row with the smallest doc_id stays, of rows
+that share it the one with the least md5 of its text, of those the least as JSON. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm import simhash
 from cataloom.llm.components import components
-from cataloom.llm.scratch import written
-from cataloom.llm.simhash import _FOLD, _shingle_hashes
+from cataloom.llm.scratch import drop, written
 
 #: Words of a shingle, least similarity of near copies.
 WORDS, LEAST = 5, 0.8
-#: Bands, minima of a band; sets of a group that all meet; parts of the pairs that share a document of a larger group.
-BANDS, ROWS, GROUP, SALTS = 24, 4, 32, 64
+#: Bands, minima of a band; sets of a group that all meet.
+BANDS, ROWS, GROUP = 24, 4, 32
+#: Agreeing bytes of two signatures that may be near; candidates of a set in the first round; sets of a large group that one task compares with as many.
+AGREED, FIRST, PART = 56, 16, 2048
+#: Pairs of a set from which its part of the confirmation is spread, and over how many tasks.
+HUB, SALTS = 64, 64
 
 _R = np.random.default_rng(5)
 _TIMES, _PLUS = _R.integers(0, 2**63, (2, BANDS * ROWS), np.uint64)
@@ -34,73 +45,165 @@ _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
-    """The set of a text's shingles, as sorted hashes."""
-    found = list(_shingle_hashes((text or b"").translate(_FOLD), WORDS))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+    """Hashes of a text's shingles, repeats included."""
+    found = list(simhash.shingle_hashes(text or b"", WORDS))
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key for each band: its minima, hashed with its number."""
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least value of each permutation over a set of shingles."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for lo in range(0, len(found), 1024):
-        part = found[lo : lo + 1024]
-        for k in range(BANDS * ROWS):
-            least[k] = min(least[k], (part * _TIMES[k] + _PLUS[k]).min())
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(rows)], np.uint64).view(np.int64)
+    for lo in range(0, len(found), 256):
+        np.minimum(least, (found[lo : lo + 256, None] * _TIMES + _PLUS).min(0), out=least)
+    return least
 
 
 def _mapped(docs: DataFrame, fields: str, row) -> DataFrame:
-    """``row(shingles)`` for each document, beside its doc_id."""
-    schema = docs.sparkSession.createDataFrame([], f"doc_id long, {fields}").schema
-    types = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.binary() if f.dataType.simpleString() == "binary" else pa.list_(pa.int64()) for f in schema]
-    names = schema.names
+    """``row(shingles)`` for each document in the place of its text; a tuple of columns."""
+    schema = docs.drop("text").sparkSession.createDataFrame([], docs.drop("text").schema.simpleString().removeprefix("struct<").removesuffix(">") + f", {fields}").schema
+    names = [c for c in docs.columns if c != "text"]
+    types = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    own = [types[f.dataType.simpleString()] for f in schema[len(names) :]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = [row(shingles(t)) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                columns = [part.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types[1:]))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(own))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(u, v, wide) from ``distinct(node, bands)``; ``wide`` marks pairs of a large group, whose v may have many."""
-    banded, _ = written(distinct.select("node", F.explode("bands").alias("key")).distinct(), "banded")
+def _marks(found: np.ndarray) -> tuple:
+    """Digest of the set, SimHash fingerprint, band keys and signature."""
+    distinct = np.unique(found)
+    least = minima(distinct)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))]
+    return (xxhash.xxh3_128_digest(distinct.tobytes()), int(np.uint64(simhash.majority([found])).astype(np.int64)), np.array(keys, np.uint64).view(np.int64), least.astype(np.uint8).tobytes())
+
+
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v) from the Gray-order index: a forest over sets with near fingerprints."""
+    equal = nodes.groupBy("fp").agg(F.min("node").alias("v"))
+    same = nodes.select("fp", F.col("node").alias("u")).join(equal, "fp").where("u <> v").select("u", "v")
+    return simhash.links(equal.select("fp", F.col("v").alias("node"))).select("u", "v").union(same)
+
+
+def _band_pairs(members: DataFrame) -> DataFrame:
+    """(u, v) from ``members(key, node, n, least, pivot)``: all pairs of a small group, two for each set of a larger one."""
+    few = members.where(F.col("n") <= GROUP).select("key", "node")
+    pairs = few.withColumnRenamed("node", "u").join(few.withColumnRenamed("node", "v"), "key").where("u < v").select("u", "v")
+    return pairs.union(members.where(F.col("n") > GROUP).select(F.col("node").alias("u"), F.explode(F.array("least", "pivot")).alias("v")))
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    banded, path = written(nodes.select("node", F.explode("bands").alias("key")).distinct(), "banded")
     order = F.struct(F.xxhash64("node", "key"), "node")
     sized = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(order).alias("first")).where("n > 1")
-    member, _ = written(banded.join(sized.select("key", "n", "least", F.col("first.node").alias("pivot")), "key"), "members")
-    few = member.where(F.col("n") <= GROUP).select("key", "node")
-    pairs = few.withColumnRenamed("node", "u").join(few.withColumnRenamed("node", "v"), "key").where("u < v").select("u", "v", F.lit(False).alias("wide"))
-    many = member.where(F.col("n") > GROUP).select(F.col("node").alias("u"), F.explode(F.array("least", "pivot")).alias("v"), F.lit(True).alias("wide"))
-    return pairs.union(many.where("u <> v")).distinct()
-
-
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
-    named = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    held, _ = written(_mapped(docs.join(named, "doc_id", "left_semi"), "s array<long>", lambda s: (s.view(np.int64),)), "sets")
-    hubs = pairs.where("wide").select(F.col("v").alias("doc_id"), F.lit(True).alias("hub")).distinct()
-    salts = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = held.join(hubs, "doc_id", "left").select(F.col("doc_id").alias("v"), F.col("s").alias("b"), F.explode(salts).alias("salt"))
-    asked = pairs.withColumn("salt", F.when(F.col("wide"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0))
-    met = asked.join(held.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(right, ["v", "salt"])
+    out, _ = written(banded.join(sized.select("key", "n", "least", F.col("first.node").alias("pivot")), "key"), "members")
+    drop(nodes.sparkSession, path)
+    return out
+
+
+def propose(signature: np.ndarray, root: np.ndarray, node: np.ndarray, mine: np.ndarray, most: int) -> list[tuple[int, int, bool]]:
+    """(u, v, more left) for the sets of a part: the ``most`` sets of other components whose signatures agree most.
+
+    ``mine`` marks one of two parts that meet; without a mark it is one part. Sets of the largest component meet none of their own, so
+    only the others look for partners.
+    """
+    roots, counts = np.unique(root, return_counts=True)
+    out: list[tuple[int, int, bool]] = []
+    for i in np.flatnonzero(root != roots[counts.argmax()]).tolist():
+        other = np.flatnonzero((root != root[i]) & ((mine != mine[i]) if mine.any() and not mine.all() else True))
+        if not len(other):
+            continue
+        agreed = (signature[other] == signature[i]).sum(1)
+        near = agreed >= AGREED
+        other, agreed = other[near], agreed[near]
+        if len(other) > most:
+            other = other[np.lexsort((node[other], -agreed))[:most]]
+        out += [(int(node[i]), int(j), int(near.sum()) > most) for j in node[other]]
+    return out
+
+
+def _proposals(members: DataFrame, nodes: DataFrame, rooted: DataFrame, most: int) -> DataFrame:
+    """(u, v, more) between the components that large groups still fall into."""
+    large = members.where(F.col("n") > GROUP).select("key", "node", "n").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = large.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("key")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    rows = large.join(split, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.join(nodes.select("node", "signature"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "root", "signature")
+
+    def compare(table: pa.Table) -> pa.Table:
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        own, first = table.column("own").to_numpy(), table.column("a").to_numpy()
+        found = propose(signature, table.column("root").to_numpy(), table.column("node").to_numpy(), own == first, most)
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["u", "v", "more"])
+
+    return rows.groupBy("key", "a", "b").applyInArrow(compare, "u long, v long, more boolean")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets, of ``sets(node, s)``, are similar enough."""
+    ordered, path = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    hubs = ordered.groupBy("v").count().where(F.col("count") > HUB).select("v", F.lit(True).alias("hub"))
+    spread = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = sets.select(F.col("node").alias("v"), F.col("s").alias("b")).join(hubs, "v", "left").select("v", "b", F.explode(spread).alias("salt"))
+    asked = ordered.join(hubs, "v", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0))
+    met = asked.select("u", "v", "salt").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(right, ["v", "salt"])
     met = met.where(F.least(F.size("a"), F.size("b")) >= LEAST * F.greatest(F.size("a"), F.size("b")))
     both = F.size(F.array_intersect("a", "b"))
-    return met.withColumn("both", both).where(F.col("both") >= LEAST * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+    out, _ = written(met.withColumn("both", both).where(F.col("both") >= LEAST * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v"), "near")
+    drop(pairs.sparkSession, path)
+    return out
+
+
+def groups(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``texts(doc_id, mark, text)``, marks being digests of texts: (doc_id, mark, digest) of every row, and (digest, root) of every set."""
+    spark = texts.sparkSession
+    marks, _ = written(_mapped(texts, "digest binary, fp long, bands array<long>, signature binary", _marks), "marks")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    nodes = marks.groupBy("digest").agg(F.min(first).alias("first"), *(F.first(c).alias(c) for c in ("fp", "bands", "signature")))
+    nodes, _ = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = _members(nodes)
+    pairs, _ = written(_fingerprint_pairs(nodes).union(_band_pairs(members)), "candidates")
+    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.where(F.col("n") > GROUP).select("node")).distinct()
+    named = named.join(nodes.select("node", "first.doc_id", "first.mark"), "node")
+    one = texts.join(named, texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["mark"] == named["mark"])).groupBy("node").agg(F.first("text").alias("text"))
+    sets, _ = written(_mapped(one, "s array<int>", lambda found: (np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32),)), "sets")
+    edges = _confirmed(pairs, sets)
+    most, rooted = FIRST, components(edges)
+    while True:
+        more, path = written(_proposals(members, nodes, rooted, most), "proposals")
+        any_, left = more.agg(F.count("*"), F.coalesce(F.bool_or("more"), F.lit(False))).first()
+        if any_:
+            edges = edges.union(_confirmed(more.select("u", "v"), sets))
+            rooted = components(edges)
+        drop(spark, path)
+        if not left:
+            break
+        most *= 2
+    rooted = nodes.select("node", "digest", "first").join(rooted, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
+    return marks.select("doc_id", "mark", "digest"), rooted
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; all columns as they came. Rows without a doc_id stay."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    marks, _ = written(_mapped(base, "digest binary, bands array<long>", lambda s: (xxhash.xxh3_128_digest(s.tobytes()), bands(s))), "marks")
-    nodes, _ = written(marks.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    distinct = marks.join(nodes.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "bands")
-    pairs, _ = written(candidates(distinct), "pairs")
-    rooted = components(links(base, pairs))
-    keep = nodes.select("node").distinct().join(rooted, "node", "left_anti").select(F.col("node").alias("__kept"))
-    named = docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies, that with the smallest doc_id; all columns as they came."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("mark"), F.struct(*docs.columns).alias("row"))
+    texts = packed.select("doc_id", "mark", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
+    rows, rooted = groups(texts)
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark", F.lit(True).alias("stays"))
+    counted = rows.groupBy("doc_id", "mark").count()
+    same = counted["doc_id"].eqNullSafe(first["doc_id"]) & (counted["mark"] == first["mark"])
+    state = counted.join(first, same, "left").select(counted["doc_id"], counted["mark"], "count", F.coalesce("stays", F.lit(False)).alias("stays"))
+    # rows that go, or that are several: few beside those that simply stay, which are found by their absence
+    odd, _ = written(state.where("not stays or count > 1").drop("count"), "odd")
+    same = packed["doc_id"].eqNullSafe(odd["doc_id"]) & (packed["mark"] == odd["mark"])
+    alone = packed.join(odd, same, "left_anti")
+    several = packed.join(odd.where("stays"), same, "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return alone.select("row.*").unionByName(several.select("row.*"))

@@ -15,7 +15,7 @@ gives an empty result; extra columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,9 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def _shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
-    """XXH64 of all shingles, some at a time. Words are runs of bytes other than space and 09-0D."""
+def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles, some at a time. Words are runs of bytes other than space and 09-0D, A-Z lower-cased."""
+    text = text.translate(_FOLD)
     carry: list[bytes] = []
     short = True
     at = 0
@@ -63,17 +64,20 @@ def _shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes | None, size: int = WORDS) -> int:
-    """A bit is set where it is set in over half of the shingles' hashes; zero without words."""
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """A bit is set where it is set in over half of the hashes; zero without hashes."""
     total, ones = 0, np.zeros((8, 8), np.int64)
-    for h in _shingle_hashes((text or b"").translate(_FOLD), size):
+    for h in hashes:
         total += len(h)
         columns = h.astype("<u8").view(np.uint8).reshape(-1, 8)
         for k in range(8):
             ones[k] += np.bincount(columns[:, k], minlength=256) @ _BYTE_BITS
-    if not total:
-        return 0
-    return int(np.packbits((ones * 2 > total).reshape(-1), bitorder="little").view("<u8")[0])
+    return int(np.packbits((ones * 2 > total).reshape(-1), bitorder="little").view("<u8")[0]) if total else 0
+
+
+def fingerprint(text: bytes | None, size: int = WORDS) -> int:
+    """SimHash of a text's shingles."""
+    return majority(shingle_hashes(text or b"", size))
 
 
 def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -237,11 +241,3 @@ def groups(docs: DataFrame, size: int = WORDS, bits: int = BITS) -> DataFrame:
     rooted = components(links(distinct, bits))
     named, _ = written(distinct.join(rooted, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "named")
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, size: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; all columns as they came. Rows without a doc_id stay."""
-    found = groups(docs.select("doc_id", "text"), size, bits)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))

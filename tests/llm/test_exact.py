@@ -139,12 +139,6 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(table.limit(0)).count() == 0
 
 
-def test_one_document_of_each_group_stays(awkward):
-    kept = simhash.keep_one(awkward)
-    assert kept.columns == awkward.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 4, 6, 7, 8, None, None]))
-
-
 # ---- repeated passages
 
 

@@ -9,7 +9,8 @@ import pytest
 import corpus_pipeline
 from cataloom.llm import packing, pii, queries
 
-from .test_exact import brute_groups, brute_report
+from .test_exact import brute_report
+from .test_near_copies import brute_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,8 +34,8 @@ def test_pipeline(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     bench = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
-    _, root = brute_groups(rows)
-    rows = [(i, t) for i, t in rows if root[i] == i]
+    kept, _ = brute_kept(rows)
+    rows = [(i, t) for i, t in rows if i in kept]
     clean = {r[0] for r in brute_report(rows, bench) if not r[5]}
     rows = [(i, t) for i, t in rows if i in clean]
     tagger = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
