@@ -3,8 +3,8 @@
 A window of ``LENGTH`` words is repeated if it stands at two places at least, of one document or of several. Suffixes are kept only at
 minimiser positions, which the text itself selects, so equal windows keep the same suffix at the same offset; the suffix owns them.
 
-1. Every text gives its retained suffixes: a hash of the first words, the position, the windows owned. A suffix whose hash comes at
-   one place of one text only can't match. The hash only discards: nothing is taken for equal by it.
+1. Every text gives its retained suffixes: a hash of the first words, the position, the windows owned. A suffix whose hash comes
+   once can't match. The hash only discards: nothing is taken for equal by it.
 2. Equal texts stand together as one from here on: the document with the smallest doc_id fetches the words to the right of its
    remaining suffixes, by which they are sorted, and those to the left.
 3. The suffixes are range-partitioned and sorted by their words. In the sorted order neighbours are compared word by word: the lengths of
@@ -281,8 +281,7 @@ def _found(docs: DataFrame, range_rows: int = RANGE_ROWS, chunk_rows: int = CHUN
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     base = base.select("doc_id", F.unhex(F.md5("text")).alias("mark"), "text")
     kept, kept_path = written(_suffixes(base, bits), "suffixes")
-    place = F.struct("mark", "pos")
-    twice = kept.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("key", (F.col("n") > run_rows).alias("wide"))
+    twice = kept.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > run_rows).alias("wide"))
     at = kept.join(twice, "key").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("pos", "first", "last", "wide")).alias("at"))
     one = base.join(at, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.first("text").alias("text"), F.first("at").alias("at"))
     contexts, context_path = written(_contexts(one), "contexts")
