@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans to them.
 
 The network is trained in numpy on labelled spans: excerpts of a bounded sample of the documents, labelled by the patterns, and the
-same contexts with made-up items in forms that the patterns don't know (a phone number without a plus sign, an address with blanks). Texts are cut
+same contexts with made-up items in forms that the patterns don't know (a phone number without a plus sign, an address with blanks,
+a token or key, which is a kind of its own: ``secret``). Texts are cut
 into overlapping windows; windows are decoded in batches, and a weighted choice of spans that don't overlap reconciles
 them over the whole text. Only windows around digits and at signs are decoded: every kind has one of them, and a decoded span without one
-would be dropped, so nothing is lost by it.
+would be dropped, so nothing is lost by it. A span that windows cut is put together from its overlapping pieces.
 
 Documents are only mapped; the model is the one broadcast, of a few dozen kB.
 
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+#: The last has no pattern: only the network finds it.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Documents that excerpts are taken from, excerpts used, steps and rows of a step of the training.
 SAMPLE, EXCERPTS, STEPS, ROWS = 3000, 4000, 400, 32
 #: Characters of a training excerpt, of a decoded window, from one window to the next, and around a digit or at sign.
-LENGTH, WINDOW, STRIDE, AROUND = 64, 96, 48, 40
-#: Least marginal probability of all characters of an added span.
-SURE = 0.9
+LENGTH, WINDOW, STRIDE, AROUND = 64, 128, 64, 40
+#: Least mean of the marginal probabilities of an added span's characters.
+SURE = 0.8
 HIDDEN, EMBED = 16, 12
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
@@ -66,6 +68,14 @@ def _fine(kind: int, s: str) -> bool:
     return True
 
 
+def _plausible(kind: int, s: str) -> bool:
+    if kind == 0:
+        return s.count("@") == 1 and "." in s.split("@")[1] and not s.startswith("@")
+    if kind == 4:
+        return len(s) >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(c.isspace() for c in s)
+    return _fine(kind, s) and (kind != 1 or s.count(".") == 3) and s[-1] in "0123456789"
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost matches of each kind's pattern that don't overlap; failing ones are dropped. Linear in the text."""
     out: list[Span] = []
@@ -255,8 +265,8 @@ class Tagger:
 # ---- training rows
 
 
-def _made_up(r: np.random.Generator) -> tuple[str, int]:
-    """An item and its kind, or a look-alike and -1."""
+def _made_up(r: np.random.Generator) -> tuple[str, str, str, int]:
+    """An item, what stands before and after it, and its kind, or a look-alike and -1."""
     d = lambda n: "".join(map(str, r.integers(0, 10, n)))
     w = lambda a, b: "".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(a, b))))
     host = w(3, 9) + r.choice([".com", ".org", ".net", ".example.com", ".co.uk", ".de"])
@@ -264,6 +274,10 @@ def _made_up(r: np.random.Generator) -> tuple[str, int]:
     luhned = d(15)
     luhned = next(luhned + str(x) for x in range(10) if luhn(luhned + str(x)))
     ip = ".".join(map(str, r.integers(0, 256, 4)))
+    code = "".join(r.choice(list("0123456789abcdef"), int(r.choice([24, 32, 40, 40, 48, 64]))))
+    word = r.choice(["token", "key", "secret", "password", "auth"])
+    secret = (code, code.upper(), "AKIA" + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)), "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"), int(r.integers(20, 44)))))[int(r.integers(0, 4))]
+    around = ((f'{word} = "', '"'), (f'{word.upper()} = "', '"'), (f"{word}: ", ""), (f"{word}=", ""), ('"', '"'), ("", ""))[int(r.integers(0, 6))]
     forms = (
         (f"{w(2, 8)}{r.choice(['', '.', '_', '-'])}{w(2, 8)}{d(int(r.integers(0, 3)))}@{host}", 0),
         (f"{w(3, 8)} @ {host}", 0),
@@ -282,12 +296,18 @@ def _made_up(r: np.random.Generator) -> tuple[str, int]:
         (f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{r.integers(10, 29)}", -1),
         (f"{r.integers(10, 24)}:{r.integers(10, 60)}", -1),
         (d(int(r.integers(1, 9))), -1),
-        ("".join(r.choice(list("0123456789abcdef"), int(r.integers(16, 40)))), -1),
-        ("AKIA" + "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)), -1),
+        (d(16), -1),
+        (d(16), -1),
+        (f"{d(16)} {d(16)}", -1),
+        (secret, 4),
+        (secret, 4),
+        (secret, 4),
+        (f"{w(4, 9)}-{w(4, 9)}-{d(1)}", -1),
         (f"@{w(3, 8)}", -1),
         (f"{d(3)},{d(3)}.{d(2)}", -1),
     )
-    return forms[int(r.integers(0, len(forms)))]
+    item, kind = forms[int(r.integers(0, len(forms)))]
+    return item, *(around if kind == 4 else ("", "")), kind
 
 
 def training_rows(excerpts: list[str], n: int = EXCERPTS, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -299,12 +319,12 @@ def training_rows(excerpts: list[str], n: int = EXCERPTS, seed: int = 4) -> tupl
         text = excerpts[int(r.integers(0, len(excerpts)))]
         spans = base_spans(text)
         if row % 4:
-            item, kind = _made_up(r)
+            item, before, after, kind = _made_up(r)
             plain = _ANCHOR.sub("", text)
-            blanks = [i for i, c in enumerate(plain[: max(1, LENGTH - len(item) - 2)]) if c in " \n"] or [0]
+            blanks = [i for i, c in enumerate(plain[: max(1, LENGTH - len(item) - len(before) - 2)]) if c in " \n"] or [0]
             at = blanks[int(r.integers(0, len(blanks)))]
-            text = f"{plain[:at]} {item}{r.choice([' ', ' ', '.', ',', chr(10)])}{plain[at:].lstrip()}"
-            at += 1
+            text = f"{plain[:at]} {before}{item}{after}{r.choice([' ', ' ', '.', ',', chr(10), '!!', '###'])}{plain[at:].lstrip()}"
+            at += 1 + len(before)
             spans = [(at, kind, at + len(item))] if kind >= 0 else []
         text = text[:LENGTH]
         ids[row, : len(text)] = symbols(text)
@@ -316,9 +336,9 @@ def training_rows(excerpts: list[str], n: int = EXCERPTS, seed: int = 4) -> tupl
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """Fits the network on excerpts of about ``sample`` documents, drawn by the hash of doc_id."""
+    """Fits the network on excerpts of about ``sample`` documents, drawn by the hash of doc_id and text; equal excerpts count once."""
     share = min(1.0, sample / max(1, docs.select("doc_id").count()))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col("text").cast("string").alias("text"))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,7 +352,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
                         out.append(text[lo : lo + LENGTH])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["excerpt"])
 
-    excerpts = drawn.mapInArrow(run, "excerpt string").toArrow().column("excerpt").to_pylist()
+    excerpts = drawn.mapInArrow(run, "excerpt string").distinct().toArrow().column("excerpt").to_pylist()
     tagger = Tagger()
     tagger.fit(*training_rows(excerpts))
     return tagger
@@ -365,12 +385,6 @@ def _windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _plausible(kind: int, s: str) -> bool:
-    if kind == 0:
-        return s.count("@") == 1 and "." in s.split("@")[1] and not s.startswith("@")
-    return _fine(kind, s) and (kind != 1 or s.count(".") == 3) and s[-1] in "0123456789"
-
-
 def _reconcile(found: dict[Span, float], fixed: list[Span]) -> list[Span]:
     """The spans of greatest total weight that overlap neither each other nor a fixed one."""
     edges = sorted((a, b) for a, _, b in fixed)
@@ -401,6 +415,7 @@ def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list
     base = [base_spans(t) if t and _ANCHOR.search(t) else [] for t in texts]
     cut = [(d, lo, hi) for d, t in enumerate(texts) if t and _ANCHOR.search(t) for lo, hi in _windows(t)]
     found: list[dict[Span, float]] = [{} for _ in texts]
+    parts: list[list[Span]] = [[] for _ in texts]  # what an edge of a window cuts
     for at in range(0, len(cut), 256):
         part = cut[at : at + 256]
         ids = np.zeros((len(part), WINDOW), np.int64)
@@ -419,38 +434,52 @@ def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list
                 b = a + 1
                 while b < len(own) and own[b] == 2 + 2 * kind:
                     b += 1
+                p = float(sure[row, a:b].mean())
+                if p < SURE:
+                    continue
                 if (b == hi - lo and hi < len(texts[d])) or (a == 0 and lo > 0):
-                    continue  # cut off here; the next window holds it whole
-                p = float(sure[row, a:b].min())
-                if p >= SURE and _plausible(kind, texts[d][lo + a : lo + b]):
+                    parts[d].append((lo + a, kind, lo + b))
+                elif _plausible(kind, texts[d][lo + a : lo + b]):
                     span = (lo + a, kind, lo + b)
                     found[d][span] = max(found[d].get(span, 0.0), p * (b - a))
+    for d, pieces in enumerate(parts):
+        for a, k, b in _joined(pieces):
+            if _plausible(k, texts[d][a:b]):
+                found[d].setdefault((a, k, b), SURE * (b - a))
     return [(b, sorted(b + _reconcile(f, b)) if f else b) for b, f in zip(base, found, strict=True)]
 
 
+def _joined(pieces: list[Span]) -> list[Span]:
+    """Spans longer than a window's overlap: pieces of one kind that overlap are one span; a piece alone is part of what the next window holds whole."""
+    out: list[list[int]] = []
+    for a, k, b in sorted(pieces, key=lambda s: (s[1], s[0], s[2])):
+        if out and out[-1][1] == k and a < out[-1][2]:
+            out[-1][2:] = [max(b, out[-1][2]), out[-1][3] + 1]
+        else:
+            out.append([a, k, b, 1])
+    return [(a, k, b) for a, k, b, n in out if n > 1]
+
+
 def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """doc_id, the number of spans of each kind, base_sha256, spans, n_added of every document."""
+    """doc_id, the number of spans of each pattern's kind, base_sha256, spans, n_secret, n_added of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger or train(docs))
+    counted = [f"n_{k}" for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = find(part.column("text").to_pylist(), shared.value)
-                counts = [[sum(k == kind for _, k, _ in every) for _, every in rows] for kind in range(len(KINDS))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        *[pa.array(c, pa.int64()) for c in counts],
-                        pa.array([hashlib.sha256(listing(b).encode()).hexdigest() for b, _ in rows], pa.string()),
-                        pa.array([listing(every) for _, every in rows], pa.string()),
-                        pa.array([len(every) - len(b) for b, every in rows], pa.int64()),
-                    ],
-                    names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
-                )
-
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+                counts = [pa.array([sum(k == kind for _, k, _ in every) for _, every in rows], pa.int64()) for kind in range(len(KINDS))]
+                digests = pa.array([hashlib.sha256(listing(b).encode()).hexdigest() for b, _ in rows], pa.string())
+                spans = pa.array([listing(every) for _, every in rows], pa.string())
+                added = pa.array([len(every) - len(b) for b, every in rows], pa.int64())
+                columns = [part.column("doc_id"), *counts[:4], digests, spans, *counts[4:], added]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *counted[:4], "base_sha256", "spans", *counted[4:], "n_added"])
+
+    fields = [f"{c} long" for c in counted]
+    schema = ", ".join(["doc_id long", *fields[:4], "base_sha256 string", "spans string", *fields[4:], "n_added long"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

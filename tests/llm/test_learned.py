@@ -116,7 +116,35 @@ def test_personal_data_of_whole_documents(spark, tagger):
         assert r.base_sha256 == hashlib.sha256(pii.listing(base).encode()).hexdigest()
         spans = [(int(a), pii.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
         assert set(base) <= set(spans) and spans == sorted(spans) and all(0 <= a < b <= len(r.text or "") for a, _, b in spans)
-        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in spans) for i in range(4)]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_secret] == [sum(k == i for _, k, _ in spans) for i in range(5)]
+        assert r.n_added == len(spans) - len(base)
+    tokens = {(r.doc_id, m.start(1), m.end(1)) for r in rows for m in re.finditer('token = "([0-9a-f]{40})"', r.text or "")}
+    secrets = {(r.doc_id, int(x.split(":")[1]), int(x.split(":")[2])) for r in rows for x in r.spans.split(",") if x.startswith("secret")}
+    assert len(tokens & secrets) >= 0.9 * len(tokens) > 5 and len(secrets - tokens) <= 0.1 * len(tokens)
+
+
+def test_disguised_items_in_whole_documents(spark, tagger):
+    """Items that no pattern finds, put into documents that the network hasn't seen, and look-alikes."""
+    texts = [r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id >= 200").select("text").collect() if 200 < len(r.text or "") < 4000]
+    r = np.random.default_rng(77)
+    cases = []
+    for text in texts * 2:
+        item, before, after, kind = pii._made_up(r)
+        at = text.find(" ", int(r.integers(0, len(text) - 100))) + 1
+        if at and not pii.base_spans(item):
+            cases.append((kind, f"{text[:at]}{before}{item}{after} {text[at:]}", at + len(before), at + len(before) + len(item)))
+    found = pii.find([c[1] for c in cases], tagger)
+    for kind in (0, 3, 4):
+        exact = [(a, k, b) in every for (k, _, a, b), (_, every) in zip(cases, found, strict=True) if k == kind]
+        assert len(exact) > 40 and np.mean(exact) >= 0.9, pii.KINDS[kind]
+    assert np.mean([any(x < b and y > a for x, _, y in every) for (k, _, a, b), (_, every) in zip(cases, found, strict=True) if k < 0]) < 0.06
+
+
+def test_spans_longer_than_a_window_are_put_together(tagger):
+    code = "9f3b27c1d05e4a68" * 12
+    _, every = pii.find([f'so it was, and token = "{code}" then came the end of it'], tagger)[0]
+    assert [(k, b - a) for a, k, b in every] == [(4, len(code))]
+    assert pii._joined([(0, 4, 128), (64, 4, 150), (70, 3, 80), (300, 4, 340)]) == [(0, 4, 150)]
 
 
 def test_the_network_adds_spans(tagger):
