@@ -4,8 +4,10 @@ Every letter has a random vector of +1 and -1. A trigram's vector binds (multipl
 place; a text's vector bundles (adds) those of all its trigrams; a language's prototype bundles its training texts. A text gets
 the language whose prototype has the largest cosine.
 
-Prototypes are fitted on about ``PER_LANGUAGE`` labelled documents of each language, drawn by the hash of doc_id (all, where
-there are fewer). Prediction is one map over whole texts, without a shuffle.
+Prototypes are fitted on about ``PER_LANGUAGE`` labelled documents of each language, drawn by the hash of doc_id and text (all,
+where there are fewer). What reaches the driver and is broadcast has a row for each language, 4 kB of it. Prediction is one map over whole texts, without a
+shuffle; vectors are built for a bounded number of trigrams at once, whatever letters a text mixes. Letters beyond a-z share 37 vectors by
+their code, so scripts are told apart by their letters' mix, not by name.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be learned. Rows with a
 null doc_id are never trained on and count as not held out. Repeated rows give repeated results; extra columns are ignored.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: Symbols (0 is the boundary), dimensions of the vectors, labelled documents of a language that are learned from.
 SYMBOLS, DIMENSIONS, PER_LANGUAGE = 64, 1024, 1500
-#: Documents and characters that are scored together.
-BATCH, CHARS = 128, 1 << 20
+#: Documents and characters that are scored together; distinct trigrams whose vectors are held at once.
+BATCH, CHARS, VECTORS = 128, 1 << 20, 8192
 SEED = 20_250_101
 UNKNOWN = "und"
 
@@ -72,8 +74,15 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.flatnonzero(seen)
     place = np.zeros(SYMBOLS**3, np.int64)
     place[distinct] = np.arange(len(distinct))
-    counts = np.bincount(np.repeat(np.arange(len(parts)), length) * len(distinct) + place[every], minlength=len(parts) * len(distinct))
-    return counts.reshape(len(parts), len(distinct)).astype(np.float32) @ trigram_vectors(distinct), length > 0
+    text = np.repeat(np.arange(len(parts)), length)
+    column = place[every]
+    out = np.zeros((len(parts), DIMENSIONS), np.float32)
+    for lo in range(0, len(distinct), VECTORS):
+        some = distinct[lo : lo + VECTORS]
+        own = (column >= lo) & (column < lo + len(some)) if len(distinct) > VECTORS else slice(None)
+        counts = np.bincount(text[own] * len(some) + column[own] - lo, minlength=len(parts) * len(some))
+        out += counts.reshape(len(parts), len(some)).astype(np.float32) @ trigram_vectors(some)
+    return out, length > 0
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -83,11 +92,9 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes (unit length), from labelled documents outside the held-out third."""
     allowed = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    sizes = dict(map(tuple, allowed.groupBy("lang").count().collect()))
-    if not sizes:
-        return [], np.empty((0, DIMENSIONS), np.float32)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(1e6 * min(1.0, per_language / n)))])
-    sample = allowed.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    sizes = allowed.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < F.col("share") * 1_000_000_000
+    sample = allowed.join(F.broadcast(sizes), "lang").where(drawn).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,15 +104,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
                 which, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(which), pa.string()), pa.array(which, pa.int64()), pa.array(n, pa.int64())], names=["lang", "trigram", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    prototypes = np.zeros((len(langs), DIMENSIONS), np.float32)
-    for i, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang].sort_values("trigram")
-        total = own["n"].to_numpy().astype(np.float64)
-        v = (total / total.sum()) @ trigram_vectors(own["trigram"].to_numpy())
-        prototypes[i] = v / max(np.linalg.norm(v), 1e-12)
-    return langs, prototypes
+    def prototype(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("trigram").to_numpy())
+        which, n = (table.column(c).to_numpy()[order] for c in ("trigram", "n"))
+        v = np.zeros(DIMENSIONS)
+        for lo in range(0, len(which), VECTORS):
+            v += (n[lo : lo + VECTORS] / n.sum()) @ trigram_vectors(which[lo : lo + VECTORS])
+        v /= max(np.linalg.norm(v), 1e-12)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
+
+    counts = sample.mapInArrow(count, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    rows = sorted(map(tuple, counts.groupBy("lang").applyInArrow(prototype, "lang string, v array<double>").collect()))  # 4 kB a language
+    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
 
 
 def _predict(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:

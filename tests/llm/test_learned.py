@@ -54,6 +54,16 @@ def brute_bundle(text):
     return sum((np.roll(one[ord(a)], 2) * np.roll(one[ord(b)], 1) * one[ord(c)] for a, b, c in zip(s, s[1:], s[2:], strict=False)), np.zeros(langid.DIMENSIONS))
 
 
+def test_bundles_of_many_distinct_trigrams(monkeypatch):
+    """A text of mixed letters holds its vectors in blocks."""
+    r = np.random.default_rng(1)
+    text = "".join(map(chr, r.integers(97, 97 + 26, 3000))) + "".join(chr(c) for c in r.integers(0x0410, 0x0450, 3000))
+    whole, _ = langid.bundles([text, "the cat"])
+    monkeypatch.setattr(langid, "VECTORS", 100)
+    assert np.allclose(langid.bundles([text, "the cat"])[0], whole)
+    assert np.allclose(whole[0], brute_bundle(text))
+
+
 def test_bundles_are_sums_of_bound_letters():
     texts = ["Der Hund, 12 Katzen!", "a", "ñandú été"]
     got, lettered = langid.bundles([*texts, "12", None])
