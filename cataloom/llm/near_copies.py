@@ -6,10 +6,10 @@ Equal sets collapse first. Candidates come from two places, and every candidate
 * bands of ``ROWS`` minima, ``BANDS`` of them, for what it can't reach: at a similarity of 0.8 about ten bits differ, which no banding
   of 64 bits finds at size. A pair at 0.8 shares no band in 3 of a million cases.
 
-Sets of a band's group of up to ``GROUP`` all meet. In larger groups every set meets two of the group; while such a group still falls into
-several components, each of its sets is compared by signature (a byte of each minimum) with those of other components, and the ones that agree
-most are confirmed: ``FIRST`` of them, twice as many each round, until no set has any left. A pair at 0.8 falls below ``AGREED`` agreeing
-bytes in less than one of a million cases. A group of one component, as large groups of copies are, costs its rows and not its pairs.
+Sets of a band's group of up to ``GROUP`` all meet. In larger groups every set meets two of the group. Where such a group still falls into
+several components, the sets outside its largest one meet all sets of other components, in blocks of ``PART``: signatures (a byte of each
+minimum) discard most, the whole sets decide, and only what joins two components is sent on. A pair at 0.8 falls below ``AGREED`` agreeing
+bytes in one of a million cases. A group of one component, as large groups of copies are, costs its rows and not its pairs.
 
 Words are op4's. Edge cases: a text of one to four words has one shingle; texts without words, null ones too, are copies of each other;
 rows without a doc_id are copies like others and come after them in the order. Of a group the row with the smallest doc_id stays, of rows
@@ -34,10 +34,8 @@ from cataloom.llm.scratch import drop, written
 WORDS, LEAST = 5, 0.8
 #: Bands, minima of a band; sets of a group that all meet.
 BANDS, ROWS, GROUP = 24, 4, 32
-#: Agreeing bytes of two signatures that may be near; candidates of a set in the first round; sets of a large group that one task compares with as many.
-AGREED, FIRST, PART = 56, 16, 2048
-#: Pairs of a set from which its part of the confirmation is spread, and over how many tasks.
-HUB, SALTS = 64, 64
+#: Agreeing bytes of two signatures that may be near; sets of a block of a large group.
+AGREED, PART = 58, 2048
 
 _R = np.random.default_rng(5)
 _TIMES, _PLUS = _R.integers(0, 2**63, (2, BANDS * ROWS), np.uint64)
@@ -106,59 +104,68 @@ def _members(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def propose(signature: np.ndarray, root: np.ndarray, node: np.ndarray, mine: np.ndarray, most: int) -> list[tuple[int, int, bool]]:
-    """(u, v, more left) for the sets of a part: the ``most`` sets of other components whose signatures agree most.
-
-    ``mine`` marks one of two parts that meet; without a mark it is one part. Sets of the largest component meet none of their own, so
-    only the others look for partners.
-    """
-    roots, counts = np.unique(root, return_counts=True)
-    out: list[tuple[int, int, bool]] = []
-    for i in np.flatnonzero(root != roots[counts.argmax()]).tolist():
-        other = np.flatnonzero((root != root[i]) & ((mine != mine[i]) if mine.any() and not mine.all() else True))
-        if not len(other):
-            continue
-        agreed = (signature[other] == signature[i]).sum(1)
-        near = agreed >= AGREED
-        other, agreed = other[near], agreed[near]
-        if len(other) > most:
-            other = other[np.lexsort((node[other], -agreed))[:most]]
-        out += [(int(node[i]), int(j), int(near.sum()) > most) for j in node[other]]
+def join_parts(asks: list, known: list) -> list[tuple[int, int]]:
+    """Edges between components, from two blocks of sets (node, root, signature, set): at most one for each pair of components that it joins."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    signature = np.frombuffer(b"".join(r[2] for r in known), np.uint8).reshape(len(known), -1)
+    roots = np.array([r[1] for r in known])
+    size = np.array([len(r[3]) for r in known])
+    out = []
+    for node, root, own, s in asks:
+        mine = np.frombuffer(own, np.uint8)
+        near = (roots != root) & (np.minimum(size, len(s)) >= LEAST * np.maximum(size, len(s)))
+        near = np.flatnonzero(near)
+        near = near[(signature[near] == mine).sum(1) >= AGREED]
+        for k in near.tolist():
+            a, b = find(root), find(int(roots[k]))
+            if a == b:
+                continue
+            both = np.intersect1d(s, known[k][3], assume_unique=True).size
+            if both >= LEAST * (len(s) + size[k] - both):
+                parent[max(a, b)] = min(a, b)
+                out.append((node, known[k][0]))
     return out
 
 
-def _proposals(members: DataFrame, nodes: DataFrame, rooted: DataFrame, most: int) -> DataFrame:
-    """(u, v, more) between the components that large groups still fall into."""
-    large = members.where(F.col("n") > GROUP).select("key", "node", "n").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = large.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("key")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    rows = large.join(split, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.join(nodes.select("node", "signature"), "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "root", "signature")
+def _joined(members: DataFrame, nodes: DataFrame, sets: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(u, v) near pairs between the components that large groups still fall into."""
+    large = members.where(F.col("n") > GROUP).select("key", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sized = large.groupBy("key", "root").count()
+    top = sized.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.max("count").alias("most"), F.sum("count").alias("n")).where("n > most")
+    blocks = lambda n: F.ceil(n / PART).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = large.join(top, "key").withColumns({"parts": blocks(F.col("n")), "asking": blocks(F.col("n") - F.col("most"))})
+    known = rows.select("key", own(F.col("parts")).alias("part"), all_(F.col("asking")).alias("block"), F.lit(False).alias("asks"), "node", "root")
+    asks = rows.where("root <> top").select("key", all_(F.col("parts")).alias("part"), own(F.col("asking")).alias("block"), F.lit(True).alias("asks"), "node", "root")
+    dealt = known.union(asks).join(nodes.select("node", "signature"), "node").join(sets, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        own, first = table.column("own").to_numpy(), table.column("a").to_numpy()
-        found = propose(signature, table.column("root").to_numpy(), table.column("node").to_numpy(), own == first, most)
-        columns = zip(*found, strict=True) if found else ((), (), ())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["u", "v", "more"])
+        values = [np.asarray(x.values) for x in table.column("s")]
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("node", "root", "signature")), values, strict=True))
+        asking = table.column("asks").to_pylist()
+        found = join_parts([r for r, a in zip(rows, asking, strict=True) if a], [r for r, a in zip(rows, asking, strict=True) if not a])
+        return pa.Table.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], names=["u", "v"])
 
-    return rows.groupBy("key", "a", "b").applyInArrow(compare, "u long, v long, more boolean")
+    return dealt.groupBy("key", "part", "block").applyInArrow(compare, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets, of ``sets(node, s)``, are similar enough."""
-    ordered, path = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
-    hubs = ordered.groupBy("v").count().where(F.col("count") > HUB).select("v", F.lit(True).alias("hub"))
-    spread = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = sets.select(F.col("node").alias("v"), F.col("s").alias("b")).join(hubs, "v", "left").select("v", "b", F.explode(spread).alias("salt"))
-    asked = ordered.join(hubs, "v", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0))
-    met = asked.select("u", "v", "salt").join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(right, ["v", "salt"])
-    met = met.where(F.least(F.size("a"), F.size("b")) >= LEAST * F.greatest(F.size("a"), F.size("b")))
+    ordered = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    sized = sets.select("node", F.size("s").alias("k"))
+    # sizes first, without the sets: most pairs of unlike length end here
+    alike = ordered.join(sized.select(F.col("node").alias("u"), F.col("k").alias("ku")), "u").join(sized.select(F.col("node").alias("v"), F.col("k").alias("kv")), "v")
+    alike = alike.where(F.least("ku", "kv") >= LEAST * F.greatest("ku", "kv")).select("u", "v")
+    met = alike.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     out, _ = written(met.withColumn("both", both).where(F.col("both") >= LEAST * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v"), "near")
-    drop(pairs.sparkSession, path)
     return out
 
 
@@ -176,17 +183,10 @@ def groups(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = texts.join(named, texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["mark"] == named["mark"])).groupBy("node").agg(F.first("text").alias("text"))
     sets, _ = written(_mapped(one, "s array<int>", lambda found: (np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32),)), "sets")
     edges = _confirmed(pairs, sets)
-    most, rooted = FIRST, components(edges)
-    while True:
-        more, path = written(_proposals(members, nodes, rooted, most), "proposals")
-        any_, left = more.agg(F.count("*"), F.coalesce(F.bool_or("more"), F.lit(False))).first()
-        if any_:
-            edges = edges.union(_confirmed(more.select("u", "v"), sets))
-            rooted = components(edges)
-        drop(spark, path)
-        if not left:
-            break
-        most *= 2
+    rooted = components(edges)
+    more, _ = written(_joined(members, nodes, sets, rooted), "joined")
+    if not more.isEmpty():
+        rooted = components(edges.union(more))
     rooted = nodes.select("node", "digest", "first").join(rooted, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     return marks.select("doc_id", "mark", "digest"), rooted
 

@@ -64,7 +64,6 @@ def test_copies_of_one_text_that_are_no_copies_of_each_other(spark, monkeypatch,
     """Only the text that all of them were made from connects them; it comes last."""
     monkeypatch.setattr(near_copies, "GROUP", 3)
     monkeypatch.setattr(near_copies, "PART", part)
-    monkeypatch.setattr(near_copies, "FIRST", 1)
     r = random.Random(4)
     words = [f"w{k}" for k in range(300)]
     rows = []
