@@ -56,24 +56,40 @@ def is_outcome_name(name: Column) -> Column:
     return F.coalesce(any_of(found), F.lit(False))
 
 
+def compact_name(c: Column) -> Column:
+    """An entity's name for comparison: without white space."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+
+
+# Words that mark a block of code as SQL.
+SQL_WORDS = ("SELECT", "UPDATE", "CASE", "FROM", "WHERE", "JOIN", "SET")
+
+
+def fence_language(code: Column) -> Column:
+    """The language that a block of code is marked with: sql where it has one of SQL's words, else none."""
+    return F.when(F.coalesce(any_of([F.upper(code).contains(w) for w in SQL_WORDS]), F.lit(False)), "sql").otherwise("")
+
+
 def fingerprint(*columns: Column | str) -> Column:
     """First twelve hex digits of a hash over the given values as canonical JSON (columns in the given order)."""
     return F.left(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), F.lit(12))
 
 
 def escape_markdown(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\|", r"\\|"), "\n", " ")
+    """For cells of tables: pipes and backticks escaped, a dash for null."""
+    return F.coalesce(F.regexp_replace(c, r"([|`])", r"\\$1"), F.lit("—"))
 
 
 def anchor(c: Column) -> Column:
-    """Heading text as a link target: lower case, words joined by dashes."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(c)), r"[^a-z0-9\s-]", ""), r"\s+", "-")
+    """Heading text as a link target: lower case, a dash for all that is no letter or digit, none at the ends."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", "-")), r"^-+|-+$", "")
 
 
 def lines_label(lines: Column) -> Column:
-    """[10, 20] as ``10–20``, [7, 7] as ``7``."""
-    lo, hi = F.array_min(lines), F.array_max(lines)
-    return F.when(lo == hi, lo.cast("string")).otherwise(F.concat_ws("–", lo.cast("string"), hi.cast("string")))
+    """[10, 20] as ``Lines 10–20``, [7] as ``Line 7``, none as a dash."""
+    span = F.concat(F.lit("Lines "), F.array_min(lines).cast("string"), F.lit("–"), F.array_max(lines).cast("string"))
+    one = F.concat(F.lit("Line "), F.get(lines, F.lit(0)).cast("string"))
+    return F.when(F.coalesce(F.size(lines), F.lit(0)) <= 0, "—").when(F.size(lines) == 1, one).otherwise(span)
 
 
 def path_under(path: Column, prefix: str, ignore_case: bool = False) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import name_and_number
+from cataloom.scratch import cut_lineage
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -39,11 +40,29 @@ def older_versions(df: DataFrame, key: str, position: str) -> DataFrame:
     return df.join(last, F.col(key) == F.col("__key")).where(F.col(position) < F.col("__last")).drop("__key", "__last")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], to: str) -> DataFrame:
+    """Numbers the rows of each key from 1 in the given order, which should be total.
+
+    Rows are ranged by key and order, counted by range, and numbered within it from what the ranges before hold. So a key with a third of all
+    rows is spread over ranges like any other.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))
+    theirs = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), "__before")
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    joined = ranged.withColumn("__own", own).join(theirs, [*on, F.col("__range") == F.col("__r")])
+    return joined.withColumn(to, (F.col("__own") + F.col("__before")).cast("int")).select(*df.columns, to)
+
+
+def _with_number(name: Column, n: Column) -> Column:
+    return F.when(n == 1, name).otherwise(F.concat(name, F.lit(" ("), n.cast("string"), F.lit(")")))
+
+
 def number_occurrences(df: DataFrame, name: str, position: str, to: str = "unique_name") -> DataFrame:
     """Second and later occurrences of a name get `` (2)``, `` (3)`` and so on."""
-    w = Window.partitionBy(name).orderBy(position)
-    n = F.row_number().over(w)
-    return df.withColumn(to, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    return numbered(df, [name], [position], "__number").withColumn(to, _with_number(F.col(name), F.col("__number"))).drop("__number")
 
 
 def number_bases(df: DataFrame, name: str, position: str, to: str = "unique_name") -> DataFrame:
@@ -53,14 +72,20 @@ def number_bases(df: DataFrame, name: str, position: str, to: str = "unique_name
 
 
 def allocate_names(new: DataFrame, taken: DataFrame, name: str = "name", position: str = "position", to: str = "unique_name") -> DataFrame:
-    """Names for new records that clash neither with taken ones nor with each other, case aside: the smallest free number from 2."""
+    """Names for new records that clash neither with taken ones nor with each other, case aside: the smallest free number of a base, 1 being none.
+
+    The r-th free number is r and as many more as there are taken numbers below it: the j-th taken number u is below it if u - j < r. So a
+    base's taken numbers are merged with its ranks and counted along.
+    """
     base, number = name_and_number(F.lower(F.col(name)))
-    used = taken.select(base.alias("__base"), number.alias("__used")).groupBy("__base").agg(F.collect_set("__used").alias("__used"))
-    ranked = new.withColumn("__base", base).withColumn("__rank", F.row_number().over(Window.partitionBy("__base").orderBy(position)))
-    ranked = ranked.withColumn("__all", F.count("*").over(Window.partitionBy("__base")))
-    joined = ranked.join(used, "__base", "left").withColumn("__used", F.coalesce("__used", F.array().cast("array<int>")))
-    upper = (F.col("__all") + F.size("__used") + 1).cast("int")
-    free = F.array_except(F.sequence(F.lit(1), upper), F.col("__used"))
-    n = F.element_at(free, F.col("__rank"))
+    used = taken.select(base.alias("__base"), number.alias("__used")).where("__used > 0").distinct()
+    used = numbered(used, ["__base"], ["__used"], "__j").select("__base", (F.col("__used") - F.col("__j") + 1).alias("__at"))
+    ranked = numbered(new.withColumn("__base", base), ["__base"], [position], "__rank")
+    # of each gap how many taken numbers come up to it, then ranks look up the gap that they fall in
+    gaps = used.groupBy("__base", "__at").agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy("__base").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    gaps = gaps.select("__base", "__at", F.sum("__n").over(upto).alias("__below"), F.lead("__at").over(Window.partitionBy("__base").orderBy("__at")).alias("__next"))
+    within = (F.col("g.__base") == F.col("r.__base")) & (F.col("r.__rank") >= F.col("g.__at")) & (F.col("g.__next").isNull() | (F.col("r.__rank") < F.col("g.__next")))
+    joined = ranked.alias("r").join(gaps.alias("g"), within, "left").select("r.*", F.coalesce("g.__below", F.lit(0)).alias("__below"))
     plain, _ = name_and_number(F.col(name))
-    return joined.withColumn(to, F.when(n == 1, plain).otherwise(F.concat(plain, F.lit(" ("), n.cast("string"), F.lit(")")))).drop("__base", "__rank", "__all", "__used")
+    return joined.withColumn(to, _with_number(plain, (F.col("__rank") + F.col("__below")).cast("int"))).drop("__base", "__rank", "__below")

@@ -8,13 +8,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cataloom.operators.graph import cut_lineage
+from cataloom.scratch import cut_lineage
 
-#: Most candidates that a task compares with: the distinct names are sent in blocks of this size.
-BLOCK = 2_000
+#: Strings of a block, of those too short for a shared key; parts that are tried on every text at once.
+BLOCK, TRIED = 2_000, 1_000
 
 
 def sliding_hamming(a: str, b: str) -> int:
@@ -26,27 +26,64 @@ def sliding_hamming(a: str, b: str) -> int:
     return int((np.lib.stride_tricks.sliding_window_view(y, len(x)) != x).sum(1).min())
 
 
+def _pieces(text: Column, size: Column, step: Column, last: Column) -> Column:
+    """Parts of ``size`` characters at every ``step``-th place up to ``last``, with their size."""
+    return F.transform(F.sequence(F.lit(1), last, step), lambda i: F.concat_ws(":", size.cast("string"), F.substr(text, i, size)))
+
+
+def _sharing(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs (name, candidate) of strings longer than ``most``, of which the shorter has one of its ``most`` + 1 equal blocks somewhere in the longer.
+
+    Of any two within ``most`` mismatches this holds, as each mismatch spoils one block.
+    """
+    size = lambda c: F.floor(F.length(c) / (most + 1)).cast("int")
+    sizes = left.select(size("low").alias("g")).union(right.select(size("low"))).distinct()
+    every = sizes.groupBy().agg(F.array_sort(F.collect_set("g")).alias("gs"))  # as many as there are lengths of names
+
+    def blocks(df: DataFrame) -> DataFrame:
+        g = size("low")
+        return df.withColumn("key", F.explode(F.array_distinct(_pieces(F.col("low"), g, g, g * most + 1))))
+
+    def parts(df: DataFrame) -> DataFrame:
+        sized = df.join(F.broadcast(every)).withColumn("g", F.explode("gs")).where(F.col("g") <= size("low"))
+        return sized.withColumn("key", F.explode(F.array_distinct(_pieces(F.col("low"), F.col("g"), F.lit(1), F.length("low") - F.col("g") + 1)))).drop("g", "gs")
+
+    pairs = lambda a, b, longer: a.join(b.withColumnsRenamed({"low": "other"}), "key").where(longer).select("name", "candidate")
+    return pairs(blocks(left), parts(right), F.length("low") <= F.length("other")).union(pairs(parts(left), blocks(right), F.length("low") > F.length("other"))).distinct()
+
+
+def _tried(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Each name with its nearest candidate of each block; for strings that everything is near to."""
+    blocks = max(1, -(-candidates.count() // BLOCK))
+    asked = names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True)).select("block", "asks", F.col("name").alias("s"))
+    dealt = candidates.select(F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.col("candidate").alias("s"))
+
+    def best(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        s = np.array(table.column("s").to_pylist(), object)
+        rows = [(n, min((sliding_hamming(n, c), c) for c in s[~asks])[1]) for n in s[asks]] if not asks.all() else []
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["name", "candidate"])
+
+    return asked.unionByName(dealt).groupBy("block").applyInArrow(best, "name string, candidate string")
+
+
 def nearest_names(names: DataFrame, name: str, candidates: DataFrame, candidate: str, most: int = 3) -> DataFrame:
     """(name, candidate, distance): for each distinct name its nearest candidate of at most ``most`` mismatches; ties go to the lesser one.
 
-    Candidates meet the names in blocks: each block is one key of an equi-join, and the best of all blocks is taken.
+    Strings meet in an equi-join over shared blocks, and only those pairs are measured. Strings of ``most`` characters or fewer, which are
+    near to everything, meet all others in blocks. Blank strings are near to nothing.
     """
-    left = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    right = candidates.select(F.col(candidate).alias("candidate")).where("candidate is not null").distinct()
-    blocks = max(1, -(-right.count() // BLOCK))
-    packed = right.groupBy(F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int").alias("block")).agg(F.array_sort(F.collect_list("candidate")).alias("candidates"))
-    asked = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for n, cs in zip(f["name"], f["candidates"], strict=True):
-                d, c = min((sliding_hamming(n, c), c) for c in cs)
-                if d <= most:
-                    rows.append((n, c, d))
-            yield pd.DataFrame(rows, columns=["name", "candidate", "distance"])
-
-    found = asked.mapInPandas(best, "name string, candidate string, distance int")
+    own = lambda df, c, to: df.select(F.col(c).alias(to), F.lower(c).alias("low")).where(F.trim(to) != "").distinct()
+    left, right = own(names, name, "name"), own(candidates, candidate, "candidate")
+    short = F.length("low") <= most
+    pairs = _sharing(left.where(~short), right.where(~short), most)
+    few, many = left.where(short), right.where(short)
+    if not few.isEmpty():
+        pairs = pairs.union(_tried(few, right))
+    if not many.isEmpty():
+        pairs = pairs.union(_tried(left, many))
+    distance = F.pandas_udf(lambda a, b: pd.Series([sliding_hamming(x, y) for x, y in zip(a, b, strict=True)], dtype="int32"), "int")
+    found = pairs.withColumn("distance", distance("name", "candidate")).where(F.col("distance") <= most)
     return found.groupBy("name").agg(F.min(F.struct("distance", "candidate")).alias("b")).select("name", "b.candidate", "b.distance")
 
 
@@ -147,32 +184,44 @@ def assign_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str
     return _settle(queries.select(F.col(id_).cast("long").alias("query")), offers, block)
 
 
+def with_unmatched(queries: DataFrame, id_: str, found: DataFrame) -> DataFrame:
+    """(query, target, score) of all queries: those without a target have a score of zero."""
+    every = queries.select(F.col(id_).cast("long").alias("query")).distinct().join(found, "query", "left")
+    return every.withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def containing(texts: DataFrame, text_id: str, text: str, parts: DataFrame, part_id: str, part: str, anchor_words: int = 6) -> DataFrame:
     """(text_id, part_id) where a text contains a part.
 
     A part's inner words stand between blanks in any text that contains it. Parts and texts meet in an equi-join over the hash of a run of
-    inner words, ``anchor_words`` of them or as many as a shorter part has, and the whole part is compared only there. Parts without inner words
-    (one or two words) are few by nature and are tried on every text.
+    inner words, ``anchor_words`` of them or as many as a shorter part has; only ids and hashes take part in it. The texts and parts that met are
+    then compared as a whole. Parts without inner words (one or two words) are tried on every text, ``TRIED`` of them in a pass.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    body = texts.select(F.col(text_id).alias("__doc"), F.col(text).alias("__body"))
-    own = parts.select(F.col(part_id).alias("__part"), F.col(part).alias("__text")).where("__text is not null and __text <> ''")
-    sized = own.withColumn("__inner", F.slice(words(F.col("__text")), 2, F.greatest(F.size(words(F.col("__text"))) - 2, F.lit(0))))
-    sized = sized.withColumn("__n", F.least(F.size("__inner"), F.lit(anchor_words)))
-    hits = []
-    for n in sorted(r[0] for r in sized.select("__n").distinct().collect()):  # at most anchor_words + 1 values
-        some = sized.where(F.col("__n") == n)
-        if n == 0:
-            hits.append(body.join(some, F.col("__body").contains(F.col("__text"))))
+    body = texts.select(F.col(text_id).alias("doc"), F.col(text).alias("body"))
+    own = parts.select(F.col(part_id).alias("part"), F.col(part).alias("said")).where("said is not null and said <> ''")
+    inner = F.slice(words(F.col("said")), 2, F.greatest(F.size(words(F.col("said"))) - 2, F.lit(0)))
+    sized = own.withColumn("inner", inner).withColumn("n", F.least(F.size("inner"), F.lit(anchor_words)))
+    sizes = dict(map(tuple, sized.groupBy("n").count().collect()))  # at most anchor_words + 1 rows
+    split = body.select("doc", words(F.col("body")).alias("words"))
+    hits, met = [], []
+    for n in sorted(sizes):
+        some = sized.where(F.col("n") == n)
+        if n:
+            keyed = some.select("part", F.xxhash64(F.concat_ws(" ", F.slice("inner", 1, n))).alias("key"))
+            runs = split.where(F.size("words") >= n).select("doc", F.explode(F.array_distinct(_runs(F.col("words"), n))).alias("key"))
+            met.append(runs.join(keyed, "key").select("doc", "part"))
             continue
-        keyed = some.withColumn("__key", F.xxhash64(F.concat_ws(" ", F.slice("__inner", 1, n)))).drop("__inner")
-        split = body.withColumn("__words", words(F.col("__body"))).where(F.size("__words") >= n)
-        runs = split.select("__doc", "__body", F.explode(F.array_distinct(_runs(F.col("__words"), n))).alias("__key"))
-        hits.append(runs.join(keyed, "__key").where(F.col("__body").contains(F.col("__text"))))
+        passes = -(-sizes[0] // TRIED)
+        for k in range(passes):
+            tried = some.where(F.pmod(F.xxhash64("part"), F.lit(passes)) == k).select("part", "said")
+            hits.append(body.join(F.broadcast(tried), F.col("body").contains(F.col("said"))).select("doc", "part"))
+    if met:
+        pairs = reduce(DataFrame.unionByName, met).distinct()
+        hits.append(pairs.join(body, "doc").join(own, "part").where(F.col("body").contains(F.col("said"))).select("doc", "part"))
     if not hits:
         return texts.select(text_id, F.lit(None).cast(parts.schema[part_id].dataType).alias(part_id)).limit(0)
-    found = [h.select(F.col("__doc").alias(text_id), F.col("__part").alias(part_id)) for h in hits]
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, hits).distinct().select(F.col("doc").alias(text_id), F.col("part").alias(part_id))
 
 
 def _runs(words, n: int):
@@ -180,15 +229,37 @@ def _runs(words, n: int):
 
 
 def best_suffix(paths: DataFrame, path: str, candidates: DataFrame, candidate: str) -> DataFrame:
-    """(path, match, common): for each distinct path the candidate with the same last component, case aside, that shares the longest run of last
-    components; ties go to the one with fewer components, then to the lesser one. An equi-join on the last component."""
-    parts = lambda c: F.filter(F.split(F.lower(c), "/"), lambda x: x != "")
-    a = paths.select(F.col(path).alias("path")).distinct().withColumn("__a", F.reverse(parts(F.col("path"))))
-    b = candidates.select(F.col(candidate).alias("match")).distinct().withColumn("__b", F.reverse(parts(F.col("match"))))
-    a, b = (df.where(F.size(c) > 0).withColumn("__last", F.col(c)[0]) for df, c in ((a, "__a"), (b, "__b")))
-    same = F.zip_with("__a", "__b", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first_off = F.array_position(same, False)
-    common = F.when(first_off == 0, F.size(same).cast("long")).otherwise(first_off - 1)
-    joined = a.join(b, "__last").withColumn("common", common)
-    best = F.min(F.struct((-F.col("common")).alias("c"), F.size("__b").alias("n"), "match")).alias("b")
-    return joined.groupBy("path").agg(best).select("path", "b.match", (-F.col("b.c")).alias("common"))
+    """(path, match, common): for each distinct path the candidate that it stands for.
+
+    A candidate with the same last component, case aside, comes first: the one with the fewest components (``common`` is 0). Without one
+    it is the candidate that shares the longest run of last components (``common`` of them), of these the one with the fewest. Ties go to the lesser one. For
+    runs, bundle folders go by their plain name, and a file named after the bundle that it stands in may stand for it.
+
+    Candidates are reduced to the best of each last component and of each run before anything is joined, so common names make no pairs.
+    """
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
+    asked = paths.select(F.col(path).alias("path")).distinct().withColumn("parts", parts(F.col("path"))).where(F.size("parts") > 0)
+    known = candidates.select(F.col(candidate).alias("match")).distinct().withColumn("parts", parts(F.col("match"))).where(F.size("parts") > 0)
+    last = lambda c: F.element_at(c, -1)
+    best = F.min(F.struct(F.size("parts").alias("n"), "match")).alias("best")
+    named = asked.join(known.groupBy(F.lower(last("parts")).alias("name")).agg(best), F.lower(last("parts")) == F.col("name"), "left")
+    direct = named.where("best is not null").select("path", "best.match", F.lit(0).alias("common"))
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda k: F.array_join(F.slice(c, -k, k), "/"))
+    runs = known.withColumn("parts", _plain(F.col("parts"))).withColumn("end", F.explode(ends(F.col("parts")))).groupBy("end").agg(best)
+    p = F.col("parts")
+    folder = F.when(F.size(p) > 1, F.element_at(p, -2))
+    base = F.regexp_extract(folder, BUNDLE, 1)
+    bundled = (base != "") & F.startswith(F.lower(last(p)), F.concat(F.lower(base), F.lit(".")))
+    ways = F.array_compact(F.array(_plain(p), F.when(bundled, _plain(F.slice(p, 1, F.size(p) - 1)))))
+    way = named.where("best is null").select("path", F.explode(ways).alias("way")).select("path", F.posexplode(ends(F.col("way"))).alias("k", "end"))
+    found = way.join(runs, "end").groupBy("path").agg(F.min(F.struct((-F.col("k") - 1).alias("k"), "best")).alias("b"))
+    return direct.union(found.select("path", "b.best.match", -F.col("b.k")))
+
+
+# A bundle's folder and the other name of bundles.
+BUNDLE, BUNDLES = r"^(.+)\.(?i:lwc)$", ("lwc_bundle", "lwc")
+
+
+def _plain(parts: Column) -> Column:
+    bare = lambda x: F.regexp_replace(x, r"\.lwc$", "")
+    return F.transform(parts, lambda x: F.when(bare(x) == BUNDLES[0], BUNDLES[1]).otherwise(bare(x)))

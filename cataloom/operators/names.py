@@ -20,6 +20,19 @@ def resolve(refs: DataFrame, ref: str, targets: DataFrame, name: str, id_: str,
     return refs.join(index, key == F.col("__name"), "left").withColumnRenamed("__id", to).drop("__name")
 
 
+def resolve_in_scope(refs: DataFrame, ref: str, existing: DataFrame, generated: DataFrame, to: str, scope: DataFrame | None = None) -> DataFrame:
+    """Adds the id that a name stands for, case aside: among existing records of the scope (ids), else among generated ones, which only fill gaps."""
+    own = existing.join(scope.select(F.col("id")).distinct(), "id", "left_semi") if scope is not None else existing
+    both = own.select("id", "name", F.lit(0).alias("__rank")).unionByName(generated.select("id", "name", F.lit(1).alias("__rank")))
+    return resolve(refs, ref, both, "name", "id", to, ignore_case=True, priority="__rank")
+
+
+def names_of(refs: DataFrame, id_: str, records: DataFrame, to: str) -> DataFrame:
+    """Adds the name of an id, null where it isn't known; the export's inverse of ``resolve``."""
+    index = records.groupBy(F.col("id").alias("__id")).agg(F.min("name").alias("__name"))
+    return refs.join(index, F.col(id_) == F.col("__id"), "left").withColumnRenamed("__name", to).drop("__id")
+
+
 def unambiguous(targets: DataFrame, name: str, id_: str) -> DataFrame:
     """(__name, __id) of names that stand for exactly one id."""
     return targets.groupBy(F.col(name).alias("__name")).agg(F.count("*").alias("__n"), F.min(id_).alias("__id")).where("__n = 1").drop("__n")

@@ -120,7 +120,43 @@ def report_order(category: Column, name: Column, ranks: dict[str, int]) -> list[
 def markdown_sections(logics: DataFrame) -> DataFrame:
     """(id, toc, body): each logic's line of the table of contents and its section. Put together in report order by the writer."""
     field = lambda label, c: F.when(~blank(F.col(c)), F.concat(F.lit(f"**{label}:** "), escape_markdown(F.col(c)), F.lit("\n\n"))).otherwise("")
-    code = F.when(~blank(F.col("code_file")), F.concat(F.lit("**Code:** `"), F.col("code_file"), F.coalesce(F.concat(F.lit(":"), lines_label(F.col("code_lines"))), F.lit("")), F.lit("`\n\n"))).otherwise("")
+    code = F.when(~blank(F.col("code_file")), F.concat(F.lit("**Code:** `"), F.col("code_file"), F.lit("`"), F.when(F.size("code_lines") > 0, F.concat(F.lit(" ("), lines_label(F.col("code_lines")), F.lit(")"))).otherwise(""), F.lit("\n\n"))).otherwise("")
     body = F.concat(F.lit("## "), F.col("name"), F.lit("\n\n"), field("Purpose", "purpose"), field("Spec", "spec"), code, field("Example", "example"))
     toc = F.concat(F.lit("- ["), F.col("name"), F.lit("](#"), anchor(F.col("name")), F.lit(")"))
     return logics.select("id", "name", "category", toc.alias("toc"), body.alias("body"))
+
+
+def document(logics: DataFrame, order: Sequence[Column], title: str) -> DataFrame:
+    """(line_no, text): a whole report, table of contents first; written as text in the order of ``line_no``.
+
+    Sections are numbered over ranges of rows, and none of the text passes through one task.
+    """
+    from cataloom.operators.keys import numbered
+
+    keys = {f"__o{i}": c for i, c in enumerate(order)}
+    rows = logics.withColumns(keys).withColumn("__all", F.lit(0))
+    placed = numbered(rows, ["__all"], [*keys], "__at").drop("__all", *keys)
+    said = markdown_sections(placed).join(placed.select("id", "__at"), "id")
+    head = logics.sparkSession.createDataFrame([(0, 0, f"# {title}")], "part int, __at int, text string")
+    parts = head.unionByName(said.select(F.lit(1).alias("part"), "__at", F.col("toc").alias("text"))).unionByName(said.select(F.lit(2).alias("part"), "__at", F.col("body").alias("text")))
+    return numbered(parts.withColumn("__all", F.lit(0)), ["__all"], ["part", "__at"], "line_no").select("line_no", "text")
+
+
+def export_text(grouped: DataFrame, form: str = "plain", file: str = "code_file") -> DataFrame:
+    """(first_position, text): each file of a grouped export as plain lines, markdown or a JSON object."""
+    names = F.col("names")
+    if form == "json":
+        text = F.to_json(F.struct(F.col(file).alias("file"), names.alias("logics")))
+    elif form == "md":
+        text = F.concat(F.lit("## "), file, F.lit("\n\n"), F.array_join(F.transform(names, lambda n: F.concat(F.lit("- "), n)), "\n"), F.lit("\n"))
+    else:
+        text = F.concat(file, F.lit("\n"), F.array_join(F.transform(names, lambda n: F.concat(F.lit("  "), n)), "\n"), F.lit("\n"))
+    return grouped.select("first_position", text.alias("text"))
+
+
+def audit_rows(tested: DataFrame, kind: str, path: str, source: str, tests: dict[str, Column], reasons: dict[str, str]) -> DataFrame:
+    """(kind, path, source, decision, reason, tests) of candidates: kept if all tests hold, else rejected for the first that fails."""
+    results = F.create_map(*[x for name, c in tests.items() for x in (F.lit(name), F.coalesce(c, F.lit(False)))])
+    first = F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), reasons[name]) for name, c in tests.items()])
+    decided = tested.select(F.lit(kind).alias("kind"), F.col(path).alias("path"), F.col(source).alias("source"), first.alias("reason"), results.alias("tests"))
+    return decided.select("kind", "path", "source", F.when(F.col("reason").isNull(), "kept").otherwise("rejected").alias("decision"), "reason", "tests")

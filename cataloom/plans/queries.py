@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.functions import text as T
 from cataloom.operators import audit, graph, keys, lineage, match, names, report, sets, upsert
+from cataloom.plans.registry import ORACLES as ORACLES
+from cataloom.plans.registry import QUERIES as QUERIES
+from cataloom.plans.registry import Tables, query, text_of
 from cataloom.sources import catalog, diagrams, jsonish, reports
 from cataloom.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The driver's tables by name."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function of Tables under its name, with its oracle."""
-
-    def register(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def text_of(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
-
-
 # ---- records by key
 
 
@@ -160,12 +130,16 @@ def append_unique(t: Tables) -> DataFrame:
 # ---- names and lookups
 
 
-@query("""with u as (select p_name as name, min(p_partkey) as id from part where p_partkey <= 60 group by p_name having count(*) = 1),
-  b as (select p_brand as name, min(p_partkey) as id from part where p_partkey <= 60 group by p_brand having count(*) = 1)
-  select p.p_partkey, u.id as resolved from part p left join u on u.name = p.p_name""")
+_NAMED = "select p_partkey, p_name || ' ' || p_size as name, p_brand || ' ' || p_size || ' ' || p_name as full_name from part"
+
+
+@query(f"""with p as ({_NAMED}), u as (select name, min(p_partkey) as id from p group by 1 having count(*) = 1),
+  f as (select full_name, min(p_partkey) as id from p group by 1 having count(*) = 1)
+  select p.p_partkey, coalesce(u.id, f.id) as resolved from p left join u on u.name = p.name left join f on f.full_name = p.full_name""")
 def unique_name_join(t: Tables) -> DataFrame:
-    refs = t.part.withColumn("fallback", F.concat(F.lit("no "), "p_name"))
-    return names.resolve_unambiguous(refs, ["p_name", "fallback"], t.part.where("p_partkey <= 60"), "p_name", "p_partkey", "resolved").select("p_partkey", "resolved")
+    p = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_size").alias("name"), F.concat_ws(" ", "p_brand", "p_size", "p_name").alias("full_name"))
+    targets = p.select("p_partkey", "name").union(p.select("p_partkey", "full_name"))
+    return names.resolve_unambiguous(p, ["name", "full_name"], targets, "name", "p_partkey", "resolved").select("p_partkey", "resolved")
 
 
 @query("""select c.c_custkey, n.k as nation from customer c left join (select lower(n_name) as name, min(n_nationkey) as k from nation group by 1) n
@@ -176,18 +150,17 @@ def name_join_ci(t: Tables) -> DataFrame:
 
 
 @query("""select p_partkey, coalesce(a.g, b.g, 'Uncategorized') as label from part p
-  left join (select p_brand as k, min(p_type) as g from part where p_partkey % 50 = 0 group by 1) a on a.k = p.p_brand
-  left join (select p_size as k, min(p_type) as g from part where p_partkey % 50 = 0 group by 1) b on b.k = p.p_size""")
+  left join (select p_brand as k, min(p_type) as g from part group by 1) a on p.p_size % 3 <> 0 and a.k = p.p_brand
+  left join (select p_size as k, min(p_type) as g from part group by 1) b on p.p_size % 2 = 0 and b.k = p.p_size""")
 def category_group_lookup(t: Tables) -> DataFrame:
-    groups = t.part.where("p_partkey % 50 = 0").select(F.col("p_brand").alias("gname"), F.col("p_size").alias("gid"), F.col("p_type").alias("glabel"))
-    found = names.group_of(t.part, "p_brand", "p_size", groups, "gname", "gid", "glabel", F.lit("Uncategorized"), "label")
-    return found.select("p_partkey", "label")
+    groups = t.part.select(F.col("p_brand").alias("gname"), F.col("p_size").alias("gid"), F.col("p_type").alias("glabel"))
+    asked = t.part.select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("by_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("by_id"))
+    return names.group_of(asked, "by_name", "by_id", groups, "gname", "gid", "glabel", F.lit("Uncategorized"), "label").select("p_partkey", "label")
 
 
-@query("""select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as integer) as member_position, l_partkey
-  from lineitem where l_orderkey in (select o_orderkey from orders where o_orderkey % 10 = 0)""")
+@query("""select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as integer) as member_position, l_partkey from lineitem""")
 def ordered_members(t: Tables) -> DataFrame:
-    items = t.lineitem.where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
+    items = t.lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
     return names.members(items, "ids", t.part, "p_partkey").select("l_orderkey", "member_position", F.col("p_partkey").alias("l_partkey"))
 
 
@@ -238,9 +211,9 @@ def cost_grouping_sets(t: Tables) -> DataFrame:
 
 
 @query("""select event_type, count(distinct user_id) as files, round(100.0 * count(distinct user_id) / (select count(distinct user_id) from events), 6) as percent
-  from events where event_id % 3 = 0 group by 1""")
+  from events where value > 40 group by 1""")
 def coverage_pct(t: Tables) -> DataFrame:
-    seen = t.events.where("event_id % 3 = 0")
+    seen = t.events.where("value > 40")
     return report.coverage(seen, "event_type", "user_id", t.events, "user_id").withColumn("percent", F.round("percent", 6))
 
 
@@ -292,11 +265,11 @@ def events_by_hour(t: Tables) -> DataFrame:
 
 
 def _logics(t: Tables) -> DataFrame:
-    """part as logics and the first lineitems of each as its links."""
+    """part as logics and the lineitems of each as its links."""
     kind = F.when(F.col("l_quantity") > 45, F.lit(None)).when(F.col("l_quantity") > 40, " ").otherwise(F.col("l_returnflag"))
     source = F.when(F.col("l_suppkey") % 10 == 0, F.concat(F.lit("x"), text_of("l_suppkey"))).otherwise(text_of("l_suppkey"))
     link = F.struct(F.col("l_linestatus").alias("from_output"), F.col("l_returnflag").alias("to_input"), kind.alias("kind"), source.alias("from_logic_id"))
-    links = t.lineitem.where("l_linenumber = 1").groupBy("l_partkey").agg(F.collect_list(link).alias("links"))
+    links = t.lineitem.groupBy("l_partkey").agg(F.collect_list(link).alias("links"))
     category = F.when(F.col("p_size") % 7 == 0, " ").otherwise(F.col("p_brand"))
     base = t.part.select("p_partkey", text_of("p_partkey").alias("id"), F.col("p_name").alias("name"), category.alias("category"), (F.col("p_size") % 10 == 0).alias("archived"))
     return base.join(links, F.col("p_partkey") == F.col("l_partkey"), "left").drop("l_partkey", "p_partkey")
@@ -304,7 +277,7 @@ def _logics(t: Tables) -> DataFrame:
 
 _SUMMARY = """with c as (select distinct p_brand as b from part where p_size < 3),
   lk as (select cast(l_partkey as varchar) as owner, case when l_quantity > 45 then null when l_quantity > 40 then ' ' else l_returnflag end as kind,
-    case when l_suppkey % 10 = 0 then 'x' || l_suppkey else cast(l_suppkey as varchar) end as src from lineitem where l_linenumber = 1),
+    case when l_suppkey % 10 = 0 then 'x' || l_suppkey else cast(l_suppkey as varchar) end as src from lineitem),
   ps as (select *, cast(p_partkey as varchar) as id, right(cast(p_partkey as varchar), 3) as code from part)
   select count(*) as total, count(*) filter (p_size % 10 = 0) as archived, count(*) filter (p_size % 10 <> 0) as active,
     (select count(*) from lk) as links, (select count(distinct owner) from lk) as logics_with_links, count(*) - (select count(distinct owner) from lk) as logics_without_links,
@@ -331,13 +304,13 @@ def issue_list(t: Tables) -> DataFrame:
     return audit.issues(_summary(t)).select("issue", "n")
 
 
-@query("""with r as (select o_custkey, o_orderkey from orders where o_orderkey % 3 = 0), h as (select c_custkey, case when c_custkey % 4 = 0 then '' else cast(c_custkey as varchar) end as top from customer)
+@query("""with r as (select o_custkey, o_orderkey from orders), h as (select c_custkey, case when c_custkey % 4 = 0 then '' else cast(c_custkey as varchar) end as top from customer)
   select (select count(*) from customer) as models, (select count(*) from r) as model_logic_refs, (select count(distinct o_orderkey) from r) as distinct_model_logic_refs,
     (select count(*) from r where o_orderkey not in (select p_partkey from part)) as missing_model_logic_refs, (select count(*) from h) as hierarchies,
     (select count(*) from h where top = '') as hierarchies_missing_top, (select count(*) from h where top <> '' and c_custkey in (select p_partkey from part)) as hierarchies_with_top,
     (select count(*) from h where top <> '' and c_custkey not in (select p_partkey from part)) as hierarchy_tops_missing_logic""")
 def model_summary(t: Tables) -> DataFrame:
-    refs = t.orders.where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.collect_list(text_of("o_orderkey")).alias("logicIds"))
+    refs = t.orders.groupBy("o_custkey").agg(F.collect_list(text_of("o_orderkey")).alias("logicIds"))
     top = F.when(F.col("c_custkey") % 4 == 0, "").otherwise(text_of("c_custkey"))
     models = t.customer.select("c_custkey", F.array(F.struct(top.alias("topId"))).alias("hierarchies")).join(refs, F.col("c_custkey") == F.col("o_custkey"), "left")
     return audit.model_summary(models, t.part.select(text_of("p_partkey").alias("id")))
@@ -420,12 +393,11 @@ def content_match(t: Tables) -> DataFrame:
     return match.containing(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
-@query("""with p as (select item_id, array_to_string(string_split(text, ' ')[1:8], ' ') as part from benchmark union
-    select item_id, array_to_string(string_split(text, ' ')[9:16], ' ') from benchmark where len(string_split(text, ' ')) >= 16)
+@query("""with w as (select item_id, string_split(text, ' ') as w from benchmark), p as (select distinct item_id, array_to_string(w[i:i + 7], ' ') as part from w, unnest(range(1, len(w) + 1, 8)) as r(i))
   select p.item_id, d.doc_id, count(*) as score from p join documents d on contains(d.text, p.part) group by 1, 2""")
 def overlap_score(t: Tables) -> DataFrame:
     words = F.split("text", " ")
-    parts = t.benchmark.select("item_id", F.array_join(F.slice(words, 1, 8), " ").alias("part")).union(t.benchmark.where(F.size(words) >= 16).select("item_id", F.array_join(F.slice(words, 9, 8), " ")))
+    parts = t.benchmark.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(words), F.lit(8)), lambda i: F.array_join(F.slice(words, i, 8), " "))).alias("part"))
     found = lineage.overlap_scores(parts, "item_id", "part", t.documents, "doc_id", "text")
     return found.select(F.col("document").alias("item_id"), F.col("run").alias("doc_id"), "score")
 
@@ -448,36 +420,62 @@ def latest_run_ids(t: Tables) -> DataFrame:
 
 
 @query("""with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
-  s as (select a.vec_id as query, b.vec_id as target, round(list_dot_product(a.v, b.v), 9) as s from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 5 = 0)
+  s as (select a.vec_id as query, b.vec_id as target, round(list_dot_product(a.v, b.v), 9) as s from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
   select query, target, round(s, 6) as score from (select *, row_number() over (partition by query order by s desc, target) as n from s) where n = 1 and s >= 0.2""")
 def knn_top1(t: Tables) -> DataFrame:
-    found = match.best_vectors(t.embeddings.where("vec_id % 5 = 0"), t.embeddings, "vec_id", "embedding", least=0.2)
+    found = match.best_vectors(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", least=0.2)
     return found.select("query", "target", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""with recursive e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+  s as (select a.vec_id as query, b.vec_id as target, round(list_dot_product(a.v, b.v), 9) as s from e a join e b on b.vec_id % 20 <> 0 where a.vec_id % 20 = 0),
+  o as (select query, list({'t': target, 's': s} order by s desc, target) as offers from s where s >= 0.25 group by 1),
+  q as (select e.vec_id as query, coalesce(o.offers, []) as offers, row_number() over (order by e.vec_id) as n from e left join o on o.query = e.vec_id where e.vec_id % 20 = 0),
+  r as (select cast(0 as bigint) as n, cast(null as bigint) as query, cast([] as bigint[]) as used, cast(null as bigint) as target, cast(0 as double) as score
+    union all
+    select q.n, q.query, case when f.best is null then r.used else list_append(r.used, f.best.t) end, f.best.t, coalesce(f.best.s, 0)
+    from r join q on q.n = r.n + 1, lateral (select list_filter(q.offers, lambda x: not list_contains(r.used, x.t))[1] as best) f)
+  select query, target, round(score, 6) as score from r where n > 0""")
 def greedy_match(t: Tables) -> DataFrame:
-    found = match.assign_vectors(t.embeddings.where("vec_id % 5 = 0"), t.embeddings.where("vec_id % 5 <> 0"), "vec_id", "embedding", least=0.25)
-    return found.withColumn("score", F.round("score", 6))
+    asked = t.embeddings.where("vec_id % 20 = 0")
+    found = match.assign_vectors(asked, t.embeddings.where("vec_id % 20 <> 0"), "vec_id", "embedding", least=0.25)
+    return match.with_unmatched(asked, "vec_id", found).withColumn("score", F.round("score", 6))
 
 
-@query("""with a as (select distinct lower(p_type) as name, p_type as shown from part), b as (select distinct lower(p_name) as cand, p_name as shown from part),
-  o as (select a.shown as n, b.shown as c, case when length(name) <= length(cand) then name else cand end as s, case when length(name) <= length(cand) then cand else name end as l from a, b),
+@query("""with a as (select distinct p_name[1:p_size % 4] || '#' || p_name[p_size % 4 + 2:] || case when p_size % 5 = 0 then ' (of old)' else '' end as n from part), b as (select distinct p_name as c from part),
+  o as (select n, c, case when length(n) <= length(c) then lower(n) else lower(c) end as s, case when length(n) <= length(c) then lower(c) else lower(n) end as l from a, b),
   d as (select n, c, list_min(list_transform(range(0, length(l) - length(s) + 1), lambda i: list_sum(list_transform(range(1, length(s) + 1), lambda j: case when s[j] <> l[i + j] then 1 else 0 end)))) as dist from o)
-  select n as name, c as candidate, cast(dist as integer) as distance from (select *, row_number() over (partition by n order by dist, c) as k from d) where k = 1 and dist <= 12""")
+  select n as name, c as candidate, cast(dist as integer) as distance from (select *, row_number() over (partition by n order by dist, c) as k from d) where k = 1 and dist <= 3""")
 def substr_hamming(t: Tables) -> DataFrame:
-    return match.nearest_names(t.part, "p_type", t.part, "p_name", most=12)
+    at = (F.col("p_size") % 4).cast("int")
+    said = F.concat(F.substr("p_name", F.lit(1), at), F.lit("#"), F.substr("p_name", at + 2), F.when(F.col("p_size") % 5 == 0, " (of old)").otherwise(""))
+    return match.nearest_names(t.part.select(said.alias("said")), "said", t.part, "p_name")
 
 
-@query("""with p as (select page_id, regexp_extract(regexp_replace(url, '^[^:]*://[^/?#]*', ''), '^[^?#]*') as path from pages),
-  q as (select page_id, path, list_reverse(list_filter(string_split(lower(path), '/'), lambda x: x <> '')) as parts from p),
-  a as (select distinct path, parts from q where page_id % 2 = 0 and len(parts) > 0), b as (select distinct path as m, parts as mp from q where page_id % 2 = 1 and len(parts) > 0),
-  j as (select path, m, len(mp) as k, (select count(*) from (select unnest(range(1, least(len(parts), len(mp)) + 1)) as i) where parts[1:i] = mp[1:i]) as common from a join b on parts[1] = mp[1])
-  select path, m as match, common from (select *, row_number() over (partition by path order by common desc, k, m) as n from j) where n = 1""")
+_PATHS = r"""p as (select page_id, list_filter(string_split(regexp_extract(regexp_replace(url, '^[^:]*://[^/?#]*', ''), '^[^?#]*'), '/'), lambda x: x <> '') as x from pages),
+  q as (select page_id, case when page_id % 10 = 4 then list_concat(x[1:len(x) - 1], ['Box.lwc', 'box.js']) when page_id % 10 = 6 then list_concat(['lwc_bundle'], x[1:len(x) - 1], [upper(x[len(x)])])
+    when page_id % 10 = 3 then list_concat(['src'], x[1:len(x) - 1], ['Box']) when page_id % 10 = 5 then list_concat(x[1:len(x) - 1], [x[len(x)] || '.lwc']) else x end as x from p where len(x) > 0)"""
+
+
+@query(rf"""with {_PATHS}, n as (select page_id, x, list_transform(x, lambda c: case when regexp_replace(c, '\.lwc$', '') = 'lwc_bundle' then 'lwc' else regexp_replace(c, '\.lwc$', '') end) as y from q),
+  a as (select distinct x, y from n where page_id % 2 = 0), b as (select distinct x as m, y as z from n where page_id % 2 = 1),
+  direct as (select x, arg_min(array_to_string(m, '/'), (len(m), array_to_string(m, '/'))) as match from a join b on lower(x[len(x)]) = lower(m[len(m)]) group by x),
+  ways as (select x, y as w from a union select x, y[1:len(y) - 1] from a where len(x) > 1 and x[len(x) - 1] like '%_.lwc' and starts_with(lower(x[len(x)]), lower(regexp_replace(x[len(x) - 1], '\.lwc$', '')) || '.')),
+  s as (select x, m, len(m) as k, (select count(*) from (select unnest(range(1, least(len(w), len(z)) + 1)) as i) where list_reverse(w)[1:i] = list_reverse(z)[1:i]) as c
+    from ways join b on w[len(w)] = z[len(z)] where x not in (select x from direct)),
+  far as (select x, arg_min(array_to_string(m, '/'), (-c, k, array_to_string(m, '/'))) as match, max(c) as common from s group by x)
+  select array_to_string(x, '/') as path, match, 0 as common from direct union all select array_to_string(x, '/'), match, cast(common as integer) from far""")
 def suffix_path_match(t: Tables) -> DataFrame:
-    path = F.regexp_replace(F.regexp_replace("url", r"^[^:]*://[^/?#]*", ""), r"[?#].*$", "").alias("path")
-    found = match.best_suffix(t.pages.where("page_id % 2 = 0").select(path), "path", t.pages.where("page_id % 2 = 1").select(path), "path")
-    return found.select("path", "match", F.col("common").cast("long").alias("common"))
+    path = F.regexp_replace(F.regexp_replace("url", r"^[^:]*://[^/?#]*", ""), r"[?#].*$", "")
+    x = F.filter(F.split(path, "/"), lambda c: c != "")
+    front, last = F.slice(x, 1, F.size(x) - 1), F.element_at(x, -1)
+    n = F.col("page_id") % 10
+    put = (
+        F.when(n == 4, F.concat(front, F.array(F.lit("Box.lwc"), F.lit("box.js")))).when(n == 6, F.concat(F.array(F.lit("lwc_bundle")), front, F.array(F.upper(last))))
+        .when(n == 3, F.concat(F.array(F.lit("src")), front, F.array(F.lit("Box")))).when(n == 5, F.concat(front, F.array(F.concat(last, F.lit(".lwc"))))).otherwise(x)
+    )
+    paths = t.pages.where(F.size(x) > 0).select("page_id", F.array_join(put, "/").alias("path"))
+    return match.best_suffix(paths.where("page_id % 2 = 0"), "path", paths.where("page_id % 2 = 1"), "path")
 
 
 @query("""select conv_id, turn, (select count(*) from conversations d where d.conv_id = c.conv_id and d.turn < c.turn) as n_before,
@@ -488,11 +486,14 @@ def sequence_before_after(t: Tables) -> DataFrame:
 
 # ---- graphs
 
-_EDGES = "(select distinct o_custkey % 60 as src, o_orderkey % 61 as dst from orders where o_orderkey % 211 = 0)"
+_EDGES = "(select o_orderkey as src, o_orderkey // 4 as dst from orders union select o_orderkey // 4, o_orderkey from orders where o_custkey % 25 = 0)"
 
 
 def _edges(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 211 = 0").select((F.col("o_custkey") % 60).alias("src"), (F.col("o_orderkey") % 61).alias("dst")).distinct()
+    """Every order leads to one of a quarter of its number, and those of some customers are led to by it too."""
+    up = t.orders.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 4).alias("dst"), "o_custkey")
+    back = up.where("o_custkey % 25 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return up.select("src", "dst").union(back).distinct()
 
 
 _CLOSURE = f"e as {_EDGES}, r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst)"
@@ -508,20 +509,18 @@ def cycle_edges(t: Tables) -> DataFrame:
     return graph.cyclic_edges(_edges(t))
 
 
-@query("""with e as (select distinct o_custkey % 60 as src, o_orderkey % 61 as dst from orders where o_orderkey % 7 = 0)
-  select a.src as u, a.dst as v from e a join e b on a.src = b.dst and a.dst = b.src where a.src < a.dst""")
+@query(f"with e as {_EDGES} select a.src as u, a.dst as v from e a join e b on a.src = b.dst and a.dst = b.src where a.src < a.dst")
 def mutual_pairs(t: Tables) -> DataFrame:
-    edges = t.orders.where("o_orderkey % 7 = 0").select((F.col("o_custkey") % 60).alias("src"), (F.col("o_orderkey") % 61).alias("dst"))
-    return graph.mutual_pairs(edges)
+    return graph.mutual_pairs(_edges(t))
 
 
-@query(f"""with e as {_EDGES}, n as (select src as id from e union select dst from e union select 1000), o as (select src, count(distinct dst) as k from e group by 1), i as (select dst, count(distinct src) as k from e group by 1),
+@query(f"""with e as {_EDGES}, n as (select src as id from e union select dst from e union select 10000000), o as (select src, count(distinct dst) as k from e group by 1), i as (select dst, count(distinct src) as k from e group by 1),
   d as (select id, coalesce(i.k, 0) as n_in, coalesce(o.k, 0) as n_out from n left join o on o.src = id left join i on i.dst = id)
   select id, n_in, n_out, n_out = 0 and n_in > 0 as is_terminal, n_in = 0 and n_out > 0 as is_source, n_in = 0 and n_out = 0 as is_isolated, n_in > 1 as has_many_before, n_out > 1 as has_many_after,
     n_in > 0 and n_out > 0 as is_mid_chain from d""")
 def degree_roles(t: Tables) -> DataFrame:
     e = _edges(t)
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).union(t.spark.range(1000, 1001)).distinct()
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).union(t.spark.range(10000000, 10000001)).distinct()
     return graph.roles(nodes, e)
 
 
@@ -577,12 +576,21 @@ def blank_unknown_categories(t: Tables) -> DataFrame:
     return upsert.blank_unknown_categories(t.part.select("p_partkey", F.col("p_brand").alias("category")), known).select("p_partkey", "category")
 
 
-@query("""with e as (select * from part where p_partkey % 2 = 0), f as (select * from (select *, row_number() over (partition by p_name, p_brand order by p_partkey) as n from e) where n = 1)
-  select i.p_partkey as id, case when f.p_partkey is not null and f.p_size <> i.p_size then 'replace' when f.p_partkey is not null then 'merge' else 'append' end as decision
-  from (select * from part where p_partkey % 2 = 1) i left join f on f.p_name = i.p_name and f.p_brand = i.p_brand""")
+_GENERATED = """g as (select p_partkey as row, p_name as name, p_brand as kind, case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then cast(p_partkey as varchar) else cast(p_partkey - p_partkey % 10 as varchar) end as given,
+    cast(p_partkey as varchar) as own, p_size % 3 as dmn, p_size as purpose from part),
+  e as (select own as id, name, kind, dmn, purpose from g where row % 2 = 0), i as (select row, given as id, name, kind, dmn, purpose from g where row % 2 = 1)"""
+
+
+@query(f"""with {_GENERATED}, n as (select name, kind, arg_min(id, id) as id, arg_min(dmn, id) as dmn from e group by 1, 2), c as (select name, kind, dmn, purpose, min(id) as id from e group by all)
+  select i.row, case when n.id is not null and n.dmn <> i.dmn then 'replace' when x.id is not null then 'merge' when i.id = '' and c.id is not null then 'duplicate' else 'append' end as decision,
+    case when n.id is not null and n.dmn <> i.dmn then n.id when x.id is not null then x.id when i.id = '' then c.id end as target_id
+  from i left join n on n.name = i.name and n.kind = i.kind left join e x on x.id = i.id left join c on c.name = i.name and c.kind = i.kind and c.dmn = i.dmn and c.purpose = i.purpose""")
 def generated_merge(t: Tables) -> DataFrame:
-    rec = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_size").alias("content"))
-    return upsert.merge_generated(rec.where("id % 2 = 0"), rec.where("id % 2 = 1"), ["name", "kind", "content"]).select("id", "decision")
+    own, key = text_of("p_partkey"), F.col("p_partkey")
+    given = F.when(key % 3 == 0, "").when(key % 3 == 1, own).otherwise(text_of(key - key % 10))
+    rec = t.part.select(key.alias("row"), given.alias("given"), own.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), (F.col("p_size") % 3).alias("dmn"), F.col("p_size").alias("purpose"))
+    old, new = rec.where("row % 2 = 0").drop("row", "given"), rec.where("row % 2 = 1").withColumn("id", F.col("given")).drop("given")
+    return upsert.merge_generated(old, new, ["name", "kind", "dmn", "purpose"], ["dmn"]).select("row", "decision", "target_id")
 
 
 @query("""select p_brand as code_file, cast(min(p_partkey) as bigint) as first_position, array_to_string(list(p_name order by p_partkey), '|') as names from (

@@ -19,16 +19,22 @@ def islands(rows: DataFrame, keys: list[str], order: str, starts: Column, to: st
     return rows.withColumn(to, F.sum(F.when(starts, 1).otherwise(0)).over(w))
 
 
+# Fixed value: a message of a sequence diagram.
+MESSAGE = r"(?U)^\s*([\w.]+)\s*[-=]+>\s*([\w.]+)\s*:\s*(.+\S)\s*$"
+
+
 def messages(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
-    """(document, step, from_participant, to_participant, function_name, description) of ``A -> B : fn() - text`` lines; steps count those lines."""
-    arrow = r'^\s*"?([^"\->:]+?)"?\s*(?:-+>+|<-+)\s*"?([^":]+?)"?\s*:\s*(.+?)\s*$'
-    found = lines(documents, document, text).where(F.col("line").rlike(arrow))
-    said = F.regexp_extract("line", arrow, 3)
+    """(document, step, from_participant, to_participant, function_name, description, raw_text) of ``A -> B : fn(x) - text`` lines.
+
+    Steps count those lines. A function keeps its parameters; the description is what follows the first dash between blanks.
+    """
+    found = lines(documents, document, text).where(F.col("line").rlike(MESSAGE))
+    said = stripped(F.regexp_extract("line", MESSAGE, 3))
     step = F.row_number().over(Window.partitionBy(document).orderBy("n"))
+    parts = F.split(said, " - ", 2)
     return found.select(
-        document, step.alias("step"), stripped(F.regexp_extract("line", arrow, 1)).alias("from_participant"), stripped(F.regexp_extract("line", arrow, 2)).alias("to_participant"),
-        stripped(F.regexp_replace(F.regexp_extract(said, r"^(.*?)(?:\s+-\s+.*)?$", 1), r"\(.*\)\s*$", "")).alias("function_name"),
-        stripped(F.regexp_extract(said, r"\s+-\s+(.*)$", 1)).alias("description"),
+        document, step.alias("step"), F.regexp_extract("line", MESSAGE, 1).alias("from_participant"), F.regexp_extract("line", MESSAGE, 2).alias("to_participant"),
+        stripped(parts[0]).alias("function_name"), stripped(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("description"), said.alias("raw_text"),
     )
 
 

@@ -10,11 +10,11 @@ from cataloom.plans import queries as plans
 def brute(rows, least):
     v = {i: np.array(x, np.float64) for i, x in rows}
     used, out = set(), {}
-    for q in sorted(i for i in v if i % 5 == 0):
-        best = sorted((-round(float(v[q] @ v[t]), 9), t) for t in v if t % 5 and t not in used)
+    for q in sorted(i for i in v if i % 20 == 0):
+        best = sorted((-round(float(v[q] @ v[t]), 9), t) for t in v if t % 20 and t not in used)
         if best and -best[0][0] >= least:
             used.add(best[0][1])
-            out[q] = best[0][1]
+        out[q] = best[0][1] if best and -best[0][0] >= least else None
     return out
 
 
