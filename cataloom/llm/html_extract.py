@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from cataloom.llm.url_filter import host_and_path
 
 #: Winning paths kept for a host; rows of winners that are broadcast; salts of the join beyond.
 WINNERS, SMALL_TABLE, SALTS = 8, 100_000, 32
+#: Characters that are shown of a path's last step; the digest before them holds them all.
+STEP = 120
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -67,15 +70,16 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """Elements of a page and its blocks of text."""
+    """Elements of a page and its blocks of text. A path is a digest of all its steps and the last of them, so its length is bounded; time is linear in the page."""
 
-    __slots__ = ("blocks", "dropped", "marks", "parent", "path", "tag")
+    __slots__ = ("article", "blocks", "container", "dropped", "marks", "parent", "path", "tag")
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.path, self.dropped = ["#"], [-1], [""], [False]
+        self.tag, self.parent, self.path, self.dropped, self.container, self.article = ["#"], [-1], ["/"], [False], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.marks: dict[int, bool] = {}  # elements dropped by a class or id, and if the marks are all about talk
         open_, pieces, links = [0], [], 0
+        within, opened = [0], Counter({"#": 1})  # open blocks, and how many elements of each kind are open
         found: list[tuple[int, list[tuple[int, str, bool]]]] = []  # block, its pieces: element, text, in a link
         unclosed: set[str] = set()
         at = 0
@@ -83,9 +87,22 @@ class Page:
         def flush() -> None:
             nonlocal pieces
             if pieces:
-                found.append((next((e for e in reversed(open_) if self.tag[e] in _BLOCK), 0), pieces))
+                found.append((within[-1], pieces))
                 pieces = []
 
+        def push(e: int) -> None:
+            open_.append(e)
+            opened[self.tag[e]] += 1
+            if self.tag[e] in _BLOCK:
+                within.append(e)
+
+        def pop() -> str:
+            e = open_.pop()
+            opened[self.tag[e]] -= 1
+            if within[-1] == e:
+                within.pop()
+            return self.tag[e]
+
         def put(raw: str) -> None:
             if raw and not self.dropped[open_[-1]]:
                 pieces.append((open_[-1], entities.unescape(raw) if "&" in raw else raw, links > 0))
@@ -115,8 +132,8 @@ class Page:
                     flush()
                 if name == "br":
                     pieces.append((open_[-1], " ", False))
-                elif name in map(self.tag.__getitem__, open_):
-                    while self.tag[open_.pop()] != name:
+                elif opened[name]:
+                    while pop() != name:
                         pass
                 continue
             if name in _BLOCK:
@@ -125,11 +142,12 @@ class Page:
             elif name == "br":
                 pieces.append((open_[-1], " ", False))
             closes = _CLOSES_OWN.get(name, frozenset()) | ({"p"} if name in _CLOSES_P else frozenset())
-            if closes:
+            if any(opened[t] for t in closes):
                 for k in range(len(open_) - 1, 0, -1):
                     t = self.tag[open_[k]]
                     if t in closes:
-                        del open_[k:]
+                        while len(open_) > k:
+                            pop()
                         break
                     if t in _CONTAINER or t in ("ul", "ol", "dl", "table"):
                         break
@@ -139,11 +157,11 @@ class Page:
                 links += 1
             if name in _BLOCK or m[4].strip(" /\n"):
                 self._add(name, m[4], open_[-1])
-                open_.append(len(self.tag) - 1)
-                if m[4].endswith("/") and name not in _BLOCK:
-                    open_.pop()
+                if not m[4].endswith("/") or name in _BLOCK:
+                    push(len(self.tag) - 1)
             else:
-                self._plain(name, open_)
+                self._plain(name, open_[-1])
+                push(len(self.tag) - 1)
         put(html[at:])
         flush()
         self._excuse(found)
@@ -182,13 +200,17 @@ class Page:
             if text:
                 self.blocks.append((block, text, sum(len(t.strip()) for _, t, linked in kept if linked)))
 
-    def _plain(self, name: str, open_: list[int]) -> None:
-        parent = open_[-1]
+    def _element(self, name: str, parent: int, path: str, dropped: bool) -> None:
+        e = len(self.tag)
         self.tag.append(name)
         self.parent.append(parent)
-        self.path.append(self.path[parent])
-        self.dropped.append(self.dropped[parent] or name in _FURNITURE)
-        open_.append(len(self.tag) - 1)
+        self.path.append(path)
+        self.dropped.append(dropped)
+        self.container.append(e if name in _CONTAINER else self.container[parent])
+        self.article.append(self.article[parent] or name in ("article", "main") or (name in _CONTAINER and bool(_POST.search(path.rpartition("/")[2]))))
+
+    def _plain(self, name: str, parent: int) -> None:
+        self._element(name, parent, self.path[parent], self.dropped[parent] or name in _FURNITURE)
 
     def _add(self, name: str, attributes: str, parent: int) -> None:
         named: dict[str, str] = {}
@@ -197,48 +219,37 @@ class Page:
                 named.setdefault(k.lower(), a or b or c)
         names = [_WORDS.findall(x) for x in f"{named.get('class', '')} {named.get('id', '')}".split()]
         kind = ".".join(sorted(_DIGITS.sub("N", x) for x in named.get("class", "").split()))
-        self.tag.append(name)
-        self.parent.append(parent)
-        self.path.append(f"{self.path[parent]}/{name}" + (f".{kind}" if kind else "") if name in _BLOCK else self.path[parent])
+        path = self.path[parent]
+        if name in _BLOCK:
+            step = f"{name}.{kind}" if kind else name
+            path = f"{xxhash.xxh3_128_hexdigest(path + '/' + step)}/{step[:STEP]}"
         drop = self.dropped[parent]
         if not drop and name not in ("html", "body", "main", "article"):
             drop = (
                 name in _FURNITURE
-                or (name == "header" and not self._in_article(parent))
+                or (name == "header" and not self.article[parent])
                 or named.get("role", "").lower() in _ROLES
                 or "hidden" in named
                 or named.get("aria-hidden") == "true"
                 or "display:none" in named.get("style", "").replace(" ", "").lower()
             )
-        self.dropped.append(drop)
+        self._element(name, parent, path, drop)
         if not drop and name not in ("html", "body", "main"):
             marks = {w.lower() for words in names if words and words[0].lower() not in _STATES for w in words} & _MARKS
             if marks:
                 self.marks[len(self.tag) - 1] = marks <= _TALK
 
-    def _in_article(self, e: int) -> bool:
-        while e >= 0:
-            if self.tag[e] in ("article", "main") or (self.tag[e] in _CONTAINER and _POST.search(self.path[e].rpartition("/")[2])):
-                return True
-            e = self.parent[e]
-        return False
-
-    def _container(self, e: int) -> int:
-        while e > 0 and self.tag[e] not in _CONTAINER:
-            e = self.parent[e]
-        return e
-
     def scores(self) -> dict[int, float]:
         """Score of every container that has text."""
         out: Counter[int] = Counter()
         for element, text, linked in self.blocks:
             worth = max(0, len(text) - 2 * linked) * (1 + min(text.count(","), 10) / 10)
-            e, share = self._container(element), 1.0
+            e, share = self.container[element], 1.0
             while share > 0.2:
                 out[e] += worth * share
                 if e <= 0:
                     break
-                e, share = self._container(self.parent[e]), share / 2
+                e, share = self.container[self.parent[e]], share / 2
         for e in out:
             if any(w.lower() in _GOOD for w in _WORDS.findall(self.path[e].rpartition("/")[2])):
                 out[e] *= 1.25

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -51,6 +52,26 @@ def test_main_text(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_the_hosts_vote_decides_a_page(spark):
+    """A page whose own best container is another one gives the text at its host's path; alone on its host it doesn't."""
+    long = "<div class='archive'>" + "<p>old entries of the archive, one after the other, with many words</p>" * 40 + "</div>"
+    odd = "<html><body>" + long + "<div class='post-99'><h1>New</h1><p>The entry itself.</p></div></body></html>"
+    rows = [(i, f"http://h.org/{i}", f"<html><body><div class='post-{i}'><h1>N {i}</h1><p>An entry of some words, which are its text.</p></div></body></html>") for i in range(9)]
+    rows += [(50, "http://h.org/odd", odd), (51, "http://alone.org/odd", odd)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[50] == "New\nThe entry itself." and got[51].startswith("old entries")
+    few = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), small_table=1).collect()}
+    assert few == got
+
+
+@pytest.mark.parametrize("html", ["<div>" * 50_000 + "text", "<b>" * 20_000 + "text" + "</i>" * 20_000, "<ul><li>" * 20_000 + "text", '<div class="c1">' * 50_000 + "text", "<b>" * 10_000 + "<p>text"])
+def test_deep_and_unclosed_markup_takes_linear_time(html):
+    began = time.process_time()
+    assert html_extract.extract(html, []) == "text"
+    assert time.process_time() - began < 10
+    assert max(map(len, html_extract.Page(html).path)) < 200
+
+
 def test_hosts_vote_on_generalised_paths(spark):
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", PAGE.format(n=i)) for i in range(20)], "page_id long, url string, html string")
     host, _ = html_extract.host_and_path(pages["url"])
