@@ -53,7 +53,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], to: str)
     theirs = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), "__before")
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     joined = ranged.withColumn("__own", own).join(theirs, [*on, F.col("__range") == F.col("__r")])
-    return joined.withColumn(to, (F.col("__own") + F.col("__before")).cast("int")).select(*df.columns, to)
+    return joined.withColumn(to, (F.col("__own") + F.col("__before")).cast("long")).select(*df.columns, to)
 
 
 def _with_number(name: Column, n: Column) -> Column:

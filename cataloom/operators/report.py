@@ -137,9 +137,9 @@ def document(logics: DataFrame, order: Sequence[Column], title: str) -> DataFram
     rows = logics.withColumns(keys).withColumn("__all", F.lit(0))
     placed = numbered(rows, ["__all"], [*keys], "__at").drop("__all", *keys)
     said = markdown_sections(placed).join(placed.select("id", "__at"), "id")
-    head = logics.sparkSession.createDataFrame([(0, 0, f"# {title}")], "part int, __at int, text string")
+    head = logics.sparkSession.createDataFrame([(0, 0, f"# {title}")], "part int, __at long, text string")
     parts = head.unionByName(said.select(F.lit(1).alias("part"), "__at", F.col("toc").alias("text"))).unionByName(said.select(F.lit(2).alias("part"), "__at", F.col("body").alias("text")))
-    return numbered(parts.withColumn("__all", F.lit(0)), ["__all"], ["part", "__at"], "line_no").select("line_no", "text")
+    return numbered(parts.withColumn("__all", F.lit(0)), ["__all"], ["part", "__at"], "line_no").select(F.col("line_no").cast("int").alias("line_no"), "text")
 
 
 def export_text(grouped: DataFrame, form: str = "plain", file: str = "code_file") -> DataFrame:
