@@ -3,7 +3,8 @@
 The plan is made over piece lengths, not pieces: a histogram of at most ``capacity`` lengths is all that reaches the
 driver. Pieces above a third of the capacity go at most two to a bin, by greedy matching (largest first, with the largest
 partner that fits); smaller ones, in falling length, fill the smallest gap that holds them. Pieces then look up their place by
-their rank among the pieces of equal length. Ranks are counted per (length, salt), so a hot length is spread over tasks.
+their rank among the pieces of equal length; ranks are counted over ranges of rows, so a hot length is spread over tasks. Full pieces, the
+commonest of all, need neither rank nor plan: each is a sequence, with a negative number.
 
 Edge cases: a null or empty text is one piece of the end token alone. Repeated rows are packed as often as they come. A
 null doc_id is kept as null. An empty table gives an empty result. Extra columns of the input are ignored.
@@ -19,15 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm.scratch import written
+from cataloom.operators.keys import numbered
 
 CAPACITY = 2048
 END = 0
-#: Shares into which the pieces of one length are dealt for ranking; the driver gets at most CAPACITY * SALTS counts.
-SALTS = 64
 #: Latin words, and what stands in a text other than such words with single marks between them. The tokenizer lower-cases
 #: such words and takes the marks apart; composed Latin letters are left as they are.
 _WORD, _OTHER = re.compile("[a-zß-öø-ÿ]+"), re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ \\n.,]|[.,]{2}")
@@ -198,24 +198,16 @@ def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndar
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    salted = cut(docs, path or tokenizer_path(), capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    pieces, _ = written(salted, "pieces")
-    counts = pieces.groupBy("length", "salt").count().collect()
-    total: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(map(tuple, counts)):
-        before[length, salt] = total.get(length, 0)
-        total[length] = total.get(length, 0) + n
-    shared = docs.sparkSession.sparkContext.broadcast((places(plan(total, capacity)), before))
+    pieces, _ = written(cut(docs, path or tokenizer_path(), capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    counts = dict(map(tuple, pieces.where(F.col("length") < capacity).groupBy("length").count().collect()))
+    shared = docs.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, before = shared.value
+        tables = shared.value
         for batch in batches:
-            length, salt = (batch.column(c).to_numpy() for c in ("length", "salt"))
-            key = length * SALTS + salt
-            base = {k: before[k // SALTS, k % SALTS] for k in np.unique(key).tolist()}
-            rank = batch.column("rank").to_numpy() - 1 + np.fromiter(map(base.__getitem__, key.tolist()), np.int64, len(key))
-            sequence, offset = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            rank = rank - 1
+            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             by = np.argsort(length, kind="stable")
             bounds = np.flatnonzero(np.diff(length[by])) + 1
             for rows in np.split(by, bounds):
@@ -228,7 +220,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    return pieces.withColumn("rank", F.row_number().over(order).cast("long")).mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ranked = numbered(pieces.where(F.col("length") < capacity), ["length"], ["row"], "rank")
+    shared_bins = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    own_bin = pieces.where(F.col("length") == capacity).select(*kept, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared_bins.unionByName(own_bin)

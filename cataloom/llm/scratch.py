@@ -6,25 +6,17 @@ A written table is computed once, survives lost executors and cuts the lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets one of our own only in a session that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="cataloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+from cataloom.scratch import shared_folder
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes ``df`` to the shared folder and reads it back: the table and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cataloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cataloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
