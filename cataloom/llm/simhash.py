@@ -2,11 +2,10 @@
 
 Fingerprints of equal value collapse first, so groups of exact copies cost one row. Distinct ones are dealt to blocks that
 agree in one of five bit bands: of two fingerprints that differ in at most four bits, one band is equal in both, so no link
-is lost. In a block, fingerprints are sorted by Gray rank, which puts those with shared bit patterns side by side. Leaves of
-sixteen hold the bits that all their members share; upper nodes hold what their children share. Two nodes whose shared bits
-differ too often are dropped with all that lies below them; nodes already known to be connected are dropped too. A block
-sends on a spanning forest, not its pairs. Blocks beyond ``BLOCK_ROWS`` are split in parts that meet pairwise; block sizes are
-counted in Spark, over at most 40,960 blocks.
+is lost. Where there are too many for that, blocks agree in two of six bands, or three of seven. In a block, fingerprints are sorted by Gray rank,
+which puts those with shared bit patterns side by side. Leaves of sixteen hold the bits that all their members share; upper nodes hold what their
+children share. Two nodes whose shared bits differ too often are dropped with all that lies below them; nodes already known to be connected are
+dropped too. A block sends on a spanning forest, not its pairs. Blocks beyond ``BLOCK_ROWS`` are split in parts that meet pairwise.
 
 Edge cases: a text without words (null, empty, blank) has fingerprint zero and links like any other. A null doc_id takes no part
 in linking; its row gets the component of its fingerprint, null if no other row has that. Repeated rows stay rows. An empty table
@@ -16,6 +15,7 @@ gives an empty result; extra columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,6 @@ from cataloom.llm.scratch import written
 
 #: Words of a shingle, seed of its hash, most differing bits of a link.
 WORDS, SEED, BITS = 4, 42, 4
-#: (lowest bit, number of bits) of the bands; one more than BITS.
-BANDS = ((51, 13), (38, 13), (25, 13), (12, 13), (0, 12))
 #: Rows of a block before it is split; members of a node.
 BLOCK_ROWS, FAN = 65_536, 16
 #: Bytes of a text whose words are held at once.
@@ -164,11 +162,8 @@ def link_block(fp: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _link_run(tile: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges of whole blocks: rows ordered by block."""
-    band = tile >> 13
-    shift = np.array([(64 - lo - n) % 64 for lo, n in BANDS], np.uint64)[band]
-    turned = (fp << shift) | (fp >> ((np.uint64(64) - shift) % np.uint64(64)))
-    order = np.lexsort((gray_rank(turned), tile))
+    """Forest edges of whole blocks: rows ordered by block. The bits that a block shares don't change the Gray order of the others."""
+    order = np.lexsort((gray_rank(fp), tile))
     tile, fp, node = tile[order], fp[order], node[order]
     starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
     length = np.diff(np.append(starts, len(tile)))
@@ -186,21 +181,36 @@ def _link_run(tile: np.ndarray, fp: np.ndarray, node: np.ndarray, bits: int) ->
     return node[linked], node[root[linked]]
 
 
-def links(distinct: DataFrame, bits: int = BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def deals(rows: int, bits: int = BITS, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
+    """(bands, bands of a block): as few as leave blocks of a moderate size. Of so many bands, ``bits`` differing bits leave so many equal."""
+    for k in (1, 2, 3):
+        if rows <= block_rows << (k * (64 // (bits + k))) >> 4:
+            break
+    return bits + k, k
+
+
+def masks(bands: int, chosen: int) -> list[int]:
+    """For each choice of bands the bits of those bands."""
+    edges = np.linspace(0, 64, bands + 1).astype(int).tolist()
+    own = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(own, chosen)]
+
+
+def links(distinct: DataFrame, bits: int = BITS, block_rows: int = BLOCK_ROWS, deal: tuple[int, int] | None = None) -> DataFrame:
     """Edges (u, v) between the nodes of ``distinct(fp, node)`` that connect all fingerprints within ``bits`` bits."""
-    keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << n) - 1) + (b << 13) for b, (lo, n) in enumerate(BANDS)])
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    chosen = masks(*(deal or deals(distinct.count(), bits, block_rows)))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(chosen)])
     dealt = distinct.select("fp", "node", F.explode(keys).alias("block"))
-    sizes = dealt.groupBy("block").count().where(F.col("count") > block_rows)
-    parts = {b: -(-n // block_rows) for b, n in map(tuple, sizes.collect())}  # at most 5 * 2**13 rows
-    if parts:
-        table = F.create_map(*[F.lit(x) for b, n in parts.items() for x in (b, n)])
-        n = F.coalesce(F.try_element_at(table, "block"), F.lit(1))
-        mine = F.pmod(F.xxhash64("fp"), n).cast("int")
-        dealt = dealt.withColumn("n", n).withColumn("mine", mine)
-        other = F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.array("mine"))))
-        dealt = dealt.withColumn("other", other).withColumn("part", F.least("mine", "other") * 65536 + F.greatest("mine", "other"))
+    large = dealt.groupBy("block").count().where(F.col("count") > block_rows).select("block", F.ceil(F.col("count") / block_rows).cast("int").alias("n"))
+    if large.isEmpty():
+        dealt = dealt.withColumn("part", F.lit(0).cast("long"))
     else:
-        dealt = dealt.withColumn("part", F.lit(0))
+        n = F.coalesce("n", F.lit(1))
+        dealt = dealt.join(large, "block", "left").withColumns({"n": n, "mine": F.pmod(F.xxhash64("fp"), n).cast("int")})
+        rest = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.array("mine"))
+        dealt = dealt.withColumn("other", F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(rest)))
+        dealt = dealt.withColumn("part", F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

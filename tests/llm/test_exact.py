@@ -139,19 +139,26 @@ def test_long_texts_are_hashed_in_stretches(monkeypatch):
         assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("block_rows", [65_536, 300])
-def test_the_index_loses_no_link(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "deal"), [(65_536, None), (300, None), (100, (6, 2)), (65_536, (7, 3))])
+def test_the_index_loses_no_link(spark, block_rows, deal):
     r = np.random.default_rng(1)
     centres = r.integers(0, 2**63, 60, dtype=np.uint64)
     near = [int(c) ^ sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 7)), replace=False)) for c in centres for _ in range(12)]
     hub = [int(x) & ~((1 << 51) - 1) & 0xFFF8_0000_0000_0000 | int(y) for x, y in zip([5 << 51] * 700, r.integers(0, 2**20, 700), strict=True)]  # one block of the first band
     prints = sorted({*near, *hub})
     table = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "fp long, node long")
-    got = {x.node: x.root for x in components.components(simhash.links(table, block_rows=block_rows)).collect()}
+    got = {x.node: x.root for x in components.components(simhash.links(table, block_rows=block_rows, deal=deal)).collect()}
     want = brute_components([(i, j) for (i, a), (j, b) in combinations(enumerate(prints), 2) if (a ^ b).bit_count() <= 4], range(len(prints)))
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_deals_leave_as_many_bands_equal_as_they_need():
+    assert [simhash.deals(n) for n in (10, 10**8, 10**9, 10**11)] == [(5, 1), (6, 2), (6, 2), (7, 3)]
+    for bands, chosen in ((5, 1), (6, 2), (7, 3)):
+        own = simhash.masks(bands, chosen)
+        assert len(set(own)) == len(own) and sum(m.bit_count() for m in own) == 64 * len(own) * chosen // bands
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(50)] + [(7, 7)] + [(3, 2)] * 3
     table = spark.createDataFrame(pairs, "u long, v long")
