@@ -12,7 +12,7 @@ from cataloom.operators.match import best_suffix
 
 
 def scan(spark: SparkSession, folder: str, extensions: Sequence[str] = ()) -> DataFrame:
-    """path, extension (upper case), mtime, bytes of a tree's files, of the given extensions only if there are any."""
+    """path, extension (upper case), mtime, bytes of the files in a tree, of the given extensions only if there are any. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     own = F.upper(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     out = files.select("path", own.alias("extension"), F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"))

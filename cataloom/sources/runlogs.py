@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ ACTIVITIES = (
 )
 
 
-def read_logs(spark: SparkSession, path: str, glob: str = "*.{log,txt,out,md}") -> DataFrame:
-    """path, mtime and text of files that look like run logs by their first characters, each once."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+def read_logs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.{log,txt,out,md}") -> DataFrame:
+    """path, mtime and text of files under one or more folders that look like run logs by their first characters; each once, newest first."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load([path] if isinstance(path, str) else list(path))
     texts = files.select("path", F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text")).dropDuplicates(["path"])
     head = F.substring("text", 1, SNIFFED)
-    return texts.where(head.contains(MARK) & head.contains("HEADER"))
+    return texts.where(head.contains(MARK) & head.contains("HEADER")).orderBy(F.desc("mtime"), "path")
 
 
 def coerce(value: Column) -> Column:
