@@ -135,11 +135,11 @@ _NAMED = "select p_partkey, p_name || ' ' || p_size as name, p_brand || ' ' || p
 
 @query(f"""with p as ({_NAMED}), u as (select name, min(p_partkey) as id from p group by 1 having count(*) = 1),
   f as (select full_name, min(p_partkey) as id from p group by 1 having count(*) = 1)
-  select p.p_partkey, coalesce(u.id, f.id) as resolved from p left join u on u.name = p.name left join f on f.full_name = p.full_name""")
+  select p.p_partkey, coalesce(u.id, f.id, -1) as resolved from p left join u on u.name = p.name left join f on f.full_name = p.full_name""")
 def unique_name_join(t: Tables) -> DataFrame:
     p = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_size").alias("name"), F.concat_ws(" ", "p_brand", "p_size", "p_name").alias("full_name"))
     targets = p.select("p_partkey", "name").union(p.select("p_partkey", "full_name"))
-    return names.resolve_unambiguous(p, ["name", "full_name"], targets, "name", "p_partkey", "resolved").select("p_partkey", "resolved")
+    return names.resolve_unambiguous(p, ["name", "full_name"], targets, "name", "p_partkey", "resolved").select("p_partkey", F.coalesce("resolved", F.lit(-1)).alias("resolved"))
 
 
 @query("""select c.c_custkey, n.k as nation from customer c left join (select lower(n_name) as name, min(n_nationkey) as k from nation group by 1) n
