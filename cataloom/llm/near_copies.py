@@ -4,7 +4,7 @@ Equal sets collapse first. Candidates come from two places, and every candidate
 
 * the Gray-order index over SimHash fingerprints of the same shingles (``simhash.links``), which finds what differs in 4 of 64 bits;
 * bands of ``ROWS`` minima, ``BANDS`` of them, for what it can't reach: at a similarity of 0.8 about ten bits differ, which no banding
-  of 64 bits finds at size. A pair at 0.8 shares no band in 3 of a million cases.
+  of 64 bits finds at size. A pair at 0.8 shares no band in 3 of 100,000 cases.
 
 Sets of a band's group of up to ``GROUP`` all meet. In larger groups every set meets two of the group. Where such a group still falls into
 several components, the sets outside its largest one meet all sets of other components, in blocks of ``PART``: signatures (a byte of each
@@ -33,9 +33,9 @@ from cataloom.llm.scratch import drop, written
 #: Words of a shingle, least similarity of near copies.
 WORDS, LEAST = 5, 0.8
 #: Bands, minima of a band; sets of a group that all meet.
-BANDS, ROWS, GROUP = 24, 4, 32
+BANDS, ROWS, GROUP = 20, 4, 32
 #: Agreeing bytes of two signatures that may be near; sets of a block of a large group.
-AGREED, PART = 58, 2048
+AGREED, PART = 47, 2048
 
 _R = np.random.default_rng(5)
 _TIMES, _PLUS = _R.integers(0, 2**63, (2, BANDS * ROWS), np.uint64)
@@ -89,17 +89,17 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _band_pairs(members: DataFrame) -> DataFrame:
-    """(u, v) from ``members(key, node, n, least, pivot)``: all pairs of a small group, two for each set of a larger one."""
+    """(u, v) from ``members(key, node, n, least, most)``: all pairs of a small group, two for each set of a larger one."""
     few = members.where(F.col("n") <= GROUP).select("key", "node")
     pairs = few.withColumnRenamed("node", "u").join(few.withColumnRenamed("node", "v"), "key").where("u < v").select("u", "v")
-    return pairs.union(members.where(F.col("n") > GROUP).select(F.col("node").alias("u"), F.explode(F.array("least", "pivot")).alias("v")))
+    return pairs.union(members.where(F.col("n") > GROUP).select(F.col("node").alias("u"), F.explode(F.array("least", "most")).alias("v")))
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    banded, path = written(nodes.select("node", F.explode("bands").alias("key")).distinct(), "banded")
-    order = F.struct(F.xxhash64("node", "key"), "node")
-    sized = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(order).alias("first")).where("n > 1")
-    out, _ = written(banded.join(sized.select("key", "n", "least", F.col("first.node").alias("pivot")), "key"), "members")
+    """(key, node, n, least, most) of the groups of two sets or more."""
+    banded, path = written(nodes.select("node", F.explode("bands").alias("key")), "banded")
+    sized = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    out, _ = written(banded.join(sized, "key"), "members")
     drop(nodes.sparkSession, path)
     return out
 
@@ -179,7 +179,8 @@ def groups(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = _members(nodes)
     pairs, _ = written(_fingerprint_pairs(nodes).union(_band_pairs(members)), "candidates")
     named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.where(F.col("n") > GROUP).select("node")).distinct()
-    named = named.join(nodes.select("node", "first.doc_id", "first.mark"), "node")
+    # written first: where it is small its size is known, and the texts needn't be shuffled to meet it
+    named, _ = written(named.join(nodes.select("node", "first.doc_id", "first.mark"), "node"), "named")
     one = texts.join(named, texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["mark"] == named["mark"])).groupBy("node").agg(F.first("text").alias("text"))
     sets, _ = written(_mapped(one, "s array<int>", lambda found: (np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32),)), "sets")
     edges = _confirmed(pairs, sets)
