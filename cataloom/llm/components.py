@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large star: a node hands its larger neighbours its smallest neighbour. Small star: a node hands its smaller neighbours
     the smallest of them. Both keep components; together they end in stars after a logarithmic number of rounds. Minima are combined
-    before the shuffle, so hubs cost no more than other nodes there.
+    before the shuffle, so hubs cost no more than other nodes there; the joins that hand them out bring a hub's edges together, and are
+    left to Spark's splitting of skewed partitions.
     """
     spark = edges.sparkSession
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
