@@ -37,6 +37,9 @@ BANDS, ROWS, GROUP = 20, 4, 32
 #: Agreeing bytes of two signatures that may be near; sets of a block of a large group.
 AGREED, PART = 47, 2048
 
+#: Rows of ids and digests (40 bytes each) that are broadcast, so that texts needn't be shuffled to meet them; beyond, both sides are.
+SMALL = 1_000_000
+
 _R = np.random.default_rng(5)
 _TIMES, _PLUS = _R.integers(0, 2**63, (2, BANDS * ROWS), np.uint64)
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
@@ -81,6 +84,11 @@ def _marks(found: np.ndarray) -> tuple:
     return (xxhash.xxh3_128_digest(distinct.tobytes()), int(np.uint64(simhash.majority([found])).astype(np.int64)), np.array(keys, np.uint64).view(np.int64), least.astype(np.uint8).tobytes())
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where it is counted to be small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """(u, v) from the Gray-order index: a forest over sets with near fingerprints."""
     equal = nodes.groupBy("fp").agg(F.min("node").alias("v"))
@@ -179,9 +187,8 @@ def groups(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = _members(nodes)
     pairs, _ = written(_fingerprint_pairs(nodes).union(_band_pairs(members)), "candidates")
     named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.where(F.col("n") > GROUP).select("node")).distinct()
-    # written first: where it is small its size is known, and the texts needn't be shuffled to meet it
     named, _ = written(named.join(nodes.select("node", "first.doc_id", "first.mark"), "node"), "named")
-    one = texts.join(named, texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["mark"] == named["mark"])).groupBy("node").agg(F.first("text").alias("text"))
+    one = texts.join(_sent(named), texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["mark"] == named["mark"])).groupBy("node").agg(F.first("text").alias("text"))
     sets, _ = written(_mapped(one, "s array<int>", lambda found: (np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32),)), "sets")
     edges = _confirmed(pairs, sets)
     rooted = components(edges)
@@ -205,6 +212,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # rows that go, or that are several: few beside those that simply stay, which are found by their absence
     odd, _ = written(state.where("not stays or count > 1").drop("count"), "odd")
     same = packed["doc_id"].eqNullSafe(odd["doc_id"]) & (packed["mark"] == odd["mark"])
-    alone = packed.join(odd, same, "left_anti")
-    several = packed.join(odd.where("stays"), same, "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    alone = packed.join(_sent(odd), same, "left_anti")
+    several = packed.join(_sent(odd.where("stays")), same, "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return alone.select("row.*").unionByName(several.select("row.*"))

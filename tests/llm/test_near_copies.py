@@ -41,8 +41,10 @@ def test_the_stage_drops_all_near_copies(spark):
     assert len(near) > 60 and {r.doc_id for r in kept.collect()} == want
 
 
-def test_awkward_rows(spark):
-    """Nulls, repeated rows, one doc_id for several texts, columns with clashing names."""
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_awkward_rows(spark, monkeypatch, small):
+    """Broadcast or shuffled: nulls, repeated rows, one doc_id for several texts, columns with clashing names."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
     rows = [(1, None, "x", "a"), (2, " ", "x", "b"), (None, "", "x", "c"), (3, "some words", "y", "d"), (3, "some words", "b", "d"), (3, "other words here", "z", "e"), (None, "one more", "q", "f"), (None, "one more", "q", "f"), (None, "last", None, "g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, row_id string")
     kept = near_copies.keep_one(docs)
