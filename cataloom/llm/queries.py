@@ -78,6 +78,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import merkle
+
+    return merkle.prove(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import cuckoo
+
+    return cuckoo.dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_pii": op2_pii,
@@ -90,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk": op10_topk,
+    "op11_merkle": op11_merkle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -167,5 +181,57 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
-#: The others have learned parts, XXH64 or a tokenizer, which SQL has not; their tests compare them with brute force.
-ORACLES: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op6_suffix_sources": OP6_SOURCES_SQL, "op9_decontaminate": OP9_SQL, "op10_topk": OP10_SQL}
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(concat({}, {{}}))".format(", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")))
+_UPWARDS = """
+  SELECT tree, (n + 15) // 16, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM {} WHERE n > 1 GROUP BY tree, n, level, idx // 16"""
+_STEP = """
+  SELECT w.r, w.tree, w.level + 1, w.up, w.up // 16,
+         sha256(concat(array_to_string(ds[:w.idx % 16], ''), acc, array_to_string(ds[w.idx % 16 + 2:], ''))),
+         concat(proof, array_to_string(ds[:w.idx % 16], ''), array_to_string(ds[w.idx % 16 + 2:], ''))
+  FROM {} w JOIN {} s ON s.tree = w.tree AND s.level = w.level AND s.up = w.up"""
+
+OP11_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))
+), d AS (
+  SELECT row_number() OVER () AS r, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree, doc_id, {_LEAF.format(_FIELD.format("text"))} AS leaf,
+         CASE WHEN xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                                   lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0
+              THEN {_LEAF.format(_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} END AS tampered
+  FROM documents, crc
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d
+), nodes(tree, n, level, idx, digest) AS (
+  SELECT tree, n, 0, idx, leaf FROM leaves UNION ALL {_UPWARDS.format("nodes")}
+), sides AS (
+  SELECT tree, level, idx // 16 AS up, list(digest ORDER BY idx) AS ds FROM nodes WHERE n > 1 GROUP BY ALL
+), subroots AS (
+  SELECT tree AS source_tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), above(tree, n, level, idx, digest) AS (
+  SELECT '', n, 0, idx, subroot FROM subroots UNION ALL {_UPWARDS.format("above")}
+), above_sides AS (
+  SELECT tree, level, idx // 16 AS up, list(digest ORDER BY idx) AS ds FROM above WHERE n > 1 GROUP BY ALL
+), walk(r, tree, level, idx, up, acc, proof) AS (
+  SELECT r, tree, 0, idx, idx // 16, coalesce(tampered, leaf), '' FROM leaves UNION ALL {_STEP.format("walk", "sides")}
+), arrived AS (
+  SELECT r, arg_max(acc, level) AS acc, arg_max(proof, level) AS proof FROM walk GROUP BY r
+), climb(r, tree, level, idx, up, acc, proof) AS (
+  SELECT r, '', 0, s.idx, s.idx // 16, acc, proof FROM arrived JOIN leaves USING (r) JOIN subroots s ON tree = source_tree
+  UNION ALL {_STEP.format("climb", "above_sides")}
+), ended AS (
+  SELECT r, arg_max(acc, level) AS acc, arg_max(proof, level) AS proof FROM climb GROUP BY r
+)
+SELECT doc_id, leaf, subroot, a.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = a.digest AS verified
+FROM leaves JOIN ended USING (r) JOIN subroots ON tree = source_tree, (SELECT digest FROM above WHERE n = 1) a
+"""
+
+OP13_SQL = r"""
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size, row_number() OVER w = 1 AS kept, sha256(k) AS text_sha256
+FROM (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents)
+WINDOW w AS (PARTITION BY k ORDER BY n DESC, doc_id NULLS LAST)
+"""
+
+#: The others have learned parts, XXH64, a tokenizer or eigenvectors, which SQL has not; their tests compare them with brute force.
+ORACLES: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op6_suffix_sources": OP6_SOURCES_SQL, "op9_decontaminate": OP9_SQL, "op10_topk": OP10_SQL, "op11_merkle": OP11_SQL, "op13_exact_dedup": OP13_SQL}
