@@ -84,6 +84,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cataloom.llm import whitening
+
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cataloom.llm import cuckoo
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_topk": op10_topk,
     "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
