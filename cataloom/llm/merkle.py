@@ -152,33 +152,32 @@ class Tree:
         """key, level, index and digest of all nodes."""
         return self.leaves.select("key", F.lit(0).alias("level"), "index", "digest").unionByName(self.upper.select("key", "level", "index", "digest"))
 
+    def _of_height(self, level: int) -> Column:
+        """Whether a key's root is at this level."""
+        return F.col("n").between((FANOUT ** (level - 1) if level else 0) + 1, FANOUT**level)
+
     def roots(self) -> DataFrame:
-        """(key, digest) of every key's root."""
-        tops = [self.level(k).where(F.col("n").between((FANOUT ** (k - 1) if k else 0) + 1, FANOUT**k)).select("key", "digest") for k in range(self.height + 1)]
-        return reduce(DataFrame.unionByName, tops)
+        """(key, n, digest) of every key's root."""
+        return reduce(DataFrame.unionByName, [self.level(k).where(self._of_height(k)).select("key", "n", "digest") for k in range(self.height + 1)])
 
-    def proofs(self, above: DataFrame | None = None) -> DataFrame:
+    def proofs(self, above: DataFrame) -> DataFrame:
         """The leaves with ``path``: for each level upwards what stands before and after the own node in its run.
 
-        ``above`` (key, path, further columns) goes on from the roots; its further columns come along.
+        ``above`` (key, n, path, further columns) goes on from the roots; its further columns come along.
         """
-        if above is None:
-            above = self.roots().select("key", F.array().cast(_PATH).alias("path"))
-        rest = [c for c in above.columns if c != "key"]
+        rest = [c for c in above.columns if c not in ("key", "n")]
         found = None
         for level in range(self.height, -1, -1):
-            row = self.level(level)
-            ends = row.where(F.col("n") <= FANOUT**level).join(above, "key")
-            if found is None:
-                found = ends
-                continue
-            own = [c for c in row.columns if c not in ("key", "n")]
-            runs = row.where(F.col("n") > FANOUT**level).groupBy("key", "n", F.expr(f"index div {FANOUT}").alias("up")).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("run"))
-            up = found.select("key", F.col("index").alias("up"), *rest)
+            up = above.where(self._of_height(level)).select("key", F.lit(0).cast("long").alias("up"), *rest)
+            if found is not None:
+                up = up.unionByName(found.select("key", F.col("index").alias("up"), *rest))
+            nodes = self.level(level)
+            own = [c for c in nodes.columns if c not in ("key", "n")]
+            runs = nodes.groupBy("key", "n", F.expr(f"index div {FANOUT}").alias("up")).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("run"))
             each = runs.join(up, ["key", "up"]).select("*", F.transform("run", lambda x: x["digest"]).alias("digests"), F.posexplode("run").alias("at", "own"))
             beside = F.struct(_joined(F.slice("digests", F.lit(1), F.col("at"))).alias("before"), _joined(F.slice("digests", F.col("at") + 2, F.lit(FANOUT))).alias("after"))
-            each = each.withColumn("path", F.concat(F.array(beside), "path"))
-            found = each.select("key", "n", *[F.col("own")[c].alias(c) for c in own], *rest).unionByName(ends)
+            path = F.when(F.col("n") <= FANOUT**level, F.col("path")).otherwise(F.concat(F.array(beside), "path"))
+            found = each.select("key", *[F.col("own")[c].alias(c) for c in own], path.alias("path"), *[c for c in rest if c != "path"])
         return found
 
     def drop(self) -> None:
@@ -212,9 +211,9 @@ def manifest(documents: DataFrame) -> DataFrame:
 def prove(documents: DataFrame) -> DataFrame:
     """The proof of every row and what comes of it when some texts are tampered with."""
     trees = Tree(_leaves(documents), ["doc_id", "digest"], ["doc_id", "tampered"])
-    top = Tree(trees.roots().select(F.lit("").alias("key"), F.col("key").alias("source_key"), "digest"), ["source_key"], ["source_key"])
-    root = top.roots().select("key", F.array().cast(_PATH).alias("path"), F.col("digest").alias("root"))
-    above = top.proofs(root).select(F.col("source_key").alias("key"), "path", F.col("digest").alias("subroot"), "root")
+    top = Tree(trees.roots().select(F.lit("").alias("key"), F.col("key").alias("source_key"), F.col("n").alias("leaves"), "digest"), ["source_key"], ["source_key", "leaves"])
+    root = top.roots().select("key", "n", F.array().cast(_PATH).alias("path"), F.col("digest").alias("root"))
+    above = top.proofs(root).select(F.col("source_key").alias("key"), F.col("leaves").alias("n"), "path", F.col("digest").alias("subroot"), "root")
     rows = trees.proofs(above)
     siblings = _joined(F.transform("path", lambda side: F.concat(side["before"], side["after"])))
     return rows.select(
