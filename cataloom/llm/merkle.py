@@ -214,6 +214,7 @@ def prove(documents: DataFrame) -> DataFrame:
     top = Tree(trees.roots().select(F.lit("").alias("key"), F.col("key").alias("source_key"), F.col("n").alias("leaves"), "digest"), ["source_key"], ["source_key", "leaves"])
     root = top.roots().select("key", "n", F.array().cast(_PATH).alias("path"), F.col("digest").alias("root"))
     above = top.proofs(root).select(F.col("source_key").alias("key"), F.col("leaves").alias("n"), "path", F.col("digest").alias("subroot"), "root")
+    above, _ = written(above, "above")  # a row a source, read at every level
     rows = trees.proofs(above)
     siblings = _joined(F.transform("path", lambda side: F.concat(side["before"], side["after"])))
     return rows.select(
