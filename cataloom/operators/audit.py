@@ -102,7 +102,8 @@ def labels_by_count(df: DataFrame, label: str, top: int | None = None, missing:
 
 def graph_check(logics: DataFrame, steps: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counters of a catalog against its graph: steps(id), SUPPORTS edges(src, dst)."""
-    from cataloom.operators.graph import cyclic_edges, link_edges, mutual_pairs
+    from cataloom.operators.cycles import cyclic_edges
+    from cataloom.operators.graph import link_edges, mutual_pairs
 
     ids, nodes = logics.select("id").distinct(), steps.select("id").distinct()
     want = link_edges(logics).join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.functions import text as T
-from cataloom.operators import audit, graph, keys, lineage, match, names, report, sets, upsert
+from cataloom.operators import audit, cycles, graph, keys, lineage, match, names, report, sets, upsert
 from cataloom.plans.registry import ORACLES as ORACLES
 from cataloom.plans.registry import QUERIES as QUERIES
 from cataloom.plans.registry import Tables, query, text_of
@@ -501,12 +501,37 @@ _CLOSURE = f"e as {_EDGES}, r as (select src, dst from e union select r.src, e.d
 
 @query(f"with recursive {_CLOSURE} select src, dst from r")
 def closure(t: Tables) -> DataFrame:
-    return graph.closure(_edges(t)).select("src", "dst")
+    return cycles.closure(_edges(t)).select("src", "dst")
 
 
 @query(f"with recursive {_CLOSURE} select e.src, e.dst from e join r on r.src = e.dst and r.dst = e.src")
 def cycle_edges(t: Tables) -> DataFrame:
-    return graph.cyclic_edges(_edges(t))
+    return cycles.cyclic_edges(_edges(t))
+
+
+@query("""with k as (select o_orderkey as k, o_orderkey // 2 as c, o_custkey from orders),
+  e as (select k as src, k + 1 as dst, c from k where k % 2 = 0 union select k, k - 1, c from k where k % 2 = 1 and o_custkey % 5 <> 0 union select k, k - 3, c from k where k % 2 = 1 and c % 500 <> 0
+    union select min(k), min(k) // 1000 * 1000 + 998, min(c) from k where k % 2 = 1 group by k // 1000 having k // 1000 % 3 = 0)
+  select src, dst from e where src // 1000 % 3 = 0 and exists (select 1 from k where k.k = src // 1000 * 1000 + 1) and src // 1000 = dst // 1000
+    or (src // 2 = dst // 2 and exists (select 1 from e r where r.src = e.dst and r.dst = e.src))""")
+def cycle_chain(t: Tables) -> DataFrame:
+    """Orders two by two, most pairs leading to each other, each to the pair before; every third thousand is closed to a ring."""
+    k = t.orders.select(F.col("o_orderkey").alias("k"), "o_custkey")
+    even, odd = k.where("k % 2 = 0"), k.where("k % 2 = 1")
+    to = lambda rows, step: rows.select(F.col("k").alias("src"), (F.col("k") + step).alias("dst"))
+    first = F.floor(F.col("k") / 1000)
+    ring = odd.groupBy(first.alias("n")).agg(F.min("k").alias("src")).where("n % 3 = 0").select("src", (F.floor(F.col("src") / 1000) * 1000 + 998).alias("dst"))
+    chain = to(odd.where(F.floor(F.col("k") / 2) % 500 != 0), -3)
+    return cycles.cyclic_edges(to(even, 1).unionByName(to(odd.where("o_custkey % 5 <> 0"), -1)).unionByName(chain).unionByName(ring))
+
+
+@query(f"""with recursive {_CLOSURE}, p as (select o_orderkey as src, o_orderkey // 64 as dst from orders union select o_orderkey // 16, o_orderkey from orders union select o_orderkey, o_custkey from orders)
+  select p.src, p.dst, r.src is not null as reached from p left join r on r.src = p.src and r.dst = p.dst""")
+def reachable_pairs(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    up = t.orders.select(k.alias("src"), F.floor(k / 64).alias("dst"))
+    down = t.orders.select(F.floor(k / 16).alias("src"), k.alias("dst"))
+    return cycles.ReachIndex(_edges(t)).reaches(up.union(down).union(t.orders.select("o_orderkey", "o_custkey")))
 
 
 @query(f"with e as {_EDGES} select a.src as u, a.dst as v from e a join e b on a.src = b.dst and a.dst = b.src where a.src < a.dst")

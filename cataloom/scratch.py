@@ -1,8 +1,9 @@
-"""Lineage cut by ``checkpoint()`` in the folder that all executors share."""
+"""Lineage cut in the folder that all executors share: by ``checkpoint()``, or by a written table."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def tabled(df: DataFrame, label: str = "step") -> DataFrame:
+    """``df`` written as a table and read back. Unlike a checkpoint its size is known, so joins of a long iteration are planned by what is there,
+    and not by a product of estimates that doubles its digits a round. ``forget`` deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cataloom/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``tabled`` that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "table_path", None):
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
