@@ -95,53 +95,6 @@ def scrub_links(links: DataFrame, owner: str, scope: DataFrame, id_: str, key: S
     return links.join(ids, F.col(key[0]) == F.col("__scope"), "left_semi").dropDuplicates([owner, *key])
 
 
-def merge_generated(existing: DataFrame, incoming: DataFrame, content: Sequence[str], material: Sequence[str] = MATERIAL) -> DataFrame:
-    """Decision for generated records, with the id of the record that is meant.
-
-    A record of the same name and kind (case aside) with other ``material`` fields is replaced and keeps its id; nothing else about it
-    counts. Otherwise a given id decides alone: its record is merged into if there is one. Without an id, a record with equal ``content`` makes
-    it a duplicate. All else is appended.
-    """
-    kind = F.lower(F.trim(F.coalesce("kind", F.lit(""))))
-    own = lambda df: df.withColumns({"__name": F.trim("name"), "__kind": kind, "__mark": fingerprint(*[F.col(c) for c in content])})
-    old, new = own(existing), own(incoming)
-    fields = F.struct(*[F.col(c) for c in material])
-    by_name = old.groupBy("__name", "__kind").agg(F.min_by(F.struct(F.col("id").alias("id"), fields.alias("m")), "id").alias("__named"))
-    by_id = old.select(F.trim("id").alias("__id")).where("__id <> ''").distinct()
-    by_mark = old.groupBy("__mark").agg(F.min("id").alias("__same"))
-    joined = new.join(by_name, ["__name", "__kind"], "left").join(by_id, F.trim("id") == F.col("__id"), "left").join(by_mark, "__mark", "left")
-    other = F.col("__named").isNotNull() & (F.col("__name") != "") & ~F.col("__named.m").eqNullSafe(fields)
-    decision = (
-        F.when(other, "replace").when(F.col("__id").isNotNull(), "merge")
-        .when(blank(F.col("id")) & F.col("__same").isNotNull(), "duplicate").otherwise("append")
-    )
-    target = F.when(other, F.col("__named.id")).when(F.col("__id").isNotNull(), F.col("__id")).when(blank(F.col("id")), F.col("__same"))
-    return joined.select(*incoming.columns, decision.alias("decision"), target.alias("target_id"))
-
-
-def merge_model_generated(existing: DataFrame, incoming: DataFrame, content: Sequence[str]) -> DataFrame:
-    """Decision for records generated for one model: those that came with a blank id are new, all others only bring links.
-
-    A new record takes the smallest free name, case aside, and is created unless its content under that name is there already
-    (``duplicate``). One with an id updates the links of the record with that id, else of the one with its name and kind; without one it is
-    skipped. Columns: the incoming ones, unique_name, decision (create, duplicate, links or skip) and target_id.
-    """
-    from cataloom.operators.keys import allocate_names
-
-    kind = F.lower(F.trim(F.coalesce("kind", F.lit(""))))
-    new, old = incoming.where(blank(F.col("id"))), incoming.where(~blank(F.col("id")))
-    named = allocate_names(new, existing.select("name"))
-    mark = lambda df, name: df.withColumn("__mark", fingerprint(F.col(name).alias("name"), *[F.col(c) for c in content if c != "name"]))
-    same = mark(existing, "name").groupBy("__mark").agg(F.min("id").alias("target_id"))
-    created = mark(named, "unique_name").join(same, "__mark", "left").withColumn("decision", F.when(F.col("target_id").isNull(), "create").otherwise("duplicate"))
-    by_id = existing.select(F.trim("id").alias("__id")).distinct()
-    by_name = existing.groupBy(F.trim("name").alias("__n"), kind.alias("__k")).agg(F.max("id").alias("__named"))
-    found = old.join(by_id, F.trim("id") == F.col("__id"), "left").join(by_name, (F.trim("name") == F.col("__n")) & (kind == F.col("__k")), "left")
-    target = F.coalesce("__id", "__named")
-    linked = found.select(*incoming.columns, F.col("name").alias("unique_name"), F.when(target.isNull(), "skip").otherwise("links").alias("decision"), target.alias("target_id"))
-    return created.select(*incoming.columns, "unique_name", "decision", "target_id").unionByName(linked)
-
-
 def outcomes(decided: DataFrame, decision: str = "decision") -> DataFrame:
     """One row of counts: considered, updated, new, skipped and emitted records."""
     n = lambda *d: F.coalesce(F.count_if(F.col(decision).isin(*d)), F.lit(0))
