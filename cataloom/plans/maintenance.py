@@ -127,19 +127,6 @@ def graph_checked(t: Tables) -> DataFrame:
     return checked.select(kept).join(forward, F.lit(True)).join(own_loops, F.lit(True)).withColumn("kg_supports_cycles", F.col("kg_supports_cycles") + F.col("__loops")).drop("__loops")
 
 
-@query("""with e as (select cast(p_partkey as varchar) as id, p_name as name, p_brand as kind, p_size as c from part where p_partkey % 2 = 0),
-  i as (select p_partkey as row, case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then cast(p_partkey - 1 as varchar) else 'x' || p_partkey end as id, p_name as name, p_brand as kind, p_size as c from part where p_partkey % 2 = 1)
-  select row, case when e.id is not null or n.id is not null then 'links' else 'skip' end as decision, coalesce(e.id, n.id) as target_id from i left join e on e.id = i.id
-    left join (select name, kind, max(id) as id from e group by 1, 2) n on n.name = i.name and n.kind = i.kind where i.id <> ''
-  union all select row, 'create', null from i where id = ''""")
-def model_generated_merge(t: Tables) -> DataFrame:
-    key = F.col("p_partkey")
-    given = by(key % 3, "", text_of(key - 1), said("x", key))
-    rec = t.part.select(key.alias("row"), key.alias("position"), text_of(key).alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_size").alias("c"))
-    new = t.part.where("p_partkey % 2 = 1").select(key.alias("row"), key.alias("position"), given.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.col("p_size").alias("c"))
-    return upsert.merge_model_generated(rec.where("row % 2 = 0"), new, ["name", "kind", "c"]).select("row", "decision", "target_id")
-
-
 # ---- restores
 
 _OLD_LINKS = "select l_orderkey as owner, cast(l_suppkey as varchar) as from_logic_id, l_returnflag as from_output, case when l_quantity > 45 then ' ' else l_linestatus end as to_input, 'SUPPORTS' as kind from lineitem"

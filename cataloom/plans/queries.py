@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.functions import text as T
-from cataloom.operators import audit, cycles, graph, keys, lineage, match, names, report, sets, upsert
+from cataloom.operators import audit, cycles, generated, graph, keys, lineage, match, names, report, sets, upsert
 from cataloom.plans.registry import ORACLES as ORACLES
 from cataloom.plans.registry import QUERIES as QUERIES
 from cataloom.plans.registry import Tables, query, text_of
@@ -60,6 +60,25 @@ def name_allocation(t: Tables) -> DataFrame:
     return keys.allocate_names(new, taken).select("p_partkey", "unique_name")
 
 
+_WISHES = """(select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) as i, p_brand || case when p_partkey % 4 = 1 then ' (' || (p_size % 40 + 2) || ')' when p_partkey % 4 = 2 then ' (2) (' || (p_size % 4 + 2) || ')' else '' end as wish from part where p_partkey % 4 <> 3)"""
+
+
+@query(f"""with recursive w as {_WISHES}, one as (select p_brand, list(distinct p_brand || ' (' || (p_size % 10 + 2) || ')') as used from part where p_partkey % 4 = 3 group by 1),
+  r as (select distinct w.p_brand, cast(0 as bigint) as i, cast(null as bigint) as p_partkey, coalesce(used, []) as used, cast(null as varchar) as name from w left join one using (p_brand)
+    union all select p_brand, i, p_partkey, list_append(used, name), name from (
+      select r.p_brand, w.i, w.p_partkey, r.used, case when not list_contains(r.used, w.wish) then w.wish else w.wish || ' (' || list_min([n for n in range(2, len(r.used) + 3) if not list_contains(r.used, w.wish || ' (' || n || ')')]) || ')' end as name
+      from r join w on w.p_brand = r.p_brand and w.i = r.i + 1))
+  select p_partkey, name as unique_name from r where i > 0""")
+def verbatim_names(t: Tables) -> DataFrame:
+    """Brands as names that are wished for, many with numbers of their own: what is handed out to one is taken for the next."""
+    size, key, brand = F.col("p_size"), F.col("p_partkey"), F.col("p_brand")
+    put = lambda *x: F.concat(brand, *[F.lit(c) if isinstance(c, str) else text_of(c) for c in x])
+    taken = t.part.where("p_partkey % 4 = 3").select(put(" (", size % 10 + 2, ")").alias("name"))
+    wish = F.when(key % 4 == 1, put(" (", size % 40 + 2, ")")).when(key % 4 == 2, put(" (2) (", size % 4 + 2, ")")).otherwise(brand)
+    new = t.part.where("p_partkey % 4 <> 3").select("p_partkey", wish.alias("name"), key.alias("position"))
+    return keys.allocate_names(new, taken).select("p_partkey", "unique_name")
+
+
 @query("select p_brand, p_type, min(p_partkey) as p_partkey from part group by all")
 def keep_first_per_key(t: Tables) -> DataFrame:
     return keys.pick(t.part, ["p_brand", "p_type"], [F.col("p_partkey")]).select("p_brand", "p_type", "p_partkey")
@@ -602,20 +621,79 @@ def blank_unknown_categories(t: Tables) -> DataFrame:
 
 
 _GENERATED = """g as (select p_partkey as row, p_name as name, p_brand as kind, case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then cast(p_partkey as varchar) else cast(p_partkey - p_partkey % 10 as varchar) end as given,
-    cast(p_partkey as varchar) as own, p_size % 3 as dmn, p_size as purpose from part),
-  e as (select own as id, name, kind, dmn, purpose from g where row % 2 = 0), i as (select row, given as id, name, kind, dmn, purpose from g where row % 2 = 1)"""
+    cast(p_partkey as varchar) as own, p_size % 3 as dmn, p_size % 5 as purpose, cast(2 * p_size as varchar) || '|o' || (p_size % 2) as link from part),
+  e as (select row, own as id, name, kind, dmn, purpose, case when row % 4 <> 0 then '2|o0' end as link from g where row % 2 = 0), i as (select row, given as id, name, kind, dmn, purpose, link from g where row % 2 = 1),
+  n as (select name, kind, arg_max({'id': id, 'dmn': dmn, 'purpose': purpose, 'row': row}, row) as x from e group by 1, 2),
+  a as (select i.*, n.x, x.id is not null and i.dmn <> coalesce(lag(i.dmn) over (partition by i.name, i.kind order by i.row), n.x.dmn) as replaced, i.id in (select id from e) as known from i left join n on n.name = i.name and n.kind = i.kind),
+  v as (select *, coalesce(last_value(case when replaced then {'dmn': dmn, 'purpose': purpose} end ignore nulls) over (partition by name, kind order by row rows between unbounded preceding and 1 preceding), {'dmn': x.dmn, 'purpose': x.purpose}) as ver from a),
+  w as (select *, x.id is not null and ver.dmn = dmn and ver.purpose = purpose as by_version, min(case when not replaced and not known and id <> '' then row end) over (partition by id) as first_id from v),
+  o as (select name, kind, dmn, purpose, min(row) as opened from w where not replaced and case when id <> '' then first_id = row else not by_version end group by all),
+  s as (select name, kind, dmn, purpose, arg_min(id, row) as same from e where row not in (select x.row from n) group by all),
+  d as (select w.row, w.link, case when replaced then 'replace' when id <> '' and known then 'merge' when id <> '' then case when first_id = w.row then 'append' else 'duplicate' end when same is not null or by_version or opened < w.row then 'duplicate' else 'append' end as decision,
+    case when replaced then x.id when id <> '' and known then id when id = '' then coalesce(same, case when by_version then x.id end) end as target_id,
+    case when replaced then null when id <> '' and not known then first_id when id = '' and same is null and not by_version then opened end as twin
+    from w left join o on (o.name, o.kind, o.dmn, o.purpose) = (w.name, w.kind, w.dmn, w.purpose) left join s on (s.name, s.kind, s.dmn, s.purpose) = (w.name, w.kind, w.dmn, w.purpose)),
+  t as (select *, coalesce(max(case when decision = 'replace' then row end) over (partition by target_id order by row rows between unbounded preceding and 1 preceding), -1) as epoch from d where decision in ('replace', 'merge')),
+  b as (select id as target_id, -1 as epoch, link from e where link is not null union all select target_id, row, link from t where decision = 'replace'),
+  f as (select *, split_part(link, '|', 1) in (select id from e) and row_number() over (partition by target_id, epoch, link order by row) = 1 and (target_id, epoch, link) not in (select (target_id, epoch, link) from b) as fresh from t where decision = 'merge')"""
+
+
+def _generated(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """part as a catalog (even keys) and a batch (odd keys); both have names by the score in common, and a link each or none."""
+    own, key, size = text_of("p_partkey"), F.col("p_partkey"), F.col("p_size")
+    given = F.when(key % 3 == 0, "").when(key % 3 == 1, own).otherwise(text_of(key - key % 10))
+    link = lambda a, b: F.struct(a.alias("from_logic_id"), b.alias("from_output"), F.lit("in").alias("to_input"), F.lit("S").alias("kind"), F.lit(None).cast("string").alias("link_explanation"))
+    rec = t.part.select(
+        key.alias("position"), given.alias("given"), own.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), (size % 3).alias("dmn"), (size % 5).alias("purpose"), (size % 2 == 0).alias("archived"),
+        F.array(link(text_of(2 * size), F.concat(F.lit("o"), text_of(size % 2)))).alias("links"), F.array(link(F.lit("2"), F.lit("o0"))).alias("own_links"),
+    )
+    old = rec.where("position % 2 = 0").withColumn("links", F.when(F.col("position") % 4 != 0, F.col("own_links")).otherwise(F.slice("own_links", 1, 0)))
+    new = rec.where("position % 2 = 1").withColumn("new_id", F.concat(F.lit("new"), "id")).withColumn("id", F.col("given"))
+    return old.drop("given", "own_links"), new.drop("given", "own_links")
 
 
-@query(f"""with {_GENERATED}, n as (select name, kind, arg_min(id, id) as id, arg_min(dmn, id) as dmn from e group by 1, 2), c as (select name, kind, dmn, purpose, min(id) as id from e group by all)
-  select i.row, case when n.id is not null and n.dmn <> i.dmn then 'replace' when x.id is not null then 'merge' when i.id = '' and c.id is not null then 'duplicate' else 'append' end as decision,
-    case when n.id is not null and n.dmn <> i.dmn then n.id when x.id is not null then x.id when i.id = '' then c.id end as target_id
-  from i left join n on n.name = i.name and n.kind = i.kind left join e x on x.id = i.id left join c on c.name = i.name and c.kind = i.kind and c.dmn = i.dmn and c.purpose = i.purpose""")
+@query(f"""with {_GENERATED} select d.row as position, case when d.decision = 'merge' and not coalesce(f.fresh, false) then 'duplicate' else d.decision end as decision, d.target_id, case when d.twin < d.row then d.twin end as target_position from d left join f on f.row = d.row""")
 def generated_merge(t: Tables) -> DataFrame:
-    own, key = text_of("p_partkey"), F.col("p_partkey")
-    given = F.when(key % 3 == 0, "").when(key % 3 == 1, own).otherwise(text_of(key - key % 10))
-    rec = t.part.select(key.alias("row"), given.alias("given"), own.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), (F.col("p_size") % 3).alias("dmn"), F.col("p_size").alias("purpose"))
-    old, new = rec.where("row % 2 = 0").drop("row", "given"), rec.where("row % 2 = 1").withColumn("id", F.col("given")).drop("given")
-    return upsert.merge_generated(old, new, ["name", "kind", "dmn", "purpose"], ["dmn"]).select("row", "decision", "target_id")
+    return generated.merge_generated(*_generated(t), ["name", "kind", "dmn", "purpose"], ["dmn"])[0]
+
+
+@query(f"""with {_GENERATED}, l as (select target_id, arg_max(row, row) as row from t where decision = 'replace' group by 1), k as (select target_id, epoch, count(*) as n from f where fresh group by 1, 2)
+  select e.id, coalesce(i.dmn, e.dmn) as dmn, coalesce(i.purpose, e.purpose) as purpose, coalesce(k.n, 0) + case when l.row is not null then 1 when e.link is not null then 1 else 0 end as n_links
+  from e left join l on l.target_id = e.id left join i on i.row = l.row left join k on k.target_id = e.id and k.epoch = coalesce(l.row, -1)
+  union all select case when i.id = '' then 'new' || i.row else i.id end, i.dmn, i.purpose, 1 from d join i using (row) where decision = 'append'""")
+def generated_catalog(t: Tables) -> DataFrame:
+    """The catalog after the batch of generated_merge: versions, and how many links they have."""
+    after = generated.merge_generated(*_generated(t), ["name", "kind", "dmn", "purpose"], ["dmn"])[1]
+    return after.select("id", "dmn", "purpose", F.size("links").cast("long").alias("n_links"))
+
+
+_MODEL_GENERATED = """e as (select p_partkey as row, cast(p_partkey as varchar) as id, p_name as name, p_brand as kind, p_size % 2 = 0 as archived, case when p_partkey % 4 <> 0 then '2|o0' end as link from part where p_partkey % 2 = 0),
+  i as (select p_partkey as row, case when p_partkey % 3 = 0 then '' when p_partkey % 3 = 1 then cast(p_partkey - 1 as varchar) else 'x' || p_partkey end as id, p_name as name, p_brand as kind, cast(2 * p_size as varchar) || '|o' || (p_size % 2) as link from part where p_partkey % 2 = 1),
+  c as (select row, name, row_number() over (partition by lower(name) order by row) + case when lower(name) in (select lower(name) from e) then 1 else 0 end as n from i where id = ''),
+  o as (select i.*, coalesce(e.id, n.id) as target_id from i left join e on e.id = i.id left join (select name, kind, arg_max(id, row) as id from e group by 1, 2) n on n.name = i.name and n.kind = i.kind where i.id <> ''),
+  f as (select *, target_id is not null and split_part(link, '|', 1) in (select id from e) and row_number() over (partition by target_id, link order by row) = 1 and (target_id, link) not in (select (id, link) from e where link is not null) as fresh from o)"""
+
+
+def _model_generated(t: Tables) -> tuple[DataFrame, DataFrame]:
+    old, new = _generated(t)
+    key = F.col("position")
+    given = F.when(key % 3 == 0, "").when(key % 3 == 1, text_of(key - 1)).otherwise(F.concat(F.lit("x"), text_of(key)))
+    return old, new.withColumn("id", given)
+
+
+@query(f"""with {_MODEL_GENERATED} select row as position, case when n = 1 then name else name || ' (' || n || ')' end as unique_name, 'create' as decision, 'new' || row as target_id, 0 as added from c
+  union all select row, name, case when target_id is null then 'skip' when fresh then 'links' else 'unchanged' end, target_id, cast(fresh as integer) from f""")
+def model_generated_merge(t: Tables) -> DataFrame:
+    return generated.merge_model_generated(*_model_generated(t), ["name", "kind", "dmn", "purpose"])[0]
+
+
+@query(f"""with {_MODEL_GENERATED}, k as (select target_id, count(*) as n from f where fresh group by 1)
+  select e.id, e.name, e.archived and k.n is null as archived, coalesce(k.n, 0) + cast(e.link is not null as integer) as n_links from e left join k on k.target_id = e.id
+  union all select 'new' || row, case when n = 1 then name else name || ' (' || n || ')' end, false, 1 from c""")
+def model_generated_catalog(t: Tables) -> DataFrame:
+    """The catalog after the batch of model_generated_merge: new links come and wake archived records."""
+    after = generated.merge_model_generated(*_model_generated(t), ["name", "kind", "dmn", "purpose"])[1]
+    return after.select("id", "name", "archived", F.size("links").cast("long").alias("n_links"))
 
 
 @query("""select p_brand as code_file, cast(min(p_partkey) as bigint) as first_position, array_to_string(list(p_name order by p_partkey), '|') as names from (
