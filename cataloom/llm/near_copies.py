@@ -6,10 +6,11 @@ Equal sets collapse first. Candidates come from two places, and every candidate
 * bands of ``ROWS`` minima, ``BANDS`` of them, for what it can't reach: at a similarity of 0.8 about ten bits differ, which no banding
   of 64 bits finds at size. A pair at 0.8 shares no band in 3 of 100,000 cases.
 
-Sets of a band's group of up to ``GROUP`` all meet. In larger groups every set meets two of the group. Where such a group still falls into
-several components, the sets outside its largest one meet all sets of other components, in blocks of ``PART``: signatures (a byte of each
-minimum) discard most, the whole sets decide, and only what joins two components is sent on. A pair at 0.8 falls below ``AGREED`` agreeing
-bytes in one of a million cases. A group of one component, as large groups of copies are, costs its rows and not its pairs.
+Every set of a band's group meets the first of it, in groups of more than ``GROUP`` also the last. Where a group still falls into several components,
+the other pairs follow that would join two of them: all at once in small groups, in large ones between the sets outside the largest component and
+those of other components, in blocks of ``PART``. Sizes and signatures (a byte of each minimum) discard most pairs before any set is sent, the whole sets
+decide. A pair at 0.8 falls below ``AGREED`` agreeing bytes in one of a million cases. A group of one component, as groups of copies are,
+costs its rows and not its pairs.
 
 Words are op4's. Edge cases: a text of one to four words has one shingle; texts without words, null ones too, are copies of each other;
 rows without a doc_id are copies like others and come after them in the order. Of a group the row with the smallest doc_id stays, of rows
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ BANDS, ROWS, GROUP = 20, 4, 32
 #: Agreeing bytes of two signatures that may be near; sets of a block of a large group.
 AGREED, PART = 47, 2048
 
+#: Bytes of texts whose results are held at once.
+CHUNK = 1 << 20
 #: Rows of ids and digests (40 bytes each) that are broadcast, so that texts needn't be shuffled to meet them; beyond, both sides are.
 SMALL = 1_000_000
 
@@ -68,8 +72,10 @@ def _mapped(docs: DataFrame, fields: str, row) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            length = np.asarray(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0), np.int64)
+            chunk = np.cumsum(length + 64) // CHUNK  # rows up to some bytes of text at once, a longer text alone
+            for lo, hi in zip(starts := np.flatnonzero(np.diff(chunk, prepend=-1)).tolist(), [*starts[1:], len(length)], strict=True):
+                part = batch.slice(lo, hi - lo)
                 rows = [row(shingles(t)) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(own))], names=schema.names)
 
@@ -77,11 +83,11 @@ def _mapped(docs: DataFrame, fields: str, row) -> DataFrame:
 
 
 def _marks(found: np.ndarray) -> tuple:
-    """Digest of the set, SimHash fingerprint, band keys and signature."""
+    """Digest of the set, SimHash fingerprint, band keys, signature and size."""
     distinct = np.unique(found)
     least = minima(distinct)
     keys = [xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least.reshape(BANDS, ROWS))]
-    return (xxhash.xxh3_128_digest(distinct.tobytes()), int(np.uint64(simhash.majority([found])).astype(np.int64)), np.array(keys, np.uint64).view(np.int64), least.astype(np.uint8).tobytes())
+    return (xxhash.xxh3_128_digest(distinct.tobytes()), int(np.uint64(simhash.majority([found])).astype(np.int64)), np.array(keys, np.uint64).view(np.int64), least.astype(np.uint8).tobytes(), len(distinct))
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -97,10 +103,18 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _band_pairs(members: DataFrame) -> DataFrame:
-    """(u, v) from ``members(key, node, n, least, most)``: all pairs of a small group, two for each set of a larger one."""
-    few = members.where(F.col("n") <= GROUP).select("key", "node")
-    pairs = few.withColumnRenamed("node", "u").join(few.withColumnRenamed("node", "v"), "key").where("u < v").select("u", "v")
-    return pairs.union(members.where(F.col("n") > GROUP).select(F.col("node").alias("u"), F.explode(F.array("least", "most")).alias("v")))
+    """(u, v) from ``members(key, node, n, least, most)``: each set of a group with the first of it, in large groups also with the last."""
+    first = members.select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return first.union(members.where(F.col("n") > GROUP).select(F.col("node").alias("u"), F.col("most").alias("v"))).where("u <> v")
+
+
+def _other_pairs(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(u, v): the other pairs of small groups, where they are not in one component by now."""
+    few = members.where(F.col("n") <= GROUP).select("key", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = few.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    few = few.join(split, "key", "left_semi")
+    u, v = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+    return u.join(v, "key").where("u < v and root_u <> root_v").select("u", "v")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -141,8 +155,11 @@ def join_parts(asks: list, known: list) -> list[tuple[int, int]]:
     return out
 
 
-def _joined(members: DataFrame, nodes: DataFrame, sets: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(u, v) near pairs between the components that large groups still fall into."""
+def _joined(members: DataFrame, nodes: DataFrame, sets: _Sets, rooted: DataFrame) -> DataFrame | None:
+    """(u, v) near pairs between the components that large groups still fall into; None if there are none.
+
+    Signatures and sizes go through all blocks, sets only to those blocks in which they may have a partner.
+    """
     large = members.where(F.col("n") > GROUP).select("key", "node").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sized = large.groupBy("key", "root").count()
     top = sized.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.max("count").alias("most"), F.sum("count").alias("n")).where("n > most")
@@ -152,7 +169,17 @@ def _joined(members: DataFrame, nodes: DataFrame, sets: DataFrame, rooted: DataF
     rows = large.join(top, "key").withColumns({"parts": blocks(F.col("n")), "asking": blocks(F.col("n") - F.col("most"))})
     known = rows.select("key", own(F.col("parts")).alias("part"), all_(F.col("asking")).alias("block"), F.lit(False).alias("asks"), "node", "root")
     asks = rows.where("root <> top").select("key", all_(F.col("parts")).alias("part"), own(F.col("asking")).alias("block"), F.lit(True).alias("asks"), "node", "root")
-    dealt = known.union(asks).join(nodes.select("node", "signature"), "node").join(sets, "node")
+    dealt = known.union(asks).join(nodes.select("node", "signature", "size"), "node")
+
+    def survive(table: pa.Table) -> pa.Table:
+        near = survivors(table)
+        return table.select(["key", "part", "block", "asks", "node", "root", "signature"]).filter(pa.array(near))
+
+    kinds = "key long, part int, block int, asks boolean, node long, root long, signature binary"
+    left, _ = written(dealt.groupBy("key", "part", "block").applyInArrow(survive, kinds), "survivors")
+    if left.isEmpty():
+        return None
+    with_sets = left.join(sets.at(left), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         values = [np.asarray(x.values) for x in table.column("s")]
@@ -161,39 +188,88 @@ def _joined(members: DataFrame, nodes: DataFrame, sets: DataFrame, rooted: DataF
         found = join_parts([r for r, a in zip(rows, asking, strict=True) if a], [r for r, a in zip(rows, asking, strict=True) if not a])
         return pa.Table.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(2)], names=["u", "v"])
 
-    return dealt.groupBy("key", "part", "block").applyInArrow(compare, "u long, v long")
+    out, _ = written(with_sets.groupBy("key", "part", "block").applyInArrow(compare, "u long, v long"), "joined")
+    return None if out.isEmpty() else out
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets, of ``sets(node, s)``, are similar enough."""
+def survivors(table: pa.Table) -> np.ndarray:
+    """Which rows of a block (asks, root, size, signature) have one on the other side, of another component, that signature and size let be near."""
+    asks, root, size = (table.column(c).to_numpy() for c in ("asks", "root", "size"))
+    marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(table), -1)
+    known, out = np.flatnonzero(~asks), np.zeros(len(table), bool)
+    for i in np.flatnonzero(asks).tolist():
+        near = known[(root[known] != root[i]) & (np.minimum(size[known], size[i]) >= LEAST * np.maximum(size[known], size[i]))]
+        near = near[(marks[near] == marks[i]).sum(1) >= AGREED]
+        if len(near):
+            out[near] = out[i] = True
+    return out
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) that sizes and signatures of ``nodes`` let be near: some eighty bytes a set are sent, no set."""
     ordered = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    sized = sets.select("node", F.size("s").alias("k"))
-    # sizes first, without the sets: most pairs of unlike length end here
-    alike = ordered.join(sized.select(F.col("node").alias("u"), F.col("k").alias("ku")), "u").join(sized.select(F.col("node").alias("v"), F.col("k").alias("kv")), "v")
-    alike = alike.where(F.least("ku", "kv") >= LEAST * F.greatest("ku", "kv")).select("u", "v")
+    own = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}"))
+    met = ordered.join(own("u"), "u").join(own("v"), "v").where(F.least("size_u", "size_v") >= LEAST * F.greatest("size_u", "size_v"))
+    out, _ = written(met.mapInArrow(_agreeing, "u long, v long"), "alike")
+    return out
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(f"signature_{x}")).to_pylist()), np.uint8).reshape(len(batch), -1) for x in "uv")
+        yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(1) >= AGREED))
+
+
+def _confirmed(alike: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets, of ``sets(node, s)``, are similar enough."""
     met = alike.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     out, _ = written(met.withColumn("both", both).where(F.col("both") >= LEAST * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v"), "near")
     return out
 
 
+class _Sets:
+    """Whole sets of those nodes that are asked for, cut to 32 bits a shingle: two different shingles are taken for one in one of 4e9 cases."""
+
+    def __init__(self, texts: DataFrame, marks: DataFrame, nodes: DataFrame):
+        self.texts, self.nodes = texts, nodes.select("node", "first.doc_id", "first.mark")
+        #: rows that stand there several times: the only ones of which one has to be chosen
+        self.twice = marks.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark", F.lit(True).alias("twice"))
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        return self.at(pairs.select(F.col("u").alias("node")).union(pairs.select("v")))
+
+    def at(self, some: DataFrame) -> DataFrame:
+        named = self.nodes.join(some.select("node").distinct(), "node", "left_semi")
+        named = named.join(self.twice, named["doc_id"].eqNullSafe(self.twice["doc_id"]) & (named["mark"] == self.twice["mark"]), "left").select("node", named["doc_id"], named["mark"], F.coalesce("twice", F.lit(False)).alias("twice"))
+        named, _ = written(named, "named")
+        met = self.texts.join(_sent(named), self.texts["doc_id"].eqNullSafe(named["doc_id"]) & (self.texts["mark"] == named["mark"])).select("node", "twice", "text")
+        cut = lambda found: (np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32),)
+        one = _mapped(met.where("not twice").select("node", "text"), "s array<int>", cut)
+        two = met.where("twice").groupBy("node").agg(F.first("text").alias("text"))
+        out, _ = written(one.unionByName(_mapped(two, "s array<int>", cut)), "sets")
+        return out
+
+
 def groups(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``texts(doc_id, mark, text)``, marks being digests of texts: (doc_id, mark, digest) of every row, and (digest, root) of every set."""
     spark = texts.sparkSession
-    marks, _ = written(_mapped(texts, "digest binary, fp long, bands array<long>, signature binary", _marks), "marks")
+    marks, _ = written(_mapped(texts, "digest binary, fp long, bands array<long>, signature binary, size long", _marks), "marks")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    nodes = marks.groupBy("digest").agg(F.min(first).alias("first"), *(F.first(c).alias(c) for c in ("fp", "bands", "signature")))
+    nodes = marks.groupBy("digest").agg(F.min(first).alias("first"), *(F.first(c).alias(c) for c in ("fp", "bands", "signature", "size")))
     nodes, _ = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = _members(nodes)
-    pairs, _ = written(_fingerprint_pairs(nodes).union(_band_pairs(members)), "candidates")
-    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.where(F.col("n") > GROUP).select("node")).distinct()
-    named, _ = written(named.join(nodes.select("node", "first.doc_id", "first.mark"), "node"), "named")
-    one = texts.join(_sent(named), texts["doc_id"].eqNullSafe(named["doc_id"]) & (texts["mark"] == named["mark"])).groupBy("node").agg(F.first("text").alias("text"))
-    sets, _ = written(_mapped(one, "s array<int>", lambda found: (np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32),)), "sets")
-    edges = _confirmed(pairs, sets)
+    proposed, proposed_path = written(_fingerprint_pairs(nodes).union(_band_pairs(members)), "candidates")
+    pairs = _alike(proposed, nodes)
+    drop(spark, proposed_path)
+    sets = _Sets(texts, marks, nodes)
+    edges = _confirmed(pairs, sets.of(pairs))
     rooted = components(edges)
-    more, _ = written(_joined(members, nodes, sets, rooted), "joined")
-    if not more.isEmpty():
+    rest = _alike(_other_pairs(members, rooted), nodes)
+    if not rest.isEmpty():
+        edges = edges.union(_confirmed(rest, sets.of(rest)))
+        rooted = components(edges)
+    if more := _joined(members, nodes, sets, rooted):
         rooted = components(edges.union(more))
     rooted = nodes.select("node", "digest", "first").join(rooted, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     return marks.select("doc_id", "mark", "digest"), rooted
