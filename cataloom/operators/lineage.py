@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import normalise_text
-from cataloom.operators.keys import pick
+from cataloom.operators.keys import numbered, pick
 from cataloom.operators.match import containing
+from cataloom.operators.upsert import MATERIAL
 
 
 def latest_run_ids(runs: DataFrame, source: str = "source_path", stamp: str = "timestamp", position: str = "position", ids: str = "logic_ids") -> DataFrame:
@@ -42,10 +45,50 @@ def best_series(runs: DataFrame, keys: list[str], total: str = "total", index: s
     return pick(own, [*keys, index], [F.desc(stamp), F.col(position)])
 
 
-def replay(sections: DataFrame, name: str = "name", run_time: str = "run_time", position: str = "position", newest_wins: bool = True) -> DataFrame:
-    """One section a name over all runs of a report: that of the newest run; with ``newest_wins`` off, of the oldest, as some catalogs were built."""
-    order = F.desc(run_time) if newest_wins else F.col(run_time)
-    return pick(sections, [name], [order, F.desc(position)])
+def _tail(path: Column) -> Column:
+    """The last two components of a path, case aside."""
+    parts = F.filter(F.split(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
+    return F.lower(F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), F.least(F.size(parts), F.lit(2))), "/"))
+
+
+def prior_runs(reports: DataFrame, runs: DataFrame, report: str = "path", text: str = "text") -> DataFrame:
+    """(report, turn, timestamp, response_text): the run that wrote each report (turn 1), then the runs before it of the same source and output, oldest first.
+
+    The run that wrote it is the newest whose response contains the report, of those whose output file ends in the report's folder and name. Reports
+    and runs meet by that end, never text by text. ``runs`` has root_dir, source_path, output_path, output_file, timestamp, run_time, mtime, log_file, frame and
+    response_text; reports without such a run have no rows.
+    """
+    place = ["root_dir", "source_path", "output_path"]
+    r = runs.where(F.trim("response_text") != "").withColumn("__tail", _tail(F.col("output_file"))).where("__tail <> ''")
+    d = reports.select(F.col(report).alias("__report"), normalise_text(F.col(text)).alias("__said"), _tail(F.col(report)).alias("__tail")).where("__said <> ''")
+    wrote = d.join(r, "__tail").where(normalise_text(F.col("response_text")).contains(F.col("__said")))
+    newest = [F.desc_nulls_last("run_time"), F.desc("mtime"), F.col("log_file"), F.col("frame")]
+    anchor = pick(wrote, ["__report"], newest).where(" and ".join(f"{c} <> ''" for c in place))
+    first = anchor.select(F.col("__report").alias(report), F.lit(1).cast("long").alias("turn"), "timestamp", F.trim("response_text").alias("response_text"))
+    asked = anchor.select("__report", "__tail", *place, F.col("run_time").alias("__until"))
+    earlier = r.join(asked, ["__tail", *place]).where("run_time < __until or (run_time is null and __until is not null)")
+    turned = numbered(earlier.select("__report", "run_time", "mtime", "log_file", "frame", "timestamp", F.trim("response_text").alias("response_text")), ["__report"], ["run_time", "mtime", "log_file", "frame"], "turn")
+    return first.unionByName(turned.select(F.col("__report").alias(report), (F.col("turn") + 1).alias("turn"), "timestamp", "response_text"))
+
+
+def replay(sections: DataFrame, existing: DataFrame, name: str = "name", stamp: str = "timestamp", material: Sequence[str] = MATERIAL) -> DataFrame:
+    """The sections that an ordered replay leaves in the catalog, one a name.
+
+    ``sections`` come by turn (0: the report itself, then its runs as ``prior_runs`` has them) and position. Each is judged as in an ingest, against
+    the catalog as it was: only names of the catalog or of the report itself count, a known (name, stamp) is passed over, and so is what is not newer and changes
+    nothing material. What is taken overwrites what was taken before, so an older run that differs wins over the report.
+    """
+    old = existing.groupBy(F.col(name).alias("__name")).agg(F.max_by(F.struct(F.col(stamp).alias("stamp"), F.struct(*material).alias("m")), stamp).alias("__old"))
+    current = sections.where("turn = 0").select(F.col(name).alias("__current")).distinct()
+    own = sections.where(F.trim(name) != "").join(old, F.col(name) == F.col("__name"), "left").join(current, F.col(name) == F.col("__current"), "left")
+    own = own.where("__name is not null or __current is not null")
+    first = F.struct("turn", "position")
+    known = own.groupBy(F.col(name).alias("__n"), F.col(stamp).alias("__s")).agg(F.min(first).alias("__first"))
+    own = own.join(known, (F.col(name) == F.col("__n")) & (F.col(stamp) == F.col("__s")), "left")
+    seen = F.when(F.col("__name").isNull(), first > F.col("__first")).otherwise(F.col("__old.stamp") == F.col(stamp))
+    unchanged = (F.col("__old.stamp") >= F.col(stamp)) & F.struct(*material).eqNullSafe(F.col("__old.m"))
+    taken = own.where(~F.coalesce(seen, F.lit(False)) & ~F.coalesce(unchanged, F.lit(False)))
+    return taken.groupBy(name).agg(F.max_by(F.struct(*[c for c in sections.columns if c != name]), first).alias("__r")).select(name, "__r.*")
 
 
 def run_positions(runs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.operators import audit, graph, names, paths, prepare, report, restore, upsert
+from cataloom.operators import audit, graph, lineage, names, patch, paths, prepare, report, restore, upsert
 from cataloom.plans.parsing import by, said
 from cataloom.plans.registry import Tables, query, text_of
 
@@ -127,6 +127,71 @@ def graph_checked(t: Tables) -> DataFrame:
     return checked.select(kept).join(forward, F.lit(True)).join(own_loops, F.lit(True)).withColumn("kg_supports_cycles", F.col("kg_supports_cycles") + F.col("__loops")).drop("__loops")
 
 
+# ---- replays and patches of logs
+
+_RUNS = """r as (select o_custkey as c, o_orderkey as k, o_orderdate as tm, 'docs/' || o_custkey || '/Out.md' as path, o_orderkey % 5 <> 0 as same, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders),
+  d as (select c, path, k, tm, same from r where n = 1 + c % 3), a as (select d.*, d.same as own from d where c % 4 <> 0)"""
+
+
+def _runs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A run for each order of a customer, and for most customers a report that one of the runs wrote."""
+    from pyspark.sql import Window
+
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    body = said("## Rule ", key % 3, "\nof ", key, "\n")
+    out = t.orders.select(
+        F.lit("/r").alias("root_dir"), F.when(key % 5 == 0, "moved").otherwise("code").alias("source_path"), F.lit("docs").alias("output_path"), said("x/DOCS/", cust, "/out.md").alias("output_file"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.col("o_orderdate").alias("run_time"), F.timestamp_seconds(key).alias("mtime"), said("log", F.lpad(text_of(key), 9, "0")).alias("log_file"), F.lit(0).alias("frame"),
+        body.alias("response_text"), "o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))).alias("n"),
+    )
+    reports = out.where("n = 1 + o_custkey % 3").select(said("docs/", cust, "/Out.md").alias("path"), F.when(cust % 4 != 0, F.concat(F.lit("\n"), "response_text")).otherwise("## Other").alias("text"), "o_custkey", F.col("timestamp").alias("at"))
+    return reports, out
+
+
+@query(f"""with {_RUNS} select path, cast(1 as bigint) as turn, cast(cast(tm as date) as varchar) as timestamp, '## Rule ' || (k % 3) || chr(10) || 'of ' || k as response from a
+  union all select a.path, 1 + row_number() over (partition by a.path order by r.tm, r.k), cast(cast(r.tm as date) as varchar), '## Rule ' || (r.k % 3) || chr(10) || 'of ' || r.k from a join r on r.c = a.c and r.same = a.same and r.tm < a.tm""")
+def prior_runs(t: Tables) -> DataFrame:
+    reports, runs = _runs(t)
+    return lineage.prior_runs(reports, runs).select("path", "turn", "timestamp", F.rtrim(F.regexp_replace("response_text", r"\s+$", "")).alias("response"))
+
+
+@query(f"""with {_RUNS}, s as (select c, 0 as turn, k % 3 as name, cast(tm as date) as stamp, k from d union all select c, 1, k % 3, cast(tm as date), k from a
+    union all select a.c, 1 + row_number() over (partition by a.c order by r.tm, r.k), r.k % 3, cast(r.tm as date), r.k from a join r on r.c = a.c and r.same = a.same and r.tm < a.tm),
+  e as (select c_custkey as c, 1 as name, date '1995-06-01' as stamp, c_custkey % 2 as m from customer where c_custkey % 3 <> 0),
+  j as (select s.*, s.k % 2 as m, e.stamp as old, e.m as old_m, row_number() over (partition by s.c, s.name, s.stamp order by s.turn) as again, max(case when s.turn = 0 then 1 end) over (partition by s.c, s.name) as current from s left join e on e.c = s.c and e.name = s.name)
+  select 'c' || c || ' ' || name as name, arg_max(k, turn) as k from j where (old is not null or current is not null) and case when old is null then again = 1 else old <> stamp and not (old >= stamp and old_m = m) end group by c, j.name""")
+def replayed(t: Tables) -> DataFrame:
+    """Each customer's sections by turn; where an older run differs from the catalog in what is material, it wins."""
+    reports, runs = _runs(t)
+    turns = lineage.prior_runs(reports, runs).join(reports.select("path", "o_custkey"), "path").select("o_custkey", "turn", "timestamp", F.col("response_text").alias("text"))
+    now = runs.where("n = 1 + o_custkey % 3").select("o_custkey", F.lit(0).cast("long").alias("turn"), "timestamp", F.col("response_text").alias("text"))
+    key = F.regexp_extract("text", r"of (\d+)", 1).cast("long")
+    sections = turns.unionByName(now).select(said("c", F.col("o_custkey"), " ", key % 3).alias("name"), "timestamp", (key % 2).alias("m"), key.alias("k"), "turn", F.lit(0).alias("position"))
+    old = t.customer.where("c_custkey % 3 <> 0").select(said("c", F.col("c_custkey"), " 1").alias("name"), F.lit("1995-06-01").alias("timestamp"), (F.col("c_custkey") % 2).alias("m"))
+    return lineage.replay(sections, old, material=["m"]).select("name", "k")
+
+
+_PATCHED = """l as (select o_orderkey as k, o_custkey as c, 'old/src' || (o_custkey % 7) as src, row_number() over (partition by o_custkey order by o_orderkey desc) as n from orders where o_custkey % 3 = 0 or o_orderkey % 2 = 0),
+  m as (select c, k, src from l where n = 2 and c % 2 = 0)"""
+
+
+@query(f"""with {_PATCHED} select 'log' || m.k as path, '/new' as root_dir, 'new/s' as source_path, 'new report ' || m.c as response_text, 'matched' as change from m
+  union all select 'log' || l.k, '/new', 'new/s', '**Code Block:** `' || case l.k % 4 when 0 then 'new/s/a' || l.k || '.sql' when 1 then 'new/s/b' || l.k || '.sql' when 2 then 'new/s/c.sql' else 'else/d.sql' end || '` Lines 1' || chr(10) || 'of ' || l.k, 'sibling' from l join m on l.c = m.c and l.k <> m.k""")
+def logs_patched(t: Tables) -> DataFrame:
+    """Logs of a customer's orders; the report of every second customer was rewritten, and its second newest log has its old text."""
+    from pyspark.sql import Window
+
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    some = t.orders.where("o_custkey % 3 = 0 or o_orderkey % 2 = 0").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))))
+    src = said("old/src", cust % 7)
+    code = said("**Code Block:** `", by(key % 4, said(src, "/a", key, ".sql"), said("src", cust % 7, "/b", key, ".sql"), "c.sql", "else/d.sql"), "` Lines 1\nof ", key)
+    header = F.create_map(F.lit("root_dir"), F.lit("/old"), F.lit("source_path"), src, F.lit("output_path"), said("docs/", cust), F.lit("prompt_template"), F.lit("p"))
+    frames = some.select(said("log", key).alias("path"), F.lit(0).alias("frame"), F.timestamp_seconds(key).alias("mtime"), header.alias("header"), code.alias("response_text"), "o_custkey", "n")
+    reports = frames.where("n = 2 and o_custkey % 2 = 0").select(said("r", cust).alias("report"), F.concat(F.lit("\n"), "response_text", F.lit(" \n")).alias("old_text"), said("new report ", cust).alias("new_text"), F.lit("/new").alias("root_dir"), F.lit("new/s").alias("source_path"), said("docs/", cust).alias("output_path"))
+    out = patch.patch_logs(frames.drop("o_custkey", "n"), reports)
+    return out.select("path", F.col("header.root_dir").alias("root_dir"), F.col("header.source_path").alias("source_path"), "response_text", "change")
+
+
 # ---- restores
 
 _OLD_LINKS = "select l_orderkey as owner, cast(l_suppkey as varchar) as from_logic_id, l_returnflag as from_output, case when l_quantity > 45 then ' ' else l_linestatus end as to_input, 'SUPPORTS' as kind from lineitem"
