@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from cataloom.scratch import cut_lineage
 
-#: Strings of a block, of those too short for a shared key; parts that are tried on every text at once.
-BLOCK, TRIED = 2_000, 1_000
+#: Characters of the parts that one automaton holds; parts longer than ``LONG`` are tried on every text, ``TRIED`` of them in a pass.
+AUTOMATON, LONG, TRIED = 500_000, 1_000, 1_000
 
 
 def sliding_hamming(a: str, b: str) -> int:
@@ -52,38 +53,51 @@ def _sharing(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     return pairs(blocks(left), parts(right), F.length("low") <= F.length("other")).union(pairs(parts(left), blocks(right), F.length("low") > F.length("other"))).distinct()
 
 
-def _tried(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each name with its nearest candidate of each block; for strings that everything is near to."""
-    blocks = max(1, -(-candidates.count() // BLOCK))
-    asked = names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True)).select("block", "asks", F.col("name").alias("s"))
-    dealt = candidates.select(F.pmod(F.xxhash64("candidate"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.col("candidate").alias("s"))
+def _pattern_keys(low: Column, most: int, whole: bool) -> Column:
+    """Keys of what stands at some places of a string of up to ``most`` characters (``whole``), or of any part as long of a longer one.
 
-    def best(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        s = np.array(table.column("s").to_pylist(), object)
-        rows = [(n, min((sliding_hamming(n, c), c) for c in s[~asks])[1]) for n in s[asks]] if not asks.all() else []
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["name", "candidate"])
+    A key is a length, places and their characters; with it goes the number of places left open. Two strings share a key with ``d`` open places if, and only if,
+    the shorter one lies somewhere in the longer with ``d`` mismatches or fewer.
+    """
+    def keys(k: int, places: tuple[int, ...]) -> Column:
+        head = F.lit(f"{k}:{','.join(map(str, places))}:")
+        spots = F.array(F.lit(1)) if whole else F.sequence(F.lit(1), F.length(low) - k + 1)
+        said = F.transform(spots, lambda i: F.concat(head, *[F.substr(low, i + p, F.lit(1)) for p in places])) if places else F.array(head)
+        open_ = F.lit(k - len(places)).alias("distance")
+        fits = F.length(low) == k if whole else F.length(low) >= k
+        return F.when(fits, F.transform(said, lambda x: F.struct(x.alias("key"), open_))).otherwise(F.array().cast("array<struct<key:string,distance:int>>"))
+
+    found = [keys(k, places) for k in range(1, most + 1) for m in range(k + 1) for places in combinations(range(k), m)]
+    return F.array_distinct(F.flatten(F.array(*found)))
 
-    return asked.unionByName(dealt).groupBy("block").applyInArrow(best, "name string, candidate string")
+
+def _nearest_short(names: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """(name, distance, candidate) where the shorter string has ``most`` characters or fewer: each name's least candidate by keys.
+
+    Of each key only the least candidate is kept before names look it up, so strings that everything is near to make no pairs.
+    """
+
+    def looked_up(asking: DataFrame, known: DataFrame, short_name: bool) -> DataFrame:
+        best = known.select("candidate", F.explode(_pattern_keys(F.col("low"), most, not short_name)).alias("k")).groupBy("k.key").agg(F.min("candidate").alias("candidate"))
+        return asking.select("name", F.explode(_pattern_keys(F.col("low"), most, short_name)).alias("k")).select("name", "k.key", "k.distance").join(best, "key").select("name", "distance", "candidate")
+
+    short = F.length("low") <= most
+    return looked_up(names.where(short), candidates, True).union(looked_up(names, candidates.where(short), False))
 
 
 def nearest_names(names: DataFrame, name: str, candidates: DataFrame, candidate: str, most: int = 3) -> DataFrame:
     """(name, candidate, distance): for each distinct name its nearest candidate of at most ``most`` mismatches; ties go to the lesser one.
 
     Strings meet in an equi-join over shared blocks, and only those pairs are measured. Strings of ``most`` characters or fewer, which are
-    near to everything, meet all others in blocks. Blank strings are near to nothing.
+    near to everything, are found by the characters at their places. Blank strings are near to nothing.
     """
     own = lambda df, c, to: df.select(F.col(c).alias(to), F.lower(c).alias("low")).where(F.trim(to) != "").distinct()
     left, right = own(names, name, "name"), own(candidates, candidate, "candidate")
-    short = F.length("low") <= most
-    pairs = _sharing(left.where(~short), right.where(~short), most)
-    few, many = left.where(short), right.where(short)
-    if not few.isEmpty():
-        pairs = pairs.union(_tried(few, right))
-    if not many.isEmpty():
-        pairs = pairs.union(_tried(left, many))
+    long = F.length("low") > most
+    pairs = _sharing(left.where(long), right.where(long), most)
     distance = F.pandas_udf(lambda a, b: pd.Series([sliding_hamming(x, y) for x, y in zip(a, b, strict=True)], dtype="int32"), "int")
-    found = pairs.withColumn("distance", distance("name", "candidate")).where(F.col("distance") <= most)
+    found = pairs.withColumn("distance", distance("name", "candidate")).select("name", "distance", "candidate")
+    found = found.unionByName(_nearest_short(left, right, most)).where(F.col("distance") <= most)
     return found.groupBy("name").agg(F.min(F.struct("distance", "candidate")).alias("b")).select("name", "b.candidate", "b.distance")
 
 
@@ -195,7 +209,7 @@ def containing(texts: DataFrame, text_id: str, text: str, parts: DataFrame, part
 
     A part's inner words stand between blanks in any text that contains it. Parts and texts meet in an equi-join over the hash of a run of
     inner words, ``anchor_words`` of them or as many as a shorter part has; only ids and hashes take part in it. The texts and parts that met are
-    then compared as a whole. Parts without inner words (one or two words) are tried on every text, ``TRIED`` of them in a pass.
+    then compared as a whole. Parts without inner words (one or two words) are looked for all at once, by an automaton that reads every text once.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     body = texts.select(F.col(text_id).alias("doc"), F.col(text).alias("body"))
@@ -212,7 +226,9 @@ def containing(texts: DataFrame, text_id: str, text: str, parts: DataFrame, part
             runs = split.where(F.size("words") >= n).select("doc", F.explode(F.array_distinct(_runs(F.col("words"), n))).alias("key"))
             met.append(runs.join(keyed, "key").select("doc", "part"))
             continue
-        passes = -(-sizes[0] // TRIED)
+        hits.append(_scanned(body, some.where(F.length("said") <= LONG).select("part", "said")))
+        some = some.where(F.length("said") > LONG)
+        passes = -(-some.count() // TRIED)
         for k in range(passes):
             tried = some.where(F.pmod(F.xxhash64("part"), F.lit(passes)) == k).select("part", "said")
             hits.append(body.join(F.broadcast(tried), F.col("body").contains(F.col("said"))).select("doc", "part"))
@@ -224,6 +240,40 @@ def containing(texts: DataFrame, text_id: str, text: str, parts: DataFrame, part
     return reduce(DataFrame.unionByName, hits).distinct().select(F.col("doc").alias(text_id), F.col("part").alias(part_id))
 
 
+def _scanned(body: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc, part) of ``body(doc, body)`` and short ``parts(part, said)``: an Aho-Corasick automaton of the distinct parts reads each text.
+
+    Parts are dealt by hash to automata of about ``AUTOMATON`` characters, which bounds what is broadcast; every one of them is a pass over the texts.
+    """
+    spark = body.sparkSession
+    said = parts.select("said").distinct()
+    passes = -(-(said.agg(F.sum(F.length("said"))).first()[0] or 0) // AUTOMATON)
+    found = body.select("doc", F.lit("").alias("said")).limit(0)
+    for k in range(passes):
+        block = [r.said for r in said.where(F.pmod(F.xxhash64("said"), F.lit(passes)) == k).toLocalIterator()]
+        found = found.unionByName(body.where("body is not null").mapInArrow(_scanner(spark.sparkContext.broadcast(block)), found.schema))
+    return found.join(parts, "said").select("doc", "part")
+
+
+def _scanner(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for part in block.value:
+            automaton.add_word(part, part)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, out = [], []
+            for i, text in enumerate(batch.column(batch.schema.get_field_index("body")).to_pylist()):
+                own = {part for _, part in automaton.iter(text)}
+                rows += [i] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")).take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], names=["doc", "said"])
+
+    return run
+
+
 def _runs(words, n: int):
     return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, F.lit(n)))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cataloom.operators import audit, graph, lineage, names, patch, paths, prepare, report, restore, upsert
 from cataloom.plans.parsing import by, said
 from cataloom.plans.registry import Tables, query, text_of
+from cataloom.sources import diagrams
 
 # ---- upserts
 
@@ -372,8 +373,8 @@ def functions_by_source(t: Tables) -> DataFrame:
 
 @query("""with f as (select distinct 'f' || p_size as id, 'call_' || lpad(cast(p_size as varchar), 3, '0') || '_' || md5(cast(p_size as varchar)) as label from part),
   m as (select o_orderkey, o_custkey % 50 as path, 'call_' || lpad(cast(o_orderkey % 60 as varchar), 3, '#') || '_' || md5(cast(o_orderkey % 60 as varchar)) || '(x)' as said, row_number() over (partition by o_custkey % 50 order by o_orderkey) as step from orders)
-  select case when f.id is null then 'PART_OF' else 'SEQUENCED_BY' end as type, f.id as src, count(*) as n from m left join f on f.id = 'f' || (o_orderkey % 60) where f.id is not null group by all
-  union all select 'PART_OF', null, count(*) from m""")
+  select 'SEQUENCED_BY' as type, f.id as src, path || '#' || step as dst from m join f on f.id = 'f' || (o_orderkey % 60)
+  union all select 'PART_OF', path || '#' || step, cast(path as varchar) from m""")
 def sequence_graph(t: Tables) -> DataFrame:
     """Messages meet functions whose labels differ from their own in up to two places."""
     from pyspark.sql import Window
@@ -384,7 +385,7 @@ def sequence_graph(t: Tables) -> DataFrame:
     step = F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey"))
     said_ = t.orders.select("o_orderkey", text_of(F.col("o_custkey") % 50).alias("path"), F.concat(label(own, "#"), F.lit("(x)")).alias("function_name")).withColumns({"step": step, "from_participant": F.lit("a"), "to_participant": F.lit("b")})
     _, edges = graph.sequence_graph(said_, functions)
-    return edges.select("type", F.when(F.col("type") == "SEQUENCED_BY", F.col("src")).alias("src")).groupBy("type", "src").agg(F.count("*").alias("n"))
+    return edges.select("type", "src", "dst")
 
 
 @query("""with n as (select c_custkey, 1000 + row_number() over (order by c_custkey) as id from customer)
@@ -435,9 +436,9 @@ def property_graph(t: Tables) -> DataFrame:
 @query("""with s as (select n_regionkey as r, n_nationkey as k, 'Type' || (n_nationkey % 4) as base from nation),
   n as (select r, base, row_number() over (partition by base order by 'd' || r) as n from (select distinct r, base from s)),
   p as (select cast(p_partkey as varchar) as id, upper(right(cast(p_partkey as varchar), 3)) as code, lower(p_name) as name from part), l as (select code, name, min(id) as id from p group by 1, 2)
-  select 'PART_OF' as type, count(*) as n from n union all select 'SYNONYM', count(*) from n where n > 1
-  union all select 'OPERATES_ON', count(*) from (select distinct r, base, id from s join part on p_partkey = k join l on l.code = upper(right(cast(k as varchar), 3)) and l.name = lower(p_name))
-  union all select 'RELATED_TO', count(distinct r || '|' || a || '|' || b) from (select r, base as a, 'Type0' as b from s where base <> 'Type0' and r in (select r from s where base = 'Type0') union all select r, 'Type0', base from s where base <> 'Type0' and r in (select r from s where base = 'Type0'))""")
+  select 'd' || r || '::' || base as src, 'd' || r as dst, 'PART_OF' as type from n union all select 'd' || n.r || '::' || base, 'd' || f.r || '::' || base, 'SYNONYM' from n join n f using (base) where n.n > 1 and f.n = 1
+  union all select distinct id, 'd' || r || '::' || base, 'OPERATES_ON' from s join part on p_partkey = k join l on l.code = upper(right(cast(k as varchar), 3)) and l.name = lower(p_name)
+  union all select distinct 'd' || r || '::' || a, 'd' || r || '::' || b, 'RELATED_TO' from (select r, base as a, 'Type0' as b from s where base <> 'Type0' and r in (select r from s where base = 'Type0') union all select r, 'Type0', base from s where base <> 'Type0' and r in (select r from s where base = 'Type0'))""")
 def domain_graph(t: Tables) -> DataFrame:
     """Types of the regions' diagrams, their namesakes, relations both ways, and the logics in their notes (code and name decide)."""
     base = said("Type", F.col("n_nationkey") % 4)
@@ -446,7 +447,21 @@ def domain_graph(t: Tables) -> DataFrame:
     logics = t.part.select(text_of("p_partkey").alias("id"), F.col("p_name").alias("name"))
     noted = t.nation.join(t.part, F.col("n_nationkey") == F.col("p_partkey")).select(said("d", F.col("n_regionkey")).alias("path"), base.alias("entity"), F.lower(F.right(text_of("n_nationkey"), F.lit(3))).alias("code"), F.upper("p_name").alias("name"))
     _, edges = graph.domain_graph(types, relations, noted, logics)
-    return edges.select("src", "dst", "type").distinct().groupBy("type").agg(F.count("*").alias("n"))
+    return edges.select("src", "dst", "type").distinct()
+
+
+@query("""with n as (select n_regionkey as r, n_name as name, row_number() over (partition by n_nationkey % 4 order by n_nationkey) as n, n_nationkey as k from nation)
+  select 'd' || r || '::' || name as id, case when k % 2 = 0 then 'about ' || lower(name) end as description, case when k % 2 = 0 then '{"key":"of ' || k || '"}' end as attributes from n
+  union all select distinct 'd' || r, null, null from n""")
+def domain_described(t: Tables) -> DataFrame:
+    """Types of a domain graph and what is described of every second one, under a name with blanks and a number."""
+    path = said("d", F.col("n_regionkey"))
+    types = t.nation.select(path.alias("path"), F.col("n_name").alias("name"), F.lit("class").alias("kind"))
+    none = lambda spec: t.spark.createDataFrame([], spec)
+    nodes, _ = graph.domain_graph(types, none("path string, left string, right string, label string"), none("path string, entity string, code string, name string"), none("id string, name string"))
+    name = F.concat(F.left("n_name", F.lit(2)), F.lit(" "), F.substr("n_name", F.lit(3)), F.lit(" (2)"))
+    text = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("path"), said("### ", name, "\nabout ", F.lower("n_name"), "\n**Attributes:**\n- key: of ", F.col("n_nationkey"), "\n").alias("text"))
+    return graph.described(nodes, diagrams.entity_descriptions(text, "path")).select("id", "description", "attributes")
 
 
 # ---- reports and files

@@ -36,7 +36,7 @@ def _report(t: Tables) -> DataFrame:
         "a preamble\n---\n",
         by(key % 4, said("### 1. **Rule Name:** ", name), said("## ", name), said("**Name:** ", name), said("#### Logic Name\nThe **Name:** ", name)), "\n",
         "**Kind:** ", by(size % 2, "Decision", "BKM"), "\n**Purpose:** on ", brand, "\n\n**Spec:** of ", F.col("p_type"), "\nand more\n",
-        by(key % 3, said("**Code Block:** `code/", brand, "/", key, ".sql`\n"), said("**Code Block:**\nFile: src/", size, ".cob\n"), ""),
+        by(key % 3, said("**Code Block:** `code/", brand, "/", key, ".sql`", by(key % 2, " beside\n", said(" Lines ", key, "-", key + 2, "\n"))), said("**Code Block:**\nFile: src/", size, ".cob\n"), ""),
         by(size % 4, said("Lines: ", size, "–", size + 9, "\n"), said("Line: ", size, "\n"), said("Lines: ", size, " - ", size + 1, "\n"), ""),
         by(size % 3, said("Function: `fn_", size, "`\n"), ""),
         "```sql\nSELECT ", size, "\n  FROM t;\n```\n**Example:** say ", key, "\n",
@@ -53,7 +53,7 @@ def _parsed(t: Tables) -> DataFrame:
 
 @query("""select p_partkey, 0 as position, p_name || ' ' || p_partkey as name, case when p_size % 2 = 0 then 'Decision' else 'BKM' end as kind,
     case p_partkey % 3 when 0 then 'code/' || p_brand || '/' || p_partkey || '.sql' when 1 then 'src/' || p_size || '.cob' else '' end as code_file,
-    case when p_size % 4 < 3 then p_size || '..' || (p_size + case p_size % 4 when 0 then 9 when 1 then 0 else 1 end) end as code_lines,
+    case when p_partkey % 6 = 3 then p_partkey || '..' || (p_partkey + 2) when p_size % 4 < 3 then p_size || '..' || (p_size + case p_size % 4 when 0 then 9 when 1 then 0 else 1 end) end as code_lines,
     case when p_size % 3 = 0 then 'fn_' || p_size else '' end as code_function from part""")
 def report_code_fields(t: Tables) -> DataFrame:
     p = _parsed(t)
@@ -149,12 +149,16 @@ def json_in_a_row(t: Tables) -> DataFrame:
     return found.select("event_id", F.posexplode("v").alias("pos", "v")).select("event_id", "pos", F.get_json_object("v", "$.k").alias("k"))
 
 
-@query("""select event_id, cast(case event_id % 5 when 4 then 0 when 0 then 2 else 1 end as integer) as n, case when event_id % 5 <> 4 then json_extract_string(props, '$.k') end as k from events""")
+@query("""select event_id, cast(case event_id % 7 when 4 then -1 when 0 then 2 when 5 then 2 when 6 then 0 else 1 end as integer) as n, case when event_id % 7 not in (4, 6) then json_extract_string(props, '$.k') end as k from events""")
 def json_reports(t: Tables) -> DataFrame:
     p = F.col("props")
-    text = by(F.col("event_id") % 5, said('{"logics": [', p, ", ", p, "]}"), said("Here:\n```json\n", p, "\n```\nbye"), said("the list [", p, "] it is"), said("so ", p, " ends"), "no JSON {here")
+    deep = F.repeat(F.lit("["), F.lit(200_000))
+    text = by(
+        F.col("event_id") % 7, said('{"logics": [', p, ", ", p, "]}"), said("Here:\n```json\n", p, "\n```\nbye"), said("the list [", p, "] it is"), said("so ", p, " ends"),
+        F.when(F.col("event_id") % 700 == 4, deep).otherwise("no JSON {here"), said('[1, ', p, ', "note", ', p, "]"), '{"logics": []}',
+    )
     found = t.events.select("event_id", jsonish.records(text).alias("r"))
-    return found.select("event_id", F.coalesce(F.array_size("r"), F.lit(0)).alias("n"), F.get_json_object(F.get("r", F.lit(0)), "$.k").alias("k"))
+    return found.select("event_id", F.coalesce(F.array_size("r"), F.lit(-1)).alias("n"), F.get_json_object(F.get("r", F.lit(0)), "$.k").alias("k"))
 
 
 # ---- run logs
@@ -265,12 +269,37 @@ def domain_relations(t: Tables) -> DataFrame:
     return diagrams.relations(_domains(t), "path")
 
 
-@query("""select r_regionkey as path, r_name as entity, n_name as attribute, 'of ' || n_nationkey as description from nation join region on r_regionkey = n_regionkey""")
+def _described(t: Tables) -> DataFrame:
+    """A description of each region: attributes up to an empty line, relationships and logics, each with its title bold or plain, and an enumeration."""
+    plain = F.col("n_regionkey") % 2 == 0
+    items = lambda body: F.array_join(F.array_sort(F.collect_list(body)), "")
+    own = t.nation.groupBy("n_regionkey").agg(items(said("- ", F.col("n_name"), ": of ", F.col("n_nationkey"), "\n")).alias("items"), items(said("- near ", F.col("n_name"), "\n")).alias("near"), items(said("- L", F.col("n_nationkey"), ": a logic\n")).alias("used"))
+    own = own.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    title = lambda name: F.when(plain, f"{name}:\n").otherwise(f"**{name}:**\n")
+    text = said(
+        "# Domain\n- x: not listed\n", F.when(plain, said("### ", F.col("r_name"))).otherwise(said("### **", F.col("r_name"), "**")), "\nAll of  \n\n ", F.col("r_name"), ".\n(note aside)\nnot said\n",
+        title("Attributes"), F.col("items"), F.when(plain, "\n- y: not listed\n").otherwise(""), title("Relationships"), F.col("near"), title("Logics"), F.col("used"), "## Enumerations\n### Level\nhow high\n", title("Attributes"), "- low\n- high: a lot: much\n",
+    )
+    return own.select(F.col("r_regionkey").alias("path"), text.alias("text"))
+
+
+@query("""select r_regionkey as path, r_name as entity, n_name as attribute, 'of ' || n_nationkey as description from nation join region on r_regionkey = n_regionkey
+  union all select r_regionkey, 'Level', a, d from region, (select unnest(['low', 'high']) as a, unnest(['', 'a lot: much']) as d)""")
 def domain_attributes(t: Tables) -> DataFrame:
-    item = said("- **", F.col("n_name"), "**: of ", F.col("n_nationkey"), "\n")
-    listed = t.nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    text = said("### ", F.col("r_name"), "\nsome text\n- x: not listed\n**Attributes:**\n", F.col("items"), "### Else\n- y: not listed\n")
-    return diagrams.entity_attributes(listed.select(F.col("r_regionkey").alias("path"), text.alias("text")), "path")
+    return diagrams.entity_attributes(_described(t), "path")
+
+
+@query("""select r_regionkey as path, r_name as entity, 'class' as kind, 'All of ' || r_name || '.' as description, count(*) as n_attributes, max('of ' || n_nationkey) as last_attribute from nation join region on r_regionkey = n_regionkey group by all
+  union all select r_regionkey, 'Level', 'enum', 'how high', 2, 'a lot: much' from region""")
+def domain_descriptions(t: Tables) -> DataFrame:
+    found = diagrams.entity_descriptions(_described(t), "path")
+    return found.select("path", "entity", "kind", "description", F.size("attributes").cast("long").alias("n_attributes"), F.array_max(F.map_values("attributes")).alias("last_attribute"))
+
+
+@query("""select r_regionkey as path, r_name as entity, 'relationships' as part, 'near ' || n_name as text from nation join region on r_regionkey = n_regionkey
+  union all select r_regionkey, r_name, 'logics', 'L' || n_nationkey || ': a logic' from nation join region on r_regionkey = n_regionkey""")
+def domain_parts(t: Tables) -> DataFrame:
+    return diagrams.entity_parts(_described(t), "path").where("part in ('relationships', 'logics')").select("path", "entity", "part", "text")
 
 
 @query("""select p_partkey, 'note right of X' || chr(10) || '- ' || upper(right(md5(p_name), 3)) || ' · ' || p_name || chr(10) || '- unknown' || chr(10) || 'end note' || chr(10) || '- ' || p_name as text from part""")

@@ -68,15 +68,58 @@ def noted_logics(documents: DataFrame, document: str, text: str = "text") -> Dat
     return entries.where(F.col("entry").rlike(entry)).select(document, "entity", F.regexp_extract("entry", entry, 1).alias("code"), F.regexp_extract("entry", entry, 2).alias("name"))
 
 
+#: Titles that begin a part of an entity's description, bold or plain.
+_PARTS = ("attributes", "relationships", "logics")
+
+
+def entity_parts(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
+    """(document, entity, kind, part, n, name, text) of domain descriptions: what stands below each ``### Entity``, bold or plain, by part.
+
+    A description is the text up to a title or a line that begins ``(note``. ``Attributes:`` are bullets ``- name: text`` up to an empty line,
+    ``Relationships:`` and ``Logics:`` bullets, each up to the next title or heading. ``kind`` is enum below ``## Enumerations``, class elsewhere.
+    """
+    line = F.col("line")
+    head = r"^###\s+(?:\*\*)?(.*?)(?:\*\*)?\s*$"
+    title = lambda name: line.rlike(rf"^\s*(?:\*\*)?{name.capitalize()}:(?:\*\*)?\s*$")
+    begins = F.when(line.rlike(head), "description")
+    for name in _PARTS:
+        begins = begins.when(title(name), name)
+    begins = begins.when(line.startswith("## "), "none")
+    upto = Window.partitionBy(document).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines(documents, document, text).withColumn("__begins", begins).withColumns(
+        {
+            "part": F.last("__begins", True).over(upto),
+            "__run": F.count("__begins").over(upto),
+            "entity": F.last(F.when(line.rlike(head), stripped(F.regexp_extract("line", head, 1))), True).over(upto),
+            "kind": F.when(F.last(F.when(line.startswith("## "), line.rlike(r"^##\s+Enumerations\s*$")), True).over(upto), "enum").otherwise("class"),
+        }
+    )
+    stops = F.when(F.col("part") == "description", F.lower(stripped(line)).startswith("(note")).when(F.col("part") == "attributes", stripped(line) == "")
+    stopped = F.max(F.coalesce(stops, F.lit(False))).over(Window.partitionBy(document, "__run").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    inside = rows.withColumn("__stopped", stopped).where("__begins is null and not __stopped and entity is not null and part <> 'none'")
+    said = stripped(F.regexp_replace(stripped(line), r"^- ", ""))
+    bullet = stripped(line).startswith("- ")
+    colon = F.instr(said, ":")
+    pair = (F.col("part") == "attributes") & (colon > 0)
+    name = F.when(F.col("part") != "attributes", F.lit("")).when(pair, stripped(F.substr(said, F.lit(1), colon - 1))).otherwise(said)
+    body = F.when(F.col("part") == "description", stripped(line)).when(pair, stripped(F.substr(said, colon + 1))).when(F.col("part") == "attributes", "").otherwise(said)
+    kept = inside.where(F.when(F.col("part") == "description", stripped(line) != "").otherwise(bullet))
+    return kept.select(document, "entity", "kind", "part", "n", name.alias("name"), body.alias("text"))
+
+
+def entity_descriptions(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
+    """(document, entity, kind, description, attributes) of each described entity; attributes map names to texts, the last of a name winning."""
+    parts = entity_parts(documents, document, text)
+    said = F.when(F.col("part") == "description", F.struct("n", "text"))
+    item = F.when(F.col("part") == "attributes", F.struct("n", "name", "text"))
+    own = parts.groupBy(document, "entity", "kind").agg(F.array_sort(F.collect_list(said)).alias("__d"), F.array_sort(F.collect_list(item)).alias("__a"))
+    last = F.aggregate("__a", F.create_map().cast("map<string,string>"), lambda m, a: F.map_concat(F.map_filter(m, lambda k, v: k != a["name"]), F.create_map(a["name"], a["text"])))
+    return own.select(document, "entity", "kind", F.array_join(F.transform("__d", lambda x: x["text"]), " ").alias("description"), last.alias("attributes"))
+
+
 def entity_attributes(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
-    """(document, entity, attribute, description) of ``### Entity`` sections with an ``**Attributes:**`` list."""
-    head = r"^\s*###\s+(.+?)\s*$"
-    tagged = islands(lines(documents, document, text), [document], "n", F.col("line").rlike(head)).where("island > 0")
-    w = Window.partitionBy(document, "island")
-    named = tagged.withColumn("entity", F.max(F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1))).over(w))
-    listed = named.withColumn("__in", F.max(F.col("line").rlike(r"(?i)\*\*Attributes:?\*\*")).over(w.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    item = r"^\s*[-*]\s+\**([^:*]+?)\**\s*:\s*\**\s*(.*?)\s*$"
-    return listed.where(F.col("__in") & F.col("line").rlike(item)).select(document, "entity", F.regexp_extract("line", item, 1).alias("attribute"), F.regexp_extract("line", item, 2).alias("description"))
+    """(document, entity, attribute, description) of the attributes of each described entity."""
+    return entity_parts(documents, document, text).where("part = 'attributes'").select(document, "entity", F.col("name").alias("attribute"), F.col("text").alias("description"))
 
 
 def annotate_notes(documents: DataFrame, document: str, codes: DataFrame, text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ _FENCE = re.compile(r"```(?:json)?[ \t]*\n(.*?)```", re.S | re.I)
 def _loads(text: str):
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # too deep is no JSON to us
         return None
 
 
@@ -26,6 +26,8 @@ def _first_value(text: str, opening: str):
     while at >= 0:
         try:
             return decoder.raw_decode(text, at)[0]
+        except RecursionError:
+            return None  # what is left starts inside the same nest
         except ValueError:
             at = min((i for i in (text.find(c, at + 1) for c in opening) if i >= 0), default=-1)
     return None
@@ -39,15 +41,15 @@ def lenient_value(text: str | None):
 
 
 def report_records(text: str | None) -> list[dict]:
-    """The records of a JSON report in markdown: an object with ``logics``, one object, or a list."""
+    """The records of a JSON report in markdown: an object with ``logics``, one object, or a list, of which only objects count; it may be empty."""
     text = text or ""
     tries = (lambda: _loads(text.strip()), *(lambda b=b: _loads(b.strip()) for b in _FENCE.findall(text)), lambda: _first_value(text, "["), lambda: _first_value(text, "{"))
     for t in tries:
         v = t()
         if isinstance(v, dict):
             v = v["logics"] if isinstance(v.get("logics"), list) else [v]
-        if isinstance(v, list) and v and all(isinstance(x, dict) for x in v):
-            return v
+        if isinstance(v, list):
+            return [x for x in v if isinstance(x, dict)]
     raise ValueError("no JSON records in this report")
 
 
@@ -83,7 +85,7 @@ def _or_none(one):
     def run(t: str | None) -> list[str] | None:
         try:
             return [json.dumps(v, sort_keys=True) for v in one(t)]
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return run

@@ -144,9 +144,10 @@ def parse(parts: DataFrame) -> DataFrame:
     cut = parts.withColumn("__p", _pieces(F.col("section")))
     texts = cut.withColumns({f"__{f}": _value(F.col("__p"), f) for f in MARKERS})
     section = F.col("section")
-    inline = stripped(F.replace(F.substring_index("__code", "\n", 1), F.lit("`"), F.lit("")))
-    beside = F.regexp_extract(section, r"(?mi)^\*\*Code\s*Block:\*\*[ \t]*(\S[^\n]*)$", 1) != ""
-    numbers = F.regexp_extract_all(F.regexp_extract(_place(section, "lines"), r"^\d+(?:\s*[-–—]\s*\d+)?", 0), F.lit(r"(\d+)"), 1)
+    # the file ends at its closing tick; lines may follow it, or stand anywhere else
+    inline = stripped(F.regexp_extract(section, r"(?mi)^\*\*Code\s*Block:\*\*[ \t]*`?([^`\n]+)", 1))
+    beside = inline != ""
+    numbers = F.regexp_extract_all(F.regexp_extract(section, r"(?i)\bLines?\s*:{0,2}\s*(\d+(?:\s*[-–—]\s*\d+)?)", 1), F.lit(r"(\d+)"), 1)
     whole = F.when(_fenced(F.col("__dmn")) != "", stripped(_fenced(F.col("__dmn")))).otherwise(F.col("__dmn"))
     out = texts.withColumns(
         {
