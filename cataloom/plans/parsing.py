@@ -161,6 +161,21 @@ def json_reports(t: Tables) -> DataFrame:
     return found.select("event_id", F.coalesce(F.array_size("r"), F.lit(-1)).alias("n"), F.get_json_object(F.get("r", F.lit(0)), "$.k").alias("k"))
 
 
+_DEEP = {"rule_id": "logic_id", "rule_name": "name", "rule_ids": "logic_ids"}
+
+
+@query("""select event_id, case event_id % 4 when 3 then null when 0 then '{"a":[{"b":{"c":[{"logic_id":' || event_id || ',"name":"' || event_type || '"}]}}],"logic_ids":[1]}' when 1 then '[{"logic_id":"kept","name":"x"}]' else '{"a":{"logic_id":' || event_id || '}}' end as text from events""")
+def renamed_deep(t: Tables) -> DataFrame:
+    """Old keys four levels down; a filled new key keeps its value; a second time changes nothing."""
+    key = F.col("event_id")
+    text = by(
+        key % 4, said('{"rule_ids": [1], "a": [{"b": {"c": [{"rule_id": ', key, ', "name": "", "rule_name": "', F.col("event_type"), '", "gone": 1}]}}]}'),
+        '[{"rule_id": 5, "logic_id": "kept", "rule_name": "x"}]', said('{"a": {"rule_id": ', key, ', "gone": {"rule_id": 1}}}'), "{no JSON",
+    )
+    once = jsonish.rename_deep(text, _DEEP, ("gone",))
+    return t.events.select("event_id", once.alias("text")).select("event_id", jsonish.rename_deep(F.col("text"), _DEEP, ("gone",)).alias("text"))
+
+
 # ---- run logs
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,8 @@ def eligible_categories(leaves: DataFrame, groups: DataFrame, owners: DataFrame,
     gone = groups.where(F.coalesce("archived", F.lit(False))).select(F.col("id").alias("__g"))
     own = leaves.join(gone, F.col("groupId") == F.col("__g"), "left_anti").select(F.col("name").alias("category"), F.coalesce(F.lower(F.trim("team")), F.lit("")).alias("__team"))
     asks = owners.select(F.col(owner).alias("owner")).distinct()
-    return asks.join(own, (F.col("__team") == "") | (F.col("__team") == F.lower(F.trim("owner")))).select("owner", "category").distinct()
+    asks = asks.withColumn("__team", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce(F.lower(F.trim("owner")), F.lit(""))))))
+    return asks.join(own, "__team").select("owner", "category").distinct()
 
 
 class Conflict(RuntimeError):
@@ -132,9 +134,18 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, key: str, version: int) -> None:
-    """A catalog as the one JSON document that other tools read; for catalogs that fit the driver."""
-    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).collect()]
-    document = json.dumps({"version": version, key: rows}, indent=2, ensure_ascii=False)
-    df.sparkSession.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-
-
+    """A catalog as the one JSON document that other tools read; one task writes it row by row, as it is one file."""
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, first = [f'{{"version": {version}, {json.dumps(key)}: ['], True
+        for batch in batches:
+            for row in filter(None, batch.column(0).to_pylist()):
+                lines.append(("" if first else ",") + row)
+                first = False
+            yield pa.RecordBatch.from_pydict({"value": lines})
+            lines = []
+        yield pa.RecordBatch.from_pydict({"value": [*lines, "]}"]})
+
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    some = df.sparkSession.createDataFrame([(None,)], "value string").unionByName(rows).coalesce(1)  # a task even for an empty catalog
+    some.mapInArrow(document, "value string").write.mode("overwrite").text(path)

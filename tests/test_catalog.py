@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cataloom.functions import text as T
 from cataloom.operators import audit, graph, keys, match, upsert
 from cataloom.sources import catalog, diagrams, jsonish, reports, runlogs
+from cataloom.sources.store import Store
 from cataloom.streaming import ingest
 
 REPORT = """intro that is dropped
@@ -149,7 +150,7 @@ def test_log_stream(spark, tmp_path):
     for i in (1, 2):
         (tmp_path / "in" / f"{i}.log").write_text(LOG.format(build=2510020936, index=i))
         ingest.ingest_runs(spark, str(tmp_path / "in"), f"file://{tmp_path}/runs", str(tmp_path / "check")).awaitTermination()
-        assert catalog.Snapshots(spark, f"file://{tmp_path}/runs").read().count() == i
+        assert Store(spark, f"file://{tmp_path}/runs").read("runs").count() == i
 
 
 def test_activity_logs(spark):
