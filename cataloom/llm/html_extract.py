@@ -28,6 +28,8 @@ from cataloom.llm.url_filter import host_and_path
 
 #: Winning paths kept for a host; rows of winners that are broadcast; salts of the join beyond.
 WINNERS, SMALL_TABLE, SALTS = 8, 100_000, 32
+#: Share of the page's own best container that a winning path must hold.
+THIN = 0.2
 #: Characters that are shown of a path's last step; the digest before them holds them all.
 STEP = 120
 
@@ -38,7 +40,7 @@ _BLOCK = frozenset(
     tfoot th thead tr ul""".split()
 )
 #: Elements that are never text (an unclosed one of those in _TO_THE_END takes the rest of the page), and those that hold page furniture.
-_RAW = "script|style|noscript|template|iframe|svg|math|canvas|object|audio|video|title|textarea|select"
+_RAW = "script|style|noscript|template|iframe|svg|canvas|object|audio|video|title|textarea|select"
 _TO_THE_END = frozenset("script style textarea title iframe".split())
 _FURNITURE = frozenset("nav aside footer form menu dialog button search head".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search form menu menubar dialog alert alertdialog".split())
@@ -52,18 +54,24 @@ _MARKS = frozenset(
 )
 #: Marks that most of a page's text doesn't excuse, and first words of a class that say what an element has or lacks.
 _TALK = frozenset("comment comments disqus replies discussion respond".split())
+#: Inside an article a class or id marks furniture only if all its words are marks or these; headings and paragraphs are never marked there.
+_BESIDE = frozenset("area bar block bottom box button buttons content container form icon icons inner left link links list module panel post posts article articles right section slot thread top unit widget wrap wrapper".split())
+_SAID = frozenset("h1 h2 h3 h4 h5 h6 p blockquote figure figcaption table li".split())
 _STATES = frozenset("no has with without".split())
 _CONTAINER = frozenset("article main section div td body blockquote center html".split())
 _GOOD = frozenset("article main content post entry story text body page".split())
 #: Start tags that close an open paragraph, and those that close an open element of their own kind.
 _CLOSES_P = _BLOCK - {"body", "html", "head"}
 _CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
-    re.S | re.I,
+# a quote opens a value only behind "="; the last way to end a tag is at the first ">" whatever stands before it
+_STRINGS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
+_TOKEN, _PLAIN_TOKEN = (
+    re.compile(r"<!--.*?(?:-->|\Z)|<(" + _RAW + r")(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)(?:(" + inside + r")>|([^>]*)>)|<[!?/][^>]*>", re.S | re.I)
+    for inside in (_STRINGS, "[^>]*+")
 )
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split("|")}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_COMMENTS = re.compile(r"comments?(list|form|area|section|thread|body|box|wrap|wrapper)?")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _POST = re.compile(r"\b(article|post|entry|story)\b")
 _DIGITS = re.compile(r"\d+")
@@ -82,7 +90,7 @@ class Page:
         within, opened = [0], Counter({"#": 1})  # open blocks, and how many elements of each kind are open
         found: list[tuple[int, list[tuple[int, str, bool]]]] = []  # block, its pieces: element, text, in a link
         unclosed: set[str] = set()
-        at = 0
+        at, last, token = 0, html.rfind(">") + 1, _TOKEN  # no tag ends behind the last ">", so nothing there is looked at again and again
 
         def flush() -> None:
             nonlocal pieces
@@ -107,10 +115,14 @@ class Page:
             if raw and not self.dropped[open_[-1]]:
                 pieces.append((open_[-1], entities.unescape(raw) if "&" in raw else raw, links > 0))
 
-        while m := _TOKEN.search(html, at):
+        while m := token.search(html, at, last):
             put(html[at : m.start()])
             at = m.end()
             name = m[3]
+            if m[5] is not None:  # a quote that nothing closes: from here on quotes count for nothing
+                token = _PLAIN_TOKEN
+            if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(html)
             if name is None:
                 if m[1]:
                     pieces.append((open_[-1], " ", False))
@@ -155,9 +167,10 @@ class Page:
                 continue
             if name == "a":
                 links += 1
-            if name in _BLOCK or m[4].strip(" /\n"):
-                self._add(name, m[4], open_[-1])
-                if not m[4].endswith("/") or name in _BLOCK:
+            attributes = m[4] if m[5] is None else m[5]
+            if name in _BLOCK or attributes.strip(" /\n"):
+                self._add(name, attributes, open_[-1])
+                if not attributes.endswith("/") or name in _BLOCK:
                     push(len(self.tag) - 1)
             else:
                 self._plain(name, open_[-1])
@@ -235,7 +248,10 @@ class Page:
             )
         self._element(name, parent, path, drop)
         if not drop and name not in ("html", "body", "main"):
-            marks = {w.lower() for words in names if words and words[0].lower() not in _STATES for w in words} & _MARKS
+            said = [[("comments" if _COMMENTS.fullmatch(w.lower()) else w.lower()) for w in words] for words in names if words and words[0].lower() not in _STATES]
+            if self.article[parent]:
+                said = [] if name in _SAID and not any("comments" in words for words in said) else [w for w in said if set(w) <= _MARKS | _BESIDE and "header" not in w]
+            marks = {w for words in said for w in words} & _MARKS
             if marks:
                 self.marks[len(self.tag) - 1] = marks <= _TALK
 
@@ -269,6 +285,13 @@ class Page:
 
     def text(self, inside: set[int]) -> str:
         """Blocks that stand in one of the elements, in page order."""
+        return "\n".join(t for t, _ in self._blocks_in(inside))
+
+    def weight(self, inside: set[int]) -> int:
+        """Characters outside links of the blocks in one of the elements."""
+        return sum(max(0, len(t) - linked) for t, linked in self._blocks_in(inside))
+
+    def _blocks_in(self, inside: set[int]) -> list[tuple[str, int]]:
         known: dict[int, bool] = {e: True for e in inside}
         known.setdefault(-1, False)
 
@@ -280,19 +303,24 @@ class Page:
             known.update(dict.fromkeys(way, known[e]))
             return known[e]
 
-        return "\n".join(t for e, t, _ in self.blocks if within(e))
+        return [(t, linked) for e, t, linked in self.blocks if within(e)]
 
 
 def extract(html: str | None, winners: list[str]) -> str:
-    """Main text of one page, by the first of its host's winning paths that it has."""
+    """Main text of one page, by the first of its host's winning paths that it has.
+
+    A path that holds little on this page, less than ``THIN`` of what the page's own best container has outside links, is passed over.
+    """
     if not html:
         return ""
     page = Page(html)
+    best = page.best()
+    own = page.weight({best})
     for path in winners:
         elements = {e for e, p in enumerate(page.path) if p == path and page.tag[e] in _CONTAINER and not page.dropped[e]}
-        if elements and (text := page.text(elements)):
+        if elements and page.weight(elements) >= THIN * own and (text := page.text(elements)):
             return text
-    return page.text({page.best()})
+    return page.text({best})
 
 
 def votes(pages: DataFrame) -> DataFrame:
