@@ -52,6 +52,25 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "name", stamp: s
     return stay.select(columns).unionByName(take.select(columns))
 
 
+def ingest(existing: DataFrame, incoming: DataFrame, force: bool = False, name: str = "name", stamp: str = "timestamp", material: Sequence[str] = MATERIAL) -> DataFrame:
+    """The catalog after an ingest of records, one a name on either side, with ``decision`` (keep, insert, update, skip).
+
+    A known (name, stamp) is passed over whatever it changes, and so is what is neither newer nor materially different; with ``force`` nothing is. An updated
+    record keeps its id and is archived no more; its category is kept only with ``force``.
+    """
+    decided = decide(existing, incoming, name, stamp, material, force).select(F.col(name).alias("__name"), "decision")
+    old = existing.select(F.col(name).alias("__old"), F.col("id").alias("__id"), F.col("category").alias("__category"), F.col(stamp).alias("__stamp"))
+    new = incoming.join(decided, F.col(name) == F.col("__name")).join(old, F.col(name) == F.col("__old"), "left")
+    seen = F.lit(not force) & F.coalesce(F.col("__stamp") == F.col(stamp), F.lit(False))
+    new = new.withColumn("decision", F.when(seen, "skip").otherwise(F.col("decision"))).where("decision in ('insert', 'update')")
+    category = F.coalesce("__category", "category") if force else F.when(F.col("decision") == "insert", F.col("category"))
+    taken = new.withColumns({"id": F.coalesce("__id", "id"), "category": category, "archived": F.lit(False)})
+    rest = existing.join(taken.select(F.col(name).alias("__taken")), F.col(name) == F.col("__taken"), "left_anti")
+    asked = incoming.select(F.col(name).alias("__asked")).distinct()
+    kept = rest.join(asked, F.col(name) == F.col("__asked"), "left").withColumn("decision", F.when(F.col("__asked").isNull(), "keep").otherwise("skip"))
+    return kept.select(*existing.columns, "decision").unionByName(taken.select(*existing.columns, "decision"))
+
+
 def reject_repeats(sections: DataFrame, document: str, name: str = "name", file: str = "code_file", position: str = "position") -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected sections of documents: the same name with the same code file twice is a repeat; other repeats of a name get a number."""
     w = Window.partitionBy(document, name, file).orderBy(position)
@@ -183,6 +202,18 @@ def keep_previous_links(current: DataFrame, previous: DataFrame, keys: Sequence[
     return joined.withColumn(links, F.when(F.coalesce(F.size(links), F.lit(0)) > 0, F.col(links)).otherwise(F.col("__links"))).drop("__links", *[f"__{k}" for k in keys])
 
 
+def deletion_report(logics: DataFrame, models: DataFrame) -> DataFrame:
+    """(kind, owner, ref) of what a deletion of archived logics would find broken, without deleting: links of live logics that start from nowhere or from no
+    logic at all (archived ones still count as there), and references of models to logics that wouldn't stay."""
+    live = logics.where(~F.coalesce("archived", F.lit(False)))
+    every = logics.select(F.trim("id").alias("__id")).where("__id <> ''").distinct()
+    link = live.select(F.col("id").alias("owner"), F.explode("links").alias("l")).select("owner", F.trim("l.from_logic_id").alias("ref"))
+    links = link.join(every, F.col("ref") == F.col("__id"), "left_anti").select(F.lit("link").alias("kind"), "owner", "ref")
+    stay = live.select(F.trim("id").alias("__id")).where("__id <> ''").distinct()
+    refs = models.select(F.col("id").alias("owner"), F.explode("logicIds").alias("ref"))
+    return links.unionByName(refs.join(stay, F.trim("ref") == F.col("__id"), "left_anti").select(F.lit("model").alias("kind"), "owner", "ref"))
+
+
 def delete_archived(logics: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalog and models without archived logics, links from them or from nowhere, and references to them."""
     live = logics.where(~F.coalesce("archived", F.lit(False)))

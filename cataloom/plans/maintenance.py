@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cataloom.operators import audit, graph, lineage, names, patch, paths, prepare, report, restore, upsert
 from cataloom.plans.parsing import by, said
-from cataloom.plans.registry import Tables, query, text_of
+from cataloom.plans import queries as _  # the summaries that issues are read from
+from cataloom.plans.registry import ORACLES, QUERIES, Tables, query, text_of
 from cataloom.sources import diagrams
 
 # ---- upserts
@@ -110,22 +111,53 @@ def links_pruned(t: Tables) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("id"), F.size("links").cast("long").alias("n")).where("n > 0")
 
 
-@query(f"""with l as (select distinct cast(l_suppkey as varchar) as src, cast(l_partkey as varchar) as dst, case when l_linenumber % 2 = 0 then 'SUPPORTS' else 'X' end as kind, l_linenumber % 3 <> 1 as g from lineitem),
-  k as (select distinct * from l where src in (select cast(p_partkey as varchar) from part where p_size % 6 <> 0) and dst in (select cast(p_partkey as varchar) from part where p_size % 6 <> 0)), s as {_SUPPORTED}
+@query(f"""with recursive l as (select distinct cast(l_suppkey as varchar) as src, cast(l_partkey as varchar) as dst, case when l_linenumber % 2 = 0 then 'SUPPORTS' else 'X' end as kind, l_linenumber % 3 <> 1 as g from lineitem),
+  k as (select distinct * from l where src in (select cast(p_partkey as varchar) from part where p_size % 6 <> 0) and dst in (select cast(p_partkey as varchar) from part where p_size % 6 <> 0)),
+  s as (select * from {_SUPPORTED} union select 'gone', 'back' union select 'back', 'gone'), core as (select * from s where dst in (select src from s)), r as (select * from core union select r.src, core.dst from r join core on core.src = r.dst)
   select (select count(*) from part where p_size % 6 = 0) as kg_logic_ids_without_step, cast(1 as bigint) as kg_steps_with_missing_logic,
     (select count(*) from k where kind = 'SUPPORTS' and (src, dst) not in (select (src, dst) from s)) as kg_json_supports_missing_in_kg, (select count(*) from k where g and (src, dst) not in (select (src, dst) from s)) as kg_json_in_graph_links_missing_in_kg,
-    (select count(*) from s where src = dst) + 2 as kg_supports_cycles, cast(1 as bigint) as kg_mutual_support_pairs""")
+    (select count(*) from core where (dst, src) in (select (src, dst) from r)) as kg_supports_cycles, (select count(*) from s a join s b on a.src = b.dst and a.dst = b.src where a.src < a.dst) as kg_mutual_support_pairs""")
 def graph_checked(t: Tables) -> DataFrame:
-    """A catalog against a graph that lacks some steps and edges, and has one step, and one pair both ways, of its own."""
+    """A catalog against a graph that lacks some steps and edges, and has one step, and one pair both ways, of its own; suppliers and parts share their numbers."""
     steps = t.part.where("p_size % 6 <> 0").select(text_of("p_partkey").alias("id")).union(t.spark.range(1).select(F.lit("gone").alias("id")))
     own = t.spark.createDataFrame([("gone", "back"), ("back", "gone")], "src string, dst string")
-    low = _supports(t).withColumn("dst", F.concat(F.lit("p"), "dst"))  # suppliers lead to parts only, so there are no other ways back
-    edges = _supports(t).union(own)
-    checked = audit.graph_check(_linked(t), steps, edges)
-    forward = audit.graph_check(_linked(t).limit(0), steps.limit(0), low.union(own)).select("kg_supports_cycles", "kg_mutual_support_pairs")
-    own_loops = _supports(t).where("src = dst").agg(F.count("*").alias("__loops"))
-    kept = [c for c in checked.columns if c not in forward.columns]
-    return checked.select(kept).join(forward, F.lit(True)).join(own_loops, F.lit(True)).withColumn("kg_supports_cycles", F.col("kg_supports_cycles") + F.col("__loops")).drop("__loops")
+    return audit.graph_check(_linked(t), steps, _supports(t).union(own))
+
+
+_INGESTED = """a as (select p_partkey as k, p_size % 5 as stamp, p_size % 3 as m, p_brand as category, p_size % 2 = 0 as archived from part where p_partkey % 3 <> 0), b as (select p_partkey as k, p_size % 7 as stamp, p_size % 2 as m from part where p_partkey % 2 = 0),
+  d as (select coalesce(a.k, b.k) as k, a.k as old, case when b.k is null then 'keep' when a.k is null then 'insert' when not {force} and (a.stamp = b.stamp or (a.stamp >= b.stamp and a.m = b.m)) then 'skip' else 'update' end as decision,
+    a.stamp as s0, b.stamp as s1, a.category, a.archived from a full join b on a.k = b.k)
+  select 'n' || k as name, case when old is null then 'new' else 'old' end || k as id, case when decision in ('keep', 'skip') then s0 else s1 end as timestamp, case when decision in ('keep', 'skip') or (decision = 'update' and {force}) then category when decision = 'insert' then 'given' end as category,
+    case when decision in ('keep', 'skip') then archived else false end as archived, decision from d"""
+
+
+def _ingested(t: Tables, force: bool) -> DataFrame:
+    size, key = F.col("p_size"), F.col("p_partkey")
+    old = t.part.where("p_partkey % 3 <> 0").select(said("n", key).alias("name"), said("old", key).alias("id"), (size % 5).alias("timestamp"), (size % 3).alias("m"), F.col("p_brand").alias("category"), (size % 2 == 0).alias("archived"))
+    new = t.part.where("p_partkey % 2 = 0").select(said("n", key).alias("name"), said("new", key).alias("id"), (size % 7).alias("timestamp"), (size % 2).alias("m"), F.lit("given").alias("category"), F.lit(True).alias("archived"))
+    return upsert.ingest(old, new, force, material=["m"]).drop("m")
+
+
+@query("with " + _INGESTED.format(force="false"))
+def ingested(t: Tables) -> DataFrame:
+    """Known stamps are passed over, updates wake archived records and lose their category."""
+    return _ingested(t, False)
+
+
+@query("with " + _INGESTED.format(force="true"))
+def ingested_by_force(t: Tables) -> DataFrame:
+    return _ingested(t, True)
+
+
+@query("""select 'link' as kind, case when l_partkey > 20 then '' else 'old' end || l_partkey as owner, cast(l_suppkey as varchar) as ref from lineitem join part on p_partkey = l_partkey where p_size % 4 <> 0 and l_suppkey not in (select p_partkey from part where p_partkey > 20)
+  union all select 'model', cast(o_custkey as varchar), cast(o_orderkey as varchar) from orders where o_orderkey not in (select p_partkey from part where p_partkey > 20 and p_size % 4 <> 0)""")
+def deletion_report(t: Tables) -> DataFrame:
+    """What deleting archived logics would leave broken; the first twenty parts have other ids."""
+    key = F.col("p_partkey")
+    parts = t.part.select(text_of(key).alias("key"), key, (F.col("p_size") % 4 == 0).alias("archived"))
+    logics = _linked(t).withColumnRenamed("id", "key").join(parts, "key").select("links", "archived", F.when(key > 20, F.col("key")).otherwise(said("old", key)).alias("id"))
+    models = t.orders.groupBy("o_custkey").agg(F.collect_list(text_of("o_orderkey")).alias("logicIds")).withColumn("id", text_of("o_custkey"))
+    return upsert.deletion_report(logics, models)
 
 
 # ---- replays and patches of logs
@@ -193,6 +225,23 @@ def logs_patched(t: Tables) -> DataFrame:
     return out.select("path", F.col("header.root_dir").alias("root_dir"), F.col("header.source_path").alias("source_path"), "response_text", "change")
 
 
+_MODELS = ORACLES["model_summary"]
+_COUNTERS = """links_missing_from_logic, links_missing_required_fields, links_with_blank_required_fields, duplicate_logic_ids, duplicate_logic_names, short_code_name_collisions, logics_with_unknown_category,
+  missing_model_logic_refs, hierarchy_tops_missing_logic, hierarchies_missing_top, kg_logic_ids_without_step, kg_steps_with_missing_logic, kg_json_supports_missing_in_kg, kg_json_in_graph_links_missing_in_kg, kg_supports_cycles, kg_mutual_support_pairs"""
+
+
+@query(f"""with x as (select * from ({ORACLES["integrity_summary"]}) a, ({_MODELS}) b, ({ORACLES["graph_checked"]}) c),
+  e as (select (select count(*) from part where p_size % 2 = 0) as extra_logic_fields, (select 2 * count(*) from lineitem where l_linenumber = 1) as extra_link_fields, cast(0 as bigint) as extra_model_fields, (select count(*) from nation) as extra_hierarchy_fields),
+  u as (select issue, n from (unpivot (select {", ".join(f"cast({c.strip()} as bigint) as {c.strip()}" for c in _COUNTERS.split(","))} from x) on columns(*) into name issue value n) union all select issue, n from (unpivot (select * from e) on columns(*) into name issue value n))
+  select issue, n from u where n > 0""")
+def every_issue(t: Tables) -> DataFrame:
+    """All twenty counters of the catalog, its models, its fields and its graph, with what each means."""
+    one = lambda df, where, *names: df.select(F.when(F.expr(where), F.create_map(*[F.lit(x) for n in names for x in (n, "1")])).alias("extras"))
+    extra = audit.extra_counts(logic=one(t.part, "p_size % 2 = 0", "x"), link=one(t.lineitem, "l_linenumber = 1", "x", "y"), model=one(t.customer, "false", "x"), hierarchy=one(t.nation, "true", "z"))
+    found = audit.issues(QUERIES["integrity_summary"](t.spark, t.folder), QUERIES["model_summary"](t.spark, t.folder), QUERIES["graph_checked"](t.spark, t.folder), extra)
+    return found.where("text <> ''").select("issue", "n")
+
+
 # ---- restores
 
 _OLD_LINKS = "select l_orderkey as owner, cast(l_suppkey as varchar) as from_logic_id, l_returnflag as from_output, case when l_quantity > 45 then ' ' else l_linestatus end as to_input, 'SUPPORTS' as kind from lineitem"

@@ -256,7 +256,7 @@ def sequence_messages(t: Tables) -> DataFrame:
 def _domains(t: Tables) -> DataFrame:
     """A domain diagram for each region: nations as classes and enums, notes with logics, and relations to the region's first nation."""
     name, key = F.col("n_name"), F.col("n_nationkey")
-    kind = by(key % 3, said('class "', name, '" <<DomainType>> {\n  a : int\n}\n'), said("enum ", name, " {\n}\n"), said('class "', name, '" <<DomainType>> {\n}\n'))
+    kind = by(key % 3, said('class "', name, '" <<DomainType>> {\n  +a', key, " : int\n  ' no attribute\n  note none\n  b\n}\nclass Other {\n +x\n}\n"), said("enum ", name, " {\n  low\n  note it\n}\n"), said('class "', name, '" <<DomainType>> {\n}\n'))
     note = by(key % 2, said('note top of "', name, '" : Logics: A', key, " · Logic ", key, "\n"), said("note right of ", name, "\n Logics:\n - B", key, " · Logic ", key, "\nend note\n"))
     relation = said('"', name, '" "1" -- "many" "', F.first("n_name").over(_in_region()), '" : near\n')
     lines = t.nation.select("n_regionkey", "n_nationkey", F.concat(kind, note, relation).alias("line"))
@@ -274,6 +274,12 @@ def domain_types(t: Tables) -> DataFrame:
     return diagrams.domain_types(_domains(t), "path")
 
 
+@query("""select n_regionkey as path, n_name as type, case n_nationkey % 3 when 0 then 'class' else 'enum' end as kind, m as member from nation, (select unnest([0, 1]) as i),
+  lateral (select case n_nationkey % 3 when 0 then case i when 0 then 'a' || n_nationkey || ' : int' else 'b' end else case i when 0 then 'low' else 'note it' end end as m) where n_nationkey % 3 < 2""")
+def domain_members(t: Tables) -> DataFrame:
+    return diagrams.domain_members(_domains(t), "path").select("path", "type", "kind", "member")
+
+
 @query("select n_regionkey as path, n_name as entity, case when n_nationkey % 2 = 0 then 'A' else 'B' end || n_nationkey as code, 'Logic ' || n_nationkey as name from nation")
 def domain_notes(t: Tables) -> DataFrame:
     return diagrams.noted_logics(_domains(t), "path")
@@ -324,6 +330,16 @@ def annotated_notes(t: Tables) -> DataFrame:
     return diagrams.annotate_notes(t.part.select("p_partkey", text.alias("text")), "p_partkey", codes)
 
 
+@query("""select p_partkey, '(note right of X' || chr(10) || p_name || ',' || chr(10) || '  "Logics:' || chr(10) || '  ' || upper(right(md5(p_name), 3)) || '· ' || p_name || chr(10) || '  ' || upper(right(md5(p_name), 3)) || '· ' || p_name || ',' || chr(10)
+    || '  ' || upper(right(md5(p_name), 3)) || '· ' || p_name || '.' || chr(10) || 'unknown one' || chr(10) || '")' || chr(10) || p_name as text from part""")
+def annotated_text_notes(t: Tables) -> DataFrame:
+    """Notes in round brackets: names in quotes, with a comma, with a full stop, unknown ones, and names outside the list."""
+    n = F.col("p_name")
+    text = said("(note right of X\n", n, ',\n  "Logics:\n  "', n, '"\n  ', n, ',\n  ', n, '.\n"unknown one\n")\n', n)
+    codes = t.part.select(n.alias("name"), T.short_code(F.md5("p_name")).alias("code")).distinct()
+    return diagrams.annotate_text_notes(t.part.select("p_partkey", text.alias("text")), "p_partkey", codes)
+
+
 # ---- text functions
 
 

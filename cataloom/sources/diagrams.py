@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +39,41 @@ def messages(documents: DataFrame, document: str, text: str = "text") -> DataFra
     )
 
 
+# Fixed value: the first line of a type's block in a domain diagram; classes that are no domain types don't count.
+TYPE = r'^\s*(?:(class)\s+(?:"([^"]+)"|(\w+))\s*<<DomainType>>|(enum)\s+(?:"([^"]+)"|(\w+)))\s*\{'
+
+
+def _in_types(documents: DataFrame, document: str, text: str) -> DataFrame:
+    """Lines with the type that they stand in (__name, __kind), from its first line (__first) up to the one with the closing brace."""
+    line = F.col("line")
+    parts = [F.regexp_extract("line", TYPE, i) for i in range(1, 7)]
+    upto = Window.partitionBy(document).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines(documents, document, text)
+    # a block opens where none is open: of two first lines without a brace between them the second is a line of the first one's block
+    mark = F.when(line.rlike(TYPE), "opens").when(line.contains("}"), "closes")
+    marked = rows.withColumn("__mark", mark)
+    before = F.last("__mark", True).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    first = (F.col("__mark") == "opens") & (F.coalesce(before, F.lit("closes")) == "closes")
+    tagged = marked.withColumn("__first", F.coalesce(first, F.lit(False)))
+    tagged = tagged.withColumn("__block", F.sum(F.col("__first").cast("int")).over(upto))
+    w = Window.partitionBy(document, "__block").orderBy("n")
+    closed = F.max(F.coalesce((F.col("__mark") == "closes") & ~F.col("__first"), F.lit(False))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    name = F.first(F.when(F.col("__first"), stripped(F.concat(parts[1], parts[2], parts[4], parts[5]))), True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    kind = F.first(F.when(F.col("__first"), F.when(parts[0] != "", "class").otherwise("enum")), True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return tagged.withColumns({"__closed": closed, "__name": name, "__kind": kind}).where("__block > 0 and not __closed")
+
+
 def domain_types(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
-    """(document, name, kind) of class and enum blocks."""
-    block = r'^\s*(?:abstract\s+)?(class|enum)\s+"?([^"{<]+?)"?\s*(?:<<.*>>)?\s*\{?\s*$'
-    return lines(documents, document, text).where(F.col("line").rlike(block)).select(document, stripped(F.regexp_extract("line", block, 2)).alias("name"), F.regexp_extract("line", block, 1).alias("kind")).distinct()
+    """(document, name, kind) of the domain types: classes marked as such, and enums."""
+    return _in_types(documents, document, text).where("__first").select(document, F.col("__name").alias("name"), F.col("__kind").alias("kind")).distinct()
+
+
+def domain_members(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
+    """(document, type, kind, n, member): the attributes of classes, without their plus signs, and the values of enums; comments and notes don't count."""
+    line = stripped(F.col("line"))
+    kept = (line != "") & ~line.startswith("'") & ~((F.col("__kind") == "class") & line.startswith("note "))
+    member = F.when(F.col("__kind") == "class", F.regexp_replace(line, r"^\++", "")).otherwise(line)
+    return _in_types(documents, document, text).where(~F.col("__first")).where(kept).select(document, F.col("__name").alias("type"), F.col("__kind").alias("kind"), "n", member.alias("member"))
 
 
 def relations(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
@@ -133,3 +165,41 @@ def annotate_notes(documents: DataFrame, document: str, codes: DataFrame, text:
     joined = inside.withColumn("__key", key).join(known, F.col("__key") == F.col("__name"), "left")
     line = F.when(F.col("__code").isNotNull(), F.concat(F.regexp_extract("line", item, 1), "__code", F.lit(" · "), "__key")).otherwise(F.col("line"))
     return joined.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias(text))
+
+
+def _note_states(text: str | None) -> list[str]:
+    """Of each line: head (starts a note or its list), item (a line of the list), end, or plain; a list goes from ``Logics:`` to a closing bracket alone."""
+    out, state = [], ""
+    for line in (text or "").split("\n"):
+        said = line.strip()
+        if not state and said.startswith("(note"):
+            state, kind = "note", "head"
+        elif state == "note" and said.strip("\"'").lower().startswith("logics:"):
+            state, kind = "list", "head"
+        elif state == "list" and said in ('")', ")", "),"):
+            state, kind = "", "end"
+        else:
+            kind = "item" if state == "list" else "plain"
+        out.append(kind)
+    return out
+
+
+def annotate_text_notes(documents: DataFrame, document: str, codes: DataFrame, text: str = "text") -> DataFrame:
+    """Markdown with the lines of its ``(note … Logics: … )`` blocks that name a known logic (``codes(name, code)``) led by its code.
+
+    A name is looked up as it stands, then without its last full stop, then in small letters; quotes and closing brackets around it go, a comma stays.
+    Lines of unknown names lose their leading quotes.
+    """
+    states = F.pandas_udf(lambda s: pd.Series([_note_states(x) for x in s], dtype=object), "array<string>")
+    pairs = F.arrays_zip(F.split(F.coalesce(text, F.lit("")), "\n").alias("line"), states(F.coalesce(text, F.lit(""))).alias("state"))
+    rows = documents.select(document, F.posexplode(pairs).alias("n", "p")).select(document, "n", "p.line", "p.state")
+    said = F.regexp_replace(F.regexp_replace(stripped(F.col("line")), "^[\"']+|[\"']+$", ""), r"[,\s]+$", "")
+    name = F.when(said.endswith(")"), F.regexp_replace(said, r"[)\"]+$", "")).otherwise(said)
+    asked = rows.where("state = 'item'").select(document, "n", name.alias("name"), F.posexplode(F.array(name, F.regexp_replace(name, r"\.$", ""), F.lower(name))).alias("k", "key"))
+    known = codes.groupBy(F.col("name").alias("key")).agg(F.min("code").alias("code"))
+    found = asked.where("name <> ''").join(known, "key").groupBy(document, "n").agg(F.min_by("code", "k").alias("code"), F.first("name").alias("name"))
+    joined = rows.join(found, [document, "n"], "left")
+    lead = F.regexp_extract("line", r"^(\s*)", 1)
+    line = F.when(F.col("code").isNotNull(), F.concat(lead, "code", F.lit("· "), "name", F.when(F.rtrim("line").endswith(","), ",").otherwise("")))
+    line = F.coalesce(line, F.when(F.col("state") == "item", F.regexp_replace("line", '^"+', "")), F.col("line"))
+    return joined.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias(text))
