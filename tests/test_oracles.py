@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pytest
 
+from cataloom.plans import files as files
 from cataloom.plans import maintenance as maintenance
 from cataloom.plans import parsing as parsing
 from cataloom.plans import queries as plans
