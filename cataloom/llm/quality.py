@@ -130,16 +130,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Learns from labelled documents outside the held-out third."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("quality").cast("double")).alias("__label"))
-    share = min(1.0, sample / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    own = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text")).withColumn("__mark", F.xxhash64("text"))
+    # different rows only, so that one that comes again and again is drawn once
+    rows = own.select("__doc", "__mark").join(known, F.col("__doc") == F.col("__id")).groupBy("__doc", "__mark").agg(F.max("__label").alias("__label"))
+    share = min(1.0, sample / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("__doc", "__mark"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("__label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
 
-    # about ``sample`` rows of two numbers: a broadcast of a few hundred kB
-    rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("__label", "text")
+    # about ``sample`` rows of three numbers: a broadcast of a few hundred kB
+    rows = own.join(F.broadcast(drawn), ["__doc", "__mark"]).groupBy("__doc", "__mark", "__label").agg(F.first("text").alias("text")).select("__label", "text")
     table = rows.mapInArrow(run, "label double, x array<double>").toArrow()
     y = table.column("label").to_numpy()
     x = np.array(table.column("x").to_pylist()).reshape(len(y), len(FEATURES))

@@ -258,3 +258,12 @@ def test_url_model_on_unseen_hosts(spark):
     assert not stems & {part for host, _, _ in rows for part in host.split(".")} and not given_ & {r[0] for r in rows}
     plan = url_filter.judge(spark.read.parquet(f"{FOLDER}/pages.parquet"), model=model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_a_repeated_row_is_drawn_once_for_quality(spark):
+    """Rows that come a thousand times count as one: the bound on the sample holds, and they weigh no more than others."""
+    rows = [(i, ("good words in a row, " if i % 2 else "bad $$ ") * (1 + i % 5)) for i in range(3, 60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    once = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = quality.train(spark.createDataFrame(rows + rows[:1] * 1000, "doc_id long, text string"), labels)
+    assert once.base == often.base and np.array_equal(once.value, often.value)
