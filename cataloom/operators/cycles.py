@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.scratch import forget, tabled
+from cataloom.scratch import forget, passing, tabled
 
 #: Layers of dead ends that a round takes off; hops before shortcuts are made; share of edges that a round must take off to go without colours.
 LAYERS, HOPS, ENOUGH = 3, 6, 0.05
@@ -202,11 +202,14 @@ def levels(edges: DataFrame, jumps: DataFrame) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes that lie on a cycle, loops included; a component goes by its greatest node. Edges without an end don't count."""
-    steps = _Condensing(edges)
-    steps.run()
-    parts = steps.components()
-    names = parts.groupBy("component").agg(F.max("node").alias("__greatest"))
-    return parts.join(names, "component").select("node", F.col("__greatest").alias("component"))
+    with passing() as kept:
+        steps = _Condensing(edges)
+        steps.run()
+        parts = steps.components()
+        names = parts.groupBy("component").agg(F.max("node").alias("__greatest"))
+        out = tabled(parts.join(names, "component").select("node", F.col("__greatest").alias("component")), "components")
+        kept.append(out)
+    return out
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:
@@ -227,17 +230,19 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     A round doubles the depth: what is exactly as far as the last round reached is joined with all that is found, so a pair is proposed once for each node
     at that one distance on its ways. The pairs themselves are the size of the result; ``reaches`` answers for given pairs without them.
     """
-    found = tabled(edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("depth", F.lit(1)))
-    reach = 1
-    while max_depth is None or reach < max_depth:
-        far = found.where(F.col("depth") == reach).select("src", F.col("dst").alias("__via"))
-        if far.isEmpty():
-            break
-        on = found.select(F.col("src").alias("__via"), "dst", (F.col("depth") + reach).alias("depth"))
-        if max_depth is not None:
-            on = on.where(F.col("depth") <= max_depth)
-        new = far.join(on, "__via").groupBy("src", "dst").agg(F.min("depth").alias("depth")).join(found.select("src", "dst"), ["src", "dst"], "left_anti")
-        found, reach = tabled(found.unionByName(new)), 2 * reach
+    with passing() as kept:
+        found = tabled(edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("depth", F.lit(1)))
+        reach = 1
+        while max_depth is None or reach < max_depth:
+            far = found.where(F.col("depth") == reach).select("src", F.col("dst").alias("__via"))
+            if far.isEmpty():
+                break
+            on = found.select(F.col("src").alias("__via"), "dst", (F.col("depth") + reach).alias("depth"))
+            if max_depth is not None:
+                on = on.where(F.col("depth") <= max_depth)
+            new = far.join(on, "__via").groupBy("src", "dst").agg(F.min("depth").alias("depth")).join(found.select("src", "dst"), ["src", "dst"], "left_anti")
+            found, reach = tabled(found.unionByName(new)), 2 * reach
+        kept.append(found)
     return found
 
 
@@ -270,18 +275,20 @@ class ReachIndex:
     """
 
     def __init__(self, edges: DataFrame, n: int = 3):
-        edges = tabled(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-        self.parts = tabled(strong_components(edges))
-        self.edges = tabled(condensed(edges, self.parts))
-        self.n = n
-        own = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-        nodes = own.join(self.parts, "node", "left").select(F.coalesce("component", "node").alias("node")).distinct()
-        back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        # the greatest of the ranks and of their negatives
-        names = [(F.shiftright(F.xxhash64("node", F.lit(k)), 1) * sign).alias(f"{side}{k}") for k in range(n) for side, sign in (("high", 1), ("low", -1))]
-        self.jumps = tabled(shortcuts(self.edges))
-        ranks = spread(back, nodes.select("node", *names))
-        self.labels = tabled(ranks.join(levels(self.edges, self.jumps), "node", "left").fillna(0, ["level"]))
+        with passing() as kept:
+            edges = tabled(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+            self.parts = strong_components(edges)
+            self.edges = tabled(condensed(edges, self.parts))
+            self.n = n
+            own = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+            nodes = own.join(self.parts, "node", "left").select(F.coalesce("component", "node").alias("node")).distinct()
+            back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            # the greatest of the ranks and of their negatives
+            names = [(F.shiftright(F.xxhash64("node", F.lit(k)), 1) * sign).alias(f"{side}{k}") for k in range(n) for side, sign in (("high", 1), ("low", -1))]
+            self.jumps = tabled(shortcuts(self.edges))
+            ranks = spread(back, nodes.select("node", *names))
+            self.labels = tabled(ranks.join(levels(self.edges, self.jumps), "node", "left").fillna(0, ["level"]))
+            kept += [self.parts, self.edges, self.jumps, self.labels]
 
     def _within(self, over: str, under: str) -> Column:
         """Whether the label ``over`` may reach the label ``under``."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_MADE: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables made by ``tabled`` inside are deleted at the end, but for those put into the list that this gives."""
+    made, kept = [], []
+    _MADE.append(made)
+    try:
+        yield kept
+    finally:
+        _MADE.pop()
+        names = {getattr(k, "table_path", None) for k in kept}
+        forget(*[t for t in made if t.table_path not in names])
+        if _MADE:
+            _MADE[-1].extend(k for k in kept if getattr(k, "table_path", None))
+
+
 def tabled(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` written as a table and read back. Unlike a checkpoint its size is known, so joins of a long iteration are planned by what is there,
     and not by a product of estimates that doubles its digits a round. ``forget`` deletes it."""
@@ -32,6 +52,8 @@ def tabled(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    if _MADE:
+        _MADE[-1].append(out)
     return out
 
 
