@@ -32,7 +32,7 @@ END = 0
 #: such words and takes the marks apart; composed Latin letters are left as they are.
 _WORD, _OTHER = re.compile("[a-zß-öø-ÿ]+"), re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ \\n.,]|[.,]{2}")
 #: Chunks whose ids a task remembers.
-CACHE = 800_000
+CACHE = 500_000
 
 
 def tokenizer_path() -> str:
