@@ -288,7 +288,7 @@ def test_documented_rules(spark):
 
 
 def test_domain_graph(spark):
-    uml = 'class "{a}" {{\n}}\nclass Color {{\n}}\nnote top of {a} : Logics: 3B0 · Check\n{a} -- Color : has\n{a} -- Gone : x\n'
+    uml = 'class "{a}" <<DomainType>> {{\n}}\nclass Color <<DomainType>> {{\n}}\nclass Plain {{\n}}\nnote top of {a} : Logics: 3B0 · Check\n{a} -- Color : has\n{a} -- Gone : x\n'
     docs = spark.createDataFrame([("d1", uml.format(a="Claim")), ("d2", uml.format(a="Claim")), ("d3", uml.format(a="Other"))], "path string, text string")
     logics = spark.createDataFrame([("aaaaaaaa-0000-0000-0000-0000000003b0", "CHECK"), ("aaaaaaaa-0000-0000-0000-0000000013b0", "No")], "id string, name string")
     nodes, edges = graph.domain_graph(diagrams.domain_types(docs, "path"), diagrams.relations(docs, "path"), diagrams.noted_logics(docs, "path"), logics)
