@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.scratch import written
+from cataloom.llm.scratch import tidy, written
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -206,7 +206,7 @@ def _pass(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
                     names=["doc_id", "text", "n_words", "hits", "items"],
                 )
 
-    return docs.mapInArrow(search, "doc_id long, text string, n_words long, hits array<long>, items array<string>")
+    return docs.mapInArrow(tidy(search), "doc_id long, text string, n_words long, hits array<long>, items array<string>")
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -245,5 +245,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     hit = [len(r[1]) > 0 for r in _search(matcher, none, part.column("text").cast(pa.binary()).to_pylist())]
                     yield part.filter(pa.array([not h for h in hit], pa.bool_()))
 
-        kept = kept.mapInArrow(clean, docs.schema)
+        kept = kept.mapInArrow(tidy(clean), docs.schema)
     return kept

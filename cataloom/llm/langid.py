@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm.scratch import tidy
+
 #: Symbols (0 is the boundary), dimensions of the vectors, labelled documents of a language that are learned from.
 SYMBOLS, DIMENSIONS, PER_LANGUAGE = 64, 1024, 1500
 #: Documents and characters that are scored together; distinct trigrams whose vectors are held at once.
@@ -113,7 +115,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
         v /= max(np.linalg.norm(v), 1e-12)
         return pa.table({"lang": table.column("lang").slice(0, 1), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
-    counts = sample.mapInArrow(count, "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(count), "lang string, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
     rows = sorted(map(tuple, counts.groupBy("lang").applyInArrow(prototype, "lang string, v array<double>").collect()))  # 4 kB a language
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), DIMENSIONS)
 
@@ -147,7 +149,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = is_held_out(F.col("doc_id")).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
@@ -160,4 +162,4 @@ def keep_identified(docs: DataFrame, least: float = 0.0, model: tuple[list[str],
             names, scores = _predict(batch.column("text").to_pylist(), langs, prototypes)
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cataloom.llm import simhash
 from cataloom.llm.components import components
-from cataloom.llm.scratch import drop, written
+from cataloom.llm.scratch import drop, tidy, written
 
 #: Words of a shingle, least similarity of near copies.
 WORDS, LEAST = 5, 0.8
@@ -79,7 +79,7 @@ def _mapped(docs: DataFrame, fields: str, row) -> DataFrame:
                 rows = [row(shingles(t)) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(own))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _marks(found: np.ndarray) -> tuple:
@@ -210,7 +210,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     ordered = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     own = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"signature_{x}"))
     met = ordered.join(own("u"), "u").join(own("v"), "v").where(F.least("size_u", "size_v") >= LEAST * F.greatest("size_u", "size_v"))
-    out, _ = written(met.mapInArrow(_agreeing, "u long, v long"), "alike")
+    out, _ = written(met.mapInArrow(tidy(_agreeing), "u long, v long"), "alike")
     return out
 
 

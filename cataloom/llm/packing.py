@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.scratch import written
+from cataloom.llm.scratch import tidy, written
 from cataloom.operators.keys import numbered
 
 CAPACITY = 2048
@@ -111,8 +111,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -222,6 +221,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = numbered(pieces.where(F.col("length") < capacity), ["length"], ["row"], "rank")
-    shared_bins = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    shared_bins = ranked.mapInArrow(tidy(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     own_bin = pieces.where(F.col("length") == capacity).select(*kept, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return shared_bins.unionByName(own_bin)

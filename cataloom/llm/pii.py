@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm.scratch import tidy
+
 #: The last has no pattern: only the network finds it.
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Documents that excerpts are taken from, excerpts used, steps and rows of a step of the training.
@@ -352,7 +354,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
                         out.append(text[lo : lo + LENGTH])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["excerpt"])
 
-    excerpts = drawn.mapInArrow(run, "excerpt string").distinct().toArrow().column("excerpt").to_pylist()
+    excerpts = drawn.mapInArrow(tidy(run), "excerpt string").distinct().toArrow().column("excerpt").to_pylist()
     tagger = Tagger()
     tagger.fit(*training_rows(excerpts))
     return tagger
@@ -479,7 +481,7 @@ def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
 
     fields = [f"{c} long" for c in counted]
     schema = ", ".join(["doc_id long", *fields[:4], "base_sha256 string", "spans string", *fields[4:], "n_added long"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -510,4 +512,4 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                     columns["n_chars"] = pa.array([len(t) if t is not None and t != o else n for t, o, n in zip(new, texts, old.to_pylist(), strict=True)], old.type)
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
