@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space, as ``\\s`` has it.
+BLANKS = " \t\n\x0b\f\r"
 # What marks a name as that of a business outcome.
 OUTCOME_PREFIXES = ("is ", "should ", "determine ", "calculate ", "can ", "must ", "has ")
 OUTCOME_SUFFIXES = (" valid", " eligibility", " eligible", " status", " decision", " allowed", " required")
@@ -20,7 +23,12 @@ def blank(c: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space, line ends included, at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` names it: it is a lambda's argument, which no optimizer rule copies."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cataloom.functions.text import blank, fingerprint
 from cataloom.operators.keys import pick
+from cataloom.sources.reports import exploded_links
 
 #: Fields whose change makes an update material.
 MATERIAL = ("dmn_hit_policy", "dmn_inputs", "dmn_outputs", "dmn_table")
@@ -90,7 +91,7 @@ def resolve_links(accepted: DataFrame, existing: DataFrame) -> DataFrame:
         accepted.select(F.col("name").alias("__ref"), F.col("id").alias("__id"), F.col("position").cast("int").alias("__at"))
     )
     one = known.groupBy("__ref").agg(F.min_by("__id", "__at").alias("__id"), F.min("__at").alias("__at"))
-    link = accepted.select("id", "position", F.posexplode("parsed_links").alias("n", "l")).join(one, F.col("l.from_logic") == F.col("__ref"), "left")
+    link = accepted.select("id", "position", exploded_links("parsed_links")).where("n is not null").join(one, F.col("l.from_logic") == F.col("__ref"), "left")
     ok = link.where("l.raw is not null or __at <= position")
     rebuilt = F.struct(
         F.when(F.col("l.raw").isNull(), F.col("__id")).alias("from_logic_id"), F.col("l.from_output").alias("from_output"), F.col("l.to_input").alias("to_input"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.functions.text import stripped
+from cataloom.functions.text import once, stripped
 
 # Labels of headings, with or without a number and stars, and what stands for no name.
 _LABELS = ("Rule Name", "Name")
@@ -40,7 +40,8 @@ def normalise(text: Column) -> Column:
 def sections(documents: DataFrame, text: str = "text") -> DataFrame:
     """A row for each section, with its position; what stands before the first heading is dropped."""
     parts = F.split(stripped(normalise(F.coalesce(F.col(text), F.lit("")))), r"(?m)^\s{0,3}#{1,6}\s+")
-    return documents.select("*", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("position", "section")).drop(text)
+    rest = once(parts, lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    return documents.select("*", F.posexplode(rest).alias("position", "section")).drop(text)
 
 
 def heading(section: Column) -> Column:
@@ -52,7 +53,7 @@ def heading(section: Column) -> Column:
     field = lambda label: stripped(F.regexp_extract(section, rf"\*\*{label}:\*\*[ \t]*([^\n]+)", 1))
     name = line
     for label in _LABELS:
-        name = F.when(placeholder(name) & (field(label) != ""), field(label)).otherwise(name)
+        name = once(name, lambda n, label=label: F.when(placeholder(n), once(field(label), lambda f: F.when(f != "", f).otherwise(n))).otherwise(n))
     return name
 
 
@@ -62,23 +63,29 @@ def _pieces(section: Column) -> Column:
     head = rf"(?:\*\*)?[ \t]*(?:{name})[ \t]*:(?:\*\*)?"
     cut = F.split(section, rf"(?mi)^(?={head})")
 
-    def one(x: Column) -> Column:
-        own = F.regexp_extract(x, rf"(?i)\A({head})", 1)
-        word = F.lower(F.regexp_replace(F.regexp_replace(own, r"[*:]", ""), r"^\s*(?:rule\s+)?|\s+$", ""))
-        field = F.coalesce(*[F.when(F.regexp_replace(word, r"\s+", " ").isin(*{n.lower().removeprefix("rule ") for n in names}), F.lit(f)) for f, names in MARKERS.items()])
-        return F.struct(field.alias("field"), own.alias("head"), F.substr(x, F.length(own) + 1).alias("text"))
+    def field(own: Column) -> Column:
+        word = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(own, r"[*:]", ""), r"^\s*(?:rule\s+)?|\s+$", "")), r"\s+", " ")
+        return once(word, lambda w: F.coalesce(*[F.when(w.isin(*{n.lower().removeprefix("rule ") for n in names}), F.lit(f)) for f, names in MARKERS.items()]))
 
+    one = lambda x: once(F.regexp_extract(x, rf"(?i)\A({head})", 1), lambda own: F.struct(field(own).alias("field"), own.alias("head"), F.substr(x, F.length(own) + 1).alias("text")))
     return F.transform(cut, one)
 
 
 def _value(pieces: Column, field: str) -> Column:
     """The text after a field's first marker, up to a marker that ends it; other markers on the way belong to it."""
-    start = F.array_position(F.transform(pieces, lambda p: F.coalesce(p["field"], F.lit(""))), field).cast("int")
-    rest = F.slice(pieces, start + 1, F.size(pieces))
-    ends = F.array_position(F.transform(rest, lambda p: F.coalesce(p["field"].isin(*_ENDS[field]) if _ENDS[field] else F.lit(False), F.lit(False))), True).cast("int")
-    more = F.when(ends > 0, F.slice(rest, 1, ends - 1)).otherwise(rest)
-    said = F.concat(F.get(pieces, start - 1)["text"], F.array_join(F.transform(more, lambda p: F.concat(p["head"], p["text"])), ""))
-    return F.when(start > 0, stripped(said)).otherwise("")
+    first = F.array_position(F.transform(pieces, lambda p: F.coalesce(p["field"], F.lit(""))), field).cast("int")
+
+    def upto(rest: Column) -> Column:
+        if not _ENDS[field]:
+            return rest
+        ends = F.array_position(F.transform(rest, lambda p: F.coalesce(p["field"].isin(*_ENDS[field]), F.lit(False))), True).cast("int")
+        return once(ends, lambda e: F.when(e > 0, F.slice(rest, 1, e - 1)).otherwise(rest))
+
+    def said(start: Column) -> Column:
+        more = once(F.slice(pieces, start + 1, F.size(pieces)), upto)
+        return F.concat(F.get(pieces, start - 1)["text"], F.array_join(F.transform(more, lambda p: F.concat(p["head"], p["text"])), ""))
+
+    return once(first, lambda start: F.when(start > 0, stripped(said(start))).otherwise(""))
 
 
 def _place(section: Column, label: str) -> Column:
@@ -89,21 +96,26 @@ def _place(section: Column, label: str) -> Column:
 
 def _fenced(text: Column) -> Column:
     """Inside of the first block between fences, without the line that opens it."""
-    parts = F.split(text, "```")
-    return F.when(F.size(parts) > 2, F.regexp_replace(parts[1], r"\A[^\n]*\n", "")).otherwise("")
+    return once(F.split(text, "```"), lambda parts: F.when(F.size(parts) > 2, F.regexp_replace(parts[1], r"\A[^\n]*\n", "")).otherwise(""))
 
 
 def declaration(line: Column) -> Column:
     """``Name : Type [Allowed Values: a, "b"]`` as a struct; a line without a colon is a name alone."""
     bare = lambda c: stripped(F.regexp_replace(stripped(c), "^`+|`+$", ""))
     said = stripped(F.regexp_replace(F.regexp_replace(stripped(line), '"$', ""), r"^[-*]+", ""))
-    colon = F.instr(said, ":")
-    name, rest = F.when(colon > 0, F.substr(said, F.lit(1), colon - 1)).otherwise(said), F.when(colon > 0, F.substr(said, colon + 1)).otherwise("")
-    listed = F.regexp_extract(rest, r"(?i)\[\s*Allowed\s*Values\s*:(.*)\]\s*$", 1)
-    kind = F.when(listed != "", F.substring_index(rest, "[", 1)).otherwise(rest)
-    values = F.transform(F.split(listed, ","), lambda v: F.regexp_replace(stripped(v), "^([\"'])(.*)\\1$", "$2"))
-    values = F.filter(values, lambda v: v != "")
-    return F.struct(bare(name).alias("name"), bare(kind).alias("type"), F.when((stripped(kind) != "") & (F.size(values) > 0), values).alias("allowedValues"))
+
+    def of(name: Column, rest: Column, listed: Column) -> Column:
+        kind = F.when(listed != "", F.substring_index(rest, "[", 1)).otherwise(rest)
+        values = F.transform(F.split(listed, ","), lambda v: F.regexp_replace(stripped(v), "^([\"'])(.*)\\1$", "$2"))
+        values = once(F.filter(values, lambda v: v != ""), lambda vs: F.when((stripped(kind) != "") & (F.size(vs) > 0), vs))
+        return F.struct(bare(name).alias("name"), bare(kind).alias("type"), values.alias("allowedValues"))
+
+    def cut(s: Column) -> Column:
+        colon = F.instr(s, ":")
+        name, rest = F.when(colon > 0, F.substr(s, F.lit(1), colon - 1)).otherwise(s), F.when(colon > 0, F.substr(s, colon + 1)).otherwise("")
+        return once(rest, lambda r: once(F.regexp_extract(r, r"(?i)\[\s*Allowed\s*Values\s*:(.*)\]\s*$", 1), lambda listed: of(name, r, listed)))
+
+    return once(said, cut)
 
 
 def declarations(body: Column, title: str) -> Column:
@@ -123,17 +135,26 @@ def link_lines(body: Column) -> Column:
     """Lines of a links field as structs: ``From.output -> input [kind=K]`` in parts, all others as they are in ``raw``; ``none`` alone is no link."""
     lines = F.filter(F.transform(F.split(body, "\n"), stripped), lambda x: x != "")
 
-    def one(x: Column) -> Column:
-        ends = F.split(x, r"\s*->\s*", 2)
+    def cut(ends: Column) -> Column:
         source, target = ends[0], F.get(ends, F.lit(1))
-        dot = F.instr(source, ".")
         kind = F.regexp_extract(target, r"(?i)\[kind=([^\]]+)\]$", 1)
         to = stripped(F.regexp_replace(target, r"\s*\[[^\]]*\]$", ""))
-        fits = F.coalesce((dot > 1) & (dot < F.length(source)) & (kind != "") & (to != ""), F.lit(False))
-        parts = {"from_logic": F.substr(source, F.lit(1), dot - 1), "from_output": F.substr(source, dot + 1), "to_input": to, "kind": kind}
-        return F.struct(*[F.when(fits, stripped(c)).alias(n) for n, c in parts.items()], F.when(~fits, x).alias("raw"))
+        return F.struct(source.alias("source"), F.instr(source, ".").alias("dot"), to.alias("to"), kind.alias("kind"))
+
+    def one(x: Column, c: Column) -> Column:
+        source, dot = c["source"], c["dot"]
+        fits = F.coalesce((dot > 1) & (dot < F.length(source)) & (c["kind"] != "") & (c["to"] != ""), F.lit(False))
+        parts = {"from_logic": F.substr(source, F.lit(1), dot - 1), "from_output": F.substr(source, dot + 1), "to_input": c["to"], "kind": c["kind"]}
+        return once(fits, lambda ok: F.struct(*[F.when(ok, stripped(v)).alias(n) for n, v in parts.items()], F.when(~ok, x).alias("raw")))
+
+    some = F.when(F.lower(body) == "none", F.array().cast("array<string>")).otherwise(lines)
+    return F.transform(some, lambda x: once(once(F.split(x, r"\s*->\s*", 2), cut), lambda c: one(x, c)))
+
 
-    return F.when(F.lower(body) == "none", F.slice(F.transform(lines, one), 1, 0)).otherwise(F.transform(lines, one))
+def exploded_links(parsed: Column | str) -> Column:
+    """Generator of (n, l) of a list of links. An outer one: Spark gives an inner one a filter on the list's size, pushes that below the parsing and so
+    copies the list's whole expression, once for every use of each of its parts. Rows with n null have no link."""
+    return F.posexplode_outer(parsed).alias("n", "l")
 
 
 def parse(parts: DataFrame) -> DataFrame:
@@ -141,20 +162,20 @@ def parse(parts: DataFrame) -> DataFrame:
 
     A section is cut at its markers once; each field is read from its own text, and the code's place from the lines that say it.
     """
-    cut = parts.withColumn("__p", _pieces(F.col("section")))
-    texts = cut.withColumns({f"__{f}": _value(F.col("__p"), f) for f in MARKERS})
     section = F.col("section")
+    # read inside a generator: filters on fields stay above it, and don't cut the section again
+    values = once(_pieces(section), lambda p: F.struct(*[_value(p, f).alias(f"__{f}") for f in MARKERS]))
+    texts = parts.select("*", F.inline(F.array(values)))
     # the file ends at its closing tick; lines may follow it, or stand anywhere else
     inline = stripped(F.regexp_extract(section, r"(?mi)^\*\*Code\s*Block:\*\*[ \t]*`?([^`\n]+)", 1))
-    beside = inline != ""
     numbers = F.regexp_extract_all(F.regexp_extract(section, r"(?i)\bLines?\s*:{0,2}\s*(\d+(?:\s*[-–—]\s*\d+)?)", 1), F.lit(r"(\d+)"), 1)
-    whole = F.when(_fenced(F.col("__dmn")) != "", stripped(_fenced(F.col("__dmn")))).otherwise(F.col("__dmn"))
+    whole = once(_fenced(F.col("__dmn")), lambda f: F.when(f != "", stripped(f)).otherwise(F.col("__dmn")))
     out = texts.withColumns(
         {
             "name": heading(section),
             "kind": F.regexp_extract("__kind", "^[A-Za-z]+", 0),
-            "code_file": F.when(beside, inline).otherwise(_place(section, "file")),
-            "code_lines": F.when(F.size(numbers) > 0, F.array(F.element_at(numbers, 1).cast("int"), F.element_at(numbers, -1).cast("int"))),
+            "code_file": once(inline, lambda f: F.when(f != "", f).otherwise(_place(section, "file"))),
+            "code_lines": once(numbers, lambda n: F.when(F.size(n) > 0, F.array(F.element_at(n, 1).cast("int"), F.element_at(n, -1).cast("int")))),
             "code_function": _place(section, "function"),
             "purpose": F.col("__purpose"),
             "spec": F.col("__spec"),
@@ -167,7 +188,7 @@ def parse(parts: DataFrame) -> DataFrame:
     body = F.col("__body")
     policy = F.regexp_extract(body, r"(?i)Hit\s*Policy\s*:\s*([A-Za-z_]+)", 1)
     dmn = {"dmn_hit_policy": policy, "dmn_inputs": declarations(body, "Inputs"), "dmn_outputs": declarations(body, "Outputs"), "dmn_table": first_table(body)}
-    return out.withColumns(dmn).drop("__p", "__body", "section", *[f"__{f}" for f in MARKERS])
+    return out.withColumns(dmn).drop("__body", "section", *[f"__{f}" for f in MARKERS])
 
 
 def names_in(documents: DataFrame, document: str, text: str = "text") -> DataFrame:

@@ -298,3 +298,18 @@ def test_domain_graph(spark):
     assert {e[:2] for e in found if e[2] == "RELATED_TO"} == {p for d, a in (("d1", "Claim"), ("d2", "Claim"), ("d3", "Other")) for p in ((f"{d}::{a}", f"{d}::Color"), (f"{d}::Color", f"{d}::{a}"))}
     step = "aaaaaaaa-0000-0000-0000-0000000003b0"
     assert {e[:2] for e in found if e[2] == "OPERATES_ON"} == {(step, "d1::Claim"), (step, "d2::Claim"), (step, "d3::Other")}
+
+
+def test_parsing_is_planned_once(spark):
+    """Filters that Spark infers or moves don't copy the parsing of a report or a log's header into the plan again."""
+    from cataloom.plans import parsing
+    from cataloom.plans.registry import Tables
+    from cataloom.sources import runlogs
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(parsing.report_links(t)).count("kind=") <= 6  # four in the texts that are made
+    assert plan(parsing.log_runs(t)).count("from_json") + plan(parsing.log_runs(t)).count("from_json(") <= 2
+    text = f'{runlogs.HEADER_BEGIN}\na="x\\"y"\nb = \'q\'\na=[1, 2]\nc="plain"\nd=z=1 \n{runlogs.HEADER_END}\n'
+    found = runlogs.frames(spark.createDataFrame([("p", None, text)], "path string, mtime timestamp, text string")).collect()
+    assert [(r.frame, dict(r.header), r.response_text) for r in found] == [(0, {"a": "[1,2]", "b": "q", "c": "plain", "d": "z=1"}, "")]
