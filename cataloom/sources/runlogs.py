@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.functions.text import stripped
+from cataloom.functions.text import BLANKS, once, stripped
 
 # The frames of a run log, the oldest build whose records count, the report's prompt, and how much of a file shows what it is.
 MARK = "[PCPTLOG:]"
@@ -38,21 +38,35 @@ def read_logs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.{lo
 
 def coerce(value: Column) -> Column:
     """A header value: quoted as JSON or in either quote, or bare; as text."""
-    v = stripped(value)
-    quoted = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
-    return F.when(v.startswith('"') | v.startswith("[") | v.startswith("{"), F.coalesce(quoted, F.regexp_replace(v, '^"|"$', ""))).when(v.rlike("^'.*'$"), F.regexp_extract(v, "^'(.*)'$", 1)).otherwise(v)
+
+
+    def of(v: Column) -> Column:
+        quoted = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
+        plain = F.when(v.rlike(r'\A"[^"\\\p{Cntrl}]*"\z'), F.substr(v, F.lit(2), F.length(v) - 2))
+        return plain.when(v.startswith('"') | v.startswith("[") | v.startswith("{"), F.coalesce(quoted, F.regexp_replace(v, '^"|"$', ""))).when(v.rlike("^'.*'$"), F.regexp_extract(v, "^'(.*)'$", 1)).otherwise(v)
+
+    return once(stripped(value), of)
 
 
 def frames(logs: DataFrame) -> DataFrame:
     """A row for each header of each log: path, mtime, frame, header (map) and response_text ('' without one)."""
-    parts = F.split(F.col("text"), rf"\Q{HEADER_BEGIN}\E")
-    one = logs.select("path", "mtime", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("frame", "__f"))
-    head = F.element_at(F.split("__f", rf"\Q{HEADER_END}\E"), 1)
+    parts = once(F.split(F.col("text"), rf"\Q{HEADER_BEGIN}\E"), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    # parsed inside the generator: a filter on a header's value would else be pushed below, and parse the header again
+    found = logs.select("path", "mtime", F.posexplode(F.transform(parts, lambda f: F.struct(header(f).alias("header"), response(f).alias("response_text")))).alias("frame", "__f"))
+    return found.select("path", "mtime", "frame", "__f.header", "__f.response_text")
+
+
+def header(frame: Column) -> Column:
+    """The ``key=value`` lines of a frame's header as a map; the last of a key is the one."""
+    head = F.substring_index(frame, HEADER_END, 1)
     lines = F.filter(F.transform(F.split(head, r"\r?\n"), lambda x: stripped(F.replace(x, F.lit(MARK), F.lit("")))), lambda x: x.contains("="))
-    pairs = F.transform(lines, lambda x: F.struct(stripped(F.substring_index(x, "=", 1)).alias("k"), coerce(F.regexp_replace(x, r"(?s)^[^=]*=", "")).alias("v")))
-    last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))
-    response = F.regexp_extract("__f", rf"(?s)\Q{RESPONSE_BEGIN}\E\r?\n?(.*?)(?:\Q{RESPONSE_END}\E|\z)", 1)
-    return one.select("path", "mtime", "frame", last.alias("header"), F.regexp_replace(response, r"\s+$", "").alias("response_text"))
+    pairs = F.transform(lines, lambda x: F.struct(stripped(F.substring_index(x, "=", 1)).alias("k"), coerce(F.substr(x, F.instr(x, "=") + 1)).alias("v")))
+    last = lambda p: F.filter(p, lambda x, i: ~F.array_contains(F.slice(p["k"], i + 2, F.size(p)), x["k"]))
+    return once(pairs, lambda p: F.map_from_entries(F.when(F.size(F.array_distinct(p["k"])) == F.size(p), p).otherwise(last(p))))
+
+
+def response(frame: Column) -> Column:
+    return F.rtrim(F.regexp_extract(frame, rf"(?s)\Q{RESPONSE_BEGIN}\E\r?\n?(.*?)(?:\Q{RESPONSE_END}\E|\z)", 1), F.lit(BLANKS))
 
 
 def runs(found: DataFrame, least_build: int = LEAST_BUILD, prompt_prefix: str = PROMPT_PREFIX) -> DataFrame:
