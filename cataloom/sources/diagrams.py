@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cataloom.functions.text import stripped
+from cataloom.functions.text import once, stripped
 
 
 def lines(documents: DataFrame, document: str, text: str = "text") -> DataFrame:
@@ -195,10 +195,12 @@ def annotate_text_notes(documents: DataFrame, document: str, codes: DataFrame, t
     rows = documents.select(document, F.posexplode(pairs).alias("n", "p")).select(document, "n", "p.line", "p.state")
     said = F.regexp_replace(F.regexp_replace(stripped(F.col("line")), "^[\"']+|[\"']+$", ""), r"[,\s]+$", "")
     name = F.when(said.endswith(")"), F.regexp_replace(said, r"[)\"]+$", "")).otherwise(said)
-    asked = rows.where("state = 'item'").select(document, "n", name.alias("name"), F.posexplode(F.array(name, F.regexp_replace(name, r"\.$", ""), F.lower(name))).alias("k", "key"))
+    keys = once(name, lambda x: F.when((F.col("state") == "item") & (x != ""), F.array(x, F.regexp_replace(x, r"\.$", ""), F.lower(x))))
+    # each line goes with its keys to the known names, and its ways come together again: no table of lines is joined with another one
+    asked = rows.select("*", F.posexplode_outer(keys).alias("k", "key"))
     known = codes.groupBy(F.col("name").alias("key")).agg(F.min("code").alias("code"))
-    found = asked.where("name <> ''").join(known, "key").groupBy(document, "n").agg(F.min_by("code", "k").alias("code"), F.first("name").alias("name"))
-    joined = rows.join(found, [document, "n"], "left")
+    hit = F.min(F.when(F.col("code").isNotNull(), F.struct("k", "code")))["code"]
+    joined = asked.join(known, "key", "left").groupBy(document, "n", "line", "state").agg(hit.alias("code")).withColumn("name", name)
     lead = F.regexp_extract("line", r"^(\s*)", 1)
     line = F.when(F.col("code").isNotNull(), F.concat(lead, "code", F.lit("· "), "name", F.when(F.rtrim("line").endswith(","), ",").otherwise("")))
     line = F.coalesce(line, F.when(F.col("state") == "item", F.regexp_replace("line", '^"+', "")), F.col("line"))
