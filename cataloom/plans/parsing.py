@@ -219,21 +219,21 @@ def _activity_logs(t: Tables) -> DataFrame:
         F.when(key % 3 == 2, said("timestamp=", stamp, "\n")).otherwise(""), "INSTRUCTIONS\n\n", asks, "\n\nHints\nFile: /source_path/b", F.col("user_id"), ".sql\nFile: a.sql\nFile: a.sql\n",
         "||| Tokens Used: 5 = Prompt Tokens: 4 + Generated Tokens: 1\nmore\n||| Tokens Used: 1,", F.lpad(text_of(key % 1000), 3, "0"), " = Prompt Tokens: 1,000 + Generated Tokens: ", key % 1000, "\nend",
     )
-    return t.events.select("event_id", path.alias("path"), text.alias("text"))
+    return spread(t.events, "event_id").select("event_id", path.alias("path"), text.alias("text"))
 
 
 @query("""select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp, case event_id % 4 when 0 then 'Analyze - Sequence Diagram' when 1 then 'Visualize - Domain Model' when 2 then 'Analyze - Business Rules' else 'Other' end as activity,
     '5' as tokens_used, 'a.sql,b' || user_id || '.sql' as files from events""")
 def log_activities(t: Tables) -> DataFrame:
     logs = _activity_logs(t)
-    found = runlogs.activity_facts(logs).withColumn("files", F.array_join("files", ",")).join(logs.select("path", "event_id").distinct(), "path")
-    return found.select("event_id", "timestamp", "activity", "tokens_used", "files")
+    found = runlogs.activity_facts(logs, ["event_id"])
+    return found.select("event_id", "timestamp", "activity", "tokens_used", F.array_join("files", ",").alias("files"))
 
 
 @query("""select event_id, case when event_id % 3 < 2 then strftime(ts, '%Y-%m-%d') end as day, case when event_id % 3 < 2 then cast(hour(ts) as varchar) end as hour, cast(1000 as bigint) as prompt_tokens, cast(event_id % 1000 as bigint) as completion_tokens from events""")
 def log_tokens(t: Tables) -> DataFrame:
     logs = _activity_logs(t)
-    found = runlogs.token_counts(logs).join(logs.select("path", "event_id").distinct(), "path")
+    found = runlogs.token_counts(logs, ["event_id"])
     return found.select("event_id", "day", text_of("hour").alias("hour"), "prompt_tokens", "completion_tokens")
 
 

@@ -104,28 +104,28 @@ def _stamp(c: Column, pattern: str) -> Column:
     return F.when(day != "", F.concat(day, F.lit(" "), F.concat_ws(":", h, m, s)))
 
 
-def activity_facts(logs: DataFrame) -> DataFrame:
-    """path, timestamp (from the file's name, else its header, else ``?``), activity, tokens_used and the sorted distinct files of activity logs."""
+def activity_facts(logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """path, timestamp (from the file's name, else its header, else ``?``), activity, tokens_used and the sorted distinct files of activity logs, and columns to keep."""
     name = F.element_at(F.split("path", "/"), -1)
     when = r"(\d{4}-\d{2}-\d{2})_(\d{2})-(\d{2})-(\d{2})"
     stamp = F.coalesce(_stamp(name, rf"^log_{when}\.txt"), _stamp(name, rf"^log-{when}-build-.*\.txt"), _stamp(F.col("text"), f"timestamp={when}"), F.lit("?"))
-    instructions = F.regexp_replace(stripped(F.regexp_extract("text", r"(?i)INSTRUCTIONS\s*\n+([^\n][\s\S]*?)(?:\n\s*\n|\nHints|\z)", 1)), "\n", " ")
+    instructions = once(F.regexp_replace(stripped(F.regexp_extract("text", r"(?i)INSTRUCTIONS\s*\n+([^\n][\s\S]*?)(?:\n\s*\n|\nHints|\z)", 1)), "\n", " "), activity)
     tokens = F.regexp_extract("text", r"\|\|\|\s*Tokens Used:\s*(\d+)", 1)
     files = F.transform(F.regexp_extract_all("text", F.lit(r"File:\s+([^\n\r]+)"), 1), lambda f: stripped(F.regexp_replace(f, "/source_path/?", "")))
     return logs.select(
-        "path", stamp.alias("timestamp"), activity(instructions).alias("activity"), F.when(tokens != "", tokens).otherwise("?").alias("tokens_used"),
+        "path", *keep, stamp.alias("timestamp"), instructions.alias("activity"), F.when(tokens != "", tokens).otherwise("?").alias("tokens_used"),
         F.array_sort(F.array_distinct(F.filter(files, lambda f: f != ""))).alias("files"),
     )
 
 
-def token_counts(logs: DataFrame) -> DataFrame:
-    """path, day, hour, prompt_tokens, completion_tokens: of the last line with counts; nulls where there is none or the name has no time."""
+def token_counts(logs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """path, columns to keep, day, hour, prompt_tokens, completion_tokens: of the last line with counts; nulls where there is none or the name has no time."""
     line = F.try_element_at(F.filter(F.split("text", "\n"), lambda x: x.rlike(_TOKENS)), F.lit(-1))
     n = lambda i: F.regexp_replace(F.regexp_extract(line, _TOKENS, i), ",", "").cast("long")
     name = F.element_at(F.split("path", "/"), -1)
     when = r"log[_-](\d{4}-\d{2}-\d{2})_(\d{2})-\d{2}-\d{2}"
     day = F.regexp_extract(name, when, 1)
-    return logs.select("path", F.when(day != "", day).alias("day"), F.when(day != "", F.regexp_extract(name, when, 2).cast("int")).alias("hour"), n(2).alias("prompt_tokens"), n(3).alias("completion_tokens"))
+    return logs.select("path", *keep, F.when(day != "", day).alias("day"), F.when(day != "", F.regexp_extract(name, when, 2).cast("int")).alias("hour"), n(2).alias("prompt_tokens"), n(3).alias("completion_tokens"))
 
 
 _TOKENS = r"Tokens Used:\s*([\d,]+)\s*=\s*Prompt Tokens:\s*([\d,]+)\s*\+\s*Generated Tokens:\s*([\d,]+)"

@@ -313,3 +313,23 @@ def test_parsing_is_planned_once(spark):
     text = f'{runlogs.HEADER_BEGIN}\na="x\\"y"\nb = \'q\'\na=[1, 2]\nc="plain"\nd=z=1 \n{runlogs.HEADER_END}\n'
     found = runlogs.frames(spark.createDataFrame([("p", None, text)], "path string, mtime timestamp, text string")).collect()
     assert [(r.frame, dict(r.header), r.response_text) for r in found] == [(0, {"a": "[1,2]", "b": "q", "c": "plain", "d": "z=1"}, "")]
+
+
+def test_logs_of_one_path_stay_apart(spark):
+    """Two logs that share a path give a row each, with their own key."""
+    from cataloom.sources import runlogs
+
+    rows = [(i, "/l/log_2024-01-02_03-04-05.txt", f"Tokens Used: 3 = Prompt Tokens: {i} + Generated Tokens: 1\nFile: {i}.sql") for i in (1, 2)]
+    logs = spark.createDataFrame(rows, "key long, path string, text string")
+    assert sorted((r.key, r.files) for r in runlogs.activity_facts(logs, ["key"]).collect()) == [(1, ["1.sql"]), (2, ["2.sql"])]
+    assert sorted((r.key, r.prompt_tokens) for r in runlogs.token_counts(logs, ["key"]).collect()) == [(1, 1), (2, 2)]
+
+
+def test_text_notes_join_only_codes(spark):
+    """The lines of a large table of texts are never broadcast to be joined with themselves; repeated lines and names stay."""
+    from cataloom.sources import diagrams
+
+    docs = spark.createDataFrame([(1, "(note\nLogics:\n A.\n A.\n B,\n ''\n)\nA"), (2, "A")], "d long, text string")
+    out = diagrams.annotate_text_notes(docs, "d", spark.createDataFrame([("A", "1"), ("a.", "2"), ("B", "3")], "name string, code string"))
+    assert {r.d: r.text for r in out.collect()} == {1: "(note\nLogics:\n 1· A.\n 1· A.\n 3· B,\n ''\n)\nA", 2: "A"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
