@@ -58,9 +58,9 @@ def logs_read(t: Tables) -> DataFrame:
     from cataloom.operators import lineage
 
     folder = _folder(t, "logs")
-    parsing._logs(t).select(F.col("text").alias("value")).repartition(6).write.text(f"{folder}/a/b")
+    parsing._logs(t).select(F.col("text").alias("value")).write.text(f"{folder}/a/b")
     t.orders.select(F.col("o_orderpriority").alias("value")).coalesce(1).write.text(f"{folder}/other")
-    found = runlogs.runs(runlogs.frames(runlogs.read_logs(t.spark, folder, "*.txt")))
+    found = runlogs.runs(runlogs.read_frames(t.spark, folder, "*.txt"))
     placed = lineage.run_positions(found)
     day = F.max(F.when(F.col("position") == 1, F.left("timestamp", F.lit(10)))).alias("first_day")
     return placed.groupBy("source_path").agg(F.count("*").alias("n"), day)

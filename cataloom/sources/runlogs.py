@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import BLANKS, once, stripped
@@ -36,6 +36,27 @@ def read_logs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.{lo
     return texts.where(head.contains(MARK) & head.contains("HEADER")).orderBy(F.desc("mtime"), "path")
 
 
+def read_frames(spark: SparkSession, path: str | Sequence[str], glob: str = "*.{log,txt,out,md}") -> DataFrame:
+    """What ``frames(read_logs(...))`` gives, for logs of any size: files are read in splits, cut where headers begin, so a row is a frame and never a file.
+
+    A frame's number comes from its place in its split and the counts of the splits before, one row a split, which are broadcast (the driver lists as
+    many). ``path`` is that of the file's metadata. A file without any header is one row, which is dropped.
+    """
+    files = spark.read.option("lineSep", HEADER_BEGIN).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text([path] if isinstance(path, str) else list(path))
+    meta = F.col("_metadata")
+    rows = files.select(meta["file_path"].alias("path"), meta["file_modification_time"].alias("mtime"), meta["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__at"), "value")
+    head = F.substring(F.concat("value", F.lit(HEADER_BEGIN)), 1, SNIFFED)
+    looks = F.when(F.col("__block") == 0, head.contains(MARK) & head.contains("HEADER"))
+    splits = rows.groupBy("path", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"), F.min_by(looks, "__at").alias("__looks"))
+    file = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+    placed = splits.select("path", "__block", F.first("__looks").over(file).alias("__looks"), (F.sum("__n").over(file) - F.col("__n") - F.col("__first") - 1).alias("__before"))
+    frame = (F.col("__at") + F.col("__before")).cast("int")
+    found = rows.join(F.broadcast(placed), ["path", "__block"]).withColumn("frame", frame).where("__looks and frame >= 0")
+    parsed = F.struct(header(F.col("value")).alias("header"), response(F.col("value")).alias("response_text"))
+    # inside a generator, as in ``frames``
+    return found.select("path", "mtime", "frame", F.inline(F.array(parsed)))
+
+
 def coerce(value: Column) -> Column:
     """A header value: quoted as JSON or in either quote, or bare; as text."""
 

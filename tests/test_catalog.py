@@ -333,3 +333,22 @@ def test_text_notes_join_only_codes(spark):
     out = diagrams.annotate_text_notes(docs, "d", spark.createDataFrame([("A", "1"), ("a.", "2"), ("B", "3")], "name string, code string"))
     assert {r.d: r.text for r in out.collect()} == {1: "(note\nLogics:\n 1· A.\n 1· A.\n 3· B,\n ''\n)\nA", 2: "A"}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_frames_of_split_files(spark, tmp_path):
+    """Files read in many splits give the frames of files read whole, with their numbers; what doesn't look like a log gives none."""
+    from cataloom.sources import runlogs as r
+
+    frame = lambda i: f"{r.HEADER_BEGIN}\nk={i}\n{r.HEADER_END}\n{r.RESPONSE_BEGIN}\n{'é' * (i % 90)} {i}\n{r.RESPONSE_END}\n"
+    texts = {"a.log": "before\n" + "".join(map(frame, range(300))), "b.log": "".join(map(frame, range(7))), "c.log": "x" * 9000 + frame(1), "d.log": "none\n" * 5000, "e.log": "x" * 8180 + frame(2), "f.log": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    rows = lambda df: sorted((x.path.rpartition("/")[2], x.frame, dict(x.header), x.response_text) for x in df.collect())
+    whole = rows(r.frames(r.read_logs(spark, str(tmp_path))))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    try:
+        split = rows(r.read_frames(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert split == whole and len(whole) == 307
