@@ -5,6 +5,8 @@ A report is split where headings start; every field is a pattern over its sectio
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def sections(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select("*", F.posexplode(rest).alias("position", "section")).drop(text)
 
 
+def _with(use: Callable[[Column, Column], Column], second: Column) -> Callable[[Column], Column]:
+    """A function of one argument, as Spark would take a second one for the index."""
+    return lambda first: use(first, second)
+
+
 def heading(section: Column) -> Column:
     """A section's name: its first line without marks and labels, else a name field."""
     line = stripped(F.regexp_extract(section, r"^\s*([^\n]*)", 1))
@@ -52,8 +59,9 @@ def heading(section: Column) -> Column:
     placeholder = lambda c: (c == "") | F.lower(c).isin(*_PLACEHOLDERS)
     field = lambda label: stripped(F.regexp_extract(section, rf"\*\*{label}:\*\*[ \t]*([^\n]+)", 1))
     name = line
-    for label in _LABELS:
-        name = once(name, lambda n, label=label: F.when(placeholder(n), once(field(label), lambda f: F.when(f != "", f).otherwise(n))).otherwise(n))
+    named = lambda n, own: F.when(placeholder(n), once(own, lambda f: F.when(f != "", f).otherwise(n))).otherwise(n)
+    for own in map(field, _LABELS):
+        name = once(name, _with(named, own))
     return name
 
 
