@@ -3,6 +3,7 @@
 import datetime
 import json
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import Row
@@ -237,6 +238,19 @@ def test_graph(spark):
     assert nodes.limit(1).select(graph.parameter_id(F.lit("ä"), F.lit("in"), F.lit("x"))).first()[0] == parameter_id("ä", "in", "x")
 
 
+def test_shared_parameters_send_rows_not_pairs(spark, monkeypatch):
+    """Every logic of 60 puts out and takes in up to nine parameters: counts as by hand, however they are dealt, and no exchange behind the pairs."""
+    rows = [(f"l{i}", f"p{i * k % 13}", kind) for i in range(60) for k, kind in enumerate(("OUTPUT", "INPUT", "OUTPUT", "USES", "OUTPUT", "INPUT", "INPUT"))] + [("l1", None, "OUTPUT"), ("l2", None, "INPUT"), (None, "p0", "OUTPUT")]
+    want = Counter((a, b) for a, b in {((a, p), (b, q)) for a, p, k in rows for b, q, m in rows if k == "OUTPUT" and m == "INPUT" and p is not None and p == q} for a, b in [(a[0], b[0])])
+    edges = spark.createDataFrame(rows * 2, "src string, dst string, type string")
+    for block, most in ((400_000, 500_000), (50, 7)):
+        monkeypatch.setattr(graph, "PAIRS", most)
+        got = graph.shared_parameters(edges, block)
+        assert Counter({(r.src, r.dst): r.n for r in got.collect()}) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Exchange")
+
+
 def test_property_graph(spark):
     f = "array<struct<name:string,type:string>>"
     schema = f"id string, name string, kind string, owner string, component string, timestamp string, code_file string, code_function string, links array<struct<from_logic_id:string,from_output:string,to_input:string,kind:string>>, dmn_inputs {f}, dmn_outputs {f}"
