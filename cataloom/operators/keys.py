@@ -42,7 +42,7 @@ def older_versions(df: DataFrame, key: str, position: str) -> DataFrame:
     return df.join(last, F.col(key) == F.col("__key")).where(F.col(position) < F.col("__last")).drop("__key", "__last")
 
 
-def _over_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], of_range: Column, of_ranges: Callable[[WindowSpec], Column], own: Callable[[WindowSpec], Column], to: str, joined: Callable[[Column, Column], Column]) -> DataFrame:
+def _over_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], of_range: Column, of_ranges: Callable[[WindowSpec], Column], own: Callable[[WindowSpec], Column], to: str, joined: Callable[[Column, Column], Column]) -> DataFrame:
     """A value for each row from the rows of its key before it: from those of its own range, and from what the ranges before hold.
 
     Rows are ranged by key and order, which should be total, and summed up by range. So a key with a third of all rows is spread over ranges like any other.
@@ -72,7 +72,7 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return _over_ranges(df, keys, order, of_range, lambda w: F.last("__of", True).over(w), lambda w: F.last("__value", True).over(w), to, F.coalesce).drop("__value")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], to: str) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], to: str) -> DataFrame:
     """Numbers the rows of each key from 1 in the given order, which should be total."""
     counted = lambda w: F.coalesce(F.sum("__of").over(w), F.lit(0))
     return _over_ranges(df, keys, order, F.count("*"), counted, lambda w: F.count("*").over(w), to, lambda a, b: (a + b + 1).cast("long"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.functions.text import blank
-from cataloom.operators.keys import pick
+from cataloom.operators.keys import numbered, pick
 from cataloom.operators.upsert import LINK_KEY
 
 
@@ -90,6 +90,16 @@ def check_manifest(now: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def backup_order(backups: DataFrame) -> DataFrame:
     """Backups (name, created_at, mtime in seconds), newest first: by their manifest's ``YYYYMMDD-HHMMSS`` as a number, else by the file's time in milliseconds, then by name."""
+    return backups.orderBy(F.desc(_made()), F.desc("name"))
+
+
+def numbered_backups(backups: DataFrame) -> DataFrame:
+    """Backups with their ``place`` in that order, from 1. Rows are dealt by ranges of it, so no task has more than its range."""
+    ranks = backups.withColumns({"__made": _made(), "__all": F.lit(0)})
+    return numbered(ranks, ["__all"], [F.desc("__made"), F.desc("name")], "place").drop("__made", "__all")
+
+
+def _made() -> Column:
     stamp = r"^(\d{8}).(\d{6})"
     made = F.when(F.trim("created_at").rlike(stamp), F.concat(F.regexp_extract(F.trim("created_at"), stamp, 1), F.regexp_extract(F.trim("created_at"), stamp, 2)).cast("long"))
-    return backups.orderBy(F.desc(F.coalesce(made, (F.col("mtime") * 1000).cast("long"))), F.desc("name"))
+    return F.coalesce(made, (F.col("mtime") * 1000).cast("long"))

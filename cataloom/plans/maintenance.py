@@ -322,14 +322,7 @@ def manifest_checked(t: Tables) -> DataFrame:
 def backups_in_order(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     made = by(key % 3, F.date_format("o_orderdate", "yyyyMMdd-HHmmss"), "", F.lit(None).cast("string"))
-    order = restore.backup_order(t.orders.select(text_of(key).alias("name"), made.alias("created_at"), (key + 800000000).alias("mtime")))
-    return order.withColumn("n", F.monotonically_increasing_id()).select("name", _place("n").alias("place"))
-
-
-def _place(column: str):
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.orderBy(column))
+    return restore.numbered_backups(t.orders.select(text_of(key).alias("name"), made.alias("created_at"), (key + 800000000).alias("mtime"))).select("name", F.col("place").cast("int").alias("place"))
 
 
 # ---- preparation

@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cataloom.functions import text as T
-from cataloom.operators import audit, graph, keys, match, upsert
+from cataloom.operators import audit, graph, keys, match, restore, upsert
 from cataloom.sources import catalog, diagrams, jsonish, reports, runlogs
 from cataloom.sources.store import Store
 from cataloom.streaming import ingest
@@ -238,6 +238,15 @@ def test_graph(spark):
     assert nodes.limit(1).select(graph.parameter_id(F.lit("ä"), F.lit("in"), F.lit("x"))).first()[0] == parameter_id("ä", "in", "x")
 
 
+def test_backups_are_numbered_over_ranges(spark):
+    """Places as of one sorted list, ties in time by name; no window has all rows in one partition."""
+    rows = [(f"b{i}", "20240102-030405" if i % 3 == 0 else "" if i % 3 == 1 else None, i % 7) for i in range(300)]
+    got = restore.numbered_backups(spark.createDataFrame(rows, "name string, created_at string, mtime long"))
+    want = sorted(rows, key=lambda r: (20240102030405 if r[1] else r[2] * 1000, r[0]), reverse=True)
+    assert {r.name: r.place for r in got.collect()} == {r[0]: i + 1 for i, r in enumerate(want)}
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shared_parameters_send_rows_not_pairs(spark, monkeypatch):
     """Every logic of 60 puts out and takes in up to nine parameters: counts as by hand, however they are dealt, and no exchange behind the pairs."""
     rows = [(f"l{i}", f"p{i * k % 13}", kind) for i in range(60) for k, kind in enumerate(("OUTPUT", "INPUT", "OUTPUT", "USES", "OUTPUT", "INPUT", "INPUT"))] + [("l1", None, "OUTPUT"), ("l2", None, "INPUT"), (None, "p0", "OUTPUT")]
