@@ -36,18 +36,18 @@ def peeled(edges: DataFrame, layers: int = LAYERS) -> DataFrame:
 def followed(pointers: DataFrame) -> DataFrame:
     """(node, to, low, ring) of pointers (node, to), one a node: the last node that each leads to, or, on a ``ring``, where ``low`` is its least node.
 
-    A round doubles the way, so there are as many as the longest way has binary digits.
+    A round doubles the way, so there are as many as the longest way has binary digits. A way that isn't on a ring has a node that finds its end in every round,
+    and the lows of a ring stay once they are its least node's: a round that changes nothing is the last one.
     """
-    now = tabled(pointers.select("node", "to", F.col("node").alias("low"), F.lit(True).alias("ring")))
-    rounds = math.ceil(math.log2(now.count() + 1)) + 1
-    for _ in range(rounds):
-        on = now.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("low").alias("__low"))
-        step, was = now.join(on, "to", "left"), now
-        now = tabled(step.select("node", F.coalesce("__to", "to").alias("to"), F.least("low", "__low").alias("low"), F.col("__to").isNotNull().alias("ring")))
+    now = tabled(pointers.select("node", "to", F.col("node").alias("low"), F.lit(True).alias("ring"), F.lit(True).alias("new")))
+    while not now.where("new").isEmpty():
+        on = now.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("low").alias("__low"), F.col("ring").alias("__ring"))
+        step, was = now.where("ring").join(on, "to", "left"), now
+        ends = ~F.coalesce("__ring", F.lit(False))
+        step = step.select("node", F.coalesce("__to", "to").alias("to"), F.least("low", "__low").alias("low"), (~ends).alias("ring"), (ends | (F.col("__low") < F.col("low"))).alias("new"))
+        now = tabled(step.unionByName(now.where("not ring").withColumn("new", F.lit(False))))
         forget(was)
-        if now.where("ring").isEmpty():
-            break
-    return now
+    return now.drop("new")
 
 
 def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -100,3 +100,16 @@ def test_a_long_way_is_found_in_few_rounds(spark, monkeypatch):
     got = {(r.src, r.dst): r.reached for r in index.reaches(frame(spark, pairs)).collect()}
     assert got == {(a, b): a < b for a, b in pairs}
     assert len(written) < 5 * 11
+
+
+def test_pointers_stop_once_nothing_changes(spark, monkeypatch):
+    """2,000 nodes in rings of four and in chains of eight: as many rounds as one way needs, not as all nodes have binary digits."""
+    written = []
+    keep = cycles.tabled
+    monkeypatch.setattr(cycles, "tabled", lambda df, *a: written.append(1) or keep(df, *a))
+    rings = [(4 * r + k, 4 * r + (k + 1) % 4) for r in range(250) for k in range(4)]
+    chains = [(5000 + 9 * c + k, 5000 + 9 * c + k + 1) for c in range(125) for k in range(8)]
+    got = {r.node: (r.to, r.low, r.ring) for r in cycles.followed(frame(spark, rings + chains).toDF("node", "to")).collect()}
+    assert all(got[a][1:] == (a - a % 4, True) for a, _ in rings)
+    assert all(got[a][0] == a - (a - 5000) % 9 + 8 and not got[a][2] for a, _ in chains) and len(got) == 2000
+    assert len(written) <= 6
