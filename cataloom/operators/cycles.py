@@ -20,6 +20,8 @@ from cataloom.scratch import forget, passing, tabled
 
 #: Layers of dead ends that a round takes off; hops before shortcuts are made; share of edges that a round must take off to go without colours.
 LAYERS, HOPS, ENOUGH = 3, 6, 0.05
+#: Rows of pairs that a task of a closure has, about.
+ROWS = 1_000_000
 
 
 def _ends(edges: DataFrame, end: str, name: str) -> DataFrame:
@@ -224,6 +226,12 @@ def condensed(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return _renamed(edges, parts.select(F.col("node").alias("child"), F.col("component").alias("parent")))
 
 
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Where ``rows`` are too many for the usual number of partitions, ``df`` in as many as leave ``ROWS`` to each: a task's memory doesn't grow with the table."""
+    n = -(-rows // ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, depth): all that each node reaches over one edge or more, with the least number of edges.
 
@@ -240,7 +248,9 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
             on = found.select(F.col("src").alias("__via"), "dst", (F.col("depth") + reach).alias("depth"))
             if max_depth is not None:
                 on = on.where(F.col("depth") <= max_depth)
-            new = far.join(on, "__via").groupBy("src", "dst").agg(F.min("depth").alias("depth")).join(found.select("src", "dst"), ["src", "dst"], "left_anti")
+            size = 2 * found.count()  # what is there, and about as much again
+            new = _dealt(far.join(on, "__via").select("src", "dst", "depth"), size, "src", "dst").groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+            new = new.join(_dealt(found.select("src", "dst"), size, "src", "dst"), ["src", "dst"], "left_anti")
             found, reach = tabled(found.unionByName(new)), 2 * reach
         kept.append(found)
     return found

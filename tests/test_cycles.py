@@ -113,3 +113,14 @@ def test_pointers_stop_once_nothing_changes(spark, monkeypatch):
     assert all(got[a][1:] == (a - a % 4, True) for a, _ in rings)
     assert all(got[a][0] == a - (a - 5000) % 9 + 8 and not got[a][2] for a, _ in chains) and len(got) == 2000
     assert len(written) <= 6
+
+
+def test_closures_are_dealt_to_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "ROWS", 40)
+    parts = []
+    keep = cycles._dealt
+    monkeypatch.setattr(cycles, "_dealt", lambda df, *a: (lambda out: parts.append("REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()) or out)(keep(df, *a)))
+    edges = random_edges(40, 90, 5)
+    ways = reach(edges)
+    assert {(r.src, r.dst): r.depth for r in cycles.closure(frame(spark, edges)).collect()} == ways
+    assert any(parts) and len(ways) > 4 * 40
