@@ -16,6 +16,8 @@ from cataloom.scratch import cut_lineage
 
 #: Characters of the parts that one automaton holds; parts longer than ``LONG`` are tried on every text, ``TRIED`` of them in a pass.
 AUTOMATON, LONG, TRIED = 500_000, 1_000, 1_000
+#: Queries whose scores a task holds at once.
+STRIP = 128
 
 
 def sliding_hamming(a: str, b: str) -> int:
@@ -118,19 +120,24 @@ def best_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str,
     def multiply(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist(), bool)
         ids = np.array(table.column("id").to_pylist(), np.int64)
-        v = np.array(table.column("v").to_pylist(), np.float64)
         out = ([], [], [])
         if asks.any() and not asks.all():
+            said = table.column("v").combine_chunks()
+            if said.null_count or len(np.unique(said.value_lengths().to_numpy())) > 1:
+                raise ValueError("vectors must be there and of one length")
+            v = said.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             order = np.argsort(ids[~asks], kind="stable")
             names, mat = ids[~asks][order], v[~asks][order]
             holders = [h for h, a in zip(table.column("holder").to_pylist(), asks, strict=True) if not a]
             free_until = np.array([np.iinfo(np.int64).max if holders[k] is None else holders[k] for k in order], np.int64)
-            for i, row in zip(ids[asks], np.round(v[asks] @ mat.T, 9), strict=True):
-                row = np.where((names == i) | (free_until <= i), -np.inf, row)
-                for j in np.argsort(-row, kind="stable")[:keep]:
-                    if row[j] >= least:
-                        for o, x in zip(out, (i, names[j], row[j]), strict=True):
-                            o.append(x)
+            asking, vectors = ids[asks], v[asks]
+            for start in range(0, len(asking), STRIP):
+                for i, row in zip(asking[start:start + STRIP], np.round(vectors[start:start + STRIP] @ mat.T, 9), strict=True):
+                    row = np.where((names == i) | (free_until <= i), -np.inf, row)
+                    for j in np.argsort(-row, kind="stable")[:keep]:
+                        if row[j] >= least:
+                            for o, x in zip(out, (i, names[j], row[j]), strict=True):
+                                o.append(x)
         return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "target", "score"])
 
     found = dealt.groupBy("chunk", "block").applyInArrow(multiply, "query long, target long, score double")

@@ -247,6 +247,17 @@ def test_backups_are_numbered_over_ranges(spark):
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vectors_are_scored_in_strips(spark, monkeypatch):
+    """The best target of each query is the same however few queries are scored at once."""
+    monkeypatch.setattr(match, "STRIP", 3)
+    rows = [(i, [float((i * k) % 7 - 3) for k in range(1, 5)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["query"]: (r.target, r.score) for r in match.best_vectors(df.where("id % 4 = 0"), df, "id", "v", least=0.5).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(rows[a][1], rows[b][1], strict=True))
+    best = {a: max((dot(a, b), -b) for b in range(40) if b != a) for a in range(0, 40, 4)}
+    assert got == {a: (-b, s) for a, (s, b) in best.items() if s >= 0.5}
+
+
 def test_shared_parameters_send_rows_not_pairs(spark, monkeypatch):
     """Every logic of 60 puts out and takes in up to nine parameters: counts as by hand, however they are dealt, and no exchange behind the pairs."""
     rows = [(f"l{i}", f"p{i * k % 13}", kind) for i in range(60) for k, kind in enumerate(("OUTPUT", "INPUT", "OUTPUT", "USES", "OUTPUT", "INPUT", "INPUT"))] + [("l1", None, "OUTPUT"), ("l2", None, "INPUT"), (None, "p0", "OUTPUT")]
