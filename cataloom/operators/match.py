@@ -214,26 +214,29 @@ def with_unmatched(queries: DataFrame, id_: str, found: DataFrame) -> DataFrame:
 def containing(texts: DataFrame, text_id: str, text: str, parts: DataFrame, part_id: str, part: str, anchor_words: int = 6) -> DataFrame:
     """(text_id, part_id) where a text contains a part.
 
-    A part's inner words stand between blanks in any text that contains it. Parts and texts meet in an equi-join over the hash of a run of
-    inner words, ``anchor_words`` of them or as many as a shorter part has; only ids and hashes take part in it. The texts and parts that met are
-    then compared as a whole. Parts without inner words (one or two words) are looked for all at once, by an automaton that reads every text once.
+    An automaton reads every text once and finds the parts without inner words (one or two words), with all others that it has room for, those of
+    the fewest inner words first. The rest may be any number: their inner words stand between blanks in any text that contains them. Such parts and texts meet
+    in an equi-join over the hash of a run of inner words, ``anchor_words`` of them or as many as a shorter part has; only ids and hashes take part
+    in it, but each number of words takes all runs of all texts. The texts and parts that met are then compared as a whole.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     body = texts.select(F.col(text_id).alias("doc"), F.col(text).alias("body"))
     own = parts.select(F.col(part_id).alias("part"), F.col(part).alias("said")).where("said is not null and said <> ''")
     inner = F.slice(words(F.col("said")), 2, F.greatest(F.size(words(F.col("said"))) - 2, F.lit(0)))
     sized = own.withColumn("inner", inner).withColumn("n", F.least(F.size("inner"), F.lit(anchor_words)))
-    sizes = dict(map(tuple, sized.groupBy("n").count().collect()))  # at most anchor_words + 1 rows
+    sizes = dict(map(tuple, sized.groupBy("n").agg(F.sum(F.length("said"))).collect()))  # at most anchor_words + 1 rows
+    room = [n for n in sorted(sizes) if n and sum(c for k, c in sizes.items() if k <= n) <= AUTOMATON]
     split = body.select("doc", words(F.col("body")).alias("words"))
     hits, met = [], []
-    for n in sorted(sizes):
+    if room or 0 in sizes:
+        hits.append(_scanned(body, sized.where(F.col("n").isin(room) | (F.col("n") == 0) & (F.length("said") <= LONG)).select("part", "said")))
+    for n in sorted(sizes.keys() - room):
         some = sized.where(F.col("n") == n)
         if n:
             keyed = some.select("part", F.xxhash64(F.concat_ws(" ", F.slice("inner", 1, n))).alias("key"))
             runs = split.where(F.size("words") >= n).select("doc", F.explode(F.array_distinct(_runs(F.col("words"), n))).alias("key"))
             met.append(runs.join(keyed, "key").select("doc", "part"))
             continue
-        hits.append(_scanned(body, some.where(F.length("said") <= LONG).select("part", "said")))
         some = some.where(F.length("said") > LONG)
         passes = -(-some.count() // TRIED)
         for k in range(passes):
@@ -248,7 +251,7 @@ def containing(texts: DataFrame, text_id: str, text: str, parts: DataFrame, part
 
 
 def _scanned(body: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc, part) of ``body(doc, body)`` and short ``parts(part, said)``: an Aho-Corasick automaton of the distinct parts reads each text.
+    """(doc, part) of ``body(doc, body)`` and few or short ``parts(part, said)``: an Aho-Corasick automaton of the distinct parts reads each text.
 
     Parts are dealt by hash to automata of about ``AUTOMATON`` characters, which bounds what is broadcast; every one of them is a pass over the texts.
     """
@@ -258,6 +261,8 @@ def _scanned(body: DataFrame, parts: DataFrame) -> DataFrame:
     found = body.select("doc", F.lit("").alias("said")).limit(0)
     for k in range(passes):
         block = [r.said for r in said.where(F.pmod(F.xxhash64("said"), F.lit(passes)) == k).toLocalIterator()]
+        if not block:
+            continue
         found = found.unionByName(body.where("body is not null").mapInArrow(_scanner(spark.sparkContext.broadcast(block)), found.schema))
     return found.join(parts, "said").select("doc", "part")
 
