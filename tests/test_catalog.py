@@ -283,6 +283,24 @@ def test_property_graph(spark):
     assert (to.src, to.dst) == (parameter_id("1", "out", "y"), parameter_id("2", "in", "z"))
 
 
+def test_property_graph_is_dealt_by_its_rows(spark, monkeypatch):
+    """A task's share of nodes and edges doesn't grow with the catalog, whatever the number of partitions; copies of links, functions and logics count once."""
+    monkeypatch.setattr(graph, "ROWS", 100, raising=False)
+    f = "array<struct<name:string,type:string>>"
+    schema = f"id string, name string, kind string, owner string, component string, timestamp string, code_file string, code_function string, links array<struct<from_logic_id:string,from_output:string,to_input:string,kind:string>>, dmn_inputs {f}, dmn_outputs {f}"
+    link = lambda i, j: (str(i * j % 40) if j % 9 else None, "y", "x", "SUPPORTS" if j % 2 else None)
+    rows = [(str(i), f"n{i}", None, None, None, None, f"c{i % 5}.sql", f"fn{i % 3}", [link(i, j) for j in range(50)] if i % 7 else None, [("x", "int")], [("y", "int")] if i % 4 else None) for i in range(40)]
+    nodes, edges = graph.property_graph(spark.createDataFrame(rows + rows[:10], schema))
+    links = {(i, x) for i in range(40) if i % 7 for x in (link(i, j) for j in range(50)) if x[0]}
+    got = edges.groupBy("type").count().collect()
+    assert {r.type: r["count"] for r in got} == {"IMPLEMENTED_BY": 40, "PART_OF": 15, "INPUT": 40, "OUTPUT": 30, "LINKS_TO": len(links)}
+    assert {(r.src, r.dst, r.kind) for r in edges.where("type = 'LINKS_TO'").collect()} == {(parameter_id(x[0], "out", "y"), parameter_id(str(i), "in", "x"), x[3]) for i, x in links}
+    assert {r.label: r["count"] for r in nodes.groupBy("label").count().collect()} == {"LogicStep": 40, "CodeFile": 5, "CodeFunction": 15, "Parameter": 70}
+    for df in (nodes, edges):
+        assert df.rdd.getNumPartitions() == 23  # 50 logics with two rows each, 2,100 links and 87 parameters, by the hundred
+    assert graph.graph_tasks(spark, 0) == 1 and graph.graph_tasks(spark, 300) == 3
+
+
 def test_matching(spark):
     assert match.sliding_hamming("validate", "xVALIdxtey") == 1 and match.sliding_hamming("", "a") == 0
     pairs = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (2, 10, 0.95), (3, 12, 0.7), (4, 12, 0.9)], "query long, target long, score double")
