@@ -59,10 +59,16 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    """A number up to 255. The network's spans may hold anything, blanks beside the number are let pass."""
+    part = part.strip()
+    return part.isascii() and part.isdigit() and len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255
+
+
 def _fine(kind: int, s: str) -> bool:
     """What a match must meet besides its pattern."""
     if kind == 1:
-        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+        return all(map(_octet, s.split(".")))
     if kind == 2:
         return 12 <= len(d := _digits(s)) <= 19 and luhn(d)
     if kind == 3:

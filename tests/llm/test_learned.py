@@ -171,6 +171,19 @@ def test_long_texts_are_tagged_beyond_the_first_window(tagger):
     assert base == brute_spans(text) and set(base) <= set(every)
 
 
+def test_spans_that_are_no_numbers_raise_nothing(monkeypatch):
+    """The network may call anything an address; what isn't four numbers is left out, and the rows beside it stay."""
+    said = {"im. 33.77.44.36": False, "v1.2.3.4": False, "1.2.+3.4": False, "1.2.3.4\n5": False, "1..2.3": False, "1.2.3.256": False, "10. 0.0.001": True, "1.2.3.4": True}
+    assert {s: pii._plausible(1, s) for s in said} == said
+    monkeypatch.setattr(pii, "SURE", 0.0)
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("0123456789.. +@azé\n"), 200)) for _ in range(200)]
+    tagger = pii.Tagger(1)
+    tagger.w["out"] *= 3  # an untrained network, sure of itself
+    found = pii.find(texts, tagger)
+    assert [b for b, _ in found] == [brute_spans(t) for t in texts] and any(len(every) > len(b) for b, every in found)
+
+
 def test_reconciled_spans_do_not_overlap():
     found = {(0, 3, 10): 5.0, (8, 3, 20): 7.0, (21, 3, 30): 1.0, (29, 3, 33): 0.5, (40, 3, 50): 9.0}
     assert sorted(pii._reconcile(found, [(45, 0, 60)])) == [(8, 3, 20), (21, 3, 30)]
