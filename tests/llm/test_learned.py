@@ -199,6 +199,17 @@ def test_redaction_keeps_columns(spark, awkward, tagger):
     assert pii.detect(awkward, tagger).where("doc_id = 1").first().spans == ""
 
 
+def test_redaction_stands_spans_that_are_no_numbers(spark):
+    """The pipeline's stage keeps every row when the network calls odd strings addresses."""
+    r = np.random.default_rng(4)
+    rows = [(i, "".join(r.choice(list("0123456789.. +@azé\n"), 200))) for i in range(300)]
+    network = pii.Tagger(1)
+    network.w["out"] *= 100  # an untrained network, sure of itself
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), network).collect()}
+    assert got == {i: pii.redacted(t, every) for (i, t), (_, every) in zip(rows, pii.find([t for _, t in rows], network), strict=True)}
+    assert any(t != got[i] for i, t in rows)
+
+
 def test_quality_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = queries.QUERIES["op5_quality"](spark, FOLDER)
