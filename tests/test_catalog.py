@@ -4,7 +4,9 @@ import datetime
 import json
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -271,6 +273,20 @@ def test_shared_parameters_send_rows_not_pairs(spark, monkeypatch):
     assert "Join" not in plan and plan.index("FlatMapGroupsInArrow") < plan.index("Exchange")
 
 
+def test_shared_parameters_send_a_row_a_logic(spark, monkeypatch):
+    """What goes to a block is a logic with the list of its parameters, not a row for each of them, once for each block of the other side."""
+    rows = [(f"l{i}", f"p{k}", kind) for i in range(40) for k in range(50) for kind in ("OUTPUT", "INPUT")]
+    edges = spark.createDataFrame(rows + rows[:500], "src string, dst string, type string")
+    assert [tuple(r) for r in graph.shared_parameters(edges, 1000).groupBy("n").count().collect()] == [(50, 1600)]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([""]), pa.array([n], pa.int64())], names=["src", "dst", "n"])
+
+    monkeypatch.setattr(graph, "_shared", counted)
+    assert graph.shared_parameters(edges, 1000).agg(F.sum("n")).first()[0] == 2 * 2 * 40
+
+
 def test_property_graph(spark):
     f = "array<struct<name:string,type:string>>"
     schema = f"id string, name string, kind string, owner string, component string, timestamp string, code_file string, code_function string, links array<struct<from_logic_id:string,from_output:string,to_input:string,kind:string>>, dmn_inputs {f}, dmn_outputs {f}"
