@@ -16,8 +16,8 @@ from cataloom.scratch import cut_lineage
 
 #: Characters of the parts that one automaton holds; parts longer than ``LONG`` are tried on every text, ``TRIED`` of them in a pass.
 AUTOMATON, LONG, TRIED = 500_000, 1_000, 1_000
-#: Queries whose scores a task holds at once.
-STRIP = 128
+#: Queries whose scores a task holds at once, targets that it has them for, and more than what rounding to nine digits moves a score by.
+STRIP, SPAN, NEAR = 128, 4096, 2e-9
 
 
 def sliding_hamming(a: str, b: str) -> int:
@@ -103,48 +103,77 @@ def nearest_names(names: DataFrame, name: str, candidates: DataFrame, candidate:
     return found.groupBy("name").agg(F.min(F.struct("distance", "candidate")).alias("b")).select("name", "b.candidate", "b.distance")
 
 
-def best_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str, least: float = 0.6, keep: int = 1, block: int = 4096, held: DataFrame | None = None) -> DataFrame:
+def best_vectors(queries: DataFrame, targets: DataFrame, id_: str, vector: str, least: float = 0.6, keep: int = 1, block: int = 65_536, held: DataFrame | None = None) -> DataFrame:
     """(query, target, score): each query's best ``keep`` targets by inner product, of at least ``least``; ties go to the lesser id.
 
-    Targets are dealt to chunks by hash and queries to blocks; a task multiplies one block with one chunk. A target in ``held(target, holder)``
-    is out of reach of all queries from its holder on.
+    Targets are dealt to chunks by hash and queries to blocks, of ``block`` rows at most or as few as parallel tasks need; a task multiplies one block with one chunk,
+    ``STRIP`` queries with ``SPAN`` targets at once. A target in ``held(target, holder)`` is out of reach of all queries from its holder on.
     """
-    t = targets.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("asks"))
-    q = queries.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("holder"))
+    t = targets.select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.lit(False).alias("asks"))
+    q = queries.select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("holder"))
     t = t.join(held.select(F.col("target").alias("id"), F.col("holder").cast("long").alias("holder")), "id", "left") if held is not None else t.withColumn("holder", F.lit(None).cast("long"))
-    chunks, blocks = (max(1, -(-df.count() // block)) for df in (t, q))
+    chunks, blocks = _grid(t.count(), q.count(), block, 2 * targets.sparkSession.sparkContext.defaultParallelism)
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = t.withColumn("chunk", own(chunks)).withColumn("block", all_(blocks)).unionByName(q.withColumn("chunk", all_(chunks)).withColumn("block", own(blocks)))
+    if chunks * blocks > 1:
+        dealt = dealt.repartition(4 * chunks * blocks, "chunk", "block")  # so many that seldom two meet in one
 
     def multiply(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("asks").to_pylist(), bool)
         ids = np.array(table.column("id").to_pylist(), np.int64)
-        out = ([], [], [])
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if asks.any() and not asks.all():
             said = table.column("v").combine_chunks()
             if said.null_count or len(np.unique(said.value_lengths().to_numpy())) > 1:
                 raise ValueError("vectors must be there and of one length")
             v = said.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             order = np.argsort(ids[~asks], kind="stable")
-            names, mat = ids[~asks][order], v[~asks][order]
-            holders = [h for h, a in zip(table.column("holder").to_pylist(), asks, strict=True) if not a]
-            free_until = np.array([np.iinfo(np.int64).max if holders[k] is None else holders[k] for k in order], np.int64)
-            asking, vectors = ids[asks], v[asks]
+            names, mat = ids[~asks][order], v[~asks][order].astype(np.float64)
+            free_until = table.column("holder").fill_null(np.iinfo(np.int64).max).to_numpy()[~asks][order]
+            asking, vectors = ids[asks], v[asks].astype(np.float64)
             for start in range(0, len(asking), STRIP):
-                for i, row in zip(asking[start:start + STRIP], np.round(vectors[start:start + STRIP] @ mat.T, 9), strict=True):
-                    row = np.where((names == i) | (free_until <= i), -np.inf, row)
-                    for j in np.argsort(-row, kind="stable")[:keep]:
-                        if row[j] >= least:
-                            for o, x in zip(out, (i, names[j], row[j]), strict=True):
-                                o.append(x)
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query", "target", "score"])
+                some = slice(start, start + STRIP)
+                out.append(_best_of(asking[some], vectors[some], names, mat, free_until, least, keep))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query", "target", "score"])
 
     found = dealt.groupBy("chunk", "block").applyInArrow(multiply, "query long, target long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "target")
     return found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).drop("__n")
 
 
+def _grid(targets: int, queries: int, block: int, tasks: int) -> tuple[int, int]:
+    """Chunks of targets and blocks of queries: none of more rows than ``block``, enough for so many tasks of ``SPAN`` by ``SPAN`` rows at least, and the fewest copies that allows."""
+    least = [max(1, -(-n // block)) for n in (targets, queries)]
+    tasks = max(1, min(tasks, targets * queries // SPAN**2))
+    ways = [(c, max(least[1], -(-tasks // c))) for c in range(least[0], least[0] + tasks)]
+    return min(ways, key=lambda w: (w[0] * queries + w[1] * targets, w))
+
+
+def _best_of(asking: np.ndarray, vectors: np.ndarray, names: np.ndarray, mat: np.ndarray, free_until: np.ndarray, least: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``keep`` of the targets ``names``, which ascend, for each of some queries; scores count to nine digits, so all within ``NEAR`` of the last one kept are rounded and compared."""
+    row, target, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    bar = np.full(len(asking), least - NEAR)
+    for lo in range(0, len(names), SPAN):
+        here = names[lo:lo + SPAN]
+        s = vectors @ mat[lo:lo + SPAN].T
+        s[np.isnan(s)] = -np.inf
+        for i, (a, b) in enumerate(zip(np.searchsorted(here, asking, "left"), np.searchsorted(here, asking, "right"), strict=True)):
+            s[i, a:b] = -np.inf
+        until = free_until[lo:lo + SPAN]
+        if until.min() <= asking.max():
+            s[until <= asking[:, None]] = -np.inf
+        if keep <= len(here):
+            bar = np.maximum(bar, (s.max(1) if keep == 1 else np.partition(s, -keep, 1)[:, -keep]) - NEAR)
+        i, j = np.nonzero(s >= bar[:, None])
+        row, target, score = np.concatenate([row, i]), np.concatenate([target, here[j]]), np.concatenate([score, np.round(s[i, j], 9)])
+        order = np.lexsort((target, -score, row))
+        row, target, score = row[order], target[order], score[order]
+        fine = (np.arange(len(row)) - np.searchsorted(row, row) < keep) & (score >= least)
+        row, target, score = row[fine], target[fine], score[fine]
+    return asking[row], target, score
+
+
 def _settle(queries: DataFrame, offers: Callable[[DataFrame, DataFrame | None], DataFrame], block: int) -> DataFrame:
     """Rounds of proposals from ``queries(query)``: ``offers(free, held)`` has the free queries' best targets that no earlier query holds.
 

@@ -439,10 +439,10 @@ def latest_run_ids(t: Tables) -> DataFrame:
 
 
 @query("""with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
-  s as (select a.vec_id as query, b.vec_id as target, round(list_dot_product(a.v, b.v), 9) as s from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
+  s as (select a.vec_id as query, b.vec_id as target, round(list_dot_product(a.v, b.v), 9) as s from e a join e b on a.vec_id <> b.vec_id)
   select query, target, round(s, 6) as score from (select *, row_number() over (partition by query order by s desc, target) as n from s) where n = 1 and s >= 0.2""")
 def knn_top1(t: Tables) -> DataFrame:
-    found = match.best_vectors(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, "vec_id", "embedding", least=0.2)
+    found = match.best_vectors(t.embeddings, t.embeddings, "vec_id", "embedding", least=0.2)
     return found.select("query", "target", F.round("score", 6).alias("score"))
 
 

@@ -6,6 +6,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
@@ -260,6 +261,40 @@ def test_vectors_are_scored_in_strips(spark, monkeypatch):
     assert got == {a: (-b, s) for a, (s, b) in best.items() if s >= 0.5}
 
 
+def test_every_vector_asks(spark):
+    """``knn_top1`` has a row for every vector with a near one, not for every twentieth only, as its SQL."""
+    from cataloom.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    v = np.array([r[1] for r in rows], np.float64)
+    scores = np.round(v @ v.T, 9)
+    np.fill_diagonal(scores, -1)
+    want = {rows[i][0]: min((-s, rows[j][0]) for j, s in enumerate(scores[i]) if s == scores[i].max()) for i in range(len(rows)) if scores[i].max() >= 0.2}
+    got = {r["query"]: (-r.score, r.target) for r in queries.QUERIES["knn_top1"](spark, folder).collect()}
+    assert {q: t for q, (_, t) in got.items()} == {q: t for q, (_, t) in want.items()} and len(got) > 0.9 * len(rows)
+    assert all(abs(got[q][0] - want[q][0]) < 1e-6 for q in want) and "% 20" not in queries.ORACLES["knn_top1"]
+
+
+def test_vectors_meet_in_many_tasks_and_spans(spark, monkeypatch):
+    """Ties, copies of an id, refused targets and scores that are no numbers: each query's best as one after the other gives them, however rows are dealt."""
+    monkeypatch.setattr(match, "SPAN", 3)
+    r = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in r.integers(-2, 3, 4)]) for i in range(60)] + [(7, [1.0, 1.0, 2.0, 2.0]), (61, [float("nan"), 0.0, 0.0, 1.0])]
+    refused = {i: int(r.integers(0, 60)) for i in range(0, 60, 3)}
+    df, held = spark.createDataFrame(rows, "id long, v array<float>"), spark.createDataFrame(list(refused.items()), "target long, holder long")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for keep in (1, 3, 100):
+        want = []
+        for i, x in rows[1:60:2]:
+            some = sorted((-dot(x, y), j) for j, y in rows if j != i and dot(x, y) >= 1 and refused.get(j, 99) > i)
+            want += [(i, j, -s) for s, j in some[:keep]]
+        for block in (4, 50, 65_536):
+            got = match.best_vectors(df.where("id % 2 = 1 and id < 60").dropDuplicates(["id"]), df, "id", "v", 1.0, keep, block, held).collect()
+            assert sorted((r["query"], r.target, r.score) for r in got if r["query"] != 7) == sorted(w for w in want if w[0] != 7)
+    assert match._grid(10, 10, 65_536, 16) == (3, 4) and match._grid(100, 1, 30, 1) == (4, 1) and match._grid(0, 0, 30, 8) == (1, 1)
+
+
 def test_shared_parameters_send_rows_not_pairs(spark, monkeypatch):
     """Every logic of 60 puts out and takes in up to nine parameters: counts as by hand, however they are dealt, and no exchange behind the pairs."""
     rows = [(f"l{i}", f"p{i * k % 13}", kind) for i in range(60) for k, kind in enumerate(("OUTPUT", "INPUT", "OUTPUT", "USES", "OUTPUT", "INPUT", "INPUT"))] + [("l1", None, "OUTPUT"), ("l2", None, "INPUT"), (None, "p0", "OUTPUT")]
